@@ -1,0 +1,5 @@
+"""Every query over the test tables, and its SQL."""
+
+FLAGSHIP = "stats_by_type"
+QUERIES: dict = {}
+SQL: dict = {}
