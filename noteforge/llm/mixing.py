@@ -71,7 +71,8 @@ class Mix:
         slots = slots.withColumn("s", F.size(F.filter(starts, lambda x: x <= F.col("p"))) - 1)
         slots = slots.withColumn("j", F.col("p") - F.element_at(starts, F.col("s") + 1)).withColumn("nb", F.element_at(blocks, F.col("s") + 1).cast("long"))
         slots = slots.withColumns({"epoch": F.expr("j div nb"), "b": F.expr("j % nb")})
-        self.slots = permuted(slots, "b", F.col("nb"), F.xxhash64(F.lit(seed), "s")).select("slot", F.expr(f"slot div {shard_slots}").alias("shard"), "s", "epoch", "b")
+        slots = permuted(slots, "b", F.col("nb"), F.xxhash64(F.lit(seed), "s")).select("slot", F.expr(f"slot div {shard_slots}").alias("shard"), "s", "epoch", "b")
+        self.slots = stored(slots, "slots")
 
     def drawn(self) -> DataFrame:
         """Blocks that the mix holds, and how often."""
