@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from noteforge.llm.common import BROADCAST_BYTES, free_name, join_groups, stored, text_or_empty
+from noteforge.llm.common import BROADCAST_BYTES, join_groups, stored, text_or_empty, without_rows
 from noteforge.llm.tokens import small_batches
 
 #: BANDS x BAND_ROWS MinHash samples. At a similarity of 0.8 a pair shares no band with a chance of 2e-7.
@@ -49,17 +49,15 @@ def shingle_set(text: str, n: int) -> np.ndarray:
 @lru_cache(1)
 def sample_seeds() -> tuple[np.ndarray, np.ndarray]:
     x = mix64(np.arange(1, 2 * SAMPLES + 1, dtype=np.uint64) * np.uint64(MIX[2]))
-    return (x[:SAMPLES] >> np.uint64(32)) | np.uint64(1), x[SAMPLES:] >> np.uint64(32)
+    return x[:SAMPLES] | np.uint64(1), x[SAMPLES:]
 
 
 def min_hashes(hashes: np.ndarray) -> np.ndarray:
-    """SAMPLES minima of the 32-bit halves under multiply-add hashing."""
+    """SAMPLES minima under multiply-add hashing modulo 2 ** 64."""
     a, b = sample_seeds()
-    x = hashes >> np.uint64(32)
     least = np.full(SAMPLES, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(x), 256):
-        part = (x[i : i + 256, None] * a + b) >> np.uint64(16)
-        np.minimum(least, part.min(axis=0), out=least)
+    for i in range(0, len(hashes), 256):
+        np.minimum(least, (hashes[i : i + 256, None] * a + b).min(axis=0), out=least)
     return least
 
 
@@ -204,11 +202,8 @@ def near_groups(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_co
 
 
 def drop_near(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that near_groups doesn't keep; all columns. docs must give the same rows in the same
-    partitions each time it is read, as files do."""
-    rid = free_name(docs, "rid")
-    gone = near_groups(docs, words, id_col, text_col).where("not kept").select(F.col("rid").alias(rid))
-    return docs.withColumn(rid, F.monotonically_increasing_id()).join(gone, rid, "left_anti").drop(rid)
+    """docs without the rows that near_groups doesn't keep; all columns."""
+    return without_rows(docs, near_groups(docs, words, id_col, text_col).where("not kept"))
 
 
 def op3_odd_sketches(spark, sf_dir: str) -> DataFrame:
