@@ -108,3 +108,13 @@ def running(df: DataFrame, keys: list[str], order: Column, tie: list[str], value
     for c, n in values.items():
         out = out.withColumn(n, F.col(f"_s_{n}") + F.coalesce(F.sum(c).over(own), F.lit(0)))
     return out.drop("_o", "_piece", *[f"_k_{c}" for c in at], *[f"_s_{n}" for n in values.values()])
+
+
+def without_rows(docs: DataFrame, gone: DataFrame, rid: str = "rid") -> DataFrame:
+    """docs without the rows whose monotonically_increasing_id() is in gone. Rows stay in place while the numbers fit
+    BROADCAST_BYTES; beyond, they are joined by a shuffle. docs must give the same rows in the same partitions each time
+    it is read, as files do."""
+    mine = free_name(docs, "rid")
+    gone = stored(gone.select(F.col(rid).alias(mine)), "gone")
+    gone = F.broadcast(gone) if gone.count() * 64 <= BROADCAST_BYTES else gone
+    return docs.withColumn(mine, F.monotonically_increasing_id()).join(gone, mine, "left_anti").drop(mine)

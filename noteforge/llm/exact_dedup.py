@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from noteforge.llm.common import BROADCAST_BYTES, free_name, join_groups, stored, text_or_empty
+from noteforge.llm.common import BROADCAST_BYTES, join_groups, stored, text_or_empty, without_rows
 
 #: Bits that one hash sets in its 64-bit word of the filter.
 PROBES = 3
@@ -43,7 +43,7 @@ def maybe_repeated(rows: DataFrame, n: int, key: str = "h") -> DataFrame:
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of docs: doc_id, text_sha256, keep_id, group_size, kept.
+    """One row for each row of docs: rid, doc_id, text_sha256, keep_id, group_size, kept. rid numbers the rows of docs.
 
     Texts are equal when the same after white space is deleted; null is empty, and all empty texts are one group. Of a
     group the row with the most code points, then the smallest id (null last) stays; of rows that tie in both, exactly
@@ -61,35 +61,17 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     groups = groups.select("sha", "best.keep_id", "best.keep_rid", "group_size")
     single = rows.where("not maybe").withColumns({"keep_id": F.col("doc_id"), "keep_rid": F.col("rid"), "group_size": F.lit(1).cast("long")})
     out = single.unionByName(join_groups(rows.where("maybe"), groups, "sha", "group_size", n))
-    return out.select("doc_id", "keep_id", "group_size", (F.col("rid") == F.col("keep_rid")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+    return out.select("rid", "doc_id", "keep_id", "group_size", (F.col("rid") == F.col("keep_rid")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 
 def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay under exact_groups, with all their columns. Rows outside the filter pass straight
-    through; of the others the hash finds the group, and whole rows move only where a row ties with its group's best in
-    length and id, which repeated rows alone do: of those the first by its other columns' JSON stays."""
-    h, sha, length, row = (free_name(docs, x) for x in ("h", "sha", "len", "row"))
-    text = text_or_empty(docs[text_col])
-    digest = F.sha2(F.encode(without_space(text), "utf-8"), 256)
-    slim = stored(docs.select(docs[id_col].alias("id"), F.unhex(digest).alias("sha"), F.char_length(text).alias("len")).withColumn("h", F.xxhash64("sha")), "hashed")
-    n = slim.count()
-    rows = maybe_repeated(slim, n).where("maybe")
-    order = F.struct(-F.col("len"), F.col("id").isNull(), F.col("id").alias("id"))
-    many = rows.groupBy("sha").agg(F.min(order).alias("best"), F.count("*").alias("size")).where("size > 1")
-    gone = join_groups(rows.drop("h", "maybe"), many, "sha", "size", n).where(order != F.col("best"))
-    gone = gone.select(F.col("sha").alias("_sha"), F.col("id").alias("_id"), F.col("len").alias("_len")).distinct()
-    mine = docs.withColumns({sha: F.unhex(digest), length: F.char_length(text)})
-    left = mine.join(gone, (mine[sha] == gone["_sha"]) & mine[id_col].eqNullSafe(gone["_id"]) & (mine[length] == gone["_len"]), "left_anti")
-    ties = rows.groupBy("sha", "id", "len").agg(F.count("*").alias("times")).where("times > 1").select(F.col("sha").alias("_sha"), F.col("id").alias("_id"), F.col("len").alias("_len"))
-    same = lambda t: (F.col(sha) == t["_sha"]) & F.col(id_col).eqNullSafe(t["_id"]) & (F.col(length) == t["_len"])
-    once = left.join(ties, same(ties), "left_anti")
-    tied = left.join(ties, same(ties), "left_semi").withColumn(row, F.struct(*docs.columns))
-    firsts = tied.groupBy(sha, id_col, length).agg(F.min_by(row, F.to_json(row)).alias(row)).select(f"{row}.*")
-    return once.drop(sha, length).unionByName(firsts)
+    """The rows of docs that stay under exact_groups, with all their columns. Whole rows move only where the numbers of
+    the rows that go do not fit a broadcast."""
+    return without_rows(docs, exact_groups(docs, id_col, text_col).where("not kept"))
 
 
 def op2_exact_bloom(spark, sf_dir: str) -> DataFrame:
-    return exact_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return exact_groups(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("rid")
 
 
 SQL_OP2 = """

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from noteforge.llm.common import WORD, pieces_for, running, stored, text_or_empty
+from noteforge.llm.common import WORD, free_name, pieces_for, running, stored, text_or_empty
 
 #: Weights of sources in code-point order, repeating; fixed values.
 WEIGHTS = (5, 2, 1)
@@ -42,11 +42,10 @@ class Mix:
     """A mix of docs: `sources` has the sizes, targets and draws; `slots` each block of the output with its shard and
     the source's block that it holds; `pieces` the documents' words in each block; `taken` the words taken of each row."""
 
-    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = 128, shard_slots: int = 4096, seed: int = 1, keep: list[str] | None = None):
+    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = 128, shard_slots: int = 4096, seed: int = 1) -> None:
         spark = docs.sparkSession
         size = F.regexp_count(text_or_empty(docs[text_col]), F.lit(WORD)).cast("long")
-        kept = {c: docs[c] for c in keep or []}
-        slim = docs.select(docs[id_col].alias("doc_id"), docs[source_col].alias("source"), size.alias("size"), *[v.alias(f"c_{c}") for c, v in kept.items()])
+        slim = docs.select(docs[id_col].alias("doc_id"), docs[source_col].alias("source"), size.alias("size"))
         self.slim = stored(slim.withColumn("rid", F.monotonically_increasing_id()), "sized")
         got = sorted(((r["source"], r["size"], r["n"]) for r in self.slim.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()), key=lambda r: (r[0] is None, (r[0] or "").encode()))
         self.sources, self.block, self.shard_slots = [], block, shard_slots
@@ -106,6 +105,25 @@ def mix_sources(docs: DataFrame, **options) -> DataFrame:
     return Mix(docs, **options).taken()
 
 
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", chars_col: str | None = "n_chars", **options) -> DataFrame:
+    """The mix as documents: a row for each pass over a row of docs that takes words of it, with all columns. The text is
+    the whole text where the pass takes all of its words, else the words taken, joined by blanks; chars_col, where docs
+    has it, is its length. Rows without words leave the mix. docs must give the same rows each time it is read, as files
+    do."""
+    mix = Mix(docs, id_col, text_col, source_col, **options)
+    rid, got, whole = (free_name(docs, x) for x in ("rid", "got", "whole"))
+    part = F.struct("skip", "words")
+    passes = mix.pieces.join(mix.slots.select("s", "b", "epoch"), ["s", "b"]).groupBy("rid", "epoch").agg(F.sort_array(F.collect_list(part)).alias(got), F.sum("words").alias(whole))
+    passes = passes.join(mix.slim.where("size > 0").select("rid", "size"), "rid").select(F.col("rid").alias(rid), got, (F.col(whole) == F.col("size")).alias(whole))
+    rows = docs.withColumn(rid, F.monotonically_increasing_id()).join(passes, rid)
+    words = F.regexp_extract_all(text_col, F.lit(WORD), F.lit(0))
+    some = F.array_join(F.flatten(F.transform(got, lambda p: F.slice(words, (p["skip"] + 1).cast("int"), p["words"].cast("int")))), " ")
+    rows = rows.withColumn(text_col, F.when(F.col(whole), F.col(text_col)).otherwise(some))
+    if chars_col in docs.columns:
+        rows = rows.withColumn(chars_col, F.char_length(text_col).cast(docs.schema[chars_col].dataType))
+    return rows.select(*docs.columns)
+
+
 def op9_mix_blocks(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
