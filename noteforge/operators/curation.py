@@ -1,0 +1,199 @@
+"""Notes as text: tags, languages, hashtags, archive notes, sections, agents, paths, transcripts."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from noteforge import vocab
+from noteforge.functions import arrow, text
+
+
+def tag_rows(notes: DataFrame) -> DataFrame:
+    """(path, tag, mapped) of inline tags, once for each occurrence; mapped is null for tags that go."""
+    found = notes.select("path", text.inline_tags(F.col("content")).alias("line")).where("line is not null")
+    return found.select("path", F.explode(text.map_tags(text.tag_list(F.col("line")))).alias("t")).select("path", "t.*")
+
+
+def normalised_notes(notes: DataFrame) -> DataFrame:
+    """Notes with inline tags: kept (distinct) and removed tags, and the content with a sorted YAML list instead."""
+    content = F.col("content")
+    found = notes.withColumn("line", text.inline_tags(content)).where("line is not null")
+    found = found.withColumn("mapped", text.map_tags(text.tag_list(F.col("line"))))
+    kept = F.array_distinct(F.transform(F.filter("mapped", lambda t: t["mapped"].isNotNull()), lambda t: t["mapped"]))
+    removed = F.transform(F.filter("mapped", lambda t: t["mapped"].isNull()), lambda t: t["tag"])
+    found = found.withColumns({"kept": kept, "removed": removed})
+    return found.select("path", F.size("kept").alias("n_kept"), F.size("removed").alias("n_removed"), text.yaml_tags(F.col("kept")).alias("yaml"), F.replace(content, F.col("line"), text.yaml_tags(F.col("kept"))).alias("new_content"))
+
+
+def tag_frequency(notes: DataFrame, n: int = 100) -> DataFrame:
+    """The most frequent kept tags (once a note) and removed ones (each occurrence), n of each."""
+    rows = tag_rows(notes)
+    kept = rows.where("mapped is not null").select("path", F.col("mapped").alias("tag")).distinct().groupBy("tag").agg(F.count("*").alias("uses")).orderBy(F.desc("uses"), "tag").limit(n)
+    gone = rows.where("mapped is null").groupBy("tag").agg(F.count("*").alias("uses")).orderBy(F.desc("uses"), "tag").limit(n)
+    return kept.withColumn("status", F.lit("kept")).unionByName(gone.withColumn("status", F.lit("removed")))
+
+
+def tag_totals(notes: DataFrame) -> DataFrame:
+    done = normalised_notes(notes)
+    return done.agg(F.count("*").alias("notes"), F.coalesce(F.sum("n_kept"), F.lit(0)).alias("kept"), F.coalesce(F.sum("n_removed"), F.lit(0)).alias("removed"))
+
+
+def language_rows(notes: DataFrame, least: float = 0.5, add_only: bool = False, detector=None) -> DataFrame:
+    """path, lang, confidence, tag, status, new_content of each note. detector: a function from the plain-text column to
+    columns (language, probability); without, only the words decide. Statuses, the first that holds: no_frontmatter,
+    short, uncertain, correct, add_only_kept, changed, added, unfixable."""
+    rows = notes.select("path", "content", text.frontmatter_block(F.col("content")).alias("front"), text.plain_text(F.col("content")).alias("plain"))
+    best, prob = detector(F.col("plain")) if detector else (F.lit(None).cast("string"), F.lit(0.0))
+    lang, conf = text.language_decision(F.col("plain"), best, prob)
+    rows = rows.withColumns({"lang": lang, "confidence": conf, "tag": text.language_tag(F.col("front"))})
+    new = text.with_language(F.col("content"), F.col("lang"))
+    status = (
+        F.when(F.col("front") == "", "no_frontmatter")
+        .when(F.length("plain") < 50, "short")
+        .when(F.col("lang").isNull() | (F.col("confidence") < least), "uncertain")
+        .when(F.col("tag") == F.col("lang"), "correct")
+        .when(F.col("tag").isNotNull() & F.lit(add_only), "add_only_kept")
+        .when(F.col("tag").isNotNull(), "changed")
+        .when(new != F.col("content"), "added")
+        .otherwise("unfixable")
+    )
+    rows = rows.withColumn("status", status)
+    return rows.select("path", "lang", F.round("confidence", 9).alias("confidence"), "tag", "status", F.when(F.col("status").isin("changed", "added"), new).alias("new_content"))
+
+
+def language_funnel(notes: DataFrame) -> DataFrame:
+    return language_rows(notes).groupBy("status").agg(F.count("*").alias("notes"))
+
+
+def hashtag_rows(notes: DataFrame) -> DataFrame:
+    return notes.select("path", F.explode(arrow.hashtags("content")).alias("h")).select("path", "h.*")
+
+
+def hashtag_frequency(notes: DataFrame, n: int = 30) -> DataFrame:
+    by = hashtag_rows(notes).groupBy("tag").agg(F.count("*").alias("uses"), F.count_distinct("path").alias("notes"))
+    return by.orderBy(F.desc("uses"), "tag").limit(n)
+
+
+def escaped_notes(notes: DataFrame) -> DataFrame:
+    done = notes.select("path", "content", arrow.escape_hashtags("content").alias("new_content"))
+    return done.where("content <> new_content").select("path", "new_content")
+
+
+def archive_rows(notes: DataFrame, date: str) -> DataFrame:
+    """Notes without frontmatter: language, kind, topics, usefulness, and the content with both added."""
+    rows = notes.where(~text.has_frontmatter(F.col("content")))
+    name, content = F.col("name"), F.col("content")
+    return rows.select(
+        "path", text.archive_language(content).alias("lang"), text.archive_kind(name).alias("kind"), F.array_join(text.archive_topics(name, content), ",").alias("topics"),
+        F.round(text.usefulness(name, content), 6).alias("usefulness"), F.concat(text.archive_frontmatter(name, content, date), text.with_reflection(content)).alias("new_content"),
+    )
+
+
+def archive_topics_top(notes: DataFrame, n: int = 10) -> DataFrame:
+    topics = notes.where(~text.has_frontmatter(F.col("content"))).select(F.explode(text.archive_topics(F.col("name"), F.col("content"))).alias("topic"))
+    return topics.groupBy("topic").agg(F.count("*").alias("notes")).orderBy(F.desc("notes"), "topic").limit(n)
+
+
+MODELS = ["sonnet", "opus", "haiku"]
+
+
+def agent_rows(files: DataFrame, skills: DataFrame) -> DataFrame:
+    """path, name, valid, errors, warnings of agent files. skills: the names of the skill files that exist."""
+    rows = files.select("path", "content", arrow.mini_yaml("content").alias("fm"))
+    body = text.body_of(F.col("content"))
+    desc, model = F.col("fm.description"), F.col("fm.model")
+    none = F.size("fm") <= 0
+    broken = F.col("content").rlike(r"(?md)^description:[ \t]*(?![\"'|> \t\n])[^\n]*\n(?! {2}|---)[^:\n]*[^:\s][^:\n]*\n")
+    rules = [
+        F.when(broken, "Description spans lines without quotes"),
+        F.when(none, "No frontmatter"),
+        F.when(~none & F.col("fm.name").isNull(), "Missing field: name"),
+        F.when(~none & desc.isNull(), "Missing field: description"),
+        F.when(~none & desc.contains("\n") & ~desc.contains("\\n"), "Description has line breaks"),
+        F.when(~none & model.isNotNull() & ~model.isin(MODELS), F.concat(F.lit("Invalid model: "), model)),
+    ]
+    hints = [F.when(~none & desc.isNotNull() & ~desc.contains("<example>"), "No example"), F.when(~none & model.isNull(), "No model"), F.when(~none & (text.strip(body) == ""), "Empty body")]
+    rows = rows.withColumns({"errors": F.array_compact(F.array(*rules)), "hints": F.array_compact(F.array(*hints))})
+    wanted = rows.where(~none).select("path", F.explode(F.transform(F.split("fm.skills", ","), text.strip)).alias("skill"))
+    missing = wanted.join(skills, "skill", "left_anti").groupBy("path").agg(F.sort_array(F.collect_set(F.concat(F.lit("Missing skill: "), F.col("skill")))).alias("missing"))
+    out = rows.join(missing, "path", "left")
+    warnings = F.concat("hints", F.coalesce("missing", F.array().cast("array<string>")))
+    return out.select("path", F.col("fm.name").alias("name"), (F.size("errors") == 0).alias("valid"), "errors", warnings.alias("warnings"))
+
+
+def validation_totals(rows: DataFrame) -> DataFrame:
+    return rows.agg(F.count("*").alias("files"), F.count_if("valid").alias("valid"), F.sum(F.size("errors")).alias("errors"), F.sum(F.size("warnings")).alias("warnings"), F.max(F.when(F.col("valid"), 0).otherwise(1)).alias("exit_code"))
+
+
+def path_rows(notes: DataFrame, base: str) -> DataFrame:
+    """(path, ordinal, found, resolved) of paths in notes, the first of equal resolved ones."""
+    found = notes.select("path", F.posexplode(text.extracted_paths(F.col("content"))).alias("ordinal", "found"))
+    found = found.withColumn("resolved", text.resolved_path(F.col("found"), base))
+    return found.groupBy("path", "resolved").agg(F.min(F.struct("ordinal", "found")).alias("f")).select("path", "f.*", "resolved")
+
+
+def matched_paths(found: DataFrame, files: DataFrame) -> DataFrame:
+    """Paths that exist as they are, or every file with their base name, or themselves. files: abs_path."""
+    there = found.join(files.select(F.col("abs_path").alias("resolved")), "resolved", "left_semi").select("path", "resolved")
+    gone = found.join(files.select(F.col("abs_path").alias("resolved")), "resolved", "left_anti").withColumn("base", text.base_name(F.col("resolved")))
+    named = gone.join(files.select(text.base_name(F.col("abs_path")).alias("base"), "abs_path"), "base", "left")
+    return there.unionByName(named.select("path", F.coalesce("abs_path", "resolved").alias("resolved"))).distinct()
+
+
+def transcripts(messages: DataFrame) -> DataFrame:
+    """Conversations rendered as notes: conv_id, content."""
+    line = F.when(F.col("role") == "user", F.concat(F.lit("### User, on "), F.col("turn").cast("string"), F.lit(";\n> "), "text")).otherwise(F.concat(F.lit("#### ChatGPT, on "), F.col("turn").cast("string"), F.lit(";\n>> "), "text"))
+    ua = messages.where(F.col("role").isin("user", "assistant"))
+    parts = F.sort_array(F.collect_list(F.struct("turn", line.alias("l"))))
+    return ua.groupBy("conv_id").agg(F.concat(F.array_join(F.transform(parts, lambda x: x["l"]), "\n"), F.lit("\n")).alias("content"))
+
+
+def parsed_messages(notes: DataFrame) -> DataFrame:
+    return notes.select("conv_id", F.explode(text.transcript_messages(F.col("content"))).alias("m")).select("conv_id", "m.*")
+
+
+def chapter_prompts(notes: DataFrame) -> DataFrame:
+    """Chapters without a diagram: overview, arguments, first headers and points, as a prompt."""
+    c = F.col("content")
+    rows = notes.where(~text.has_diagram(c)).select("path", text.section(c, "(?:Chapter|Book|Part) Overview").alias("overview"), text.section(c, "Key Arguments").alias("arguments"), text.section(c, "Key Concepts").alias("concepts"), F.coalesce(text.quoted_field(c, "title"), F.lit("")).alias("title"))
+    rows = rows.where("overview <> '' or arguments <> ''")
+    bullets = F.slice(text.all_groups(F.col("arguments"), r"(?md)^- \*\*(.+?)\*\*"), 1, 4)
+    heads = F.slice(text.all_groups(F.col("concepts"), r"(?md)^### (.+)$"), 1, 6)
+    prompt = F.concat_ws("\n", F.col("title"), F.left("overview", F.lit(800)), F.array_join(bullets, "\n"), F.array_join(heads, "\n"))
+    return rows.select("path", "title", F.size(bullets).alias("points"), F.size(heads).alias("headers"), prompt.alias("prompt"))
+
+
+def analysis_frontmatter(notes: DataFrame, report: DataFrame, date: str, model: str) -> DataFrame:
+    """Notes with their analysis block replaced by the report's row of the same path."""
+    front = text.frontmatter_lines(F.col("content"))
+    state = F.aggregate(
+        front,
+        F.struct(F.lit(False).alias("skip"), F.array().cast("array<string>").alias("kept")),
+        lambda s, x: F.struct(
+            (text.strip(x) == "analysis:").__or__(s["skip"] & ((x == "") | x.rlike(r"^\s"))).alias("skip"),
+            F.when((text.strip(x) == "analysis:") | (s["skip"] & ((x == "") | x.rlike(r"^\s"))), s["kept"]).otherwise(F.array_append(s["kept"], x)).alias("kept"),
+        ),
+    )
+    block = F.concat(F.lit("analysis:\n  quality_score: "), F.col("score").cast("string"), F.lit("\n  action: "), "action", F.lit("\n  has_framework: "), F.col("has_framework").cast("string"), F.lit(f"\n  analyzed_date: {date}\n  analyzed_model: {model}"))
+    rest = F.substring(F.col("content"), F.locate("\n---\n", F.col("content"), 4) + 5, F.length("content"))
+    rows = notes.join(report, "path").where(front.isNotNull())
+    return rows.select("path", F.concat(F.lit("---\n"), text.strip(F.array_join(state["kept"], "\n")), F.lit("\n"), block, F.lit("\n---\n"), rest).alias("new_content"))
+
+
+def with_transcript(notes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Notes without a transcript, with that of texts (path, file, text) appended."""
+    rows = notes.join(texts, "path").where(~text.has_transcript(F.col("content")))
+    words = F.size(F.filter(F.split("text", r"\s+"), lambda w: w != ""))
+    return rows.select("path", words.alias("words"), F.concat("content", F.lit("\n\n## Audio Transcript\n\n**File:** "), "file", F.lit("\n\n"), "text", F.lit("\n")).alias("new_content"))
+
+
+#: Keywords of topics that a report's prompts can be tagged with; fixed values would be the caller's.
+def keyword_tags(notes: DataFrame, topics: dict[str, list[str]]) -> DataFrame:
+    low = F.lower("content")
+    found = F.array_compact(F.array(*[F.when(text.any_of(low, words), topic) for topic, words in topics.items()]))
+    return notes.select("path", F.explode(found).alias("topic"))
+
+
+def approved(tag: Column) -> Column:
+    return tag.isin(vocab.APPROVED_TAGS)
