@@ -1,5 +1,675 @@
-"""Every query over the test tables, and its SQL."""
+"""Every query over the test tables, and its SQL for DuckDB where SQL can express it."""
 
-FLAGSHIP = "stats_by_type"
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from noteforge import vocab
+from noteforge.functions import arrow, text
+from noteforge.operators import curation, dedup, media, references, reports, stats
+from noteforge.plans import plan
+from noteforge.sources.tables import ATTACHMENTS_SQL, BACKUP_SQL, NAMES_SQL, NOTES_SQL, PATHS_SQL, REPORT_SQL, attachments, backup, names, notes, paths, report, table
+from noteforge.streaming import increments
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+FLAGSHIP = "attachment_cleanup_plan"
+
+
+def query(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
+    def put(f: Query) -> Query:
+        QUERIES[name or f.__name__] = f
+        if sql:
+            SQL[name or f.__name__] = sql
+        return f
+
+    return put
+
+
+def quoted(words) -> str:
+    return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
+
+
+# --- sizes -------------------------------------------------------------------------------------------------------------
+
+
+def files(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", F.col("lang").alias("type"), F.col("n_chars").alias("size"))
+
+
+BY_TYPE = """SELECT lang AS type, count(*) AS files, cast(sum(n_chars) AS bigint) AS total_size, avg(n_chars) AS avg_size, min(n_chars) AS min_size,
+  max(n_chars) AS max_size, cast(median(n_chars) AS double) AS median_size, 100.0::double * sum(n_chars) / sum(sum(n_chars)) OVER () AS share FROM {} GROUP BY lang"""
+
+
+@query("SELECT count(*) AS files, cast(sum(n_chars) AS bigint) AS total_size, avg(n_chars) AS avg_size FROM documents")
+def stats_overall(spark, sf):
+    return stats.stats_overall(files(spark, sf))
+
+
+@query(BY_TYPE.format("documents"))
+def stats_by_type(spark, sf):
+    return stats.stats_by_type(files(spark, sf))
+
+
+@query("SELECT lang AS type, count(*) AS files, cast(sum(n_chars) AS bigint) AS total_size, cast(grouping(lang) AS integer) AS is_total FROM documents GROUP BY ROLLUP (lang)")
+def stats_with_total(spark, sf):
+    return stats.stats_with_total(files(spark, sf))
+
+
+@query("WITH top AS (SELECT * FROM documents ORDER BY n_chars DESC, doc_id LIMIT 100) SELECT s.*, 100.0::double * total_size / v.vault AS vault_share FROM (" + BY_TYPE.format("top") + ") s, (SELECT sum(n_chars) AS vault FROM documents) v")
+def stats_top100_by_type(spark, sf):
+    return stats.stats_of_largest(files(spark, sf), 100, "doc_id")
+
+
+@query("SELECT doc_id, lang AS type, n_chars AS size FROM documents ORDER BY n_chars DESC, doc_id LIMIT 10")
+def top10_largest(spark, sf):
+    return stats.largest(files(spark, sf), 10, "doc_id")
+
+
+# --- names -------------------------------------------------------------------------------------------------------------
+
+STEM = "CASE WHEN regexp_matches(file, '^.+\\.[^.]+$') THEN regexp_replace(file, '\\.[^.]+$', '') ELSE file END"
+GRAMS = "WITH " + NAMES_SQL + ", s AS (SELECT lower(" + STEM + ") AS s FROM names), l AS (SELECT unnest([3, 5, 7, 10]) AS l) SELECT {}(s, l) AS gram, count(*) AS files FROM s, l WHERE length(s) >= l GROUP BY 1 ORDER BY files DESC, gram LIMIT 20"
+
+
+@query(GRAMS.format("left"))
+def name_prefix_topk(spark, sf):
+    return stats.name_grams(names(spark, sf), "left")
+
+
+@query(GRAMS.format("right"))
+def name_suffix_topk(spark, sf):
+    return stats.name_grams(names(spark, sf), "right")
+
+
+@query("WITH " + NAMES_SQL + ", w AS (SELECT lower(unnest(regexp_extract_all(" + STEM + ", '[A-Za-z]{3,}'))) AS word FROM names) SELECT word, count(*) AS uses FROM w GROUP BY word ORDER BY uses DESC, word LIMIT 30")
+def name_word_topk(spark, sf):
+    return stats.name_words(names(spark, sf))
+
+
+FLAGS_SQL = (
+    "WITH " + NAMES_SQL + ", f0 AS (SELECT *, " + STEM + " AS stem FROM names), f1 AS (SELECT *,"
+    " regexp_matches(file, '[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}-[0-9]{2}-[0-9]{4}|[0-9]{8}') AS d,"
+    " regexp_matches(file, '[0-9]{1,2}\\.[0-9]{2}\\.[0-9]{2}|[0-9]{6}|[0-9]{2}:[0-9]{2}:[0-9]{2}') AS t FROM f0),"
+    " flags AS (SELECT *, d AND t AS date_time, d AND NOT t AS date_only,"
+    " regexp_matches(lower(file), '[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}') AS uuid, regexp_matches(lower(stem), '^[0-9a-f]{16,}$') AS hash,"
+    " regexp_matches(file, '[0-9]') AS sequential, regexp_matches(lower(file), '" + "|".join(vocab.SCREENSHOT_WORDS) + "') AS screenshot_word,"
+    " length(stem) < 5 AS short_name, length(stem) > 30 AS long_name, NOT regexp_matches(file, '^.+\\.[^.]+$') AS no_extension FROM f1)"
+)
+
+
+@query(FLAGS_SQL + ", c AS (" + " UNION ALL ".join(f"SELECT '{c}' AS flag, count(*) FILTER ({c}) AS files, count(*) AS n FROM flags" for c in stats.FLAGS) + ") SELECT flag, files, 100.0::double * files / n AS pct FROM c")
+def name_flag_counts(spark, sf):
+    return stats.name_flag_counts(names(spark, sf))
+
+
+@query(FLAGS_SQL + " SELECT doc_id, file, CASE WHEN regexp_matches(file, '[0-9]{4}-[0-9]{2}-[0-9]{2}.*[0-9]+\\.[0-9]+\\.[0-9]+') THEN 'date_time_formatted' WHEN regexp_matches(lower(file), 'screenshot.*[0-9]') THEN 'screenshot_numbered' WHEN regexp_matches(lower(file), 'img.*[0-9]') THEN 'img_numbered' ELSE 'other' END AS category FROM (SELECT * FROM flags WHERE screenshot_word AND date_time UNION ALL SELECT * FROM flags WHERE screenshot_word AND sequential)")
+def screenshot_bag_union(spark, sf):
+    return stats.screenshots(names(spark, sf))
+
+
+@query(FLAGS_SQL + ", h AS (SELECT 'screenshot_date_time' AS pattern, file FROM flags WHERE date_time AND screenshot_word UNION SELECT 'screenshot_sequential', file FROM flags WHERE sequential AND screenshot_word UNION SELECT 'img_sequential', file FROM flags WHERE regexp_matches(lower(file), '^img[_-][0-9]')) SELECT pattern, cast(row_number() OVER (PARTITION BY pattern ORDER BY file) AS integer) AS rank, file FROM h QUALIFY row_number() OVER (PARTITION BY pattern ORDER BY file) <= 5")
+def discovered_patterns(spark, sf):
+    return stats.discovered_patterns(names(spark, sf))
+
+
+@query("WITH " + NAMES_SQL + " SELECT doc_id, CASE WHEN regexp_matches(file, '^.+\\.[^.]+$') THEN lower(regexp_extract(file, '^.+\\.([^.]+)$', 1)) ELSE 'no extension' END AS type FROM names")
+def file_types(spark, sf):
+    return names(spark, sf).select("doc_id", stats.suffix(F.col("file")).alias("type"))
+
+
+@query("WITH " + NAMES_SQL + " SELECT doc_id, size FROM names WHERE size > 2 * 1024")
+def size_threshold_filter(spark, sf):
+    return names(spark, sf).where("size > 2 * 1024").select("doc_id", "size")
+
+
+@query("SELECT doc_id, CASE WHEN n_chars < 1024 THEN printf('%.2f B', n_chars::double) ELSE printf('%.2f KB', n_chars / 1024.0::double) END AS shown FROM documents WHERE n_chars < 1048576")
+def human_sizes(spark, sf):
+    return table(spark, sf, "documents").where("n_chars < 1048576").select("doc_id", stats.human_size(F.col("n_chars").cast("double")).alias("shown"))
+
+
+# --- paths -------------------------------------------------------------------------------------------------------------
+
+HIDDEN = {
+    "shared": "len(list_filter(string_split(rel_path, '/'), lambda p: starts_with(p, '.'))) > 0",
+    "inverted": "len(list_filter(string_split(rel_path, '/'), lambda p: starts_with(p, '.'))) > 0 AND len(list_filter(string_split(rel_path, '/'), lambda p: p IN ('.trash', '.obsidian'))) = 0",
+    "fallback": "len(list_filter(string_split(rel_path, '/'), lambda p: p IN ('.trash', '.obsidian'))) > 0",
+    "none": "false",
+}
+for _policy, _sql in HIDDEN.items():
+    query("WITH " + PATHS_SQL + f" SELECT doc_id, rel_path FROM paths WHERE NOT ({_sql})", f"hidden_policy_{_policy}")(lambda spark, sf, p=_policy: paths(spark, sf).where(~text.is_hidden(F.col("rel_path"), p)).select("doc_id", "rel_path"))
+
+
+def attachment_files(spark, sf, extensions: list[str]) -> DataFrame:
+    p = F.col("rel_path")
+    inside = p.startswith("Attachments/") & ~F.array_contains(F.split(p, "/"), "backup")
+    return paths(spark, sf).where(inside & F.lower(F.element_at(F.split(p, r"\."), -1)).isin(extensions)).select("doc_id", "rel_path", "size")
+
+
+INSIDE = "SELECT doc_id, rel_path, size FROM paths WHERE starts_with(rel_path, 'Attachments/') AND NOT list_contains(string_split(rel_path, '/'), 'backup') AND lower(string_split(rel_path, '.')[-1]) IN "
+for _kind, _ext in (("image", vocab.IMAGE_EXTENSIONS), ("audio", vocab.AUDIO_EXTENSIONS)):
+    query("WITH " + PATHS_SQL + " " + INSIDE + f"({quoted(_ext)})", f"{_kind}_files")(lambda spark, sf, e=_ext: attachment_files(spark, sf, e))
+
+
+@query("WITH " + PATHS_SQL + " SELECT DISTINCT rel_path FROM paths WHERE regexp_matches(rel_path, '\\.pdf$')")
+def pdf_files(spark, sf):
+    p = paths(spark, sf).where(F.col("rel_path").endswith(".pdf")).select("rel_path")
+    return p.where(F.col("rel_path").startswith("Attachments/")).union(p.where(~F.col("rel_path").contains("/"))).union(p).distinct()
+
+
+@query("WITH " + PATHS_SQL + f" SELECT doc_id, rel_path FROM paths WHERE len(list_intersect(string_split(rel_path, '/'), [{quoted(vocab.SYNC_SKIPPED)}])) = 0")
+def snapshot_files(spark, sf):
+    return paths(spark, sf).where(~F.arrays_overlap(F.split("rel_path", "/"), F.lit(vocab.SYNC_SKIPPED))).select("doc_id", "rel_path")
+
+
+@query("WITH " + PATHS_SQL + " SELECT doc_id, rel_path, size FROM paths WHERE regexp_matches(rel_path, '\\.md$') AND len(list_intersect(string_split(rel_path, '/')[:-2], ['attachments', 'backup', 'logs', 'reports'])) = 0 AND size >= 100 AND lower(string_split(rel_path, '/')[-1]) NOT IN ('readme.md', 'index.md', '.obsidian')")
+def sampler_candidates(spark, sf):
+    parts = F.split("rel_path", "/")
+    pruned = F.arrays_overlap(F.slice(parts, F.lit(1), F.size(parts) - 1), F.lit(["attachments", "backup", "logs", "reports"]))
+    rows = paths(spark, sf).where(F.col("rel_path").endswith(".md") & ~F.coalesce(pruned, F.lit(False)) & (F.col("size") >= 100))
+    return rows.where(~F.lower(F.element_at(parts, -1)).isin("readme.md", "index.md", ".obsidian")).select("doc_id", "rel_path", "size")
+
+
+@query("WITH " + PATHS_SQL + " SELECT doc_id, rel_path FROM paths WHERE regexp_matches(rel_path, '^INBOX/[^/]* - Chapters/[^/]*\\.md$') AND contains(lower(rel_path), 'dune')")
+def chapter_files(spark, sf):
+    return paths(spark, sf).where(F.col("rel_path").rlike(r"^INBOX/[^/]* - Chapters/[^/]*\.md$") & F.lower("rel_path").contains("dune")).select("doc_id", "rel_path")
+
+
+# --- duplicates --------------------------------------------------------------------------------------------------------
+
+
+def copies(spark, sf) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", F.concat("source", F.lit("/"), F.lpad(F.col("doc_id").cast("string"), 12, "0")).alias("path"), F.col("source").alias("name"), F.col("n_chars").alias("size"), F.md5("text").alias("hash"))
+
+
+COPIES = "WITH copies AS (SELECT doc_id, source || '/' || lpad(cast(doc_id AS varchar), 12, '0') AS path, source AS name, n_chars AS size, md5(text) AS hash FROM documents), g AS (SELECT hash, count(*) AS copies, cast(sum(size) - max(size) AS bigint) AS removable_size FROM copies GROUP BY hash HAVING count(*) > 1) "
+
+
+@query(COPIES + "SELECT * FROM g")
+def exact_dup_groups(spark, sf):
+    return dedup.hash_groups(copies(spark, sf))
+
+
+@query(COPIES + "SELECT path, hash, g.copies, first_value(path) OVER w AS kept, row_number() OVER w = 1 AS is_kept FROM copies JOIN g USING (hash) WINDOW w AS (PARTITION BY hash ORDER BY size DESC, name, path)")
+def exact_dup_keep_one(spark, sf):
+    return dedup.keep_one(copies(spark, sf), "path")
+
+
+@query(COPIES + "SELECT count(*) AS groups, cast(sum(copies - 1) AS bigint) AS duplicates, cast(sum(removable_size) AS bigint) AS removable_size FROM g")
+def exact_dup_summary(spark, sf):
+    return dedup.hash_summary(copies(spark, sf))
+
+
+NAMED = "WITH " + NOTES_SQL + r""", n AS (SELECT doc_id, path, coalesce(nullif(regexp_extract(name, '^(.+) \(([0-9]+)\)\.md$', 1), ''), regexp_replace(name, '\.md$', '')) AS base,
+  coalesce(try_cast(nullif(regexp_extract(name, '^(.+) \(([0-9]+)\)\.md$', 2), '') AS bigint), 0) AS number FROM notes) """
+
+
+@query(NAMED + "SELECT doc_id, path, base, number, first_value(path) OVER w AS original, row_number() OVER w = 1 AS is_original FROM n WINDOW w AS (PARTITION BY base ORDER BY number, path) QUALIFY max(number) OVER (PARTITION BY base) > 0")
+def name_dup_groups(spark, sf):
+    return dedup.name_groups(notes(spark, sf)).select("doc_id", "path", "base", "number", "original", "is_original")
+
+
+@query()
+def near_dup_lines(spark, sf):
+    return dedup.similar_to_original(notes(spark, sf))
+
+
+@query()
+def near_dup_diffs(spark, sf):
+    n = notes(spark, sf)
+    pairs = dedup.name_groups(n).where("not is_original").join(n.select("path", "content"), "path")
+    pairs = pairs.join(n.select(F.col("path").alias("original"), F.col("content").alias("old")), "original")
+    return dedup.diffs(pairs, "old", "content").select("path", "original", F.size("diff").alias("diff_lines"), F.md5(F.array_join("diff", "\n")).alias("diff_md5"))
+
+
+# --- links -------------------------------------------------------------------------------------------------------------
+
+LINKS = (
+    "WITH " + NOTES_SQL + ", " + ATTACHMENTS_SQL + r""",
+wiki AS (SELECT path, trim(split_part(unnest(regexp_extract_all(content, '\[\[([^\]]+)\]\]', 1)), '|', 1)) AS link FROM notes),
+md AS (SELECT path, unnest(regexp_extract_all(content, '!?\[([^\]]*)\]\(([^)]+)\)', 1)) AS alt, unnest(regexp_extract_all(content, '!?\[([^\]]*)\]\(([^)]+)\)', 2)) AS url FROM notes),
+refs AS (SELECT path, rel_path FROM wiki JOIN attachments ON link = name WHERE NOT contains(lower(link), 'attachments/')
+  UNION SELECT path, rel_path FROM (SELECT path, split_part(replace(regexp_split_to_array(link, '(?i)attachments/')[-1], '../', ''), '?', 1) AS rel_path
+    FROM (SELECT path, link FROM wiki UNION ALL SELECT path, url FROM md) WHERE contains(lower(link), 'attachments/')) SEMI JOIN attachments USING (rel_path)),
+dups AS (SELECT rel_path, first_value(rel_path) OVER w AS kept, row_number() OVER w = 1 AS is_kept FROM attachments WINDOW w AS (PARTITION BY hash ORDER BY size DESC, name, rel_path) QUALIFY count(*) OVER (PARTITION BY hash) > 1),
+orphans AS (SELECT rel_path, name, size, rel_path IN (SELECT kept FROM dups WHERE NOT is_kept AND rel_path IN (SELECT rel_path FROM refs)) AS via_copy
+  FROM attachments WHERE rel_path NOT IN (SELECT rel_path FROM refs) AND rel_path NOT IN (SELECT rel_path FROM dups WHERE NOT is_kept)) """
+)
+
+
+def vault(spark, sf) -> tuple[DataFrame, DataFrame]:
+    return notes(spark, sf), attachments(spark, sf)
+
+
+@query(LINKS + "SELECT path, link FROM wiki WHERE link <> ''")
+def links_wiki(spark, sf):
+    return references.wiki_links(notes(spark, sf))
+
+
+@query(LINKS + "SELECT path, alt, url FROM md")
+def links_md(spark, sf):
+    return references.md_links(notes(spark, sf))
+
+
+@query(LINKS + "SELECT path, rel_path FROM refs")
+def refs_resolved(spark, sf):
+    return references.references(*vault(spark, sf))
+
+
+@query(LINKS + "SELECT rel_path, name, size, via_copy FROM orphans")
+def orphans(spark, sf):
+    return references.orphans(*vault(spark, sf))
+
+
+@query(LINKS + ", s AS (SELECT rel_path, name FROM orphans ORDER BY md5(rel_path), rel_path LIMIT (SELECT greatest(100, count(*) // 20) FROM orphans)), t AS (SELECT string_split(link, '/')[-1] AS name FROM wiki UNION SELECT split_part(string_split(url, '/')[-1], '?', 1) FROM md) SELECT rel_path, name IN (SELECT name FROM t) AS mentioned FROM s")
+def orphans_verified(spark, sf):
+    n, a = vault(spark, sf)
+    return references.verified_sample(n, references.orphans(n, a))
+
+
+@query(LINKS + r""", n AS (SELECT path, coalesce(nullif(regexp_extract(name, '^(.+) \(([0-9]+)\)\.md$', 1), ''), regexp_replace(name, '\.md$', '')) AS base, coalesce(try_cast(nullif(regexp_extract(name, '^(.+) \(([0-9]+)\)\.md$', 2), '') AS bigint), 0) AS number FROM notes),
+ ng AS (SELECT path, base, row_number() OVER (PARTITION BY base ORDER BY number, path) = 1 AS is_original FROM n QUALIFY max(number) OVER (PARTITION BY base) > 0)
+ SELECT base, rel_path, min(path) AS path FROM refs JOIN ng USING (path) GROUP BY base, rel_path HAVING count(*) = 1 AND NOT bool_or(is_original)""")
+def orphan_in_group(spark, sf):
+    return references.group_orphans(*vault(spark, sf))
+
+
+@query(LINKS + "SELECT path, count(*) FILTER (kind = 'wiki') AS wiki_links, count(*) FILTER (kind = 'md') AS md_links FROM (SELECT path, 'wiki' AS kind, link FROM wiki WHERE link <> '' UNION SELECT path, 'md', url FROM md) GROUP BY path")
+def link_counts(spark, sf):
+    return references.link_counts(notes(spark, sf))
+
+
+@query(LINKS + "SELECT path, min(rel_path) AS rel_path FROM (SELECT path, unnest(regexp_extract_all(content, '!\\[\\[([^\\]]+)\\]\\]', 1)) AS e FROM notes) JOIN attachments ON split_part(e, '|', 1) = name GROUP BY path")
+def audio_embeds(spark, sf):
+    """Embeds of .png stand in for audio; aliases are cut in the fixture before the lookup."""
+    n, a = vault(spark, sf)
+    n = n.select("path", F.regexp_replace("content", r"(!\[\[[^\]|]+)\|[^\]]*\]\]", "$1]]").alias("content"))
+    return references.audio_embeds(n.select("path", F.regexp_replace("content", r"\]\(", "] (").alias("content")), a, ["png"])
+
+
+@query()
+def renamed_references(spark, sf):
+    n, a = vault(spark, sf)
+    return references.renamed(n, a.select(F.col("name").alias("old"), F.regexp_replace("name", r"\.png$", ".jpg").alias("new"))).select("path", "renames", F.md5("new_content").alias("content_md5"))
+
+
+@query(LINKS + "SELECT 'deduplicate' AS op, rel_path AS src_path, CASE WHEN NOT is_kept THEN 'duplicate of ' || kept END AS reason FROM dups WHERE NOT is_kept UNION ALL SELECT 'orphan', rel_path, 'no note refers to it' FROM orphans")
+def attachment_cleanup_plan(spark, sf):
+    """Duplicates that are not kept and orphans, as rows of one action plan."""
+    n, a = vault(spark, sf)
+    gone = dedup.keep_one(a, "rel_path").where("not is_kept")
+    rows = plan.plan(gone, "deduplicate", "MOVE", "rel_path", group_key="hash", reason=F.concat(F.lit("duplicate of "), "kept"))
+    rows = rows.unionByName(plan.plan(references.orphans(n, a), "orphan", "MOVE", "rel_path", reason=F.lit("no note refers to it")))
+    return rows.select("op", "src_path", "reason")
+
+
+@query("WITH " + NOTES_SQL + ", r AS (SELECT path, name, row_number() OVER (PARTITION BY name ORDER BY path) - 1 AS n FROM notes) SELECT path AS src_path, '.trash/notes_20240101_000000/' || CASE WHEN n = 0 THEN name ELSE regexp_replace(name, '\\.md$', '') || '_' || cast(n AS varchar) || '.md' END AS dest_path FROM r")
+def trash_collision_names(spark, sf):
+    return plan.trash_plan(notes(spark, sf), "trash", "path", "notes", "20240101_000000", "test").select("src_path", "dest_path")
+
+
+# --- conversations -----------------------------------------------------------------------------------------------------
+
+ROLLUP = """WITH r AS (SELECT conv_id, count(*) FILTER (role = 'user') AS user_messages, cast(coalesce(sum(length(text)) FILTER (role = 'user'), 0) AS bigint) AS user_chars,
+  count(*) FILTER (role = 'assistant') AS assistant_messages, cast(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS bigint) AS assistant_chars
+  FROM conversations WHERE role IN ('user', 'assistant') GROUP BY conv_id),
+rollup_ AS (SELECT *, user_chars + assistant_chars AS total_chars, coalesce(user_chars::double / nullif(user_messages, 0), 0) AS avg_user, coalesce(assistant_chars::double / nullif(assistant_messages, 0), 0) AS avg_assistant FROM r) """
+
+
+def rollup(spark, sf) -> DataFrame:
+    return stats.conversation_rollup(table(spark, sf, "conversations"))
+
+
+@query(ROLLUP + "SELECT * FROM rollup_")
+def conv_rollup(spark, sf):
+    return rollup(spark, sf)
+
+
+@query(ROLLUP + "SELECT count(*) AS conversations, count(*) FILTER (user_messages <= 2) AS single_turn, count(*) FILTER (user_messages > 2) AS multi_turn, " + ", ".join(f"avg({c}) AS avg_{c}, cast(median({c}) AS double) AS median_{c}, min({c}) AS min_{c}, max({c}) AS max_{c}" for c in ("user_messages", "assistant_messages", "user_chars", "assistant_chars", "total_chars")) + " FROM rollup_")
+def conv_summary(spark, sf):
+    return stats.conversation_summary(rollup(spark, sf))
+
+
+@query(ROLLUP + ", k AS (SELECT total_chars AS value, row_number() OVER (ORDER BY total_chars) - 1 AS i, count(*) OVER () AS n FROM rollup_) SELECT cast(p AS integer) AS percent, value FROM k, (SELECT unnest([50, 75, 80, 90, 95, 99]) AS p) WHERE i = n * p // 100")
+def conv_percentiles(spark, sf):
+    return stats.nearest_rank(rollup(spark, sf), "total_chars")
+
+
+@query(ROLLUP + "SELECT cast(lo AS integer) AS low, cast(hi AS integer) AS high, count(conv_id) AS conversations, 100.0::double * count(conv_id) / (SELECT count(*) FROM rollup_) AS pct FROM (VALUES (0, 1000), (1000, 5000), (5000, 10000), (10000, 20000), (20000, 999999)) b(lo, hi) LEFT JOIN rollup_ ON total_chars >= lo AND total_chars < hi GROUP BY lo, hi")
+def conv_histogram(spark, sf):
+    return stats.length_histogram(rollup(spark, sf))
+
+
+@query(ROLLUP + """, c AS (SELECT strategy, total_chars,
+  CASE WHEN user_messages <= 2 THEN least(user_chars::double, user_messages * u::double) + least(assistant_chars::double, assistant_messages * a::double)
+  ELSE least(least(user_messages, m) * least(avg_user, u::double), user_chars::double) + least(least(assistant_messages, m) * least(avg_assistant, a::double), assistant_chars::double) END AS captured
+  FROM rollup_, (VALUES ('current', 2000, 500, 3), ('conservative', 1000, 300, 3), ('aggressive', 3000, 800, 5), ('full_single', 999999, 500, 5)) s(strategy, u, a, m))
+SELECT strategy, cast(sum(total_chars) AS bigint) AS total_chars, round(sum(captured), 3) AS captured_chars, round(100.0::double * sum(captured) / sum(total_chars), 6) AS coverage_pct FROM c GROUP BY strategy""")
+def conv_coverage(spark, sf):
+    return stats.coverage(rollup(spark, sf))
+
+
+@query("""WITH ua AS (SELECT *, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id) AS users, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS rank FROM conversations WHERE role IN ('user', 'assistant')),
+k AS (SELECT conv_id, role, turn, users, CASE WHEN users <= 2 THEN left(text, 10000) ELSE left(text, 3000) END AS t FROM ua WHERE users <= 2 OR rank <= 5),
+o AS (SELECT conv_id, cast(max(users) AS bigint) AS user_messages, coalesce(string_agg(t, chr(10) ORDER BY turn) FILTER (role = 'user'), '') AS user_sample, coalesce(string_agg(t, chr(10) ORDER BY turn) FILTER (role = 'assistant'), '') AS assistant_sample FROM k GROUP BY conv_id)
+SELECT *, (length(user_sample) + length(assistant_sample)) // 4 AS token_estimate FROM o""")
+def conv_prompt_sample(spark, sf):
+    return stats.prompt_samples(table(spark, sf, "conversations"))
+
+
+@query("WITH b AS (SELECT conv_id, length(text) + 1 AS n, coalesce(sum(length(text) + 1) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM conversations) SELECT conv_id, count(*) AS lines, cast(sum(n) AS bigint) AS chars FROM b WHERE before < 3000 GROUP BY conv_id")
+def conv_preview_budget(spark, sf):
+    return stats.previews(table(spark, sf, "conversations"))
+
+
+@query("SELECT conv_id, role, count(*) AS messages FROM conversations WHERE role IN ('user', 'assistant') GROUP BY conv_id, role")
+def conv_regex_messages(spark, sf):
+    """Conversations rendered as transcripts and parsed again."""
+    return curation.parsed_messages(curation.transcripts(table(spark, sf, "conversations"))).groupBy("conv_id", "role").agg(F.count("*").alias("messages"))
+
+
+# --- reports and snapshots ---------------------------------------------------------------------------------------------
+
+REPORT = "WITH " + REPORT_SQL + " "
+
+
+@query(REPORT + "SELECT action, count(*) AS conversations, count(*) FILTER (has_framework) AS frameworks, round(avg(score), 6) AS avg_score FROM report GROUP BY action")
+def report_actions(spark, sf):
+    return reports.actions(report(spark, sf))
+
+
+@query(REPORT + "SELECT path, action FROM report WHERE reasoning IS NOT DISTINCT FROM 'Error parsing LLM response'")
+def report_failed(spark, sf):
+    return reports.failed(report(spark, sf)).select("path", "action")
+
+
+@query(REPORT + ", n AS (SELECT path, 'keep' AS action, 80.0::double AS score FROM report WHERE reasoning = 'Error parsing LLM response') SELECT r.path, coalesce(n.action, r.action) AS action, coalesce(n.score, r.score) AS score FROM report r LEFT JOIN n USING (path)")
+def report_upsert(spark, sf):
+    r = report(spark, sf)
+    return reports.upsert(r, reports.failed(r).select("path", F.lit("keep").alias("action"), F.lit(80.0).alias("score"))).select("path", "action", "score")
+
+
+@query(REPORT + "SELECT path, score, CASE WHEN score >= 70 THEN 'green' WHEN score >= 50 THEN 'yellow' ELSE 'red' END AS band FROM report WHERE action = 'review'")
+def report_review_bands(spark, sf):
+    return report(spark, sf).where("action = 'review'").select("path", "score", reports.score_band(F.col("score")).alias("band"))
+
+
+@query(REPORT + ", t AS (SELECT count(*) AS n, sum(input_tokens) * 0.15::double / 1e6 + sum(output_tokens) * 0.6::double / 1e6 AS cost, sum(input_tokens) AS i, sum(output_tokens) AS o, sum(seconds) AS s FROM report) SELECT n AS conversations, cast(i AS bigint) AS input_tokens, cast(o AS bigint) AS output_tokens, round(cost, 9) AS cost, s AS seconds, round(round(cost, 9) / n, 9) AS avg_cost, round(s / n, 9) AS avg_seconds, round(cost / n * 1000, 6) AS projected_cost FROM t")
+def token_estimate_cost(spark, sf):
+    return reports.costs(report(spark, sf), 1000)
+
+
+@query(REPORT + "SELECT path AS src_path, 'archive/' || regexp_replace(path, '^src1/', '') AS dest_path FROM report WHERE action = 'archive'")
+def archive_plan(spark, sf):
+    return plan.archive_plan(report(spark, sf).where("action = 'archive'"), "path", "src1", "archive").select("src_path", "dest_path")
+
+
+@query(REPORT + "SELECT path, CASE WHEN cast(regexp_extract(path, '([0-9]+)\\.md$', 1) AS bigint) % 2 = 0 THEN 'DELETE' ELSE 'MISSING' END AS status FROM report WHERE action = 'archive'")
+def delete_status(spark, sf):
+    docs = table(spark, sf, "documents").where("doc_id % 2 = 0").select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"))
+    return reports.existing(report(spark, sf), docs)
+
+
+SYNC = "WITH " + NOTES_SQL + ", " + BACKUP_SQL + ", source AS (SELECT path, md5(content) AS hash, length(content) AS size FROM notes), diff AS (SELECT coalesce(s.path, b.path) AS path, CASE WHEN s.hash IS NULL THEN 'orphan' WHEN b.hash IS NULL THEN 'new' WHEN s.hash = b.hash THEN 'unchanged' ELSE 'modified' END AS status, size FROM source s FULL JOIN backup b ON s.path = b.path) "
+
+
+def snapshots(spark, sf) -> tuple[DataFrame, DataFrame]:
+    n = notes(spark, sf)
+    return n.select("path", F.md5("content").alias("hash")), backup(n)
+
+
+@query(SYNC + "SELECT path, status FROM diff")
+def sync_diff(spark, sf):
+    return reports.snapshot_diff(*snapshots(spark, sf))
+
+
+@query(SYNC + "SELECT path FROM diff WHERE status = 'orphan'")
+def sync_orphans(spark, sf):
+    return reports.snapshot_orphans(*snapshots(spark, sf))
+
+
+@query(SYNC + "SELECT status, count(*) AS files, cast(coalesce(sum(size) FILTER (status IN ('new', 'modified')), 0) AS bigint) AS copied_size FROM diff GROUP BY status")
+def sync_counters(spark, sf):
+    sizes = notes(spark, sf).select("path", F.length("content").cast("long").alias("size"))
+    return reports.snapshot_counters(reports.snapshot_diff(*snapshots(spark, sf)), sizes)
+
+
+# --- tags, languages, archive ------------------------------------------------------------------------------------------
+
+TAGS = (
+    "WITH " + NOTES_SQL + f", ok AS (SELECT unnest([{quoted(vocab.APPROVED_TAGS)}]) AS tag), dict AS (SELECT unnest([{quoted(vocab.TAG_MAPPING)}]) AS tag, unnest(["
+    + ", ".join("NULL" if v is None else f"'{v}'" for v in vocab.TAG_MAPPING.values()) + "]) AS target), "
+    + r"""l AS (SELECT path, content, regexp_extract(content, '(?m)^tags:\s*\[[^\]]+\]') AS line FROM notes),
+t0 AS (SELECT path, generate_subscripts(a, 1) AS i, unnest(a) AS raw FROM (SELECT path, string_split(regexp_extract(line, '\[([^\]]+)\]', 1), ',') AS a FROM l WHERE line <> '')),
+t AS (SELECT path, i, trim(trim(raw), '''"') AS tag FROM t0),
+rows_ AS (SELECT path, i, t.tag, CASE WHEN ok.tag IS NOT NULL THEN t.tag WHEN dict.tag IS NOT NULL THEN dict.target WHEN topic.tag IS NOT NULL THEN topic.tag END AS mapped
+  FROM t LEFT JOIN ok ON ok.tag = t.tag LEFT JOIN dict ON dict.tag = t.tag LEFT JOIN ok topic ON topic.tag = 'topic/' || t.tag WHERE t.tag <> '') """
+)
+
+
+@query(TAGS + "SELECT path, tag, mapped FROM rows_")
+def tags_normalise(spark, sf):
+    return curation.tag_rows(notes(spark, sf))
+
+
+@query(TAGS + "SELECT * FROM (SELECT mapped AS tag, count(DISTINCT path) AS uses, 'kept' AS status FROM rows_ WHERE mapped IS NOT NULL GROUP BY 1 ORDER BY uses DESC, tag LIMIT 100) UNION ALL SELECT * FROM (SELECT tag, count(*) AS uses, 'removed' AS status FROM rows_ WHERE mapped IS NULL GROUP BY 1 ORDER BY uses DESC, tag LIMIT 100)")
+def tags_frequency(spark, sf):
+    return curation.tag_frequency(notes(spark, sf))
+
+
+@query(TAGS + ", y AS (SELECT path, coalesce('tags:' || chr(10) || '  - ' || string_agg(DISTINCT mapped, chr(10) || '  - ' ORDER BY mapped), 'tags: []') AS yaml, count(DISTINCT mapped) AS k, count(*) FILTER (mapped IS NULL) AS r FROM rows_ GROUP BY path) SELECT path, cast(k AS integer) AS n_kept, cast(r AS integer) AS n_removed, yaml, md5(replace(content, line, yaml)) AS content_md5 FROM y JOIN l USING (path)")
+def tags_render(spark, sf):
+    return curation.normalised_notes(notes(spark, sf)).select("path", "n_kept", "n_removed", "yaml", F.md5("new_content").alias("content_md5"))
+
+
+@query(TAGS + "SELECT count(DISTINCT path) AS notes, count(DISTINCT (path, mapped)) FILTER (mapped IS NOT NULL) AS kept, count(*) FILTER (mapped IS NULL) AS removed FROM rows_")
+def tags_totals(spark, sf):
+    return curation.tag_totals(notes(spark, sf))
+
+
+SIGNS = f"""len(list_intersect(list_distinct(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')), [{quoted(vocab.SPANISH_WORDS)}])) + len(regexp_extract_all(text, '[{vocab.SPANISH_CHARACTERS}]')) AS spanish,
+  len(list_intersect(list_distinct(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')), [{quoted(vocab.ENGLISH_WORDS)}])) AS english"""
+
+
+@query("SELECT doc_id, cast(spanish AS integer) AS spanish, cast(english AS integer) AS english FROM (SELECT doc_id, " + SIGNS + " FROM documents)")
+def lang_indicators(spark, sf):
+    es, en = text.indicators(F.col("text"))
+    return table(spark, sf, "documents").select("doc_id", es.cast("int").alias("spanish"), en.cast("int").alias("english"))
+
+
+@query("WITH s AS (SELECT doc_id, length(text) AS n, " + SIGNS + """ FROM documents) SELECT doc_id,
+  CASE WHEN n < 50 OR spanish + english <= 5 THEN NULL WHEN spanish > english * 1.5::double THEN 'es' WHEN english > spanish * 1.5::double THEN 'en' END AS lang,
+  CASE WHEN n < 50 OR spanish + english <= 5 THEN 0 WHEN spanish > english * 1.5::double THEN least(0.9, round(spanish::double / (spanish + english), 9)) WHEN english > spanish * 1.5::double THEN least(0.9, round(english::double / (spanish + english), 9)) ELSE 0 END::double AS confidence FROM s""")
+def lang_decision(spark, sf):
+    lang, conf = text.language_decision(F.col("text"), F.lit(None).cast("string"), F.lit(0.0))
+    return table(spark, sf, "documents").select("doc_id", lang.alias("lang"), F.round(conf, 9).alias("confidence"))
+
+
+@query()
+def lang_funnel(spark, sf):
+    return curation.language_funnel(notes(spark, sf))
+
+
+@query()
+def lang_tag_upsert(spark, sf):
+    return curation.language_rows(notes(spark, sf)).select("path", "lang", "confidence", "tag", "status", F.md5("new_content").alias("content_md5"))
+
+
+ARCHIVE = "WITH " + NOTES_SQL + ", plain AS (SELECT path, name, content, lower(left(content, 2000)) AS low FROM notes WHERE NOT starts_with(content, '---' || chr(10))) "
+ARCHIVE_TOPICS = "list_sort(list_distinct(list_filter([" + ", ".join("CASE WHEN " + " OR ".join(f"contains(low, '{w}')" for w in words) + f" THEN '{t}' END" for t, words in vocab.ARCHIVE_TOPICS.items()) + "], lambda x: x IS NOT NULL)))"
+
+
+@query(ARCHIVE + "SELECT path, CASE WHEN len(regexp_extract_all(low, '[áéíóúñü]')) >= 3 OR " + " + ".join(f"contains(' ' || low || ' ', ' {w} ')::integer" for w in vocab.ARCHIVE_SPANISH_WORDS) + " >= 5 OR regexp_matches(low, '[¿¡]') THEN 'lang/es' ELSE 'lang/en' END AS lang FROM plain")
+def archive_language(spark, sf):
+    return curation.archive_rows(notes(spark, sf), "2024-01-01").select("path", "lang")
+
+
+@query(ARCHIVE + "SELECT path, 'type/note' AS kind, array_to_string(" + ARCHIVE_TOPICS + ", ',') AS topics FROM plain")
+def archive_type_topics(spark, sf):
+    return curation.archive_rows(notes(spark, sf), "2024-01-01").select("path", "kind", "topics")
+
+
+@query(ARCHIVE + "SELECT path, round(greatest(0.3, least(0.9, 0.5::double + CASE WHEN length(content) > 5000 THEN 0.15 WHEN length(content) < 500 THEN -0.15 ELSE 0 END::double)), 6) AS usefulness FROM plain")
+def archive_usefulness(spark, sf):
+    return curation.archive_rows(notes(spark, sf), "2024-01-01").select("path", "usefulness")
+
+
+@query(ARCHIVE + "SELECT topic, count(*) AS notes FROM (SELECT unnest(" + ARCHIVE_TOPICS + ") AS topic FROM plain) GROUP BY topic ORDER BY notes DESC, topic LIMIT 10")
+def archive_topic_counts(spark, sf):
+    return curation.archive_topics_top(notes(spark, sf))
+
+
+@query()
+def archive_frontmatter(spark, sf):
+    return curation.archive_rows(notes(spark, sf), "2024-01-01").select("path", F.md5("new_content").alias("content_md5"))
+
+
+@query()
+def hashtags_found(spark, sf):
+    return curation.hashtag_rows(notes(spark, sf))
+
+
+@query()
+def hashtags_top30(spark, sf):
+    return curation.hashtag_frequency(notes(spark, sf))
+
+
+@query()
+def hashtags_escaped(spark, sf):
+    return curation.escaped_notes(notes(spark, sf)).select("path", F.md5("new_content").alias("content_md5"))
+
+
+@query()
+def frontmatter_fields(spark, sf):
+    n = notes(spark, sf)
+    return n.select("path", F.element_at(text.frontmatter_map(F.col("content")), "title").alias("title"), text.any_dash_end(F.col("content")).cast("int").alias("dash_end"), text.quoted_field(F.col("content"), "title").alias("quoted_title"), text.title(F.col("content"), F.col("name")).alias("heading"))
+
+
+# --- paths, sections, agents, JSON -------------------------------------------------------------------------------------
+
+
+@query()
+def paths_extracted(spark, sf):
+    return curation.path_rows(notes(spark, sf), "/vault")
+
+
+@query()
+def basename_match(spark, sf):
+    n = notes(spark, sf).where("doc_id % 5 = 0")
+    known = attachments(spark, sf).select(F.concat(F.lit("/vault/Attachments/"), "rel_path").alias("abs_path"))
+    found = references.md_links(n).select("path", text.resolved_path(F.split_part(F.col("url"), F.lit("?"), F.lit(1)), "/vault/notes").alias("resolved"))
+    return curation.matched_paths(found, known)
+
+
+def chapters(spark, sf) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    body = F.concat(F.lit('---\ntitle: "Chapter '), F.col("doc_id").cast("string"), F.lit('"\n---\n## Chapter Overview\n\n'), F.left("text", F.lit(300)), F.lit("\n\n## Key Arguments\n\n- **first** a\n- **second** b\n\n## Key Concepts\n\n### one\n\n### two\n"), F.when(F.col("doc_id") % 3 == 0, "![[x diagram.png]]\n").otherwise(""))
+    return docs.select("doc_id", F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("path"), body.alias("content"))
+
+
+@query()
+def chapter_prompts(spark, sf):
+    return curation.chapter_prompts(chapters(spark, sf))
+
+
+@query()
+def insert_embed(spark, sf):
+    rows = chapters(spark, sf)
+    return rows.select("path", F.md5(text.with_embed(F.col("content"), F.concat(F.lit("![["), text.safe_name(F.col("path")), F.lit(".png]]")))).alias("content_md5"))
+
+
+@query()
+def agents_validate(spark, sf):
+    docs = table(spark, sf, "documents")
+    i = F.col("doc_id").cast("string")
+    body = F.concat(F.lit("---\n"), F.when(F.col("doc_id") % 7 != 0, F.concat(F.lit("name: agent-"), i, F.lit("\n"))).otherwise(""), F.lit('description: "does <example> things"\nmodel: '), F.when(F.col("doc_id") % 5 == 0, "gpt").otherwise("opus"), F.lit("\nskills: alpha, beta\n---\n"), F.when(F.col("doc_id") % 3 != 0, "body\n").otherwise(""))
+    rows = curation.agent_rows(docs.select(i.alias("path"), body.alias("content")), spark.range(1).select(F.lit("alpha").alias("skill")))
+    return rows.select("path", "name", "valid", F.array_join("errors", "; ").alias("errors"), F.array_join("warnings", "; ").alias("warnings"))
+
+
+@query()
+def json_repair(spark, sf):
+    """Replies of a model around events' JSON, and the fields read from them as text, then cast."""
+    raw = F.concat(F.lit("Sure:\n```json\n"), "props", F.lit("\n```\n"))
+    found = table(spark, sf, "events").select("event_id", arrow.json_object_span(raw).alias("json"))
+    return found.select("event_id", F.col("json").isNotNull().alias("parsed"), F.md5("json").alias("json_md5"))
+
+
+@query("SELECT doc_id, n_chars AS size FROM documents ORDER BY md5(cast(doc_id AS varchar)), doc_id LIMIT 100")
+def sample_hash_order(spark, sf):
+    return stats.keyed_sample(table(spark, sf, "documents").select("doc_id", F.col("n_chars").alias("size")), "doc_id", 100)
+
+
+@query("WITH m AS (SELECT source, count(*) AS notes, string_agg('Doc ' || cast(doc_id AS varchar) || chr(10) || text, chr(10) || repeat('=', 80) || chr(10) ORDER BY doc_id) AS merged FROM documents GROUP BY source) SELECT source, notes, md5(merged) AS merged_md5 FROM m")
+def merged_document(spark, sf):
+    docs = table(spark, sf, "documents").withColumn("title", F.concat(F.lit("Doc "), F.col("doc_id").cast("string")))
+    return stats.merged_document(docs, "source", "title", "text", "doc_id").select("source", "notes", F.md5("merged").alias("merged_md5"))
+
+
+@query("SELECT md5(text) AS md5, sha1(text) AS sha1, sha256(text) AS sha256, doc_id FROM documents")
+def content_hashes(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.md5("text").alias("md5"), F.sha1("text").alias("sha1"), F.sha2("text", 256).alias("sha256"))
+
+
+# --- media -------------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH p AS (SELECT l_returnflag, l_quantity * 5 AS x, l_quantity * 5 + (l_linenumber - 4) * 3 AS y FROM lineitem), m AS (SELECT l_returnflag, avg(x) AS mx, avg(y) AS my, var_pop(x) AS vx, var_pop(y) AS vy, covar_pop(x, y) AS c FROM p GROUP BY 1) SELECT l_returnflag, round((2 * mx * my + {media.C1}) * (2 * c + {media.C2}) / ((mx * mx + my * my + {media.C1}) * (vx + vy + {media.C2})), 9) AS ssim FROM m")
+def ssim_global(spark, sf):
+    p = table(spark, sf, "lineitem").select("l_returnflag", (F.col("l_quantity") * 5).alias("x"), (F.col("l_quantity") * 5 + (F.col("l_linenumber") - 4) * 3).alias("y"))
+    return media.ssim(p, ["l_returnflag"], "x", "y")
+
+
+PAGES = "WITH pages_ AS (SELECT l_orderkey AS pdf, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1 AS page, count(*) OVER (PARTITION BY l_orderkey) AS n_pages, cast(l_quantity * 20 AS bigint) AS text_len, l_linenumber % 3 AS n_images FROM lineitem) "
+
+
+def pdf_pages(spark, sf) -> DataFrame:
+    from pyspark.sql.window import Window as W
+
+    w = W.partitionBy("l_orderkey")
+    return table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("pdf"), (F.row_number().over(w.orderBy("l_linenumber", "l_partkey")) - 1).cast("long").alias("page"), F.count("*").over(w).alias("n_pages"), (F.col("l_quantity") * 20).cast("long").alias("text_len"), (F.col("l_linenumber") % 3).alias("n_images"))
+
+
+@query(PAGES + ", a AS (SELECT pdf, avg(text_len) AS t, avg(n_images) AS i FROM pages_ WHERE n_pages <= 20 OR page < 10 OR page >= n_pages - 10 GROUP BY pdf) SELECT pdf, round(t, 6) AS avg_text, round(i, 6) AS avg_images, round(i / (t + 1), 9) AS ratio, (t < 200 AND i >= 0.5) OR (i >= 0.8 AND t < 300) OR (i > 0 AND i / (t + 1) > 0.005) AS is_scanned FROM a")
+def scanned_classifier(spark, sf):
+    return media.scanned(pdf_pages(spark, sf))
+
+
+@query(PAGES + "SELECT pdf, page, n_pages FROM pages_ WHERE page = 0 OR page = n_pages - 1 OR (n_pages > 2 AND page = n_pages // 2)")
+def page_sample(spark, sf):
+    return media.sampled_pages(pdf_pages(spark, sf)).select("pdf", "page", "n_pages")
+
+
+@query("WITH i AS (SELECT doc_id, cast(n_chars % 4000 + 1 AS integer) AS w, cast(doc_id % 3000 + 1 AS integer) AS h FROM documents) SELECT doc_id, cast(CASE WHEN w > h AND w > 1440 THEN 1440 WHEN w <= h AND h > 1440 THEN trunc(w * (1440.0::double / h)) ELSE w END AS integer) AS width, cast(CASE WHEN w > h AND w > 1440 THEN trunc(h * (1440.0::double / w)) WHEN w <= h AND h > 1440 THEN 1440 ELSE h END AS integer) AS height FROM i")
+def resize_dims(spark, sf):
+    i = table(spark, sf, "documents").select("doc_id", (F.col("n_chars") % 4000 + 1).cast("int").alias("w"), (F.col("doc_id") % 3000 + 1).cast("int").alias("h"))
+    w, h = media.resized(F.col("w"), F.col("h"))
+    return i.select("doc_id", w.alias("width"), h.alias("height"))
+
+
+@query("WITH r AS (SELECT n_chars AS original, n_chars * (doc_id % 13) // 10 AS compressed FROM documents) SELECT count(*) AS files, count(*) FILTER (compressed < original) AS compressed_files, count(*) FILTER (compressed >= original) AS kept_files, cast(coalesce(sum(original - compressed) FILTER (compressed < original), 0) AS bigint) AS saved, round(100.0::double * sum(original - compressed) FILTER (compressed < original) / sum(original), 6) AS saved_pct FROM r")
+def compression_savings(spark, sf):
+    return media.savings(table(spark, sf, "documents").select(F.col("n_chars").alias("original"), F.expr("n_chars * (doc_id % 13) div 10").alias("compressed")))
+
+
+@query("SELECT l_returnflag, round(sum(abs(r - g) + abs(g - b) + abs(r - b)) / (3 * count(*)), 9) AS variance, sum(abs(r - g) + abs(g - b) + abs(r - b)) / (3 * count(*)) < 30 AS is_gray FROM (SELECT l_returnflag, l_quantity AS r, l_linenumber * 10 AS g, l_discount * 1000 AS b FROM lineitem) GROUP BY 1")
+def gray_detection(spark, sf):
+    p = table(spark, sf, "lineitem").select("l_returnflag", F.col("l_quantity").alias("r"), (F.col("l_linenumber") * 10).alias("g"), (F.col("l_discount") * 1000).alias("b"))
+    return media.is_gray(p, ["l_returnflag"])
+
+
+@query("SELECT count(*) AS files, round(sum(n_chars) / 1048576.0::double, 9) AS megabytes, round(2 * sum(n_chars) / 1048576.0::double, 9) AS eta_seconds FROM documents")
+def transcription_totals(spark, sf):
+    return media.transcription_totals(table(spark, sf, "documents").select(F.col("n_chars").alias("size")))
+
+
+# --- extensions --------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS events, round(sum(value), 6) AS total FROM events GROUP BY 1, 2")
+def events_tumbling(spark, sf):
+    return increments.tumbling_counts(table(spark, sf, "events"))

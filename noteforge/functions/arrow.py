@@ -7,18 +7,15 @@ import json
 import re
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-@F.pandas_udf("double")
-def line_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratcliff-Obershelp ratio of the lines of a and b, in that order; equal texts are 1."""
+def _line_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([1.0 if x == y else difflib.SequenceMatcher(None, x.splitlines(), y.splitlines()).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-@F.pandas_udf("array<string>")
-def unified_diff(a: pd.Series, b: pd.Series) -> pd.Series:
-    """The first 20 lines of the unified diff of a and b."""
+def _unified_diff(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([list(difflib.unified_diff(x.splitlines(), y.splitlines(), "original", "duplicate", lineterm="", n=3))[:20] for x, y in zip(a, b, strict=True)])
 
 
@@ -56,14 +53,11 @@ def find_hashtags(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
-@F.pandas_udf("array<struct<start:int,end:int,tag:string>>")
-def hashtags(text: pd.Series) -> pd.Series:
+def _hashtags(text: pd.Series) -> pd.Series:
     return pd.Series([[{"start": a, "end": b, "tag": t} for a, b, t in find_hashtags(x or "")] for x in text])
 
 
-@F.pandas_udf("string")
-def escape_hashtags(text: pd.Series) -> pd.Series:
-    """The text with each found hashtag between backticks."""
+def _escape_hashtags(text: pd.Series) -> pd.Series:
 
     def one(x: str) -> str:
         at, parts = 0, []
@@ -104,8 +98,7 @@ def small_yaml(text: str) -> dict[str, str]:
     return {k: v for k, v in out.items() if v}
 
 
-@F.pandas_udf("map<string,string>")
-def mini_yaml(text: pd.Series) -> pd.Series:
+def _mini_yaml(text: pd.Series) -> pd.Series:
     return pd.Series([small_yaml(x or "") for x in text])
 
 
@@ -126,6 +119,35 @@ def json_object(text: str) -> str | None:
     return None
 
 
-@F.pandas_udf("string")
-def json_object_span(text: pd.Series) -> pd.Series:
+def _json_object_span(text: pd.Series) -> pd.Series:
     return pd.Series([json_object(x) if isinstance(x, str) else None for x in text], dtype=object)
+
+
+# Functions of columns. Each makes its Arrow function on the driver when it is called: workers import this module too.
+
+
+def line_similarity(a, b) -> Column:
+    """Ratcliff-Obershelp ratio of the lines of a and b, in that order; equal texts are 1."""
+    return F.pandas_udf(_line_similarity, "double")(a, b)
+
+
+def unified_diff(a, b) -> Column:
+    """The first 20 lines of the unified diff of a and b."""
+    return F.pandas_udf(_unified_diff, "array<string>")(a, b)
+
+
+def hashtags(text) -> Column:
+    return F.pandas_udf(_hashtags, "array<struct<start:int,end:int,tag:string>>")(text)
+
+
+def escape_hashtags(text) -> Column:
+    """The text with each found hashtag between backticks."""
+    return F.pandas_udf(_escape_hashtags, "string")(text)
+
+
+def mini_yaml(text) -> Column:
+    return F.pandas_udf(_mini_yaml, "map<string,string>")(text)
+
+
+def json_object_span(text) -> Column:
+    return F.pandas_udf(_json_object_span, "string")(text)
