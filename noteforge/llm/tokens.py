@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from noteforge.llm.common import text_or_empty
+from noteforge.session import ship_package
 
 #: The mark that stands for a space in pieces of the vocabulary.
 MARK = "▁"
@@ -20,7 +21,8 @@ ROWS_A_BATCH = 1000
 
 
 def small_batches(spark) -> None:
-    """Bounds the rows that go to a Python worker at once, so that long texts fit its memory."""
+    """Bounds the rows that go to a Python worker at once, so that long texts fit its memory, and sends it this package."""
+    ship_package(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > ROWS_A_BATCH:
         spark.conf.set(key, str(ROWS_A_BATCH))
