@@ -7,9 +7,11 @@ import json
 import re
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from noteforge.session import ship_package
+
 
 def _line_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([1.0 if x == y else difflib.SequenceMatcher(None, x.splitlines(), y.splitlines()).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
@@ -126,28 +128,33 @@ def _json_object_span(text: pd.Series) -> pd.Series:
 # Functions of columns. Each makes its Arrow function on the driver when it is called: workers import this module too.
 
 
+def arrow_function(f, kind: str, *cols) -> Column:
+    ship_package(SparkSession.getActiveSession())
+    return F.pandas_udf(f, kind)(*cols)
+
+
 def line_similarity(a, b) -> Column:
     """Ratcliff-Obershelp ratio of the lines of a and b, in that order; equal texts are 1."""
-    return F.pandas_udf(_line_similarity, "double")(a, b)
+    return arrow_function(_line_similarity, "double", a, b)
 
 
 def unified_diff(a, b) -> Column:
     """The first 20 lines of the unified diff of a and b."""
-    return F.pandas_udf(_unified_diff, "array<string>")(a, b)
+    return arrow_function(_unified_diff, "array<string>", a, b)
 
 
 def hashtags(text) -> Column:
-    return F.pandas_udf(_hashtags, "array<struct<start:int,end:int,tag:string>>")(text)
+    return arrow_function(_hashtags, "array<struct<start:int,end:int,tag:string>>", text)
 
 
 def escape_hashtags(text) -> Column:
     """The text with each found hashtag between backticks."""
-    return F.pandas_udf(_escape_hashtags, "string")(text)
+    return arrow_function(_escape_hashtags, "string", text)
 
 
 def mini_yaml(text) -> Column:
-    return F.pandas_udf(_mini_yaml, "map<string,string>")(text)
+    return arrow_function(_mini_yaml, "map<string,string>", text)
 
 
 def json_object_span(text) -> Column:
-    return F.pandas_udf(_json_object_span, "string")(text)
+    return arrow_function(_json_object_span, "string", text)

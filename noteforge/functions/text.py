@@ -172,7 +172,8 @@ TAG_LINES = r"(?md)^tags:[ \t]*+\n((?:[ \t]*+-[^\n]+\n)++)"
 
 
 def with_language(text: Column, lang: Column) -> Column:
-    """The note with its lang/ tag set: replaced in the quoting style that it has, or put at the end of its tag list."""
+    """The note with its lang/ tag set: replaced in the quoting style that it has, or put at the end of its tag list. A
+    list of lines takes a closing --- right behind it for its last item, as the tool that this matches does."""
     front, body = frontmatter_block(text), body_of(text)
     now = language_tag(front)
     inline, inner, items = F.regexp_extract(front, r"(?sm)^tags:\s*\[.*?\]", 0), F.regexp_extract(front, r"(?sm)^tags:\s*\[(.*?)\]", 1), F.regexp_extract(front, TAG_LINES, 1)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 #: Settings that results depend on, or that plans of this library profit from.
@@ -18,3 +22,18 @@ def session(master: str | None = None, **more: str) -> SparkSession:
     """A session with SETTINGS; keys of `more` use __ for dots."""
     builder = SparkSession.builder.config(map=SETTINGS | {k.replace("__", "."): v for k, v in more.items()})
     return (builder.master(master) if master else builder).getOrCreate()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the executors' Python workers, once for a session, so that Arrow functions find it wherever
+    it lies on the driver."""
+    sc = spark.sparkContext
+    if getattr(sc, "_noteforge_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="noteforge-zip-")) / "noteforge.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    sc.addPyFile(str(target))
+    sc._noteforge_shipped = True
