@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from noteforge.llm.common import free_name, lower_ascii, text_or_empty
+from noteforge.llm.common import free_name, text_or_empty
 from noteforge.llm.tokens import small_batches
 
 #: Insults, slurs kept out, in the four languages of the corpora; fixed values.
@@ -35,9 +35,9 @@ WORDS = re.compile(r"[^\W\d_]+")
 DISGUISED = re.compile(r"\b(?=\w*[^\W\d_])(?=[^\s]*[0-9@$])[\w@$]{3,20}")
 #: Bounds: labelled rows whose words make the mined voters, and to which label model and classifier are fitted; mined
 #: words; voters that share them. The sample is those rows with the smallest hash of the id.
-LABELLED_ROWS, MINED_WORDS, MINED_VOTERS = 20_000, 120, 8
+LABELLED_ROWS, MINED_WORDS, MINED_VOTERS, STARTS = 20_000, 240, 12, (5, 7)
 MINED_LEAST, MINED_SHARE = 5, 0.8
-EPOCHS_EM, STEPS = 30, 400
+EPOCHS_EM, STEPS, RIDGE = 30, 25, 0.005
 
 
 def bucket_of(row_id: Column, parts: int) -> Column:
@@ -53,10 +53,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, fold: Column, rows: int)
 
 
 def mined_words(sample: DataFrame) -> list[str]:
-    """Words that mark the labelled toxic texts: in MINED_LEAST of them at least, and MINED_SHARE of the texts with the
-    word are toxic; the MINED_WORDS most frequent of them."""
+    """Words, and starts of words with a * behind, that mark the labelled toxic texts: in MINED_LEAST of them at least,
+    and MINED_SHARE of the texts with the word are toxic; the MINED_WORDS most frequent of them."""
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))
-    counts = sample.select("toxic", F.explode(words).alias("w")).groupBy("w").agg(F.sum("toxic").alias("t"), F.count("*").alias("n"))
+    starts = [F.transform(F.filter(words, lambda w, n=n: F.length(w) > n), lambda w, n=n: F.concat(F.left(w, F.lit(n)), F.lit("*"))) for n in STARTS]
+    counts = sample.select("toxic", F.explode(F.array_distinct(F.concat(words, *starts))).alias("w")).groupBy("w").agg(F.sum("toxic").alias("t"), F.count("*").alias("n"))
     best = counts.where((F.col("t") >= MINED_LEAST) & (F.col("t") >= MINED_SHARE * F.col("n")) & (F.length("w") > 1))
     return [r["w"] for r in best.orderBy(F.desc("t"), "w").limit(MINED_WORDS).collect()]
 
@@ -75,8 +76,10 @@ class Voters:
         low = text.lower()
         words = set(WORDS.findall(low))
         words.update(w.translate(DISGUISE) for w in DISGUISED.findall(low))
-        found = sorted(self.index[w] for w in words if w in self.index)
-        has = set(found)
+        has = {self.index[w] for w in words if w in self.index}
+        for n in STARTS:
+            has.update(self.index[w] for w in {w[:n] + "*" for w in words if len(w) > n} if w in self.index)
+        found = sorted(has)
         votes = [any(t in has for t in g) for g in self.groups] + [bool(p.search(low)) for p in PATTERNS.values()]
         return found + [self.n_terms + i for i, v in enumerate(votes) if v]
 
@@ -88,29 +91,30 @@ class Voters:
 
 
 class LabelModel:
-    """P(vote | class) of each voter and the class balance by expectation maximisation; correlations of voters given the
-    class from what the votes' covariance leaves unexplained. A vote's evidence is divided by the number of voters that
-    it correlates with, itself included."""
+    """P(vote | class) of each voter by expectation maximisation, each row's class the mean of its posterior and its label;
+    correlations of voters given the class from what the votes' covariance leaves unexplained half way. From then on a vote's evidence is divided by the
+    number of voters that it correlates with, itself included."""
 
-    def __init__(self, votes: np.ndarray, balance: float):
+    def __init__(self, votes: np.ndarray, labels: np.ndarray):
         n, m = votes.shape
         self.p = np.vstack([np.full(m, 0.02), np.full(m, 0.25)])
-        self.balance, self.share = min(max(balance, 0.005), 0.5), np.ones(m)
+        self.balance, self.share = min(max(float(labels.mean()) if n else 0.1, 0.005), 0.5), np.ones(m)
         for step in range(EPOCHS_EM):
-            post = self.posterior(votes)
+            if step == EPOCHS_EM // 2:
+                self.share = 1 / self.correlated(votes, post)
+            post = (self.posterior(votes) + labels) / 2
             for c, w in enumerate((1 - post, post)):
                 self.p[c] = (w @ votes + (0.02, 0.25)[c]) / (w.sum() + 1)
             self.p = np.clip(self.p, 1e-4, 1 - 1e-4)
-            if step >= EPOCHS_EM // 2:
-                self.share = 1 / self.correlated(votes, post)
         self.accuracy = self.balance * self.p[1] + (1 - self.balance) * (1 - self.p[0])
 
     def correlated(self, votes: np.ndarray, post: np.ndarray) -> np.ndarray:
         rest = votes - post[:, None] * self.p[1] - (1 - post)[:, None] * self.p[0]
         cov = rest.T @ rest / max(1, len(votes))
-        sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
+        sd = np.sqrt(np.maximum(np.diag(cov), 0))
+        sd[sd < 1e-3] = np.inf
         self.correlation = cov / np.outer(sd, sd)
-        return np.maximum(1, (np.abs(self.correlation) * (np.abs(self.correlation) > 0.3)).sum(0))
+        return np.maximum(1, (self.correlation * (self.correlation > 0.3)).sum(0))
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
         yes = np.log(self.p[1] / self.p[0]) * self.share
@@ -120,16 +124,15 @@ class LabelModel:
 
 
 def fit_linear(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
-    """Logistic regression on soft labels; both classes weigh the same in the loss, weights are shrunk a little."""
-    weight = np.where(y > 0.5, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
-    w, b, mw, vw = np.zeros(x.shape[1]), -1.0, 0.0, 0.0
-    for t in range(1, STEPS + 1):
-        g = weight * (1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30))) - y)
-        grad = np.append(x.T @ g + 1e-4 * w, g.sum())
-        mw, vw = 0.9 * mw + 0.1 * grad, 0.99 * vw + 0.01 * grad**2
-        move = 0.1 * (mw / (1 - 0.9**t)) / (np.sqrt(vw / (1 - 0.99**t)) + 1e-6)
-        w, b = w - move[:-1], b - move[-1]
-    return w, b
+    """Logistic regression on soft labels by Newton steps, with a ridge on all weights but the bias."""
+    x = np.column_stack([x, np.ones(len(x))])
+    ridge = np.append(np.full(x.shape[1] - 1, RIDGE), 1e-6)
+    w = np.zeros(x.shape[1])
+    for _ in range(STEPS):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        move = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(ridge), x.T @ (y - p) - ridge * w)
+        w += move * min(1, 4 / max(1e-9, np.abs(move).max()))
+    return w[:-1], float(w[-1])
 
 
 def toxicity_model(docs: DataFrame, labels: DataFrame, fold: Column, rows: int = LABELLED_ROWS):
@@ -144,9 +147,8 @@ def toxicity_model(docs: DataFrame, labels: DataFrame, fold: Column, rows: int =
 
     got = sample.mapInPandas(features, "a array<int>, toxic int").collect()
     x = voters.matrix([r["a"] for r in got])
-    balance = sum(r["toxic"] for r in got) / max(1, len(got)) or 0.1
     votes = x[:, voters.n_terms :].astype(float)
-    model = LabelModel(votes, balance)
+    model = LabelModel(votes, np.array([float(r["toxic"] > 0) for r in got]))
     w, b = fit_linear(x.astype(float), model.posterior(votes)) if len(got) else (np.append(np.full(voters.n_terms, 3.0), np.zeros(voters.n_voters)), -1.5)
     return voters, model, w, b
 
