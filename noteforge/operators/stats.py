@@ -124,10 +124,10 @@ def discovered_patterns(names: DataFrame, examples: int = 5) -> DataFrame:
 
 
 def human_size(size: Column) -> Column:
-    """B to TB with two decimals."""
-    out = F.format_string("%.2f TB", size / F.lit(1024.0**4))
+    """B to TB with two decimals, half to even."""
+    out = F.format_string("%.2f TB", F.bround(size / F.lit(1024.0**4), 2))
     for unit, power in (("GB", 3), ("MB", 2), ("KB", 1), ("B", 0)):
-        out = F.when(size < F.lit(1024.0 ** (power + 1)), F.format_string(f"%.2f {unit}", size / F.lit(1024.0**power))).otherwise(out)
+        out = F.when(size < F.lit(1024.0 ** (power + 1)), F.format_string(f"%.2f {unit}", F.bround(size / F.lit(1024.0**power), 2))).otherwise(out)
     return out
 
 
