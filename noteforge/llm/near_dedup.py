@@ -17,9 +17,11 @@ from noteforge.llm.tokens import small_batches
 BANDS, BAND_ROWS = 30, 4
 SAMPLES = BANDS * BAND_ROWS
 #: Words of 64 bits of an odd sketch. A pair passes whose XOR has at most MOST_ODD ones; at a similarity of 0.8, 24 of
-#: 120 samples differ on average (standard deviation 4.4) and turn 2 bits each, so 55 differing samples still pass.
+#: 120 samples differ on average (standard deviation 4.4) and turn 2 bits each, which gives 44 ones (deviation 7.8).
 SKETCH_WORDS = 8
-MOST_ODD = 96
+MOST_ODD = 80
+#: Rounds in which each member of a bucket meets one other.
+STAR_ROUNDS = 2
 #: Links of one document that a task confirms together.
 CHUNK = 500
 #: Shingles and samples are mixed by these; fixed values, the odd constants of a well-known 64-bit finaliser.
@@ -102,24 +104,27 @@ def odd_bits(a: str, b: str) -> Column:
     return F.expr(" + ".join(f"bit_count({a}[{i}] ^ {b}[{i}])" for i in range(SKETCH_WORDS)))
 
 
+def settled(links: DataFrame) -> bool:
+    """Whether links (a, b) are stars: each a has one b, and no b is an a."""
+    ends = F.explode(F.array(F.struct(F.col("a").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("b").alias("id"), F.lit(0).alias("up"), F.lit(1).alias("down"))))
+    return links.select(ends.alias("e")).select("e.*").groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up + down > 1").isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, component): the smallest id that links (a, b) reach, for ids that are not their component's smallest.
-    Alternates large stars and small stars until nothing changes; each round is a shuffle of the links, written to the
-    shared folder. The many links of a star's centre are spread by join_groups."""
+    Alternates large stars and small stars until only stars are left; each round is a shuffle of the links, written to
+    the shared folder. The many links of a star's centre are spread by join_groups."""
     smaller = lambda d: d.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-    links, state = stored(smaller(links), "links"), None
-    while True:
-        now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == now:
-            return links.select(F.col("a").alias("id"), F.col("b").alias("component"))
-        state = now
+    links = stored(smaller(links), "links")
+    while not settled(links):
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("a", "m"))
-        large = join_groups(both.where("b > a"), least, "a", "n", 2 * now[0]).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = join_groups(both.where("b > a"), least, "a", "n", 2 * links.count()).select(F.col("b").alias("a"), F.col("m").alias("b"))
         down = stored(smaller(large.unionByName(least.where("m < a").select("a", F.col("m").alias("b")))), "stars")
         low = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*")
         links = stored(smaller(small), "links")
+    return links.select(F.col("a").alias("id"), F.col("b").alias("component"))
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, words: int) -> DataFrame:
@@ -129,6 +134,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     small_batches(pairs.sparkSession)
     pairs = stored(pairs, "pairs")
     n = pairs.count()
+    if not n:
+        return pairs.select("a", "b")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     texts = stored(docs.join(F.broadcast(ids) if 2 * n * 64 <= BROADCAST_BYTES else ids, "id", "left_semi"), "texts")
     sizes = pairs.groupBy("a").agg(F.count("*").alias("links"))
@@ -153,6 +160,40 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     return tails.join(heads, ["a", "chunk"]).sortWithinPartitions("a", "chunk").where(linked("text_a", "text_b")).select("a", "b")
 
 
+def may_be_close() -> Column:
+    """Whether sizes and odd sketches of a row's two sides leave a similarity of 0.8 possible."""
+    return (odd_bits("sketch", "o_sketch") <= MOST_ODD) & F.expr("5 * least(n, o_n) >= 4 * greatest(n, o_n)")
+
+
+def in_components(buckets: DataFrame, parts: DataFrame | None) -> DataFrame:
+    if parts is None:
+        return buckets.withColumn("component", F.col("id"))
+    return buckets.join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
+
+
+def star_pairs(placed: DataFrame, turn: int, n_classes: int) -> DataFrame:
+    """Distinct pairs (a, b) of each bucket's member of another component with the bucket's centre of this turn."""
+    centre = F.min(F.struct(F.xxhash64("bucket", "id", F.lit(turn)).alias("h"), "id", "component")).alias("head")
+    heads = placed.groupBy("bucket").agg(centre, F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members")).where("lo < hi")
+    heads = heads.select("bucket", F.col("head.id").alias("o_id"), F.col("head.component").alias("o_component"), "members")
+    met = join_groups(placed, heads, "bucket", "members", n_classes).where(F.col("component") != F.col("o_component"))
+    return met.select(F.least("id", "o_id").alias("a"), F.greatest("id", "o_id").alias("b")).distinct()
+
+
+def close_pairs(pairs: DataFrame, info: DataFrame) -> DataFrame:
+    """Pairs that their sketches, which are joined to the distinct pairs alone, do not rule out."""
+    both = pairs.join(info.withColumnRenamed("id", "a"), "a").join(info.select(F.col("id").alias("b"), F.col("n").alias("o_n"), F.col("sketch").alias("o_sketch")), "b")
+    return both.where(may_be_close()).select("a", "b")
+
+
+def more_components(parts: DataFrame | None, links: DataFrame) -> DataFrame:
+    """parts with further links; the same where there are none."""
+    links = stored(links, "links")
+    if parts is None:
+        return components(links)
+    return parts if links.isEmpty() else components(parts.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(links))
+
+
 def near_groups(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: rid, doc_id, n_shingles, component_id, kept.
 
@@ -162,10 +203,12 @@ def near_groups(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_co
     An empty table gives no rows; other columns play no part. docs must give the same rows in the same partitions each
     time it is read, as files do: rid numbers them.
 
-    Documents of one set are one class from the start. Class representatives that share a band are linked in two steps:
-    each with the smallest of its bucket, then, in buckets that still hold several components, with the members of the
-    others. Odd sketches discard pairs before they leave a join; full sets confirm the rest. So no link of a candidate
-    pair is lost, and a group of thousands of copies is a star. Nothing is collected on the driver but counts.
+    Documents of one set are one class from the start. Class representatives that share a band are linked in STAR_ROUNDS
+    rounds, each with a member of its bucket picked by a hash of bucket and round, so that a member of many buckets meets
+    many centres; then, in buckets that still hold several components, with all members of the others. Odd sketches
+    discard pairs; full sets confirm the rest. So no link of a candidate pair is lost, and a group of thousands of near
+    copies takes a few dozen comparisons a member, as long as it hangs together. Nothing is collected on the driver but
+    counts.
     """
     rid = F.monotonically_increasing_id()
     sets = stored(signatures(docs, text_or_empty(docs[text_col]), words, {"doc_id": docs[id_col], "rid": rid}), "signatures")
@@ -174,24 +217,29 @@ def near_groups(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_co
     classes = some.groupBy("set").agg(F.min(order).alias("r"), F.count("*").alias("copies"))
     classes = stored(classes.select("set", "r.*", "copies"), "classes")
     n_classes, n_some = classes.agg(F.count("*"), F.coalesce(F.sum("copies"), F.lit(0))).first()
-    buckets = classes.select("id", F.col("set.n_shingles").alias("n"), "sketch", F.explode("bands").alias("bucket"))
-    other = lambda d: d.select("bucket", *[F.col(c).alias(f"o_{c}") for c in d.columns if c != "bucket"])
-    close = (odd_bits("sketch", "o_sketch") <= MOST_ODD) & F.expr("5 * least(n, o_n) >= 4 * greatest(n, o_n)")
-    heads = buckets.groupBy("bucket").agg(F.min(F.struct("id", "n", "sketch")).alias("head"), F.count("*").alias("members")).where("members > 1")
-    heads = heads.select("bucket", F.col("head.id").alias("o_id"), F.col("head.n").alias("o_n"), F.col("head.sketch").alias("o_sketch"), "members")
-    first = join_groups(buckets, heads, "bucket", "members", n_classes).where((F.col("id") != F.col("o_id")) & close)
-    stars = stored(first.select(F.col("o_id").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
+    info = classes.select("id", F.col("set.n_shingles").alias("n"), "sketch")
+    buckets = classes.select("id", F.explode("bands").alias("bucket"))
     texts = docs.select(rid.alias("id"), text_or_empty(docs[text_col]).alias("text"))
-    links = stored(confirmed(stars, texts, words), "links")
-    parts = components(links)
-    placed = buckets.join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    parts, tried = None, None
+    for turn in range(STAR_ROUNDS):
+        placed = in_components(buckets, parts)
+        stars = close_pairs(star_pairs(placed, turn, n_classes), info)
+        stars = stored(stars if tried is None else stars.join(tried, ["a", "b"], "left_anti"), "pairs")
+        if stars.isEmpty():
+            break
+        tried = stars if tried is None else tried.unionByName(stars)
+        parts = more_components(parts, confirmed(stars, texts, words))
+    placed = in_components(buckets, parts)
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members")).where("lo < hi").select("bucket", "members")
-    open_ = stored(join_groups(placed, mixed, "bucket", "members", n_classes).drop("members"), "open")
-    rest = open_.join(other(open_), "bucket").where((F.col("component") < F.col("o_component")) & close)
-    rest = rest.select(F.least("id", "o_id").alias("a"), F.greatest("id", "o_id").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    more = stored(confirmed(rest, texts, words), "links")
-    if not more.isEmpty():
-        parts = components(parts.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
+    open_ = stored(join_groups(placed, mixed, "bucket", "members", n_classes).drop("members").join(info, "id"), "open")
+    if not open_.isEmpty():
+        other = open_.select("bucket", *[F.col(c).alias(f"o_{c}") for c in open_.columns if c != "bucket"])
+        rest = open_.join(other, "bucket").where((F.col("component") < F.col("o_component")) & may_be_close())
+        rest = rest.select(F.least("id", "o_id").alias("a"), F.greatest("id", "o_id").alias("b")).distinct()
+        rest = rest if tried is None else rest.join(tried, ["a", "b"], "left_anti")
+        parts = more_components(parts, confirmed(rest, texts, words))
+    if parts is None:
+        parts = classes.where("false").select("id", F.col("id").alias("component"))
     whole = classes.join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
     least = whole.groupBy("component").agg(F.min(F.struct("no_id", "doc_id", "id")).alias("least"), F.count("*").alias("members"))
     named = join_groups(whole.select("component", "set", "copies"), least, "component", "members", n_classes)
