@@ -14,4 +14,4 @@ QUERIES = {
     "op9_mix_blocks": mixing.op9_mix_blocks,
     "op10_token_ids": token_ids.op10_token_ids,
 }
-SQL = {"op2_exact_bloom": exact_dedup.SQL_OP2}
+SQL = {"op2_exact_bloom": exact_dedup.SQL_OP2, "op3_odd_sketches": near_dedup.SQL_OP3}
