@@ -260,7 +260,6 @@ def has_transcript(text: Column) -> Column:
 def with_embed(text: Column, embed: Column) -> Column:
     """embed and an empty line behind the first overview heading; the text itself without one."""
     found = F.regexp_extract(text, r"(?d)## (?:Chapter|Book|Part) Overview\n", 0)
-    at = F.locate("", text)
     at = F.instr(text, found)
     return F.when(found == "", text).otherwise(F.concat(F.substring(text, F.lit(1), at + F.length(found) - 1), F.lit("\n"), embed, F.lit("\n"), F.substring(text, at + F.length(found), F.length(text))))
 

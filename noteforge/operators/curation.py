@@ -171,7 +171,7 @@ def analysis_frontmatter(notes: DataFrame, report: DataFrame, date: str, model:
         front,
         F.struct(F.lit(False).alias("skip"), F.array().cast("array<string>").alias("kept")),
         lambda s, x: F.struct(
-            (text.strip(x) == "analysis:").__or__(s["skip"] & ((x == "") | x.rlike(r"^\s"))).alias("skip"),
+            ((text.strip(x) == "analysis:") | (s["skip"] & ((x == "") | x.rlike(r"^\s")))).alias("skip"),
             F.when((text.strip(x) == "analysis:") | (s["skip"] & ((x == "") | x.rlike(r"^\s"))), s["kept"]).otherwise(F.array_append(s["kept"], x)).alias("kept"),
         ),
     )
@@ -188,8 +188,8 @@ def with_transcript(notes: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.select("path", words.alias("words"), F.concat("content", F.lit("\n\n## Audio Transcript\n\n**File:** "), "file", F.lit("\n\n"), "text", F.lit("\n")).alias("new_content"))
 
 
-#: Keywords of topics that a report's prompts can be tagged with; fixed values would be the caller's.
 def keyword_tags(notes: DataFrame, topics: dict[str, list[str]]) -> DataFrame:
+    """(path, topic) for each topic with a keyword in the note, in any case."""
     low = F.lower("content")
     found = F.array_compact(F.array(*[F.when(text.any_of(low, words), topic) for topic, words in topics.items()]))
     return notes.select("path", F.explode(found).alias("topic"))
