@@ -42,7 +42,7 @@ class WordIds(dict):
 
     Vocabulary and merges are read from the library's file. Where the merges stand in the order of the ids that they
     make, as byte-level vocabularies have it, ids are ranks, and new words are merged by rank with tiktoken's core, which
-    is several times faster; else by the library itself.
+    is several times faster and gives the same ids; else by the library itself.
     """
 
     def __init__(self, path: str):
