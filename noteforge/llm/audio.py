@@ -125,13 +125,14 @@ def fingerprints(media: DataFrame, content: Column, row_id: Column) -> DataFrame
 
 def align(media: DataFrame, content: Column, row_id: Column, every: int = 50) -> DataFrame:
     """Aligns every recording with the queries, those whose id is divisible by `every`. Returns for each row doc_id,
-    n_items, fingerprint (a hash of the items), match_id, shift, overlap, bit_error.
+    n_items, fingerprint (a hash of the items), match_id, shift, overlap, bit_error, matches.
 
-    Recordings of the same items are one class. Landmarks, runs of RUN items, belong to the smallest query that has
-    them, at their first place there. A recording looks up its own landmarks: an owner and a shift for each. The shift
-    and owner with the most landmarks win (then the smallest owner and shift); bit_error is the share of bits that
-    differ where both overlap at that shift, and match_id is null where it is above MOST_ERROR or no landmark is owned.
-    Every recording meets one owner a landmark, however common, so the work grows with the items.
+    Recordings of the same items are one class. Landmarks are runs of RUN items; a recording and a query that share one
+    are compared at every shift at which they do. bit_error is the share of bits that differ where both overlap; a shift
+    with at most MOST_ERROR is an alignment, and a pair has the one with the most landmarks (then the smallest shift).
+    matches lists every query that aligns, by id, as structs of match_id, shift, overlap and bit_error; the columns of
+    those names hold the match with the most landmarks (then the smallest query) or are null. Votes grow with the uses
+    of a landmark times its uses in queries: the work of a landmark that all share grows with the square of the rows.
 
     Null, empty and short media have no items and no match; repeated rows are rows of their own; a null id is no query
     and aligns like others; an empty table gives no rows; other columns play no part.
@@ -140,26 +141,34 @@ def align(media: DataFrame, content: Column, row_id: Column, every: int = 50) ->
     prints = prints.withColumn("n_items", F.size("items")).withColumn("fingerprint", F.xxhash64("items", F.lit(7)))
     prints = prints.withColumn("sound", F.struct("fingerprint", F.hash("items").alias("more"), "n_items"))
     some = prints.where("n_items > 0")
-    classes = some.groupBy("sound").agg(F.min(F.when(query, F.col("doc_id"))).alias("query"), F.first("items").alias("items"), F.count("*").alias("copies"))
+    classes = some.groupBy("sound").agg(F.sort_array(F.collect_set(F.when(query, F.col("doc_id")))).alias("queries"), F.first("items").alias("items"), F.count("*").alias("copies"))
     classes = stored(classes.withColumn("id", F.xxhash64("sound")), "sounds")
     runs = F.expr(f"transform(sequence(0, greatest(size(items) - {RUN}, 0)), i -> struct(xxhash64(slice(items, i + 1, {RUN})) as mark, i as at))")
-    marked = classes.select("id", "query", runs.alias("runs")).withColumn("least", F.array_min("runs.mark"))
-    marked = marked.select("id", "query", F.explode(F.expr(f"filter(runs, r -> r.mark % {SPARSE} = 0 or r.mark = least)")).alias("r")).select("id", "query", "r.mark", "r.at")
-    owners = stored(marked.where("query is not null").groupBy("mark").agg(F.min(F.struct("query", "at")).alias("o")).select("mark", F.col("o.query").alias("owner"), F.col("o.at").alias("owner_at")), "owners")
-    votes = marked.select("id", "mark", "at").join(owners, "mark").groupBy("id", "owner", (F.col("at") - F.col("owner_at")).alias("shift")).agg(F.count("*").alias("votes"))
-    best = stored(votes.groupBy("id").agg(F.min(F.struct(-F.col("votes"), "owner", "shift")).alias("b")).select("id", "b.owner", "b.shift"), "best")
-    asked = best.groupBy("owner").agg(F.count("*").alias("askers"))
-    theirs = classes.where("query is not null").select(F.col("query").alias("owner"), F.col("items").alias("o_items")).join(asked, "owner")
-    pairs = join_groups(best, theirs, "owner", "askers", best.count()).drop("askers").join(classes.select("id", "items"), "id")
+    marked = classes.select("id", (F.size("queries") > 0).alias("asked"), runs.alias("runs")).withColumn("least", F.array_min("runs.mark"))
+    marked = marked.select("id", "asked", F.explode(F.expr(f"filter(runs, r -> r.mark % {SPARSE} = 0 or r.mark = least)")).alias("r")).select("id", "asked", "r.mark", "r.at")
+    posts = marked.groupBy("mark").agg(F.collect_list(F.when(F.col("asked"), F.struct("id", "at"))).alias("posts"), F.count("*").alias("uses"))
+    posts = stored(posts.where(F.size("posts") > 0), "posts")
+    n_marks = posts.agg(F.coalesce(F.sum("uses"), F.lit(0))).first()[0]
+    votes = join_groups(marked.select("id", "mark", "at"), posts, "mark", "uses", n_marks).select("id", "at", F.explode("posts").alias("p"))
+    votes = votes.groupBy("id", F.col("p.id").alias("o_id"), (F.col("at") - F.col("p.at")).alias("shift")).agg(F.count("*").alias("votes"))
+    pairs = stored(votes.groupBy("id", "o_id").agg(F.collect_list(F.struct("votes", "shift")).alias("shifts")), "pairs")
+    asked = pairs.groupBy("o_id").agg(F.count("*").alias("askers"))
+    theirs = classes.select(F.col("id").alias("o_id"), F.col("items").alias("o_items"), "queries").join(asked, "o_id")
+    pairs = join_groups(pairs, theirs, "o_id", "askers", pairs.count()).drop("askers").join(classes.select("id", "items"), "id")
+    tried = pairs.withColumn("s", F.explode("shifts")).drop("shifts").withColumns({"votes": F.col("s.votes"), "shift": F.col("s.shift")})
     start, stop = F.greatest(F.lit(0), F.col("shift")), F.least(F.size("items"), F.size("o_items") + F.col("shift"))
-    pairs = pairs.withColumn("start", start).withColumn("overlap", stop - start)
-    wrong = F.expr("aggregate(zip_with(slice(items, start + 1, overlap), slice(o_items, start - shift + 1, overlap), (a, b) -> bit_count(a ^ b)), 0L, (s, x) -> s + x)")
-    pairs = pairs.withColumn("bit_error", wrong / (32 * F.col("overlap")))
-    found = pairs.where(F.col("bit_error") <= MOST_ERROR).select("id", F.col("owner").alias("match_id"), "shift", "overlap", "bit_error")
+    tried = tried.withColumn("start", start).withColumn("overlap", stop - start)
+    wrong = F.expr("aggregate(zip_with(slice(items, start + 1, overlap), slice(o_items, start - shift + 1, overlap), (a, b) -> bit_count((a ^ b) & 4294967295L)), 0L, (s, x) -> s + x)")
+    tried = tried.withColumn("bit_error", wrong / (32 * F.col("overlap")))
+    found = tried.where(F.col("bit_error") <= MOST_ERROR).groupBy("id", "o_id").agg(F.min(F.struct((-F.col("votes")).alias("rank"), "shift", "overlap", "bit_error")).alias("b"), F.first("queries").alias("queries"))
+    found = found.select("id", F.explode("queries").alias("match_id"), "b.*")
+    of = ["match_id", "shift", "overlap", "bit_error"]
+    found = found.groupBy("id").agg(F.sort_array(F.collect_list(F.struct(*of))).alias("matches"), F.min(F.struct("rank", *of)).alias("best"))
+    found = found.select("id", *[f"best.{c}" for c in of], "matches")
     named = classes.select("id", "sound", "copies").join(found, "id", "left").drop("id")
     out = join_groups(some, named, "sound", "copies", some.count())
-    names = ["doc_id", "n_items", "fingerprint", "match_id", "shift", "overlap", "bit_error"]
-    none = prints.where("n_items = 0").withColumns({"match_id": F.lit(None).cast("long"), "shift": F.lit(None).cast("int"), "overlap": F.lit(None).cast("int"), "bit_error": F.lit(None).cast("double")})
+    names = ["doc_id", "n_items", "fingerprint", *of, F.coalesce("matches", F.array()).alias("matches")]
+    none = prints.where("n_items = 0").withColumns({"match_id": F.lit(None).cast("long"), "shift": F.lit(None).cast("int"), "overlap": F.lit(None).cast("int"), "bit_error": F.lit(None).cast("double"), "matches": F.lit(None).cast(out.schema["matches"].dataType)})
     return out.select(*names).unionByName(none.select(*names))
 
 

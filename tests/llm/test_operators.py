@@ -188,6 +188,34 @@ def test_shifted_recordings_align(spark):
     assert rows[2]["match_id"] is None and rows[3]["n_items"] == rows[4]["n_items"] == 0
 
 
+def test_every_query_that_aligns_is_listed(spark):
+    rng = random.Random(8)
+    pcm = lambda s: bytes((s * 127 + 128).astype(np.uint8))
+    a, b, c = (pcm(tune([110 * 2 ** (rng.randrange(48) / 12) for _ in range(20)])) for _ in range(3))
+    same = bytes([128]) * 2000
+    media = [(0, a + b), (50, b + c), (100, b), (150, a + b), (200, c), (1, b), (2, a + b), (3, c + a), (250, same), (4, same), (5, same[:1500])]
+    rows = {r["doc_id"]: r for r in audio.align(spark.createDataFrame(media, "doc_id long, media binary"), F.col("media"), F.col("doc_id")).collect()}
+    items = dict(zip([i for i, _ in media], audio.fingerprint_batch([audio.decode_pcm(x) for _, x in media]), strict=True))
+    marks = {i: {int(x) for x in set(v.tolist())} for i, v in items.items()}
+    hashed = {r["x"]: r["h"] for r in spark.createDataFrame([(x,) for x in set().union(*marks.values())], "x int").select("x", F.xxhash64(F.array("x")).alias("h")).collect()}
+    kept = {i: {x for x in v if hashed[x] % audio.SPARSE == 0 or hashed[x] == min(hashed[y] for y in v)} for i, v in marks.items()}
+    for i, x in items.items():
+        want = []
+        for q, y in items.items():
+            best = None
+            for shift in range(1 - len(y), len(x)) if q % 50 == 0 else ():
+                lo, hi = max(0, shift), min(len(x), len(y) + shift)
+                u, v = x[lo:hi], y[lo - shift : hi - shift]
+                votes = sum(p == s and p in kept[i] and p in kept[q] for p, s in zip(u.tolist(), v.tolist(), strict=True))
+                error = int(np.bitwise_count((u ^ v).view(np.uint32)).sum()) / (32 * (hi - lo))
+                if votes and error <= audio.MOST_ERROR and (best is None or (-votes, shift) < best[:2]):
+                    best = (-votes, shift, hi - lo, error)
+            if best:
+                want.append((q, *best[1:]))
+        assert [tuple(m) for m in rows[i]["matches"]] == sorted(want)
+    assert [m["match_id"] for m in rows[1]["matches"]] >= [0, 50, 100] and rows[200]["match_id"] == 200 and rows[150]["match_id"] == 0
+
+
 def test_wave_files_are_decoded():
     x = (tune([440.0]) * 20000).astype("<i2")
     data = np.repeat(x, 2).tobytes()
