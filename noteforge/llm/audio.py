@@ -29,6 +29,8 @@ FILTERS = [(kind, low, tall, wide) for kind, low, tall, wide in (
 RUN, SPARSE = 1, 2
 #: A recording is aligned if at most this share of the bits differs over the overlap.
 MOST_ERROR = 0.25
+#: Samples under the widest filter; a shorter recording is heard in the middle of that much silence.
+SHORTEST = FRAME + (WIDTH - 1) * HOP
 
 
 def decode_pcm(media: bytes) -> np.ndarray:
@@ -111,16 +113,27 @@ def fingerprint_batch(recordings: list[np.ndarray]) -> list[np.ndarray]:
     return [out[i : i + max(0, k - WIDTH + 1)].view(np.int32) for i, k in zip(starts[:-1], lengths, strict=True)]
 
 
+def padded(samples: np.ndarray) -> np.ndarray:
+    """Samples of a recording; a short one, less its mean, in the middle of SHORTEST samples, so that all frames hear it."""
+    if not 0 < len(samples) < SHORTEST:
+        return samples
+    front = (SHORTEST - len(samples)) // 2
+    return np.pad(samples - samples.mean(), (front, SHORTEST - len(samples) - front))
+
+
 def fingerprints(media: DataFrame, content: Column, row_id: Column) -> DataFrame:
-    """rid, doc_id, items of each recording; null content has no items."""
+    """rid, doc_id, items of each recording, n_items: those that are not padded; null and empty content has no items."""
     small_batches(media.sparkSession)
 
-    @F.pandas_udf("array<int>")
-    def items(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("items array<int>, n_items int")
+    def prints(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.Series(fingerprint_batch([decode_pcm(bytes(x) if x is not None else b"") for x in b]))
+            heard = [decode_pcm(bytes(x) if x is not None else b"") for x in b]
+            items = fingerprint_batch([padded(x) for x in heard])
+            yield pd.DataFrame({"items": items, "n_items": [len(i) if len(x) >= SHORTEST else 0 for i, x in zip(items, heard, strict=True)]})
 
-    return media.select(F.monotonically_increasing_id().alias("rid"), row_id.cast("long").alias("doc_id"), items(content).alias("items"))
+    out = media.select(F.monotonically_increasing_id().alias("rid"), row_id.cast("long").alias("doc_id"), prints(content).alias("p"))
+    return out.select("rid", "doc_id", "p.items", "p.n_items")
 
 
 def align(media: DataFrame, content: Column, row_id: Column, every: int = 50) -> DataFrame:
@@ -134,13 +147,14 @@ def align(media: DataFrame, content: Column, row_id: Column, every: int = 50) ->
     those names hold the match with the most landmarks (then the smallest query) or are null. Votes grow with the uses
     of a landmark times its uses in queries: the work of a landmark that all share grows with the square of the rows.
 
-    Null, empty and short media have no items and no match; repeated rows are rows of their own; a null id is no query
+    A recording below SHORTEST samples has one item, of itself in silence, and aligns by it; n_items counts the items of
+    whole windows and is 0 there. Null and empty media have no items and no match; repeated rows are rows of their own; a null id is no query
     and aligns like others; an empty table gives no rows; other columns play no part.
     """
     prints, query = stored(fingerprints(media, content, row_id), "prints"), F.col("doc_id") % every == 0
-    prints = prints.withColumn("n_items", F.size("items")).withColumn("fingerprint", F.xxhash64("items", F.lit(7)))
-    prints = prints.withColumn("sound", F.struct("fingerprint", F.hash("items").alias("more"), "n_items"))
-    some = prints.where("n_items > 0")
+    prints = prints.withColumn("fingerprint", F.xxhash64("items", F.lit(7)))
+    prints = prints.withColumn("sound", F.struct("fingerprint", F.hash("items").alias("more"), F.size("items").alias("size")))
+    some = prints.where("size(items) > 0")
     classes = some.groupBy("sound").agg(F.sort_array(F.collect_set(F.when(query, F.col("doc_id")))).alias("queries"), F.first("items").alias("items"), F.count("*").alias("copies"))
     classes = stored(classes.withColumn("id", F.xxhash64("sound")), "sounds")
     runs = F.expr(f"transform(sequence(0, greatest(size(items) - {RUN}, 0)), i -> struct(xxhash64(slice(items, i + 1, {RUN})) as mark, i as at))")
@@ -168,7 +182,7 @@ def align(media: DataFrame, content: Column, row_id: Column, every: int = 50) ->
     named = classes.select("id", "sound", "copies").join(found, "id", "left").drop("id")
     out = join_groups(some, named, "sound", "copies", some.count())
     names = ["doc_id", "n_items", "fingerprint", *of, F.coalesce("matches", F.array()).alias("matches")]
-    none = prints.where("n_items = 0").withColumns({"match_id": F.lit(None).cast("long"), "shift": F.lit(None).cast("int"), "overlap": F.lit(None).cast("int"), "bit_error": F.lit(None).cast("double"), "matches": F.lit(None).cast(out.schema["matches"].dataType)})
+    none = prints.where("size(items) = 0").withColumns({"match_id": F.lit(None).cast("long"), "shift": F.lit(None).cast("int"), "overlap": F.lit(None).cast("int"), "bit_error": F.lit(None).cast("double"), "matches": F.lit(None).cast(out.schema["matches"].dataType)})
     return out.select(*names).unionByName(none.select(*names))
 
 

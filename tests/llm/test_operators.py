@@ -216,6 +216,13 @@ def test_every_query_that_aligns_is_listed(spark):
     assert [m["match_id"] for m in rows[1]["matches"]] >= [0, 50, 100] and rows[200]["match_id"] == 200 and rows[150]["match_id"] == 0
 
 
+def test_short_recordings_align(spark):
+    media = [(0, b"a short text"), (50, b"another one, not the same"), (1, b"a short text"), (2, b"another one, not the same"), (3, b"x" * 959 + b"y"), (4, b""), (100, b"ab" * 479), (5, b"ab" * 479)]
+    rows = {r["doc_id"]: r for r in audio.align(spark.createDataFrame(media, "doc_id long, media binary"), F.col("media"), F.col("doc_id")).collect()}
+    assert [(rows[i]["match_id"], rows[i]["shift"], rows[i]["overlap"], rows[i]["bit_error"]) for i in (0, 1, 50, 2, 100, 5)] == [(q, 0, 1, 0.0) for q in (0, 0, 50, 50, 100, 100)]
+    assert rows[4]["match_id"] is None and rows[4]["matches"] == [] and rows[1]["n_items"] == 0 and rows[3]["n_items"] == 1
+
+
 def test_wave_files_are_decoded():
     x = (tune([440.0]) * 20000).astype("<i2")
     data = np.repeat(x, 2).tobytes()
