@@ -19,9 +19,9 @@ CLASSES, PER_CLASS, HIDDEN = 64, 64, 16
 VOCABULARY = CLASSES * PER_CLASS
 #: Most frequent words whose exact counts every worker holds; counts of the others are joined by a shuffle.
 HEAD_WORDS = 200_000
-#: Training: each training document gives a stretch of words in each round; WINDOW steps are backpropagated at a time.
-STRETCH, WINDOW, ROUNDS, LANES, RATE = 32, 16, 2, 384, 0.1
-#: Scoring: words that a worker gathers before it deals documents to lanes, lanes, and steps whose outputs it holds.
+#: Training: each document is learned whole in one of the rounds; WINDOW steps are backpropagated at a time.
+WINDOW, ROUNDS, LANES, RATE = 16, 2, 384, 0.1
+#: Words that a worker gathers before it deals documents to lanes; for scoring, lanes and steps whose outputs it holds.
 GATHER, SCORE_LANES, SCORE_WINDOW = 4_000_000, 384, 64
 #: Distinct words that a worker counts before it passes them on.
 COUNTED = 400_000
@@ -115,8 +115,9 @@ class Gru:
                     dh[at] += d @ self.p["w"][c].T
         return logp, dh
 
-    def learn(self, h: np.ndarray, tokens: np.ndarray, starts: np.ndarray, valid: np.ndarray) -> np.ndarray:
-        """One step of truncated backpropagation through a window; returns the state behind it."""
+    def learn(self, h: np.ndarray, tokens: np.ndarray, starts: np.ndarray, valid: np.ndarray, full: int = 0) -> np.ndarray:
+        """One step of truncated backpropagation through a window; returns the state behind it. The gradient is the mean
+        over the window's tokens, or with full its sum over that many, so that a window of few lanes weighs less."""
         grad = {k: np.zeros(s, np.float32) for k, s in self.SHAPES.items()}
         kept, before = [], np.empty((*tokens.shape, HIDDEN), np.float32)
         for t in range(len(tokens)):
@@ -139,8 +140,10 @@ class Gru:
             grad["u"] += old.T @ dg
             dh = dh * z + dg @ self.p["u"].T + dh_out[t]
             dh[starts[t]] = 0
-        np.add.at(grad["x"], tokens.ravel(), dx.reshape(-1, 3 * HIDDEN))
-        scale = 1 / max(1, len(flat))
+        order = np.argsort(tokens.ravel(), kind="stable")
+        seen, edges = np.unique(tokens.ravel()[order], return_index=True)
+        grad["x"][seen] = np.add.reduceat(dx.reshape(-1, 3 * HIDDEN)[order], edges, axis=0)
+        scale = 1 / max(1, full or len(flat))
         for k, d in grad.items():
             d *= scale
             s = self.squares.setdefault(k, np.full(d.shape, 1e-6, np.float32))
@@ -217,29 +220,33 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInPandas(count, "word binary, count long").groupBy("word").agg(F.sum("count").alias("count"))
 
 
+def learn_texts(model: Gru, texts: Iterator[str], head: Head) -> int:
+    """Trains the model on every word and end of the texts; returns their number."""
+    n, held, gathered = 0, [], 0
+    for t in texts:
+        held.append(token_ids(head, words_of(t))[1])
+        gathered += len(held[-1])
+        if gathered >= GATHER:
+            n += walk(model, held)
+            held, gathered = [], 0
+    return n + (walk(model, held) if held else 0)
+
+
 def trained(texts: DataFrame, model: Gru, head, rounds: int) -> Gru:
-    """Each task trains a copy on a stretch of every document of its partition; the copies' mean, weighted by words, is
-    summed up by a shuffle and starts the next round. texts: text, h (a hash of the id, which places the stretch)."""
+    """Each task trains a copy on whole documents of its partition, those that h deals to the round; the copies' mean,
+    weighted by words, is summed up by a shuffle and starts the next round. After the last, every word has been learned
+    once. texts: text, h (a hash of the id)."""
     small_batches(texts.sparkSession)
     for turn in range(rounds):
         start = model.flat()
 
-        def learn(batches: Iterator[pd.DataFrame], start=start, turn=turn) -> Iterator[pd.DataFrame]:
-            own, n, held, h = Gru(start), 0, [], head.value[0]
-            for pdf in batches:
-                for t, key in zip(pdf["text"], pdf["h"], strict=True):
-                    words = words_of(t)
-                    at = (int(key) + turn * 7919) % max(1, len(words) - STRETCH + 2)
-                    tokens = token_ids(h, words[at : at + STRETCH])[1]
-                    held.append(tokens[:STRETCH])
-                while len(held) >= LANES:
-                    n += walk(own, held[:LANES])
-                    del held[:LANES]
-            n += walk(own, held) if held else 0
+        def learn(batches: Iterator[pd.DataFrame], start=start) -> Iterator[pd.DataFrame]:
+            own = Gru(start)
+            n = learn_texts(own, (t for pdf in batches for t in pdf["text"]), head.value[0])
             if n:
                 yield pd.DataFrame({"n": [n], "p": [own.flat() * n]})
 
-        got = texts.mapInPandas(learn, "n long, p array<float>").select("n", F.posexplode("p").alias("i", "v"))
+        got = texts.where(F.col("h") % rounds == turn).select("text").mapInPandas(learn, "n long, p array<float>").select("n", F.posexplode("p").alias("i", "v"))
         got = got.groupBy("i").agg(F.sum("v").alias("v"), F.sum("n").alias("n")).toArrow()
         if got.num_rows:
             flat = np.empty(len(start))
@@ -249,11 +256,14 @@ def trained(texts: DataFrame, model: Gru, head, rounds: int) -> Gru:
 
 
 def walk(model: Gru, lists: list[np.ndarray]) -> int:
+    """Learns documents from their first token to their end, WINDOW steps at a time; states run on across windows."""
     tokens, starts, owner = deal(lists, LANES)
+    order = np.argsort(-(owner >= 0).sum(0), kind="stable")  # lanes that end first stand last and are cut off
+    tokens, starts, owner = tokens[:, order], starts[:, order], owner[:, order]
     h = np.zeros((tokens.shape[1], HIDDEN), np.float32)
     for at in range(0, len(tokens), WINDOW):
-        part = slice(at, at + WINDOW)
-        h = model.learn(h, tokens[part], starts[part], owner[part] >= 0)
+        part, n = slice(at, at + WINDOW), int((owner[at] >= 0).sum())
+        h = model.learn(h[:n], tokens[part, :n], starts[part, :n], owner[part, :n] >= 0, WINDOW * tokens.shape[1])
     return int((owner >= 0).sum())
 
 
@@ -264,7 +274,7 @@ def lm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_co
     training; base_score adds one to each. score is the log10 probability of the whole text under the recurrent model:
     its state runs from the first word to the end across windows of steps. The VOCABULARY most frequent words are
     outputs of their own; a rarer word has the probability of the class of rare words times its share of that class,
-    one added. The model learns from a stretch of STRETCH words of every training document in each of `rounds` rounds.
+    one added. The model learns every training document whole, once, in one of `rounds` rounds.
 
     Null, empty and blank texts are the end alone; repeated rows and null ids are rows of their own; with no training
     rows all counts are 0; an empty table gives no rows; other columns play no part. A worker holds HEAD_WORDS counts;

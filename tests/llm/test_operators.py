@@ -361,6 +361,29 @@ def test_state_runs_through_windows_and_documents_are_apart():
     assert abs(model.outputs(before.reshape(-1, lm.HIDDEN), long.ravel())[0].sum() - together[-1]) < 0.05
 
 
+def test_training_learns_every_word_with_carried_states(monkeypatch):
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice("abcdefgh") for _ in range(n)) for n in (700, 0, 90, 1, 333)]
+    head = lm.Head((w.encode(), i) for i, w in enumerate("abcdefgh"))
+    fresh = lambda: lm.Gru.fresh(np.full(9, 100.0), 5.0)
+    model, seen, learn = fresh(), [], lm.Gru.learn
+
+    def note(self, h, tokens, starts, valid, full=0):
+        seen.extend(tokens[valid].tolist())
+        return learn(self, h, tokens, starts, valid, full)
+
+    monkeypatch.setattr(lm.Gru, "learn", note)
+    assert lm.learn_texts(model, iter(texts), head) == sum(len(t.split()) + 1 for t in texts)
+    assert Counter(seen) == Counter(x for t in texts for x in lm.token_ids(head, lm.words_of(t))[1].tolist())
+    one, other = fresh(), fresh()
+    lm.learn_texts(one, iter(texts[:1]), head)
+    tokens_, h = lm.token_ids(head, lm.words_of(texts[0]))[1][:, None], np.zeros((1, lm.HIDDEN), np.float32)
+    for i in range(0, len(tokens_), lm.WINDOW):
+        part = tokens_[i : i + lm.WINDOW]
+        h = learn(other, h, part, np.arange(i, i + len(part))[:, None] == 0, np.ones(part.shape, bool), lm.WINDOW)
+    assert np.allclose(one.flat(), other.flat(), atol=1e-5)
+
+
 def test_base_scores_equal_brute_force(spark, prose, monkeypatch):
     texts = [*prose, "", "A a", None]
     df = corpus(spark, texts)
