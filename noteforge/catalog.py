@@ -129,7 +129,7 @@ def size_threshold_filter(spark, sf):
 
 @query("SELECT doc_id, CASE WHEN n_chars < 1024 THEN printf('%.2f B', n_chars::double) ELSE printf('%.2f KB', n_chars / 1024.0::double) END AS shown FROM documents WHERE n_chars < 1048576")
 def human_sizes(spark, sf):
-    return table(spark, sf, "documents").where("n_chars < 1048576").select("doc_id", stats.human_size(F.col("n_chars").cast("double")).alias("shown"))
+    return table(spark, sf, "documents").select("doc_id", stats.human_size(F.col("n_chars").cast("double")).alias("shown"))
 
 
 # --- paths -------------------------------------------------------------------------------------------------------------
@@ -559,10 +559,10 @@ def paths_extracted(spark, sf):
 
 @query()
 def basename_match(spark, sf):
-    n = notes(spark, sf).where("doc_id % 5 = 0")
+    n = notes(spark, sf)
     known = attachments(spark, sf).select(F.concat(F.lit("/vault/Attachments/"), "rel_path").alias("abs_path"))
     found = references.md_links(n).select("path", text.resolved_path(F.split_part(F.col("url"), F.lit("?"), F.lit(1)), "/vault/notes").alias("resolved"))
-    return curation.matched_paths(found, known)
+    return curation.matched_paths(curation.path_rows(n, "/vault").select("path", "resolved").unionByName(found), known)
 
 
 def chapters(spark, sf) -> DataFrame:

@@ -109,3 +109,12 @@ def test_stream_counts_equal_batch(spark, sf):
         assert rows(spark.table("counts"), "start", "event_type", "events") == rows(increments.tumbling_counts(events), "start", "event_type", "events")
     finally:
         q.stop()
+
+
+def test_queries_leave_no_document_out(spark, tmp_path):
+    from noteforge import catalog
+
+    sizes = [(1, 10), (2, 5 << 20), (3, 3 << 30), (4, 2 << 40), (6, 7)]
+    spark.createDataFrame([(i, "text", "en", "s", n) for i, n in sizes], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert rows(catalog.QUERIES["human_sizes"](spark, str(tmp_path)), "doc_id", "shown") == [(1, "10.00 B"), (2, "5.00 MB"), (3, "3.00 GB"), (4, "2.00 TB"), (6, "7.00 B")]
+    assert ("s/note 1 (2).md", "/vault/Attachments/img/file 6.png") in rows(catalog.QUERIES["basename_match"](spark, str(tmp_path)), "path", "resolved")
