@@ -567,7 +567,7 @@ def basename_match(spark, sf):
 
 def chapters(spark, sf) -> DataFrame:
     docs = table(spark, sf, "documents")
-    body = F.concat(F.lit('---\ntitle: "Chapter '), F.col("doc_id").cast("string"), F.lit('"\n---\n## Chapter Overview\n\n'), F.left("text", F.lit(300)), F.lit("\n\n## Key Arguments\n\n- **first** a\n- **second** b\n\n## Key Concepts\n\n### one\n\n### two\n"), F.when(F.col("doc_id") % 3 == 0, "![[x diagram.png]]\n").otherwise(""))
+    body = F.concat(F.lit('---\ntitle: "Chapter '), F.col("doc_id").cast("string"), F.lit('"\n---\n## Chapter Overview\n\n'), F.col("text"), F.lit("\n\n## Key Arguments\n\n- **first** a\n- **second** b\n\n## Key Concepts\n\n### one\n\n### two\n"), F.when(F.col("doc_id") % 3 == 0, "![[x diagram.png]]\n").otherwise(""))
     return docs.select("doc_id", F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("path"), body.alias("content"))
 
 

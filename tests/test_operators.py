@@ -118,3 +118,16 @@ def test_queries_leave_no_document_out(spark, tmp_path):
     spark.createDataFrame([(i, "text", "en", "s", n) for i, n in sizes], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     assert rows(catalog.QUERIES["human_sizes"](spark, str(tmp_path)), "doc_id", "shown") == [(1, "10.00 B"), (2, "5.00 MB"), (3, "3.00 GB"), (4, "2.00 TB"), (6, "7.00 B")]
     assert ("s/note 1 (2).md", "/vault/Attachments/img/file 6.png") in rows(catalog.QUERIES["basename_match"](spark, str(tmp_path)), "path", "resolved")
+
+
+def test_chapters_hold_whole_texts(spark, tmp_path):
+    import hashlib
+
+    from noteforge import catalog
+
+    texts = {1: "word " * 500 + "end", 2: "short", 3: "x" * 5000}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    tail = "\n\n## Key Arguments\n\n- **first** a\n- **second** b\n\n## Key Concepts\n\n### one\n\n### two\n"
+    want = {f"c{i}": f'---\ntitle: "Chapter {i}"\n---\n## Chapter Overview\n\n![[c{i}.png]]\n\n{t}{tail}' + "![[x diagram.png]]\n" * (i % 3 == 0) for i, t in texts.items()}
+    assert rows(catalog.QUERIES["insert_embed"](spark, str(tmp_path)), "path", "content_md5") == [(k, hashlib.md5(v.encode()).hexdigest()) for k, v in sorted(want.items())]
+    assert rows(catalog.QUERIES["chapter_prompts"](spark, str(tmp_path)), "path", "prompt") == [(f"c{i}", f"Chapter {i}\n{texts[i][:800]}\nfirst\nsecond\none\ntwo") for i in (1, 2)]
