@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,13 +42,15 @@ def orphans(notes: DataFrame, attachments: DataFrame) -> DataFrame:
 
 
 def verified_sample(notes: DataFrame, found: DataFrame, least: int = 100) -> DataFrame:
-    """A check of orphans by brute force: max(least, 5 %) of them, and whether any note contains a form of their name.
-    The names are words of notes: they are joined by equality with the notes' link targets and address tails, not by a
-    comparison with every note."""
+    """A check of orphans by brute force: max(least, 5 %) of them, and whether the whole content of any note holds a form
+    of their name. Each note is compared with the sample, which is broadcast."""
     n = max(least, found.count() // 20)
     sample = keyed_sample(found, "rel_path", n).select("rel_path", "name")
-    targets = wiki_links(notes).select(text.base_name(F.col("link")).alias("name")).unionByName(md_links(notes).select(F.split_part(text.base_name(F.col("url")), F.lit("?"), F.lit(1)).alias("name")))
-    return sample.join(targets.distinct().withColumn("hit", F.lit(True)), "name", "left").select("rel_path", F.coalesce("hit", F.lit(False)).alias("mentioned"))
+    content, name = F.col("content"), F.col("name")
+    forms = [F.concat(F.lit("[["), name, F.lit("]]")), F.concat(F.lit("("), name, F.lit(")")), F.concat(F.lit("Attachments/"), name), F.col("rel_path")]  # ![[name]] holds [[name]]
+    held = reduce(lambda a, b: a | b, [F.contains(content, f) for f in forms])
+    hits = notes.select("content").join(F.broadcast(sample), held).select("rel_path").distinct().withColumn("hit", F.lit(True))
+    return sample.join(hits, "rel_path", "left").select("rel_path", F.coalesce("hit", F.lit(False)).alias("mentioned"))
 
 
 def group_orphans(notes: DataFrame, attachments: DataFrame) -> DataFrame:

@@ -131,3 +131,11 @@ def test_chapters_hold_whole_texts(spark, tmp_path):
     want = {f"c{i}": f'---\ntitle: "Chapter {i}"\n---\n## Chapter Overview\n\n![[c{i}.png]]\n\n{t}{tail}' + "![[x diagram.png]]\n" * (i % 3 == 0) for i, t in texts.items()}
     assert rows(catalog.QUERIES["insert_embed"](spark, str(tmp_path)), "path", "content_md5") == [(k, hashlib.md5(v.encode()).hexdigest()) for k, v in sorted(want.items())]
     assert rows(catalog.QUERIES["chapter_prompts"](spark, str(tmp_path)), "path", "prompt") == [(f"c{i}", f"Chapter {i}\n{texts[i][:800]}\nfirst\nsecond\none\ntwo") for i in (1, 2)]
+
+
+def test_orphans_are_looked_for_in_whole_contents(spark):
+    names = ["a.png", "b.png", "c.png", "d.png", "e.png", "f.png"]
+    found = spark.createDataFrame([(f"img/{n}", n) for n in names], "rel_path string, name string")
+    text = "[[a.png]] ![[b.png]] plain (c.png), Attachments/d.png and img/e.png; f.png"
+    notes = spark.createDataFrame([("n.md", text), ("m.md", None)], "path string, content string")
+    assert rows(references.verified_sample(notes, found), "rel_path", "mentioned") == [(f"img/{n}", n != "f.png") for n in names]
