@@ -22,9 +22,12 @@ BROADCAST_BYTES = 64 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one where it is unset, which suits one machine only."""
+    """The folder in spark.checkpoint.dir. Where it is unset, a temporary one in local mode, in which driver and
+    executors are one process; on a cluster that is an error, as no other folder is known to be shared."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir is unset: name a folder there that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="noteforge-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -46,10 +49,11 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read back: the lineage ends, lost executors cost nothing."""
+def stored(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """df written as Parquet to the shared folder, in folders by the columns `by`, and read back: the lineage ends, lost
+    executors cost nothing."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=list(by) or None)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -110,11 +114,23 @@ def running(df: DataFrame, keys: list[str], order: Column, tie: list[str], value
     return out.drop("_o", "_piece", *[f"_k_{c}" for c in at], *[f"_s_{n}" for n in values.values()])
 
 
-def without_rows(docs: DataFrame, gone: DataFrame, rid: str = "rid") -> DataFrame:
-    """docs without the rows whose monotonically_increasing_id() is in gone. Rows stay in place while the numbers fit
-    BROADCAST_BYTES; beyond, they are joined by a shuffle. docs must give the same rows in the same partitions each time
-    it is read, as files do."""
-    mine = free_name(docs, "rid")
-    gone = stored(gone.select(F.col(rid).alias(mine)), "gone")
+def with_row_keys(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """docs with two long columns that name each row for good, and their names: however often the result is read, and
+    whatever executors are left, a row keeps its key. Rows that come straight from Parquet files are named by a hash of
+    the file's path and the row's place in it; others are numbered once, in a copy in the shared folder."""
+    names = [free_name(docs, "row_file"), free_name(docs, "row_at")]
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.getClass().getSimpleName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.child()
+    if plan.getClass().getSimpleName() == "LogicalRelation" and plan.relation().getClass().getSimpleName() == "HadoopFsRelation" and plan.relation().fileFormat().getClass().getSimpleName() == "ParquetFileFormat":
+        source = docs.metadataColumn("_metadata")
+        return docs.withColumns({names[0]: F.xxhash64(source["file_path"]), names[1]: source["row_index"]}), names
+    return stored(docs.withColumns({names[0]: F.lit(0).cast("long"), names[1]: F.monotonically_increasing_id()}), "numbered"), names
+
+
+def without_rows(docs: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
+    """docs (of with_row_keys) without the rows whose keys are in gone, and without the keys. Rows stay in place while
+    the keys that go fit BROADCAST_BYTES; beyond, they are joined by a shuffle."""
+    gone = stored(gone.select(*keys), "gone")
     gone = F.broadcast(gone) if gone.count() * 64 <= BROADCAST_BYTES else gone
-    return docs.withColumn(mine, F.monotonically_increasing_id()).join(gone, mine, "left_anti").drop(mine)
+    return docs.join(gone, keys, "left_anti").drop(*keys)

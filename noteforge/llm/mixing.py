@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from noteforge.llm.common import WORD, free_name, pieces_for, running, stored, text_or_empty
+from noteforge.llm.common import WORD, free_name, pieces_for, running, stored, text_or_empty, with_row_keys
 
 #: Weights of sources in code-point order, repeating; fixed values.
 WEIGHTS = (5, 2, 1)
@@ -44,8 +44,9 @@ class Mix:
 
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = 128, shard_slots: int = 4096, seed: int = 1) -> None:
         spark = docs.sparkSession
-        size = F.regexp_count(text_or_empty(docs[text_col]), F.lit(WORD)).cast("long")
-        slim = docs.select(docs[id_col].alias("doc_id"), docs[source_col].alias("source"), size.alias("size"))
+        size = F.regexp_count(text_or_empty(F.col(text_col)), F.lit(WORD)).cast("long")
+        self.docs, self.keys = with_row_keys(docs)
+        slim = self.docs.select(self.docs[id_col].alias("doc_id"), self.docs[source_col].alias("source"), size.alias("size"), *[self.docs[k].alias(n) for k, n in zip(self.keys, ("row_file", "row_at"), strict=True)])
         self.slim = stored(slim.withColumn("rid", F.monotonically_increasing_id()), "sized")
         got = sorted(((r["source"], r["size"], r["n"]) for r in self.slim.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()), key=lambda r: (r[0] is None, (r[0] or "").encode()))
         self.sources, self.block, self.shard_slots = [], block, shard_slots
@@ -59,7 +60,7 @@ class Mix:
         index = F.lit([x["source"] for x in self.sources if x["source"] is not None] or [""])
         at = F.when(F.col("source").isNull(), F.lit(len(self.sources) - 1)).otherwise(F.array_position(index, F.col("source")).cast("int") - 1)
         self.rows = self.slim.withColumn("s", at)
-        placed = running(self.rows.where("size > 0"), ["s"], F.xxhash64(F.lit(seed), "doc_id", "rid"), ["rid"], {"size": "first"}, pieces_for(n_rows))
+        placed = running(self.rows.where("size > 0"), ["s"], F.xxhash64(F.lit(seed), "doc_id", "row_file", "row_at"), ["row_file", "row_at"], {"size": "first"}, pieces_for(n_rows))
         cut = placed.withColumn("b", F.explode(F.expr(f"sequence(first div {block}, (first + size - 1) div {block})")))
         words = F.expr(f"least(first + size, (b + 1) * {block}) - greatest(first, b * {block})")
         self.pieces = cut.select("rid", "s", "b", words.alias("words"), F.expr(f"greatest(first, b * {block}) - first").alias("skip"))
@@ -87,7 +88,7 @@ class Mix:
         size = F.element_at(F.lit([x["source_size"] for x in self.sources] or [0]), F.col("s") + 1).cast("long")
         target = F.element_at(F.lit([x["target"] for x in self.sources] or [0.0]), F.col("s") + 1).cast("double")
         out = self.rows.withColumns({"source_size": size, "target": target}).join(got, "rid", "left")
-        return out.withColumn("taken", F.coalesce("taken", F.lit(0).cast("long"))).drop("rid", "s", "source")
+        return out.withColumn("taken", F.coalesce("taken", F.lit(0).cast("long"))).drop("rid", "row_file", "row_at", "s", "source")
 
 
 def mix_sources(docs: DataFrame, **options) -> DataFrame:
@@ -108,20 +109,21 @@ def mix_sources(docs: DataFrame, **options) -> DataFrame:
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", chars_col: str | None = "n_chars", **options) -> DataFrame:
     """The mix as documents: a row for each pass over a row of docs that takes words of it, with all columns. The text is
     the whole text where the pass takes all of its words, else the words taken, joined by blanks; chars_col, where docs
-    has it, is its length. Rows without words leave the mix. docs must give the same rows each time it is read, as files
-    do."""
+    has it, is its length. Rows without words leave the mix. Whole rows are read again by their keys."""
     mix = Mix(docs, id_col, text_col, source_col, **options)
-    rid, got, whole = (free_name(docs, x) for x in ("rid", "got", "whole"))
+    docs, columns, (file, at) = mix.docs, docs.columns, mix.keys
+    got, whole = (free_name(docs, x) for x in ("got", "whole"))
     part = F.struct("skip", "words")
     passes = mix.pieces.join(mix.slots.select("s", "b", "epoch"), ["s", "b"]).groupBy("rid", "epoch").agg(F.sort_array(F.collect_list(part)).alias(got), F.sum("words").alias(whole))
-    passes = passes.join(mix.slim.where("size > 0").select("rid", "size"), "rid").select(F.col("rid").alias(rid), got, (F.col(whole) == F.col("size")).alias(whole))
-    rows = docs.withColumn(rid, F.monotonically_increasing_id()).join(passes, rid)
+    passes = passes.join(mix.slim.where("size > 0").select("rid", "size", "row_file", "row_at"), "rid")
+    passes = passes.select(F.col("row_file").alias(file), F.col("row_at").alias(at), got, (F.col(whole) == F.col("size")).alias(whole))
+    rows = docs.join(passes, [file, at])
     words = F.regexp_extract_all(text_col, F.lit(WORD), F.lit(0))
     some = F.array_join(F.flatten(F.transform(got, lambda p: F.slice(words, (p["skip"] + 1).cast("int"), p["words"].cast("int")))), " ")
     rows = rows.withColumn(text_col, F.when(F.col(whole), F.col(text_col)).otherwise(some))
-    if chars_col in docs.columns:
+    if chars_col in columns:
         rows = rows.withColumn(chars_col, F.char_length(text_col).cast(docs.schema[chars_col].dataType))
-    return rows.select(*docs.columns)
+    return rows.select(*columns)
 
 
 def op9_mix_blocks(spark, sf_dir: str) -> DataFrame:
