@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from noteforge.llm.common import BROADCAST_BYTES, join_groups, stored, text_or_empty, without_rows
+from noteforge.llm.common import BROADCAST_BYTES, join_groups, stored, text_or_empty, with_row_keys, without_rows
 from noteforge.llm.tokens import small_batches
 
 #: BANDS x BAND_ROWS MinHash samples. At a similarity of 0.8 a pair shares no band with a chance of 2e-7.
@@ -20,8 +20,6 @@ SAMPLES = BANDS * BAND_ROWS
 #: 120 samples differ on average (standard deviation 4.4) and turn 2 bits each, which gives 44 ones (deviation 7.8).
 SKETCH_WORDS = 8
 MOST_ODD = 80
-#: Rounds in which each member of a bucket meets one other.
-STAR_ROUNDS = 2
 #: Links of one document that a task confirms together.
 CHUNK = 500
 #: Shingles and samples are mixed by these; fixed values, the odd constants of a well-known 64-bit finaliser.
@@ -121,23 +119,19 @@ def components(links: DataFrame) -> DataFrame:
         least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("a", "m"))
         large = join_groups(both.where("b > a"), least, "a", "n", 2 * links.count()).select(F.col("b").alias("a"), F.col("m").alias("b"))
         down = stored(smaller(large.unionByName(least.where("m < a").select("a", F.col("m").alias("b")))), "stars")
-        low = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*")
+        low = down.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = join_groups(down, low, "a", "n", down.count()).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*")
         links = stored(smaller(small), "links")
     return links.select(F.col("a").alias("id"), F.col("b").alias("component"))
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """Of pairs (a, b), those whose full shingle sets meet 100 * intersection >= 80 * union. docs: id, text. Texts that
-    no pair needs stay in place while the needed ids fit a broadcast. The links of one a are cut into chunks of about
-    CHUNK; its text goes to each chunk once, the text of b to each link."""
-    small_batches(pairs.sparkSession)
+def confirmed(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """Of pairs (a, b), those whose full shingle sets meet 100 * intersection >= 80 * union. texts: id, text. The links
+    of one a are cut into chunks of about CHUNK; its text goes to each chunk once, the text of b to each link."""
     pairs = stored(pairs, "pairs")
     n = pairs.count()
     if not n:
         return pairs.select("a", "b")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = stored(docs.join(F.broadcast(ids) if 2 * n * 64 <= BROADCAST_BYTES else ids, "id", "left_semi"), "texts")
     sizes = pairs.groupBy("a").agg(F.count("*").alias("links"))
     heads = sizes.withColumn("chunk", F.explode(F.expr(f"sequence(0L, (links - 1) div {CHUNK})"))).drop("links")
     heads = heads.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
@@ -160,102 +154,134 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     return tails.join(heads, ["a", "chunk"]).sortWithinPartitions("a", "chunk").where(linked("text_a", "text_b")).select("a", "b")
 
 
-def may_be_close() -> Column:
-    """Whether sizes and odd sketches of a row's two sides leave a similarity of 0.8 possible."""
-    return (odd_bits("sketch", "o_sketch") <= MOST_ODD) & F.expr("5 * least(n, o_n) >= 4 * greatest(n, o_n)")
+def close_pairs(pairs: DataFrame, info: DataFrame) -> DataFrame:
+    """Pairs (a, b) that share a band and that sizes and odd sketches do not rule out. info: id, n, sketch, bands."""
+    other = info.select(F.col("id").alias("b"), F.col("n").alias("o_n"), F.col("sketch").alias("o_sketch"), F.col("bands").alias("o_bands"))
+    both = pairs.join(info.withColumnRenamed("id", "a"), "a").join(other, "b")
+    return both.where(F.expr("5 * least(n, o_n) >= 4 * greatest(n, o_n)") & (odd_bits("sketch", "o_sketch") <= MOST_ODD) & F.arrays_overlap("bands", "o_bands")).select("a", "b")
+
 
+def shingle_rows(texts: DataFrame, words: int) -> DataFrame:
+    """id, n (size of the set), shingles (hashes) of each of texts: id, text."""
 
-def in_components(buckets: DataFrame, parts: DataFrame | None) -> DataFrame:
-    if parts is None:
-        return buckets.withColumn("component", F.col("id"))
-    return buckets.join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            sets = [shingle_set(t, words).view(np.int64) for t in pdf["text"]]
+            yield pd.DataFrame({"id": pdf["id"], "n": [len(s) for s in sets], "shingles": sets})
 
+    return texts.select("id", "text").mapInPandas(cut, "id long, n long, shingles array<long>")
 
-def star_pairs(placed: DataFrame, turn: int, n_classes: int) -> DataFrame:
-    """Distinct pairs (a, b) of each bucket's member of another component with the bucket's centre of this turn."""
-    centre = F.min(F.struct(F.xxhash64("bucket", "id", F.lit(turn)).alias("h"), "id", "component")).alias("head")
-    heads = placed.groupBy("bucket").agg(centre, F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members")).where("lo < hi")
-    heads = heads.select("bucket", F.col("head.id").alias("o_id"), F.col("head.component").alias("o_component"), "members")
-    met = join_groups(placed, heads, "bucket", "members", n_classes).where(F.col("component") != F.col("o_component"))
-    return met.select(F.least("id", "o_id").alias("a"), F.greatest("id", "o_id").alias("b")).distinct()
 
+def prefix_lists(sets: DataFrame) -> DataFrame:
+    """(token, id, n, at): the shingles that stand at the front of each set of sets (id, n, shingles) when it is sorted
+    by how many of the sets have a shingle, the rarest first. Two sets of a similarity of 0.8 have a common shingle among
+    the first n - ceil(0.8 n) + 1 of each; at is its place, from 0. Shingles of one set alone take places, but no row."""
+    each = sets.select("id", "n", F.explode("shingles").alias("token"))
+    total = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    uses = stored(each.groupBy("token").agg(F.count("*").alias("uses")).where("uses > 1"), "uses")
+    shared = join_groups(each, uses, "token", "uses", total).groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("uses", "token"))).alias("front"))
+    shared = shared.withColumn("own", F.col("n") - F.size("front")).withColumn("most", F.expr("cast(n - (4 * n + 4) div 5 + 1 - own as int)"))
+    front = shared.where("most > 0").select("id", "n", "own", F.posexplode(F.expr("slice(front, 1, most)")).alias("place", "f"))
+    return front.select("f.token", "id", "n", (F.col("own") + F.col("place")).alias("at"))
 
-def close_pairs(pairs: DataFrame, info: DataFrame) -> DataFrame:
-    """Pairs that their sketches, which are joined to the distinct pairs alone, do not rule out."""
-    both = pairs.join(info.withColumnRenamed("id", "a"), "a").join(info.select(F.col("id").alias("b"), F.col("n").alias("o_n"), F.col("sketch").alias("o_sketch")), "b")
-    return both.where(may_be_close()).select("a", "b")
+
+def in_components(rows: DataFrame, parts: DataFrame) -> DataFrame:
+    return rows.join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
+
+
+def ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("id", "o_id").alias("a"), F.greatest("id", "o_id").alias("b")).distinct()
 
 
-def more_components(parts: DataFrame | None, links: DataFrame) -> DataFrame:
-    """parts with further links; the same where there are none."""
-    links = stored(links, "links")
-    if parts is None:
-        return components(links)
-    return parts if links.isEmpty() else components(parts.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(links))
+def central_pairs(lists: DataFrame, total: int) -> DataFrame:
+    """Each member of a token's list with the list's centre: the one with the fewest rarer shingles in front, for its
+    size. In a group of near copies that is the one with the fewest changes of its own, which most others are close to."""
+    centre = F.min(F.struct((F.col("at") / F.col("n")).alias("share"), F.xxhash64("id").alias("h"), "id")).alias("c")
+    heads = lists.groupBy("token").agg(centre, F.count("*").alias("members")).where("members > 1").select("token", F.col("c.id").alias("o_id"), "members")
+    return ordered(join_groups(lists, heads, "token", "members", total).where("id <> o_id"))
 
 
-def near_groups(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of docs: rid, doc_id, n_shingles, component_id, kept.
+def open_pairs(lists: DataFrame, total: int) -> DataFrame:
+    """The pairs of different components in a token's list whose places leave a similarity of 0.8 possible. Members
+    outside the list's largest component are compared with all: between two components one side is always such."""
+    sizes = lists.groupBy("token", "component").agg(F.count("*").alias("c")).groupBy("token")
+    most = sizes.agg(F.max(F.struct("c", F.col("component").alias("main"))).alias("m"), F.sum("c").alias("members"), F.count("*").alias("parts")).where("parts > 1")
+    mixed = stored(join_groups(lists, most.select("token", "m.main", "members"), "token", "members", total).drop("members"), "mixed")
+    few = mixed.where("component <> main").drop("main")
+    many = mixed.select("token", F.col("id").alias("o_id"), F.col("n").alias("o_n"), F.col("at").alias("o_at"), F.col("component").alias("o_component"))
+    possible = F.expr("9 * least(n - at, o_n - o_at) >= 4 * (n + o_n) and 5 * least(n, o_n) >= 4 * greatest(n, o_n)")
+    return ordered(few.join(many, "token").where((F.col("component") != F.col("o_component")) & possible))
+
+
+def near_links(classes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """(id, component) of classes that are linked with a smaller one. classes: id, n, sketch, bands;
+    texts: id, text of those that share a band with another.
+
+    Within the banded candidates, lists of rare shingles in common (see prefix_lists) find the pairs to look at: first
+    each member of a list with its centre, then, in lists that still hold several components, the pairs whose places
+    allow a link. Odd sketches discard pairs; full sets confirm the rest. No link of a banded pair is lost."""
+    sets = stored(shingle_rows(texts, words), "sets")
+    lists = stored(prefix_lists(sets), "lists")
+    total = lists.count()
+    info = classes.join(lists.select("id").distinct(), "id", "left_semi")
+    tried = stored(close_pairs(central_pairs(lists, total), info), "pairs")
+    parts = components(stored(confirmed(tried, texts, words), "found"))
+    rest = close_pairs(open_pairs(in_components(lists, parts), total), info).join(tried, ["a", "b"], "left_anti")
+    more = stored(confirmed(rest, texts, words), "found")
+    return parts if more.isEmpty() else components(parts.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
+
+
+def near_groups(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_col: str = "text", keys: list[str] | None = None) -> DataFrame:
+    """One row for each row of docs: doc_id, n_shingles, component_id, kept, and with keys (names of with_row_keys) them.
 
     A document's set: distinct shingles of `words` words, A-Z lower-cased; with fewer words all as one; null, empty and
     blank texts have none and are linked with nothing. Documents are linked where 100 * intersection >= 80 * union;
     component_id is the smallest id that links reach (null ids rank last), kept marks it (of repeated ids, one row).
-    An empty table gives no rows; other columns play no part. docs must give the same rows in the same partitions each
-    time it is read, as files do: rid numbers them.
-
-    Documents of one set are one class from the start. Class representatives that share a band are linked in STAR_ROUNDS
-    rounds, each with a member of its bucket picked by a hash of bucket and round, so that a member of many buckets meets
-    many centres; then, in buckets that still hold several components, with all members of the others. Odd sketches
-    discard pairs; full sets confirm the rest. So no link of a candidate pair is lost, and a group of thousands of near
-    copies takes a few dozen comparisons a member, as long as it hangs together. Nothing is collected on the driver but
-    counts.
+    An empty table gives no rows; other columns play no part.
+
+    Documents of one set are one class from the start. Classes that share one of BANDS bands of MinHash samples are
+    candidates; near_links finds and confirms their links, so a group of thousands of near copies takes a few comparisons
+    a member. Nothing is collected on the driver but counts. Each row is read by its key, and class numbers are written
+    down once, so a lost executor changes nothing.
     """
-    rid = F.monotonically_increasing_id()
-    sets = stored(signatures(docs, text_or_empty(docs[text_col]), words, {"doc_id": docs[id_col], "rid": rid}), "signatures")
+    small_batches(docs.sparkSession)
+    if keys is None:
+        docs, own = with_row_keys(docs)
+    else:
+        own = keys
+    carry = {"doc_id": docs[id_col], "row_file": docs[own[0]], "row_at": docs[own[1]]}
+    sets = stored(signatures(docs, text_or_empty(docs[text_col]), words, carry), "signatures")
     some = sets.where("n_shingles > 0").withColumn("set", F.struct("n_shingles", "d1", "d2"))
-    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.col("rid").alias("id"), "sketch", "bands")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_file", "row_at", "sketch", "bands")
     classes = some.groupBy("set").agg(F.min(order).alias("r"), F.count("*").alias("copies"))
-    classes = stored(classes.select("set", "r.*", "copies"), "classes")
+    classes = stored(classes.select("set", "r.*", "copies", F.monotonically_increasing_id().alias("id")), "classes")
     n_classes, n_some = classes.agg(F.count("*"), F.coalesce(F.sum("copies"), F.lit(0))).first()
-    info = classes.select("id", F.col("set.n_shingles").alias("n"), "sketch")
     buckets = classes.select("id", F.explode("bands").alias("bucket"))
-    texts = docs.select(rid.alias("id"), text_or_empty(docs[text_col]).alias("text"))
-    parts, tried = None, None
-    for turn in range(STAR_ROUNDS):
-        placed = in_components(buckets, parts)
-        stars = close_pairs(star_pairs(placed, turn, n_classes), info)
-        stars = stored(stars if tried is None else stars.join(tried, ["a", "b"], "left_anti"), "pairs")
-        if stars.isEmpty():
-            break
-        tried = stars if tried is None else tried.unionByName(stars)
-        parts = more_components(parts, confirmed(stars, texts, words))
-    placed = in_components(buckets, parts)
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members")).where("lo < hi").select("bucket", "members")
-    open_ = stored(join_groups(placed, mixed, "bucket", "members", n_classes).drop("members").join(info, "id"), "open")
-    if not open_.isEmpty():
-        other = open_.select("bucket", *[F.col(c).alias(f"o_{c}") for c in open_.columns if c != "bucket"])
-        rest = open_.join(other, "bucket").where((F.col("component") < F.col("o_component")) & may_be_close())
-        rest = rest.select(F.least("id", "o_id").alias("a"), F.greatest("id", "o_id").alias("b")).distinct()
-        rest = rest if tried is None else rest.join(tried, ["a", "b"], "left_anti")
-        parts = more_components(parts, confirmed(rest, texts, words))
-    if parts is None:
-        parts = classes.where("false").select("id", F.col("id").alias("component"))
+    full = buckets.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
+    near = join_groups(buckets, full, "bucket", "members", BANDS * n_classes).select("id").distinct()
+    near = stored(near.join(classes.select("id", F.col("row_file").alias(own[0]), F.col("row_at").alias(own[1])), "id"), "near")
+    mine = docs.select(*own, text_or_empty(docs[text_col]).alias("text"))
+    texts = stored(mine.join(F.broadcast(near) if near.count() * 64 <= BROADCAST_BYTES else near, own).select("id", "text"), "texts")
+    parts = near_links(classes.select("id", F.col("set.n_shingles").alias("n"), "sketch", "bands"), texts, words)
     whole = classes.join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    least = whole.groupBy("component").agg(F.min(F.struct("no_id", "doc_id", "id")).alias("least"), F.count("*").alias("members"))
+    least = whole.groupBy("component").agg(F.min(F.struct("no_id", "doc_id", "row_file", "row_at")).alias("least"), F.count("*").alias("members"))
     named = join_groups(whole.select("component", "set", "copies"), least, "component", "members", n_classes)
-    named = named.select("set", "copies", F.col("least.doc_id").alias("component_id"), F.col("least.id").alias("keeper"))
-    linked = join_groups(some, named, "set", "copies", n_some).select("rid", "doc_id", "n_shingles", "component_id", (F.col("rid") == F.col("keeper")).alias("kept"))
-    alone = sets.where("n_shingles = 0").select("rid", "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
-    return linked.unionByName(alone)
+    named = named.select("set", "copies", F.col("least.doc_id").alias("component_id"), F.struct("least.row_file", "least.row_at").alias("keeper"))
+    linked = join_groups(some, named, "set", "copies", n_some).withColumn("kept", F.struct("row_file", "row_at") == F.col("keeper"))
+    alone = sets.where("n_shingles = 0").withColumns({"component_id": F.col("doc_id"), "kept": F.lit(True)})
+    names = ["doc_id", "n_shingles", "component_id", "kept"]
+    out = linked.select("row_file", "row_at", *names).unionByName(alone.select("row_file", "row_at", *names))
+    return out.select(*names) if keys is None else out.select(F.col("row_file").alias(keys[0]), F.col("row_at").alias(keys[1]), *names)
 
 
 def drop_near(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that near_groups doesn't keep; all columns."""
-    return without_rows(docs, near_groups(docs, words, id_col, text_col).where("not kept"))
+    docs, keys = with_row_keys(docs)
+    return without_rows(docs, near_groups(docs, words, id_col, text_col, keys).where("not kept"), keys)
 
 
 def op3_odd_sketches(spark, sf_dir: str) -> DataFrame:
-    return near_groups(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("rid")
+    return near_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 SQL_OP3 = r"""
