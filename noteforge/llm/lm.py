@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import heapq
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,9 +24,11 @@ VOCABULARY = CLASSES * PER_CLASS
 #: Most frequent words whose exact counts every worker holds; counts of the others are joined by a shuffle.
 HEAD_WORDS = 200_000
 #: Training: each document is learned whole in one of the rounds; WINDOW steps are backpropagated at a time.
-WINDOW, ROUNDS, LANES, RATE = 16, 2, 384, 0.1
+WINDOW, ROUNDS, LANES, RATE = 32, 2, 128, 0.1
 #: Words that a worker gathers before it deals documents to lanes; for scoring, lanes and steps whose outputs it holds.
 GATHER, SCORE_LANES, SCORE_WINDOW = 4_000_000, 384, 64
+#: Up to so many tokens of a window have their class's weights gathered one by one; more are sorted by class.
+FEW = 256
 #: Distinct words that a worker counts before it passes them on.
 COUNTED = 400_000
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -33,6 +39,13 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(LOWER).split()
 
 
+def keep_memory() -> None:
+    """Lets the C library keep freed memory, where it is glibc: arrays of a window come and go, and new pages are dear."""
+    with contextlib.suppress(OSError, AttributeError):
+        for option in (-1, -3):  # M_TRIM_THRESHOLD, M_MMAP_THRESHOLD
+            ctypes.CDLL(None).mallopt(option, 64 << 20)
+
+
 class Gru:
     """h' = (1 - z) n + z h. Inputs give the gates' sums directly; the output is P(class | h) P(word | class, h). Word i
     of the vocabulary is number i // CLASSES of class i % CLASSES; VOCABULARY stands for all rarer words."""
@@ -65,90 +78,129 @@ class Gru:
     def flat(self) -> np.ndarray:
         return np.concatenate([self.p[k].ravel() for k in self.SHAPES])
 
-    def step(self, h: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, ...]:
-        g, k = h @ self.p["u"], 2 * HIDDEN
-        zr = 1 / (1 + np.exp(-(x[:, :k] + g[:, :k])))
-        z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-        n = np.tanh(x[:, k:] + r * g[:, k:])
-        return n + z * (h - n), z, r, n, g[:, k:]
-
-    def states(self, h: np.ndarray, tokens: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The state in front of each token of a window (steps x lanes), and the state behind it."""
-        before, x = np.empty((*tokens.shape, HIDDEN), np.float32), self.p["x"]
+    def run(self, h: np.ndarray, tokens: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The steps of a window (steps x lanes): the states in front of each token, the state behind the last, and for
+        each step the gates z and r, the new state n and what r is applied to."""
+        x, k, fresh, u = self.p["x"][tokens], 2 * HIDDEN, starts.any(1), self.p["u"]
+        before, gates, new, inner = (np.empty((*tokens.shape, n), np.float32) for n in (HIDDEN, k, HIDDEN, HIDDEN))
         for t in range(len(tokens)):
-            h = np.where(starts[t][:, None], np.float32(0), h) if starts[t].any() else h
+            if fresh[t]:
+                h = np.where(starts[t][:, None], np.float32(0), h)
             before[t] = h
-            h = self.step(h, x[tokens[t]])[0]
-        return before, h
+            g, zr, n = h @ u, gates[t], new[t]
+            np.add(x[t, :, :k], g[:, :k], out=zr)
+            np.negative(zr, out=zr)
+            np.exp(zr, out=zr)
+            zr += 1
+            np.reciprocal(zr, out=zr)
+            inner[t] = g[:, k:]
+            np.multiply(zr[:, HIDDEN:], g[:, k:], out=n)
+            n += x[t, :, k:]
+            np.tanh(n, out=n)
+            h = h - n
+            h *= zr[:, :HIDDEN]
+            h += n
+        return before, h, gates[:, :, :HIDDEN], gates[:, :, HIDDEN:], new, inner
 
     def outputs(self, h: np.ndarray, tokens: np.ndarray, grad: dict[str, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log probabilities of tokens from the states in front; with grad, adds the gradients of their sum and
         returns that by h."""
         classes = np.where(tokens == VOCABULARY, CLASSES, tokens % CLASSES)
-        logits = h @ self.p["c"] + self.p["cb"]  # small: states are within 1, biases start as log shares
-        e = np.exp(logits)
-        total = e.sum(1, keepdims=True)
+        e = h @ self.p["c"]
+        e += self.p["cb"]  # small: states are within 1, biases start as log shares
         rows = np.arange(len(tokens))
-        logp = logits[rows, classes] - np.log(total[:, 0])
+        logp = e[rows, classes]
+        np.exp(e, out=e)
+        total = e.sum(1)
+        logp -= np.log(total)
         dh = None
         if grad is not None:
-            d = -e / total
-            d[rows, classes] += 1
-            grad["c"] += h.T @ d
-            grad["cb"] += d.sum(0)
-            dh = d @ self.p["c"].T
+            e *= (-1 / total)[:, None]
+            e[rows, classes] += 1
+            grad["c"] += h.T @ e
+            grad["cb"] += e.sum(0)
+            dh = e @ self.p["c"].T
+        if len(tokens) <= FEW:
+            at = np.flatnonzero(classes < CLASSES)
+            at = at[np.argsort(classes[at], kind="stable")]
+            c, word, k = classes[at], tokens[at] // CLASSES, np.arange(len(at))
+            s = (h[at, None, :] @ self.p["w"][c])[:, 0] + self.p["wb"][c]
+            chosen = s[k, word]
+            np.exp(s, out=s)
+            total = s.sum(1)
+            logp[at] += chosen - np.log(total)
+            if grad is not None and len(at):
+                s *= (-1 / total)[:, None]
+                s[k, word] += 1
+                edges = np.flatnonzero(np.diff(c, prepend=-1))
+                grad["w"][c[edges]] += np.add.reduceat(h[at][:, :, None] * s[:, None, :], edges, axis=0)
+                grad["wb"][c[edges]] += np.add.reduceat(s, edges, axis=0)
+                dh[at] += (self.p["w"][c] @ s[:, :, None])[:, :, 0]
+            return logp, dh
         order = np.argsort(classes, kind="stable")
         edges = np.searchsorted(classes[order], np.arange(CLASSES + 1))
+        hs, words = h[order], tokens[order] // CLASSES
+        more, dhs = np.zeros(len(order), logp.dtype), None if grad is None else np.zeros_like(hs)
         for c in range(CLASSES):
-            at = order[edges[c] : edges[c + 1]]
-            if len(at):
-                hc, word = h[at], tokens[at] // CLASSES
-                s = hc @ self.p["w"][c] + self.p["wb"][c]
-                e = np.exp(s)
-                total, k = e.sum(1, keepdims=True), np.arange(len(at))
-                logp[at] += s[k, word] - np.log(total[:, 0])
+            at = slice(edges[c], edges[c + 1])
+            hc, word = hs[at], words[at]
+            if len(hc):
+                s, k = hc @ self.p["w"][c], np.arange(len(hc))
+                s += self.p["wb"][c]
+                chosen = s[k, word]
+                np.exp(s, out=s)
+                total = s.sum(1)
+                more[at] = chosen - np.log(total)
                 if grad is not None:
-                    d = -e / total
-                    d[k, word] += 1
-                    grad["w"][c] += hc.T @ d
-                    grad["wb"][c] += d.sum(0)
-                    dh[at] += d @ self.p["w"][c].T
+                    s *= (-1 / total)[:, None]
+                    s[k, word] += 1
+                    grad["w"][c] += hc.T @ s
+                    grad["wb"][c] += s.sum(0)
+                    dhs[at] = s @ self.p["w"][c].T
+        logp[order] += more
+        if grad is not None:
+            dh[order] += dhs
         return logp, dh
 
     def learn(self, h: np.ndarray, tokens: np.ndarray, starts: np.ndarray, valid: np.ndarray, full: int = 0) -> np.ndarray:
         """One step of truncated backpropagation through a window; returns the state behind it. The gradient is the mean
         over the window's tokens, or with full its sum over that many, so that a window of few lanes weighs less."""
-        grad = {k: np.zeros(s, np.float32) for k, s in self.SHAPES.items()}
-        kept, before = [], np.empty((*tokens.shape, HIDDEN), np.float32)
-        for t in range(len(tokens)):
-            h = np.where(starts[t][:, None], np.float32(0), h)
-            before[t] = h
-            new, z, r, n, g = self.step(h, self.p["x"][tokens[t]])
-            kept.append((h, z, r, n, g))
-            h = new
+        grad = {k: np.zeros(s, np.float32) for k, s in self.SHAPES.items() if k != "x"}
+        before, h, z, r, n, inner = self.run(h, tokens, starts)
         flat = np.flatnonzero(valid.ravel())
         dh_out = np.zeros((tokens.size, HIDDEN), np.float32)
         _, dh_out[flat] = self.outputs(before.reshape(-1, HIDDEN)[flat], tokens.ravel()[flat], grad)
         dh_out = dh_out.reshape(before.shape)
-        dh, dx = np.zeros_like(h), np.empty((*tokens.shape, 3 * HIDDEN), np.float32)
+        by_n, by_z, by_r = (1 - z) * (1 - n * n), (before - n) * z * (1 - z), inner * r * (1 - r)
+        dh, fresh, k, u = np.zeros_like(h), starts.any(1), 2 * HIDDEN, self.p["u"].T.copy()
+        dn, dg = np.empty_like(before), np.empty((*tokens.shape, 3 * HIDDEN), np.float32)
         for t in range(len(tokens) - 1, -1, -1):
-            old, z, r, n, g = kept[t]
-            da = dh * (1 - z) * (1 - n * n)
-            dz, dr = dh * (old - n) * z * (1 - z), da * g * r * (1 - r)
-            dx[t] = np.hstack([dz, dr, da])
-            dg = np.hstack([dz, dr, da * r])
-            grad["u"] += old.T @ dg
-            dh = dh * z + dg @ self.p["u"].T + dh_out[t]
-            dh[starts[t]] = 0
+            da, d = dn[t], dg[t]
+            np.multiply(dh, by_n[t], out=da)
+            np.multiply(dh, by_z[t], out=d[:, :HIDDEN])
+            np.multiply(da, by_r[t], out=d[:, HIDDEN:k])
+            np.multiply(da, r[t], out=d[:, k:])
+            dh *= z[t]
+            dh += d @ u
+            dh += dh_out[t]
+            if fresh[t]:
+                dh[starts[t]] = 0
+        grad["u"] += before.reshape(-1, HIDDEN).T @ dg.reshape(-1, 3 * HIDDEN)
+        dx = dg
+        dx[:, :, k:] = dn
         order = np.argsort(tokens.ravel(), kind="stable")
         seen, edges = np.unique(tokens.ravel()[order], return_index=True)
-        grad["x"][seen] = np.add.reduceat(dx.reshape(-1, 3 * HIDDEN)[order], edges, axis=0)
-        scale = 1 / max(1, full or len(flat))
+        grad["x"] = np.add.reduceat(dx.reshape(-1, 3 * HIDDEN)[order], edges, axis=0)
+        scale = np.float32(1 / max(1, full or len(flat)))
         for k, d in grad.items():
             d *= scale
-            s = self.squares.setdefault(k, np.full(d.shape, 1e-6, np.float32))
-            s += d * d
-            self.p[k] += np.float32(RATE) * d / np.sqrt(s)
+            if k not in self.squares:
+                self.squares[k] = np.full(self.SHAPES[k], 1e-6, np.float32)
+            s = self.squares[k]
+            of = seen if k == "x" else slice(None)  # inputs that a window lacks have no gradient
+            s[of] += d * d
+            d *= np.float32(RATE)
+            self.p[k][of] += d / np.sqrt(s[of])
         return h
 
 
@@ -181,23 +233,16 @@ def score_lists(model: Gru, lists: list[np.ndarray]) -> np.ndarray:
         part = slice(at, at + SCORE_WINDOW)
         n = int((owner[at] >= 0).sum())
         own = owner[part, :n].ravel()
-        before, h = model.states(h[:n], tokens[part, :n], starts[part, :n])
+        before, h = model.run(h[:n], tokens[part, :n], starts[part, :n])[:2]
         real = np.flatnonzero(own >= 0)
         logp, _ = model.outputs(before.reshape(-1, HIDDEN)[real], tokens[part, :n].ravel()[real])
         out += np.bincount(own[real], weights=logp, minlength=len(lists))
     return out
 
 
-class Head(dict):
-    """Rank of each of the most frequent words; -1 for others."""
-
-    def __missing__(self, word: bytes) -> int:
-        return -1
-
-
-def token_ids(head: Head, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Ranks of words, and tokens of the model with the end behind: 0 is the end, rank r is r + 1."""
-    ranks = np.fromiter(map(head.__getitem__, words), np.int32, len(words))
+def token_ids(head: dict[bytes, int], words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Ranks of words (-1: not in head), and tokens of the model with the end behind: 0 is the end, rank r is r + 1."""
+    ranks = np.fromiter(map(head.get, words, repeat(-1)), np.int32, len(words))
     tokens = np.zeros(len(words) + 1, np.int32)
     tokens[:-1] = np.where((ranks < 0) | (ranks >= VOCABULARY - 1), VOCABULARY, ranks + 1)
     return ranks, tokens
@@ -220,7 +265,16 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInPandas(count, "word binary, count long").groupBy("word").agg(F.sum("count").alias("count"))
 
 
-def learn_texts(model: Gru, texts: Iterator[str], head: Head) -> int:
+def frequent(counts: DataFrame, most: int) -> pa.Table:
+    """(word, count) of the most frequent words, `most` at most, in order: those above the least count that leaves so few.
+    Counts that occur are few: so many different ones need a corpus of half their square."""
+    by = counts.groupBy("count").agg(F.count("*").alias("n")).toArrow().sort_by([("count", "descending")])
+    fits = np.cumsum(by["n"].to_numpy()) <= most
+    least = int(by["count"].to_numpy()[fits].min()) if fits.any() else 1 << 62
+    return counts.where(F.col("count") >= least).toArrow().sort_by([("count", "descending"), ("word", "ascending")])
+
+
+def learn_texts(model: Gru, texts: Iterator[str], head: dict[bytes, int]) -> int:
     """Trains the model on every word and end of the texts; returns their number."""
     n, held, gathered = 0, [], 0
     for t in texts:
@@ -241,6 +295,7 @@ def trained(texts: DataFrame, model: Gru, head, rounds: int) -> Gru:
         start = model.flat()
 
         def learn(batches: Iterator[pd.DataFrame], start=start) -> Iterator[pd.DataFrame]:
+            keep_memory()
             own = Gru(start)
             n = learn_texts(own, (t for pdf in batches for t in pdf["text"]), head.value[0])
             if n:
@@ -289,17 +344,18 @@ def lm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_co
     n_words, distinct = counts.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count("*")).first()
     ends = train.count()
     total, kinds = n_words + ends, distinct + (ends > 0)
-    top = counts.orderBy(F.desc("count"), "word").limit(HEAD_WORDS).toArrow()
+    top = frequent(counts, HEAD_WORDS)
     times = np.append(ends, top["count"].to_numpy())[: VOCABULARY].astype(float)
     rare_n, rare_kinds = total - times.sum(), max(0, kinds - len(times))
     rare_log = float(np.log10(rare_n + rare_kinds + 1))
     ranked = top["word"].to_pylist()
-    head = spark.sparkContext.broadcast((Head(zip(ranked, range(len(ranked)), strict=True)), np.log10(top["count"].to_numpy() + 1.0)))
+    head = spark.sparkContext.broadcast((dict(zip(ranked, range(len(ranked)), strict=True)), np.log10(top["count"].to_numpy() + 1.0)))
     end_log = float(np.log10(ends + 1))
     model = trained(train.select("text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)).alias("h")), Gru.fresh(times, rare_n), head, rounds)
     weights = spark.sparkContext.broadcast(model.flat())
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keep_memory()
         own, (ranks_of, logs) = Gru(weights.value), head.value
         rows, lists, gathered = [], [], 0
 

@@ -367,7 +367,7 @@ def test_gradients_are_those_of_the_log_likelihood():
     tokens_ = rng.integers(0, lm.VOCABULARY + 1, (6, 3)).astype(np.int32)
     starts = np.zeros((6, 3), bool)
     starts[0] = starts[3, 1] = True
-    total = lambda m: float(m.outputs(m.states(np.zeros((3, lm.HIDDEN), np.float32), tokens_, starts)[0].reshape(-1, lm.HIDDEN), tokens_.ravel())[0].astype(float).sum())
+    total = lambda m: float(m.outputs(m.run(np.zeros((3, lm.HIDDEN), np.float32), tokens_, starts)[0].reshape(-1, lm.HIDDEN), tokens_.ravel())[0].astype(float).sum())
     flat = model.flat()
     for name, at in (("u", (2, 5)), ("x", (int(tokens_[0, 0]), 20)), ("c", (1, 7)), ("w", (int(tokens_[1, 1] % lm.CLASSES), 3, 4))):
         low, high = lm.Gru(flat), lm.Gru(flat)
@@ -393,14 +393,14 @@ def test_state_runs_through_windows_and_documents_are_apart():
     together = lm.score_lists(model, lists)
     assert np.allclose(together, [lm.score_lists(model, [x])[0] for x in lists], rtol=1e-4)
     long = lists[-1][:, None]
-    before, _ = model.states(np.zeros((1, lm.HIDDEN), np.float32), long, np.arange(500)[:, None] == 0)
+    before = model.run(np.zeros((1, lm.HIDDEN), np.float32), long, np.arange(500)[:, None] == 0)[0]
     assert abs(model.outputs(before.reshape(-1, lm.HIDDEN), long.ravel())[0].sum() - together[-1]) < 0.05
 
 
 def test_training_learns_every_word_with_carried_states(monkeypatch):
     rng = random.Random(9)
     texts = [" ".join(rng.choice("abcdefgh") for _ in range(n)) for n in (700, 0, 90, 1, 333)]
-    head = lm.Head((w.encode(), i) for i, w in enumerate("abcdefgh"))
+    head = {w.encode(): i for i, w in enumerate("abcdefgh")}
     fresh = lambda: lm.Gru.fresh(np.full(9, 100.0), 5.0)
     model, seen, learn = fresh(), [], lm.Gru.learn
 
