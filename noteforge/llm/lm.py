@@ -27,6 +27,10 @@ HEAD_WORDS = 200_000
 WINDOW, ROUNDS, LANES, RATE = 32, 2, 128, 0.1
 #: Words that a worker gathers before it deals documents to lanes; for scoring, lanes and steps whose outputs it holds.
 GATHER, SCORE_LANES, SCORE_WINDOW = 4_000_000, 384, 64
+#: Tokens whose class outputs are made at once, so that they stay in a core's cache.
+AT_ONCE, ONES = 2048, np.ones(max(CLASSES + 1, PER_CLASS), np.float32)
+#: Pieces in which the workers' parameters are added up.
+PIECES = 1024
 #: Up to so many tokens of a window have their class's weights gathered one by one; more are sorted by class.
 FEW = 256
 #: Distinct words that a worker counts before it passes them on.
@@ -102,21 +106,27 @@ class Gru:
             h += n
         return before, h, gates[:, :, :HIDDEN], gates[:, :, HIDDEN:], new, inner
 
+    def of_classes(self, h: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Log probabilities of the classes, and of all classes the exponentials and their sums."""
+        e = h @ self.p["c"]
+        e += self.p["cb"]  # small: states are within 1, biases start as log shares
+        logp = e[np.arange(len(classes)), classes]
+        np.exp(e, out=e)
+        total = e @ ONES[: CLASSES + 1]
+        return logp - np.log(total), e, total
+
     def outputs(self, h: np.ndarray, tokens: np.ndarray, grad: dict[str, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log probabilities of tokens from the states in front; with grad, adds the gradients of their sum and
         returns that by h."""
         classes = np.where(tokens == VOCABULARY, CLASSES, tokens % CLASSES)
-        e = h @ self.p["c"]
-        e += self.p["cb"]  # small: states are within 1, biases start as log shares
-        rows = np.arange(len(tokens))
-        logp = e[rows, classes]
-        np.exp(e, out=e)
-        total = e.sum(1)
-        logp -= np.log(total)
+        if grad is None and len(tokens) > 2 * AT_ONCE:
+            logp = np.concatenate([self.of_classes(h[i : i + AT_ONCE], classes[i : i + AT_ONCE])[0] for i in range(0, len(tokens), AT_ONCE)])
+        else:
+            logp, e, total = self.of_classes(h, classes)
         dh = None
         if grad is not None:
             e *= (-1 / total)[:, None]
-            e[rows, classes] += 1
+            e[np.arange(len(tokens)), classes] += 1
             grad["c"] += h.T @ e
             grad["cb"] += e.sum(0)
             dh = e @ self.p["c"].T
@@ -149,7 +159,7 @@ class Gru:
                 s += self.p["wb"][c]
                 chosen = s[k, word]
                 np.exp(s, out=s)
-                total = s.sum(1)
+                total = s @ ONES[:PER_CLASS]
                 more[at] = chosen - np.log(total)
                 if grad is not None:
                     s *= (-1 / total)[:, None]
@@ -299,14 +309,15 @@ def trained(texts: DataFrame, model: Gru, head, rounds: int) -> Gru:
             own = Gru(start)
             n = learn_texts(own, (t for pdf in batches for t in pdf["text"]), head.value[0])
             if n:
-                yield pd.DataFrame({"n": [n], "p": [own.flat() * n]})
+                yield pd.DataFrame({"piece": range(PIECES), "n": [n] * PIECES, "p": np.array_split(own.flat() * n, PIECES)})
+
+        def add(pdf: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({"piece": pdf["piece"][:1], "p": [np.sum(pdf["p"].tolist(), axis=0, dtype=float) / pdf["n"].sum()]})
 
-        got = texts.where(F.col("h") % rounds == turn).select("text").mapInPandas(learn, "n long, p array<float>").select("n", F.posexplode("p").alias("i", "v"))
-        got = got.groupBy("i").agg(F.sum("v").alias("v"), F.sum("n").alias("n")).toArrow()
+        got = texts.where(F.col("h") % rounds == turn).select("text").mapInPandas(learn, "piece int, n long, p array<float>")
+        got = got.groupBy("piece").applyInPandas(add, "piece int, p array<double>").toArrow().sort_by("piece")
         if got.num_rows:
-            flat = np.empty(len(start))
-            flat[got["i"].to_numpy()] = got["v"].to_numpy() / got["n"].to_numpy()
-            model = Gru(flat)
+            model = Gru(got["p"].combine_chunks().values.to_numpy())
     return model
 
 
