@@ -127,7 +127,7 @@ def size_threshold_filter(spark, sf):
     return names(spark, sf).where("size > 2 * 1024").select("doc_id", "size")
 
 
-@query("SELECT doc_id, CASE WHEN n_chars < 1024 THEN printf('%.2f B', n_chars::double) ELSE printf('%.2f KB', n_chars / 1024.0::double) END AS shown FROM documents WHERE n_chars < 1048576")
+@query("SELECT doc_id, CASE WHEN n_chars < 1024 THEN printf('%.2f B', n_chars::double) WHEN n_chars < 1048576 THEN printf('%.2f KB', n_chars / 1024.0::double) WHEN n_chars < 1073741824 THEN printf('%.2f MB', n_chars / 1048576.0::double) WHEN n_chars < 1099511627776 THEN printf('%.2f GB', n_chars / 1073741824.0::double) ELSE printf('%.2f TB', n_chars / 1099511627776.0::double) END AS shown FROM documents")
 def human_sizes(spark, sf):
     return table(spark, sf, "documents").select("doc_id", stats.human_size(F.col("n_chars").cast("double")).alias("shown"))
 
@@ -271,9 +271,23 @@ def orphans_verified(spark, sf):
     return references.verified_sample(n, references.orphans(n, a))
 
 
-@query(LINKS + r""", n AS (SELECT path, coalesce(nullif(regexp_extract(name, '^(.+) \(([0-9]+)\)\.md$', 1), ''), regexp_replace(name, '\.md$', '')) AS base, coalesce(try_cast(nullif(regexp_extract(name, '^(.+) \(([0-9]+)\)\.md$', 2), '') AS bigint), 0) AS number FROM notes),
+NOTE_LINKS = LINKS + r""", own AS (SELECT path, name FROM (SELECT path, unnest(regexp_extract_all(content, '\[\[([^\]]+)\]\]', 1)) AS rel_path FROM notes) JOIN attachments USING (rel_path)
+  UNION SELECT path, string_split(url, 'Attachments/')[-1] FROM (SELECT path, unnest(regexp_extract_all(content, '!\[[^\]]*\]\(([^)]+)\)', 1)) AS url FROM notes) WHERE contains(url, 'Attachments/')) """
+
+
+@query(NOTE_LINKS + "SELECT path, name FROM own")
+def note_attachments(spark, sf):
+    return references.note_attachments(*vault(spark, sf))
+
+
+@query(NOTE_LINKS + "SELECT path, count(*) AS attachments FROM own GROUP BY path")
+def attachment_counts(spark, sf):
+    return references.note_attachments(*vault(spark, sf)).groupBy("path").agg(F.count("*").alias("attachments"))
+
+
+@query(NOTE_LINKS + r""", n AS (SELECT path, coalesce(nullif(regexp_extract(name, '^(.+) \(([0-9]+)\)\.md$', 1), ''), regexp_replace(name, '\.md$', '')) AS base, coalesce(try_cast(nullif(regexp_extract(name, '^(.+) \(([0-9]+)\)\.md$', 2), '') AS bigint), 0) AS number FROM notes),
  ng AS (SELECT path, base, row_number() OVER (PARTITION BY base ORDER BY number, path) = 1 AS is_original FROM n QUALIFY max(number) OVER (PARTITION BY base) > 0)
- SELECT base, rel_path, min(path) AS path FROM refs JOIN ng USING (path) GROUP BY base, rel_path HAVING count(*) = 1 AND NOT bool_or(is_original)""")
+ SELECT base, name, min(path) AS path FROM own JOIN ng USING (path) GROUP BY base, name HAVING count(*) = 1 AND NOT bool_or(is_original)""")
 def orphan_in_group(spark, sf):
     return references.group_orphans(*vault(spark, sf))
 
@@ -283,12 +297,15 @@ def link_counts(spark, sf):
     return references.link_counts(notes(spark, sf))
 
 
-@query(LINKS + "SELECT path, min(rel_path) AS rel_path FROM (SELECT path, unnest(regexp_extract_all(content, '!\\[\\[([^\\]]+)\\]\\]', 1)) AS e FROM notes) JOIN attachments ON split_part(e, '|', 1) = name GROUP BY path")
+@query(LINKS + r""", first AS (SELECT name, min(rel_path) AS rel_path FROM attachments WHERE ends_with(lower(name), '.png') GROUP BY name),
+ e AS (SELECT path, split_part(unnest(regexp_extract_all(content, '!\[\[([^\]]+)\]\]', 1)), '|', 1) AS name FROM notes),
+ u AS (SELECT path, unnest(regexp_extract_all(content, '!\[[^\]]*\]\(([^)]+)\)', 1)) AS url FROM notes)
+ SELECT path, rel_path FROM e JOIN first USING (name) WHERE ends_with(lower(name), '.png')
+ UNION SELECT path, rel_path FROM (SELECT path, split_part(replace(regexp_split_to_array(url, '(?i)attachments/')[-1], '../', ''), '?', 1) AS rel_path FROM u
+   WHERE ends_with(lower(url), '.png') AND contains(lower(url), 'attachments/')) SEMI JOIN attachments USING (rel_path)""")
 def audio_embeds(spark, sf):
-    """Embeds of .png stand in for audio; aliases are cut in the fixture before the lookup."""
-    n, a = vault(spark, sf)
-    n = n.select("path", F.regexp_replace("content", r"(!\[\[[^\]|]+)\|[^\]]*\]\]", "$1]]").alias("content"))
-    return references.audio_embeds(n.select("path", F.regexp_replace("content", r"\]\(", "] (").alias("content")), a, ["png"])
+    """Embeds of .png stand in for audio."""
+    return references.audio_embeds(*vault(spark, sf), ["png"])
 
 
 @query()
@@ -390,7 +407,7 @@ def report_failed(spark, sf):
 @query(REPORT + ", n AS (SELECT path, 'keep' AS action, 80.0::double AS score FROM report WHERE reasoning = 'Error parsing LLM response') SELECT r.path, coalesce(n.action, r.action) AS action, coalesce(n.score, r.score) AS score FROM report r LEFT JOIN n USING (path)")
 def report_upsert(spark, sf):
     r = report(spark, sf)
-    return reports.upsert(r, reports.failed(r).select("path", F.lit("keep").alias("action"), F.lit(80.0).alias("score"))).select("path", "action", "score")
+    return reports.upsert(r, reports.failed(r).select("path", F.lit("keep").alias("action"), F.lit(80.0).alias("score")).distinct(), "input_tokens").select("path", "action", "score")
 
 
 @query(REPORT + "SELECT path, score, CASE WHEN score >= 70 THEN 'green' WHEN score >= 50 THEN 'yellow' ELSE 'red' END AS band FROM report WHERE action = 'review'")
@@ -528,6 +545,11 @@ def archive_frontmatter(spark, sf):
     return curation.archive_rows(notes(spark, sf), "2024-01-01").select("path", F.md5("new_content").alias("content_md5"))
 
 
+@query()
+def archive_totals(spark, sf):
+    return curation.archive_totals(notes(spark, sf))
+
+
 @query()
 def hashtags_found(spark, sf):
     return curation.hashtag_rows(notes(spark, sf))
@@ -557,6 +579,11 @@ def paths_extracted(spark, sf):
     return curation.path_rows(notes(spark, sf), "/vault")
 
 
+@query(LINKS + "SELECT DISTINCT path, '/vault/' || link AS resolved FROM wiki WHERE link <> ''")
+def paths_wiki_only(spark, sf):
+    return curation.path_rows(notes(spark, sf), "/vault", "only").select("path", "resolved")
+
+
 @query()
 def basename_match(spark, sf):
     n = notes(spark, sf)
@@ -571,9 +598,26 @@ def chapters(spark, sf) -> DataFrame:
     return docs.select("doc_id", F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("path"), body.alias("content"))
 
 
-@query()
+def book_chapters(spark, sf) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    body = F.concat(F.lit('---\ntitle: "Chapter '), F.col("doc_id").cast("string"), F.lit('"\n'), F.when(F.col("doc_id") % 2 == 0, F.lit("book: Tome\n")).otherwise(""), F.lit("---\n## Chapter Overview\n\n"), F.replace(F.replace("text", F.lit("\n## "), F.lit("\n# ")), F.lit("\n---"), F.lit("\n--")), F.lit("\n\n## Key Arguments\n\n- **first** a\n- **second** b\n\n## Core Concepts\n\n"), F.when(F.col("doc_id") % 5 != 0, "### one\n\n### two\n").otherwise("none\n"), F.when(F.col("doc_id") % 3 == 0, "![[x diagram.png]]\n").otherwise(""))
+    return docs.select("doc_id", F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("path"), body.alias("content"))
+
+
+CHAPTERS = """WITH c AS (SELECT doc_id, trim(replace(replace(text, chr(10) || '## ', chr(10) || '# '), chr(10) || '---', chr(10) || '--'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160)) AS overview FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '(?i)!\\[\\[.*diagram.*\\]\\]|!\\[.*diagram.*\\]\\(.*\\)|!\\[\\[.*\\.excalidraw.*\\]\\]|```mermaid')) """
+
+
+@query(CHAPTERS + """SELECT 'c' || doc_id AS path, 'Chapter ' || doc_id AS title, CASE WHEN doc_id % 2 = 0 THEN 'Tome' ELSE 'Book' END AS book, 2 AS points, CASE WHEN doc_id % 5 <> 0 THEN 2 ELSE 0 END AS headers,
+ md5('Create a professional concept map infographic summarizing:' || chr(10) || chr(10) || 'CHAPTER: Chapter ' || doc_id || chr(10) || 'FROM: ' || CASE WHEN doc_id % 2 = 0 THEN 'Tome' ELSE 'Book' END || chr(10) || chr(10) || 'OVERVIEW:' || chr(10) || overview[1:400]
+ || chr(10) || chr(10) || 'KEY CONCEPTS TO VISUALIZE:' || chr(10) || CASE WHEN doc_id % 5 <> 0 THEN '- one' || chr(10) || '- two' ELSE '- first' || chr(10) || '- second' END || chr(10) || chr(10) || 'MAIN ARGUMENTS:' || chr(10) || '- first' || chr(10) || '- second' || chr(10) || chr(10)
+ || 'Create a concept map showing relationships between these ideas. Use arrows and connections to show how concepts relate. Place the chapter title prominently at top.' || chr(10) || chr(10) || chr(10)) AS prompt_md5 FROM c WHERE doc_id % 3 <> 0""")
 def chapter_prompts(spark, sf):
-    return curation.chapter_prompts(chapters(spark, sf))
+    return curation.chapter_prompts(book_chapters(spark, sf)).select("path", "title", "book", "points", "headers", F.md5("prompt").alias("prompt_md5"))
+
+
+@query("SELECT count(*) AS chapters, count(*) FILTER (doc_id % 3 = 0) AS with_diagram, count(*) FILTER (doc_id % 3 <> 0) AS to_make, cast(0 AS bigint) AS no_content FROM documents")
+def chapter_totals(spark, sf):
+    return curation.chapter_totals(book_chapters(spark, sf))
 
 
 @query()
@@ -582,13 +626,81 @@ def insert_embed(spark, sf):
     return rows.select("path", F.md5(text.with_embed(F.col("content"), F.concat(F.lit("![["), text.safe_name(F.col("path")), F.lit(".png]]")))).alias("content_md5"))
 
 
-@query()
-def agents_validate(spark, sf):
+def agents(spark, sf) -> DataFrame:
     docs = table(spark, sf, "documents")
     i = F.col("doc_id").cast("string")
-    body = F.concat(F.lit("---\n"), F.when(F.col("doc_id") % 7 != 0, F.concat(F.lit("name: agent-"), i, F.lit("\n"))).otherwise(""), F.lit('description: "does <example> things"\nmodel: '), F.when(F.col("doc_id") % 5 == 0, "gpt").otherwise("opus"), F.lit("\nskills: alpha, beta\n---\n"), F.when(F.col("doc_id") % 3 != 0, "body\n").otherwise(""))
-    rows = curation.agent_rows(docs.select(i.alias("path"), body.alias("content")), spark.range(1).select(F.lit("alpha").alias("skill")))
-    return rows.select("path", "name", "valid", F.array_join("errors", "; ").alias("errors"), F.array_join("warnings", "; ").alias("warnings"))
+    body = F.concat(F.lit("---\n"), F.when(F.col("doc_id") % 7 != 0, F.concat(F.lit("name: agent-"), i, F.lit("\n"))).otherwise(""), F.when(F.col("doc_id") % 11 == 0, "description: bare\nloose line\nmodel: ").otherwise('description: "does <example> things"\nmodel: '), F.when(F.col("doc_id") % 5 == 0, "gpt").otherwise("opus"), F.lit("\nskills: alpha, beta\n---\n"), F.when(F.col("doc_id") % 3 != 0, "body\n").otherwise(""))
+    return curation.agent_rows(docs.select(i.alias("path"), body.alias("content")), spark.range(1).select(F.lit("alpha").alias("skill")))
+
+
+AGENTS = """WITH a AS (SELECT cast(doc_id AS varchar) AS path, CASE WHEN doc_id % 7 <> 0 THEN 'agent-' || doc_id END AS name,
+  concat_ws('; ', CASE WHEN doc_id % 11 = 0 THEN 'Description spans lines without quotes' END, CASE WHEN doc_id % 7 = 0 THEN 'Missing field: name' END, CASE WHEN doc_id % 5 = 0 THEN 'Invalid model: gpt' END) AS errors,
+  concat_ws('; ', CASE WHEN doc_id % 11 = 0 THEN 'No example' END, CASE WHEN doc_id % 3 = 0 THEN 'Empty body' END, 'Missing skill: beta') AS warnings FROM documents) """
+
+
+@query(AGENTS + "SELECT path, name, errors = '' AS valid, errors, warnings FROM a")
+def agents_validate(spark, sf):
+    return agents(spark, sf).select("path", "name", "valid", F.array_join("errors", "; ").alias("errors"), F.array_join("warnings", "; ").alias("warnings"))
+
+
+@query(AGENTS + """SELECT count(*) AS files, count(*) FILTER (errors = '') AS valid, cast(sum(CASE WHEN errors = '' THEN 0 ELSE len(string_split(errors, '; ')) END) AS bigint) AS errors,
+ cast(sum(len(string_split(warnings, '; '))) AS bigint) AS warnings, cast(max(CASE WHEN errors = '' THEN 0 ELSE 1 END) AS integer) AS exit_code FROM a""")
+def agents_totals(spark, sf):
+    return curation.validation_totals(agents(spark, sf))
+
+
+def recorded(spark, sf) -> DataFrame:
+    docs = table(spark, sf, "documents").where("text is not null")
+    head = F.when(F.col("doc_id") % 4 == 0, "\n## Audio Transcript\n").when(F.col("doc_id") % 4 == 1, "\n##  transcript\n").otherwise("")
+    return docs.select(F.col("doc_id").cast("string").alias("path"), F.concat(F.lit("n"), head).alias("content"), "text")
+
+
+@query("SELECT cast(doc_id AS varchar) AS path, doc_id % 4 < 2 AS has_transcript FROM documents WHERE text IS NOT NULL")
+def transcripts_there(spark, sf):
+    return recorded(spark, sf).select("path", text.has_transcript(F.col("content")).alias("has_transcript"))
+
+
+@query("""SELECT cast(doc_id AS varchar) AS path, cast(len(list_filter(regexp_split_to_array(text, '[\\s\\x0b]+'), lambda x: x <> '')) AS integer) AS words,
+ md5('n' || chr(10) || chr(10) || '## Audio Transcript' || chr(10) || chr(10) || '**File:** r.m4a' || chr(10) || chr(10) || text || chr(10)) AS content_md5 FROM documents WHERE text IS NOT NULL AND doc_id % 4 > 1""")
+def transcripts_added(spark, sf):
+    rows = recorded(spark, sf)
+    return curation.with_transcript(rows.select("path", "content"), rows.select("path", F.lit("r.m4a").alias("file"), "text")).select("path", "words", F.md5("new_content").alias("content_md5"))
+
+
+TOPICS = {"topic/tools": ["tool", "work"], "topic/time": ["day", "year"], "topic/rare": ["zzzz"]}
+
+
+@query("""SELECT cast(doc_id AS varchar) AS path, 'topic/tools' AS topic FROM documents WHERE contains(lower(text), 'tool') OR contains(lower(text), 'work')
+ UNION ALL SELECT cast(doc_id AS varchar), 'topic/time' FROM documents WHERE contains(lower(text), 'day') OR contains(lower(text), 'year')""")
+def keyword_topics(spark, sf):
+    docs = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"))
+    return curation.keyword_tags(docs, TOPICS)
+
+
+@query("SELECT cast(doc_id AS varchar) AS path, md5('---' || chr(10) || 'title: T' || chr(10) || 'analysis:' || chr(10) || '  quality_score: ' || (doc_id % 100) || '.0' || chr(10) || '  action: keep' || chr(10) || '  has_framework: ' || CASE WHEN doc_id % 2 = 0 THEN 'true' ELSE 'false' END || chr(10) || '  analyzed_date: 2024-01-01' || chr(10) || '  analyzed_model: m' || chr(10) || '---' || chr(10) || text) AS content_md5 FROM documents WHERE text IS NOT NULL")
+def analysis_blocks(spark, sf):
+    """Notes with a block of an earlier analysis, which the new one replaces."""
+    docs = table(spark, sf, "documents").where("text is not null").withColumn("path", F.col("doc_id").cast("string"))
+    n = docs.select("path", F.concat(F.lit("---\ntitle: T\n"), F.when(F.col("doc_id") % 3 == 0, "analysis:\n  quality_score: 1\n  action: review\n").otherwise(""), F.lit("---\n"), "text").alias("content"))
+    r = docs.select("path", (F.col("doc_id") % 100).cast("double").alias("score"), F.lit("keep").alias("action"), (F.col("doc_id") % 2 == 0).alias("has_framework"))
+    return curation.analysis_frontmatter(n, r, "2024-01-01", "m").select("path", F.md5("new_content").alias("content_md5"))
+
+
+@query("SELECT l_orderkey AS pdf, round(avg(l_quantity / 50.0::double), 9) AS ssim, avg(l_quantity / 50.0::double) >= 0.92 AS passed FROM lineitem GROUP BY l_orderkey")
+def pdf_quality(spark, sf):
+    scores = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("pdf"), (F.col("l_quantity") / 50.0).alias("ssim"))
+    return media.quality(scores).withColumn("ssim", F.round("ssim", 9))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 120 ELSE 150 END AS dpi, CASE WHEN doc_id % 2 = 0 THEN 60 ELSE 50 END AS quality, CASE WHEN doc_id % 2 = 0 THEN 1600 ELSE 1024 END AS longest, doc_id % 2 = 0 AS grayscale FROM documents")
+def pdf_settings(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", *media.encoder_settings(F.col("doc_id") % 2 == 0))
+
+
+@query("SELECT doc_id, ['jpg', 'jpeg', 'png', 'webp', 'bmp', 'tiff', 'tif', 'heic', 'heif', 'gif', 'svg'][doc_id % 11 + 1] AS ext, ['JPEG', 'JPEG', 'PNG', 'WEBP', 'JPEG', 'JPEG', 'JPEG', 'JPEG', 'JPEG', 'GIF', NULL][doc_id % 11 + 1] AS format FROM documents")
+def image_formats(spark, sf):
+    exts = F.lit([*media.FORMATS, "svg"])
+    return table(spark, sf, "documents").select("doc_id", F.element_at(exts, (F.col("doc_id") % 11 + 1).cast("int")).alias("ext")).withColumn("format", media.target_format(F.col("ext")))
 
 
 @query()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import difflib
 import json
 import re
@@ -22,36 +23,33 @@ def _unified_diff(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 HASHTAG = re.compile("(?<![`\\w])#([\U0001f300-\U0001f9ff☀-➿]*[a-zA-Z][a-zA-Z0-9_/-]*)")
-CONTEXT = re.compile(r"```|`|\[\[|\]\]|\]\(|\)|\n")
+MARKS = {"[[": re.compile(r"(?=\[\[)"), "]]": re.compile(r"(?=\]\])"), "(": re.compile(r"\("), ")": re.compile(r"\)"), "```": re.compile("```")}
 
 
 def find_hashtags(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, tag) of hashtags to escape: outside the frontmatter, code, links, and without a slash. One walk over
-    the marks that open and close a context; a line's end closes inline code."""
+    """(start, end, tag) of hashtags to escape: behind the frontmatter, without a slash, and not inside code or a link.
+    Code: an odd number of ``` in front of the tag, or of single backticks in its line. Links: a [[ in front without ]]
+    behind it, or the last ( in front follows a ] and has no ) behind it. The places of marks are looked up by bisection."""
     begin = text.find("---", 3) + 3 if text.startswith("---") and text.find("---", 3) >= 0 else 0
-    marks = list(CONTEXT.finditer(text))
-    out, k = [], 0
-    fence = inline = wiki = url = False
-    for m in HASHTAG.finditer(text):
-        while k < len(marks) and marks[k].start() < m.start():
-            t = marks[k].group()
-            if t == "```":
-                fence = not fence
-            elif t == "`":
-                inline = not inline
-            elif t == "\n":
-                inline = False
-            elif t == "[[":
-                wiki = True
-            elif t == "]]":
-                wiki = False
-            elif t == "](":
-                url = True
-            elif t == ")":
-                url = False
-            k += 1
-        if m.start() >= begin and not (fence or inline or wiki or url) and "/" not in m.group(1):
-            out.append((m.start(), m.end(), m.group(1)))
+    found = [m for m in HASHTAG.finditer(text, begin) if "/" not in m.group(1)]
+    places = {k: [m.start() for m in p.finditer(text)] for k, p in MARKS.items()} if found else {}
+
+    def last(mark: str, end: int) -> int:
+        """Where the last such mark stands that ends before `end`; -1 without."""
+        i = bisect.bisect_right(places[mark], end - len(mark))
+        return places[mark][i - 1] if i else -1
+
+    out = []
+    for m in found:
+        at = m.start()
+        line = text[text.rfind("\n", 0, at) + 1 : at]
+        fence = bisect.bisect_right(places["```"], at - 3) % 2 == 1
+        inline = (line.count("`") - 3 * line.count("```")) % 2 == 1
+        wiki = last("[[", at) > last("]]", at)
+        paren = last("(", at)
+        url = paren > 0 and text[paren - 1] == "]" and last(")", at) < paren
+        if not (fence or inline or wiki or url):
+            out.append((at, m.end(), m.group(1)))
     return out
 
 
@@ -72,32 +70,25 @@ def _escape_hashtags(text: pd.Series) -> pd.Series:
 
 
 def small_yaml(text: str) -> dict[str, str]:
-    """Keys of a frontmatter block. A value of | or > takes all lines that follow; lines with two blanks in front and no
-    colon continue a value; keys without a value are dropped."""
-    if not text.startswith("---"):
+    """Keys of a frontmatter block. A value of | or > takes all lines that follow as they are; lines with two blanks in
+    front and no colon continue another value; quotes go from a value that starts with one. A key with nothing behind
+    its colon is left out unless lines follow, one with empty quotes is empty."""
+    rows = text.split("\n")
+    end = next((i for i, r in enumerate(rows) if i and r.strip() == "---"), 0)
+    if not text.startswith("---") or not end:
         return {}
-    out: dict[str, str] = {}
-    key, block, held = None, False, []
-    rows = text.split("\n")[1:]
-    if not any(r.strip() == "---" for r in rows):
-        return {}
-    for row in rows:
-        if row.strip() == "---":
-            break
+    entries: list[tuple[str, list[str]]] = []
+    block = False
+    for row in rows[1:end]:
         if block:
-            held.append(row.strip())
-        elif row.startswith("  ") and ":" not in row and key:
-            held.append(row.strip())
+            entries[-1][1].append(row)
         elif ":" in row:
-            if key and held:
-                out[key] = "\n".join(held).strip()
             key, value = (x.strip() for x in row.split(":", 1))
-            block, held = value in ("|", ">"), []
-            if value and not block:
-                held = [value.strip("'\"")]
-    if key and held:
-        out[key] = "\n".join(held).strip()
-    return {k: v for k, v in out.items() if v}
+            block = value in ("|", ">")
+            entries.append((key, [] if block or not value else [value.strip('"').strip("'") if value[0] in "\"'" else value]))
+        elif entries and row.startswith("  "):
+            entries[-1][1].append(row.strip())
+    return {key: "\n".join(held).strip() for key, held in entries if key and held}
 
 
 def _mini_yaml(text: pd.Series) -> pd.Series:

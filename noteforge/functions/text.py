@@ -18,9 +18,12 @@ def one_newline(text: Column) -> Column:
     return F.regexp_replace(text, "\r\n?", "\n")
 
 
+BREAK = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\u0085  ]"
+
+
 def lines(text: Column) -> Column:
     """Lines as Python's splitlines() gives them: no empty one behind a final break."""
-    parts = F.split(text, "\r\n|[\n\r\x0b\x0c\x1c-\x1e\u0085  ]")
+    parts = F.split(text, BREAK)
     return F.when(text == "", F.array().cast("array<string>")).when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
 
 
@@ -68,6 +71,14 @@ def frontmatter_lines(text: Column) -> Column:
     return F.when(text.startswith("---") & (F.locate("\n---\n", text, 4) > 0), F.split(strip(F.substring(text, F.lit(4), F.locate("\n---\n", text, 4) - 4)), "\n"))
 
 
+def front_rows(text: Column) -> Column:
+    """The lines behind the first up to a line that is --- between blanks; all of them without such a line."""
+    rows = F.split(text, "\n")
+    after = F.slice(rows, F.lit(2), F.size(rows))
+    end = F.array_position(F.transform(after, strip), "---").cast("int")
+    return F.when(end > 0, F.slice(after, F.lit(1), end - 1)).otherwise(after)
+
+
 def frontmatter_map(text: Column) -> Column:
     """Keys and values of frontmatter_lines, each line cut at its first colon, a later key winning (LAST_WIN)."""
     kv = F.transform(F.filter(frontmatter_lines(text), lambda x: x.contains(":")), lambda x: F.struct(strip(F.split_part(x, F.lit(":"), F.lit(1))), strip(F.substring(x, F.locate(":", x) + 1, F.length(x)))))
@@ -293,10 +304,10 @@ def resolved_path(path: Column, base: str) -> Column:
 
 
 def renamed_links(text: Column, old: Column, new: Column) -> Column:
-    """old as new in wiki links, with or without an alias, and at the end of link addresses."""
+    """old as new in embeds ![[old]], with or without an alias, and where a link's address ends with it."""
     quoted, safe = F.concat(F.lit(r"\Q"), old, F.lit(r"\E")), F.replace(F.replace(new, F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit("\\$"))
-    wiki = F.regexp_replace(text, F.concat(F.lit(r"\[\[("), F.lit(r"[^\]|]*/)?"), quoted, F.lit(r"(\|[^\]]*)?\]\]")), F.concat(F.lit("[[$1"), safe, F.lit("$2]]")))
-    return F.regexp_replace(wiki, F.concat(F.lit(r"\]\(([^)]*/)?"), quoted, F.lit(r"([?#][^)]*)?\)")), F.concat(F.lit("]($1"), safe, F.lit("$2)")))
+    wiki = F.regexp_replace(text, F.concat(F.lit(r"!\[\["), quoted, F.lit(r"(\|[^\]]*)?\]\]")), F.concat(F.lit("![["), safe, F.lit("$1]]")))
+    return F.regexp_replace(wiki, F.concat(F.lit(r"\]\(([^)]*)"), quoted, F.lit(r"\)")), F.concat(F.lit("]($1"), safe, F.lit(")")))
 
 
 USER = r"(?sd)###\s+User,\s+on\s+([^;]+?);?\s*\n>\s*(.+?)(?=\n###|\n####|\n<details>|\n---|\z)"

@@ -62,8 +62,16 @@ def language_rows(notes: DataFrame, least: float = 0.5, add_only: bool = False,
     return rows.select("path", "lang", F.round("confidence", 9).alias("confidence"), "tag", "status", F.when(F.col("status").isin("changed", "added"), new).alias("new_content"))
 
 
-def language_funnel(notes: DataFrame) -> DataFrame:
-    return language_rows(notes).groupBy("status").agg(F.count("*").alias("notes"))
+def language_funnel(notes: DataFrame, **options) -> DataFrame:
+    """One row with the counters of a run over notes: what was scanned, skipped, detected, right and fixed."""
+    rows = language_rows(notes, **options)
+    of = lambda *names: F.count_if(F.col("status").isin(*names))
+    seen = ("correct", "add_only_kept", "changed", "added", "unfixable")
+    found = lambda lang: F.count_if(F.col("status").isin(*seen) & (F.col("lang") == lang))
+    return rows.agg(
+        F.count("*").alias("notes_scanned"), of("no_frontmatter").alias("skipped_no_frontmatter"), of("short").alias("skipped_short"), of("uncertain").alias("skipped_uncertain"), found("en").alias("detected_en"), found("es").alias("detected_es"),
+        of("correct", "add_only_kept").alias("correct"), of("added").alias("added"), of("changed").alias("changed"), of("added", "changed").alias("fixed"), F.count_if(F.col("status").isNull()).alias("errors"),
+    )
 
 
 def hashtag_rows(notes: DataFrame) -> DataFrame:
@@ -95,16 +103,28 @@ def archive_topics_top(notes: DataFrame, n: int = 10) -> DataFrame:
     return topics.groupBy("topic").agg(F.count("*").alias("notes")).orderBy(F.desc("notes"), "topic").limit(n)
 
 
+def archive_totals(notes: DataFrame) -> DataFrame:
+    """Per language: notes without frontmatter and their mean usefulness."""
+    rows = notes.where(~text.has_frontmatter(F.col("content"))).select(text.archive_language(F.col("content")).alias("lang"), text.usefulness(F.col("name"), F.col("content")).alias("u"))
+    return rows.groupBy("lang").agg(F.count("*").alias("notes"), F.round(F.avg("u"), 6).alias("avg_usefulness"))
+
+
 MODELS = ["sonnet", "opus", "haiku"]
 
 
 def agent_rows(files: DataFrame, skills: DataFrame) -> DataFrame:
-    """path, name, valid, errors, warnings of agent files. skills: the names of the skill files that exist."""
+    """path, name, valid, errors, warnings of agent files. skills: the names of the skill files that exist. A description
+    is broken if it is bare and one of the five lines below it in the frontmatter is neither indented nor a key."""
     rows = files.select("path", "content", arrow.mini_yaml("content").alias("fm"))
     body = text.body_of(F.col("content"))
     desc, model = F.col("fm.description"), F.col("fm.model")
     none = F.size("fm") <= 0
-    broken = F.col("content").rlike(r"(?md)^description:[ \t]*(?![\"'|> \t\n])[^\n]*\n(?! {2}|---)[^:\n]*[^:\s][^:\n]*\n")
+    front = text.front_rows(F.col("content"))
+    value = lambda x: text.strip(F.substring(x, F.lit(13), F.length(x)))
+    bare = lambda x: x.startswith("description:") & (value(x) != "") & ~value(x).rlike("^[\"']") & ~value(x).isin("|", ">")
+    loose = lambda x: (text.strip(x) != "") & ~x.startswith("  ") & ~x.contains(":")
+    numbered = F.transform(front, lambda x, i: F.struct(x.alias("x"), F.slice(front, i + 2, F.lit(5)).alias("next")))
+    broken = F.col("content").startswith("---") & F.exists(numbered, lambda r: bare(r["x"]) & F.exists(r["next"], loose))
     rules = [
         F.when(broken, "Description spans lines without quotes"),
         F.when(none, "No frontmatter"),
@@ -126,9 +146,13 @@ def validation_totals(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("files"), F.count_if("valid").alias("valid"), F.sum(F.size("errors")).alias("errors"), F.sum(F.size("warnings")).alias("warnings"), F.max(F.when(F.col("valid"), 0).otherwise(1)).alias("exit_code"))
 
 
-def path_rows(notes: DataFrame, base: str) -> DataFrame:
-    """(path, ordinal, found, resolved) of paths in notes, the first of equal resolved ones."""
-    found = notes.select("path", F.posexplode(text.extracted_paths(F.col("content"))).alias("ordinal", "found"))
+def path_rows(notes: DataFrame, base: str, wiki: str = "all") -> DataFrame:
+    """(path, ordinal, found, resolved) of paths in notes, the first of equal resolved ones. wiki: all kinds of paths;
+    only: those of wiki links; prefer: those of wiki links in notes that have any. Distinct paths are resolved once."""
+    links = text.wiki_links(F.col("content"))
+    every = text.extracted_paths(F.col("content"))
+    chosen = {"all": every, "only": links, "prefer": F.when(F.size(links) > 0, links).otherwise(every)}[wiki]
+    found = notes.select("path", F.posexplode(chosen).alias("ordinal", "found"))
     found = found.withColumn("resolved", text.resolved_path(F.col("found"), base))
     return found.groupBy("path", "resolved").agg(F.min(F.struct("ordinal", "found")).alias("f")).select("path", "f.*", "resolved")
 
@@ -153,15 +177,38 @@ def parsed_messages(notes: DataFrame) -> DataFrame:
     return notes.select("conv_id", F.explode(text.transcript_messages(F.col("content"))).alias("m")).select("conv_id", "m.*")
 
 
-def chapter_prompts(notes: DataFrame) -> DataFrame:
-    """Chapters without a diagram: overview, arguments, first headers and points, as a prompt."""
+#: The parts of a diagram's prompt; fixed values, between them the chapter's own.
+PROMPT = (
+    "Create a professional concept map infographic summarizing:\n\nCHAPTER: ", "\nFROM: ", "\n\nOVERVIEW:\n", "\n\nKEY CONCEPTS TO VISUALIZE:\n", "\n\nMAIN ARGUMENTS:\n",
+    "\n\nCreate a concept map showing relationships between these ideas. Use arrows and connections to show how concepts relate. Place the chapter title prominently at top.\n\n",
+)
+
+
+def chapter_prompts(notes: DataFrame, style: str = "") -> DataFrame:
+    """Chapters without a diagram that have an overview or arguments: title, book, points, headers and the prompt. The
+    overview is cut at 400 characters, arguments and concepts at 600 before their points and headers are read; six
+    headers are shown, or points where there are none, and four points. style is the caller's text on looks."""
     c = F.col("content")
-    rows = notes.where(~text.has_diagram(c)).select("path", text.section(c, "(?:Chapter|Book|Part) Overview").alias("overview"), text.section(c, "Key Arguments").alias("arguments"), text.section(c, "Key Concepts").alias("concepts"), F.coalesce(text.quoted_field(c, "title"), F.lit("")).alias("title"))
+    front = F.regexp_extract(c, r"(?s)\A---\n(.*?)\n---", 1)
+    field = lambda k, other: F.coalesce(F.nullif(text.strip(F.regexp_extract(front, rf'{k}:\s*"?([^"\n]+)"?', 1)), F.lit("")), F.lit(other))
+    rows = notes.where(~text.has_diagram(c)).select("path", field("title", "Chapter Summary").alias("title"), field("book", "Book").alias("book"), *[text.section(c, h).alias(n) for n, h in (("overview", "Chapter Overview"), ("arguments", "Key Arguments"), ("concepts", "Core Concepts"))])
     rows = rows.where("overview <> '' or arguments <> ''")
-    bullets = F.slice(text.all_groups(F.col("arguments"), r"(?md)^- \*\*(.+?)\*\*"), 1, 4)
-    heads = F.slice(text.all_groups(F.col("concepts"), r"(?md)^### (.+)$"), 1, 6)
-    prompt = F.concat_ws("\n", F.col("title"), F.left("overview", F.lit(800)), F.array_join(bullets, "\n"), F.array_join(heads, "\n"))
-    return rows.select("path", "title", F.size(bullets).alias("points"), F.size(heads).alias("headers"), prompt.alias("prompt"))
+    lines = F.filter(F.split(F.left("arguments", F.lit(600)), "\n"), lambda x: text.strip(x).startswith("- **"))
+    points = F.filter(F.transform(lines, lambda x: F.regexp_extract(x, r"\*\*([^*]+)\*\*", 1)), lambda x: x != "")
+    heads = text.all_groups(F.left("concepts", F.lit(600)), r"(?d)###\s+(.+)")
+    rows = rows.withColumns({"points": points, "headers": heads})
+    bullets = lambda xs, n: F.array_join(F.transform(F.slice(xs, 1, n), lambda x: F.concat(F.lit("- "), x)), "\n")
+    shown = F.when(F.size("headers") > 0, bullets(F.col("headers"), 6)).otherwise(bullets(F.col("points"), 6))
+    own = [F.col("title"), F.col("book"), F.left("overview", F.lit(400)), shown, bullets(F.col("points"), 4), F.lit(f"{style}\n")]
+    prompt = F.concat(*[x for fixed, part in zip(PROMPT, own, strict=True) for x in (F.lit(fixed), part)])
+    return rows.select("path", "title", "book", F.size("points").alias("points"), F.size("headers").alias("headers"), prompt.alias("prompt"))
+
+
+def chapter_totals(notes: DataFrame) -> DataFrame:
+    """One row: chapters, those with a diagram, those that a prompt can be made for, those without content."""
+    c = F.col("content")
+    has, full = text.has_diagram(c), (text.section(c, "Chapter Overview") != "") | (text.section(c, "Key Arguments") != "")
+    return notes.agg(F.count("*").alias("chapters"), F.count_if(has).alias("with_diagram"), F.count_if(~has & full).alias("to_make"), F.count_if(~has & ~full).alias("no_content"))
 
 
 def analysis_frontmatter(notes: DataFrame, report: DataFrame, date: str, model: str) -> DataFrame:

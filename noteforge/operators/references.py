@@ -54,12 +54,12 @@ def verified_sample(notes: DataFrame, found: DataFrame, least: int = 100) -> Dat
 
 
 def group_orphans(notes: DataFrame, attachments: DataFrame) -> DataFrame:
-    """Attachments that in a name group one note alone refers to, which is not the original."""
+    """Attachments that in a name group one note alone refers to (see note_attachments), which is not the original."""
     from noteforge.operators.dedup import name_groups
 
     groups = name_groups(notes).select("path", "base", "is_original")
-    links = references(notes, attachments).join(groups, "path").groupBy("base", "rel_path").agg(F.count("*").alias("notes"), F.min("path").alias("path"), F.bool_or("is_original").alias("by_original"))
-    return links.where("notes = 1 and not by_original").select("base", "rel_path", "path")
+    links = note_attachments(notes, attachments).join(groups, "path").groupBy("base", "name").agg(F.count("*").alias("notes"), F.min("path").alias("path"), F.bool_or("is_original").alias("by_original"))
+    return links.where("notes = 1 and not by_original").select("base", "name", "path")
 
 
 def link_counts(notes: DataFrame) -> DataFrame:
@@ -69,18 +69,35 @@ def link_counts(notes: DataFrame) -> DataFrame:
 
 
 def audio_embeds(notes: DataFrame, files: DataFrame, extensions: list[str]) -> DataFrame:
-    """(path, rel_path) of audio that notes embed: by file name (the first path of that name) or by attachment path."""
-    audio = files.where(F.lower(F.element_at(F.split("name", r"\."), -1)).isin(extensions))
+    """(path, rel_path) of audio that notes embed: ![[name]], with or without an alias, by file name (the first path of
+    that name), or an image address with attachments/ in it, by path. The link itself must end with an extension."""
+    ends = lambda c: reduce(lambda a, b: a | b, [F.endswith(F.lower(c), F.lit(f".{e}")) for e in extensions])
+    audio = files.where(ends(F.col("name")))
     first = audio.groupBy("name").agg(F.min("rel_path").alias("rel_path"))
-    embeds = notes.select("path", F.explode(text.all_groups(F.col("content"), r"!\[\[([^\]]+)\]\]")).alias("name"))
-    urls = md_links(notes).select("path", text.attachment_path(F.col("url")).alias("rel_path"))
-    return embeds.join(first, "name").select("path", "rel_path").unionByName(urls.join(audio.select("rel_path"), "rel_path", "left_semi").select("path", "rel_path")).distinct()
+    embeds = notes.select("path", F.explode(text.all_groups(F.col("content"), r"!\[\[([^\]]+)\]\]")).alias("e")).select("path", F.split_part("e", F.lit("|"), F.lit(1)).alias("name"))
+    images = notes.select("path", F.explode(text.all_groups(F.col("content"), r"!\[[^\]]*\]\(([^)]+)\)")).alias("url")).where(ends(F.col("url")))
+    urls = images.select("path", text.attachment_path(F.col("url")).alias("rel_path"))
+    there = urls.join(files.select("rel_path"), "rel_path", "left_semi").select("path", "rel_path")
+    return embeds.where(ends(F.col("name"))).join(first, "name").select("path", "rel_path").unionByName(there).distinct()
+
+
+def note_attachments(notes: DataFrame, attachments: DataFrame) -> DataFrame:
+    """(path, name), distinct, as the search for duplicate notes reads links: the whole text between [[ and ]] is a path
+    below the attachments that must exist; an image address counts by what follows its last Attachments/, there or not."""
+    wiki = notes.select("path", F.explode(text.all_groups(F.col("content"), text.WIKI)).alias("rel_path")).distinct()
+    there = wiki.join(attachments.select("rel_path", "name"), "rel_path").select("path", "name")
+    images = notes.select("path", F.explode(text.all_groups(F.col("content"), r"!\[[^\]]*\]\(([^)]+)\)")).alias("url")).where(F.contains("url", F.lit("Attachments/")))
+    return there.unionByName(images.select("path", F.element_at(F.split("url", "Attachments/"), -1).alias("name"))).distinct()
 
 
 def renamed(notes: DataFrame, renames: DataFrame) -> DataFrame:
-    """Notes with links to renamed files (old, new) rewritten. Only notes whose link targets meet a renamed file by
-    equality are touched; a note's renames are applied one after the other."""
-    targets = wiki_links(notes).select("path", text.base_name(F.col("link")).alias("old")).unionByName(md_links(notes).select("path", F.split_part(text.base_name(F.col("url")), F.lit("?"), F.lit(1)).alias("old"))).distinct()
-    todo = targets.join(renames, "old").groupBy("path").agg(F.sort_array(F.collect_set(F.struct("old", "new"))).alias("todo"))
+    """Notes with embeds of and links to renamed files (old, new) rewritten. Only notes with such a target are touched:
+    embeds by equality, and the endings of the last part of an address, which are as many as it has characters, by
+    equality too. A note's renames are applied one after the other."""
+    embeds = notes.select("path", F.explode(text.all_groups(F.col("content"), r"!\[\[([^\]]+)\]\]")).alias("e")).select("path", F.split_part("e", F.lit("|"), F.lit(1)).alias("old"))
+    parts = notes.select("path", F.explode(text.all_groups(F.col("content"), r"\]\(([^)]*)\)")).alias("url")).select("path", text.base_name(F.col("url")).alias("b")).where("b <> ''").distinct()
+    ends = parts.select("path", F.explode(F.expr("transform(sequence(1, length(b)), i -> substring(b, i))")).alias("old"))
+    todo = embeds.unionByName(ends).distinct().join(renames, "old").groupBy("path").agg(F.sort_array(F.collect_set(F.struct("old", "new"))).alias("todo"))
     new = F.aggregate("todo", F.col("content"), lambda t, r: text.renamed_links(t, r["old"], r["new"]))
-    return notes.join(todo, "path").select("path", F.size("todo").alias("renames"), new.alias("new_content"))
+    done = notes.join(todo, "path").select("path", F.size("todo").alias("renames"), "content", new.alias("new_content"))
+    return done.where("content <> new_content").drop("content")

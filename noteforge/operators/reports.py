@@ -35,10 +35,13 @@ def failed(report: DataFrame, mark: str = "Error parsing LLM response") -> DataF
     return report.where(F.col("reasoning").eqNullSafe(mark))
 
 
-def upsert(report: DataFrame, new: DataFrame) -> DataFrame:
-    """report with action and score of new (path, action, score) where it has the path."""
+def upsert(report: DataFrame, new: DataFrame, order: str) -> DataFrame:
+    """report with action and score of new (path, action, score; a path once) in the first row, by `order`, of each of
+    its paths; other rows of a path stay as they are."""
     fresh = new.select("path", F.col("action").alias("n_action"), F.col("score").alias("n_score"))
-    return report.join(fresh, "path", "left").withColumns({"action": F.coalesce("n_action", "action"), "score": F.coalesce("n_score", "score")}).drop("n_action", "n_score")
+    first = report.join(fresh, "path", "left_semi").groupBy("path").agg(F.min(order).alias(order))
+    out = report.join(first.join(fresh, "path"), ["path", order], "left")
+    return out.withColumns({"action": F.coalesce("n_action", "action"), "score": F.coalesce("n_score", "score")}).drop("n_action", "n_score")
 
 
 def score_band(score: Column) -> Column:

@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from noteforge.operators import dedup, media, providers, references, reports, stats
+from noteforge.operators import curation, dedup, media, providers, references, reports, stats
 from noteforge.plans import plan
 from noteforge.sources.vault import VaultSource
 from noteforge.streaming import increments
@@ -31,9 +31,9 @@ def test_kept_copy_and_orphans(spark):
 
 
 def test_renames(spark):
-    notes = spark.createDataFrame([("n.md", "![[a.png|x]] ![](Attachments/a.png?w=1) b.png"), ("m.md", "none")], "path string, content string")
+    notes = spark.createDataFrame([("n.md", "![[a.png|x]] [[a.png]] ![](Attachments/a.png?w=1) [t](x/ba.png) b.png"), ("m.md", "none")], "path string, content string")
     (r,) = references.renamed(notes, spark.createDataFrame([("a.png", "a.jpg")], "old string, new string")).collect()
-    assert r["new_content"] == "![[a.jpg|x]] ![](Attachments/a.jpg?w=1) b.png"
+    assert r["new_content"] == "![[a.jpg|x]] [[a.png]] ![](Attachments/a.png?w=1) [t](x/ba.jpg) b.png"
 
 
 def test_collisions_are_numbered(spark):
@@ -130,7 +130,9 @@ def test_chapters_hold_whole_texts(spark, tmp_path):
     tail = "\n\n## Key Arguments\n\n- **first** a\n- **second** b\n\n## Key Concepts\n\n### one\n\n### two\n"
     want = {f"c{i}": f'---\ntitle: "Chapter {i}"\n---\n## Chapter Overview\n\n![[c{i}.png]]\n\n{t}{tail}' + "![[x diagram.png]]\n" * (i % 3 == 0) for i, t in texts.items()}
     assert rows(catalog.QUERIES["insert_embed"](spark, str(tmp_path)), "path", "content_md5") == [(k, hashlib.md5(v.encode()).hexdigest()) for k, v in sorted(want.items())]
-    assert rows(catalog.QUERIES["chapter_prompts"](spark, str(tmp_path)), "path", "prompt") == [(f"c{i}", f"Chapter {i}\n{texts[i][:800]}\nfirst\nsecond\none\ntwo") for i in (1, 2)]
+    lists = "\n\nKEY CONCEPTS TO VISUALIZE:\n- one\n- two\n\nMAIN ARGUMENTS:\n- first\n- second\n\n"
+    prompts = {r["path"]: r["prompt"] for r in curation.chapter_prompts(catalog.book_chapters(spark, str(tmp_path))).collect()}
+    assert sorted(prompts) == ["c1", "c2"] and all(f"\n\nOVERVIEW:\n{texts[i][:400].rstrip()}{' ' * (i == 1)}{lists}" in prompts[f"c{i}"] for i in (1, 2))
 
 
 def test_orphans_are_looked_for_in_whole_contents(spark):
@@ -139,3 +141,22 @@ def test_orphans_are_looked_for_in_whole_contents(spark):
     text = "[[a.png]] ![[b.png]] plain (c.png), Attachments/d.png and img/e.png; f.png"
     notes = spark.createDataFrame([("n.md", text), ("m.md", None)], "path string, content string")
     assert rows(references.verified_sample(notes, found), "rel_path", "mentioned") == [(f"img/{n}", n != "f.png") for n in names]
+
+
+def test_similar_notes_of_a_name_group(spark):
+    text = "\n".join(f"line {i}" for i in range(40))
+    notes = [(1, "n.md", "n.md", text), (2, "n (1).md", "n (1).md", text.replace("line 7\n", "other\n")), (3, "n (2).md", "n (2).md", text), (4, "n (3).md", "n (3).md", "else\n" * 40)]
+    got = {r["path"]: r["ratio"] for r in dedup.similar_to_original(spark.createDataFrame(notes, "doc_id long, path string, name string, content string")).collect()}
+    assert got == {"n (1).md": 0.975, "n (2).md": 1.0}
+
+
+def test_audio_embeds_follow_the_link_s_own_ending(spark):
+    notes = spark.createDataFrame([("n.md", "![[r.m4a|x]] ![[r.m4a.txt]] ![](Attachments/q.m4a?w=1) ![](../attachments/s/Q.M4A) [l](Attachments/t.m4a)")], "path string, content string")
+    files = spark.createDataFrame([("b/r.m4a", "r.m4a"), ("a/r.m4a", "r.m4a"), ("q.m4a", "q.m4a"), ("s/Q.M4A", "Q.M4A"), ("t.m4a", "t.m4a")], "rel_path string, name string")
+    assert rows(references.audio_embeds(notes, files, ["m4a"]), "rel_path") == [("a/r.m4a",), ("s/Q.M4A",)]
+
+
+def test_upsert_changes_the_first_row_of_a_path(spark):
+    old = spark.createDataFrame([(1, "a", "keep", 1.0), (2, "a", "keep", 2.0), (3, "b", "keep", 3.0)], "at int, path string, action string, score double")
+    new = spark.createDataFrame([("a", "archive", 9.0)], "path string, action string, score double")
+    assert rows(reports.upsert(old, new, "at"), "at", "action", "score") == [(1, "archive", 9.0), (2, "keep", 2.0), (3, "keep", 3.0)]

@@ -130,3 +130,41 @@ def test_hidden_policies(spark):
     left = lambda p: [r[0] for r in spark.createDataFrame([(x,) for x in paths], "c string").where(~text.is_hidden(F.col("c"), p)).collect()]
     assert left("shared") == ["a.md", "_n.md"] and left("inverted") == ["a.md", ".trash/t.md", ".obsidian/o.md", "_n.md"]
     assert left("fallback") == ["a.md", ".claude/a.md", "_n.md"] and left("none") == paths
+
+
+@pytest.mark.parametrize(
+    "note,tags",
+    [
+        ("[[x]](http://e/ #general) #b", ["b"]),  # the address starts behind ]]
+        ("](a (b #general", ["general"]),  # the last ( follows no ]
+        ("[[a [[b]] #c", ["c"]),
+        ("[[open #a\n#b]] #c", ["c"]),
+        ("`a #b` #c ` #d\n#e", ["c", "e"]),
+        ("```\n#a\n```\n#b ``` #c", ["b"]),
+        ("x ``` `#a #b\n``` #c", ["c"]),
+        ("---\n#t\n---\n#a/b #c", ["c"]),
+    ],
+)
+def test_hashtag_contexts(note, tags):
+    assert [t for _, _, t in arrow.find_hashtags(note)] == tags
+
+
+def test_small_yaml_rules():
+    note = "---\nname: \"\"\nplain: it's 'x'\nquoted: \"a \"\nempty:\nlong: a\n  b\nlong:\nd: |\n  x\n    y: z\n---\n"
+    assert arrow.small_yaml(note) == {"name": "", "plain": "it's 'x'", "quoted": "a", "long": "a\nb", "d": "x\n    y: z"}
+
+
+@pytest.mark.parametrize("below,broken", [("loose", True), ("  more", False), ("key: v", False), ("\n\n\nloose", True), ("\n\n\n\n\nloose", False), ("---\nloose", False)])
+def test_bare_descriptions(spark, below, broken):
+    note = f"---\nname: a\ndescription: bare\n{below}\n---\ndescription: bare\nloose\n"
+    rows = curation.agent_rows(spark.createDataFrame([("a", note)], "path string, content string"), spark.createDataFrame([], "skill string"))
+    assert (rows.first()["errors"] == ["Description spans lines without quotes"]) == broken
+
+
+def test_long_chapters_are_cut(spark):
+    points = "\n".join(f"- **p{i}** {'x' * 90}" for i in range(9))
+    note = f"---\nbook: B\n---\n## Chapter Overview\n\n{'o' * 900}\n\n## Key Arguments\n\n{points}\n\n## Core Concepts\n\nnone\n"
+    r = curation.chapter_prompts(spark.createDataFrame([("c", note)], "path string, content string"), "STYLE").first()
+    assert (r["title"], r["book"], r["points"], r["headers"]) == ("Chapter Summary", "B", 6, 0)
+    assert "\n" + "o" * 400 + "\n" in r["prompt"] and "- p5\n\nMAIN" in r["prompt"] and r["prompt"].endswith("STYLE\n")
+    assert r["prompt"].count("- p3") == 2 and r["prompt"].count("- p4") == 1
