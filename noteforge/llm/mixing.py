@@ -38,6 +38,26 @@ def permuted(df: DataFrame, x: str, n: Column, seed: Column, rounds: int = ROUND
     return df.withColumn(x, steps).drop("_n", "_seed")
 
 
+def repaired(slots: DataFrame, wanted: list[int]) -> DataFrame:
+    """slots (s, a source's number; j, a slot's number among those of s) with as many slots of each source as wanted, all
+    of them in sum: the slots that a source has too many, its last, go to the sources that lack some, in order."""
+    drawn = {r["s"]: r["n"] for r in slots.groupBy("s").agg(F.count("*").alias("n")).collect()}
+    over, under, more, less = [], [], 0, 0
+    for i, n in enumerate(wanted):
+        over.append(more)
+        under.append(less)
+        more, less = more + max(0, drawn.get(i, 0) - n), less + max(0, n - drawn.get(i, 0))
+    pick = lambda values, at: F.element_at(F.lit(values or [0]), at + 1).cast("long")
+    rank = F.col("j") - pick(wanted, F.col("s")) + pick(over, F.col("s"))
+    out = slots.withColumn("_r", F.when(F.col("j") >= pick(wanted, F.col("s")), rank))
+    to = F.size(F.filter(F.lit([u if n > drawn.get(i, 0) else -1 for i, (u, n) in enumerate(zip(under, wanted, strict=True))] or [0]), lambda u: (u >= 0) & (u <= F.col("_r"))))
+    lacking = [i for i, n in enumerate(wanted) if n > drawn.get(i, 0)]
+    out = out.withColumn("_s", F.element_at(F.lit(lacking or [0]), F.greatest(to, F.lit(1))))
+    moved = pick([drawn.get(i, 0) - u for i, u in enumerate(under)], F.col("_s")) + F.col("_r")
+    out = out.withColumn("j", F.when(F.col("_r").isNull(), F.col("j")).otherwise(moved)).withColumn("s", F.when(F.col("_r").isNull(), F.col("s")).otherwise(F.col("_s")))
+    return out.drop("_r", "_s")
+
+
 class Mix:
     """A mix of docs: `sources` has the sizes, targets and draws; `slots` each block of the output with its shard and
     the source's block that it holds; `pieces` the documents' words in each block; `taken` the words taken of each row."""
@@ -65,11 +85,13 @@ class Mix:
         words = F.expr(f"least(first + size, (b + 1) * {block}) - greatest(first, b * {block})")
         self.pieces = cut.select("rid", "s", "b", words.alias("words"), F.expr(f"greatest(first, b * {block}) - first").alias("skip"))
         starts = F.lit([x["start"] for x in self.sources] or [0])
-        blocks = F.lit([max(1, x["blocks"]) for x in self.sources] or [1])
-        slots = spark.range(self.n_slots).withColumnRenamed("id", "slot").withColumn("p", F.col("slot"))
-        slots = permuted(slots, "p", F.lit(max(1, self.n_slots)), F.lit(seed))
-        slots = slots.withColumn("s", F.size(F.filter(starts, lambda x: x <= F.col("p"))) - 1)
-        slots = slots.withColumn("j", F.col("p") - F.element_at(starts, F.col("s") + 1)).withColumn("nb", F.element_at(blocks, F.col("s") + 1).cast("long"))
+        slots = spark.range(self.n_slots).withColumnRenamed("id", "slot")
+        drawn_at = F.pmod(F.xxhash64(F.lit(seed), F.lit("draw"), "slot"), F.lit(max(1, self.n_slots)))
+        slots = slots.withColumn("p", drawn_at).withColumn("s", F.size(F.filter(starts, lambda x: x <= F.col("p"))) - 1)
+        slots = stored(slots.select("slot", "s", F.lit(1).cast("long").alias("_one")), "drawn")
+        slots = running(slots, ["s"], F.xxhash64(F.lit(seed), "slot"), ["slot"], {"_one": "j"}, pieces_for(self.n_slots)).drop("_one")
+        slots = repaired(slots, [x["draws"] for x in self.sources])
+        slots = slots.withColumn("nb", F.element_at(F.lit([max(1, x["blocks"]) for x in self.sources] or [1]), F.col("s") + 1).cast("long"))
         slots = slots.withColumns({"epoch": F.expr("j div nb"), "b": F.expr("j % nb")})
         slots = permuted(slots, "b", F.col("nb"), F.xxhash64(F.lit(seed), "s")).select("slot", F.expr(f"slot div {shard_slots}").alias("shard"), "s", "epoch", "b")
         self.slots = stored(slots, "slots")
@@ -79,7 +101,7 @@ class Mix:
         return self.slots.groupBy("s", "b").agg(F.count("*").alias("times"))
 
     def shard_counts(self) -> DataFrame:
-        """Blocks of each source in each output shard: multinomial draws, conditioned on the sources' totals."""
+        """Blocks of each source in each output shard: multinomial draws, but for the slots that repaired() moves."""
         return self.slots.groupBy("shard", "s").agg(F.count("*").alias("blocks"))
 
     def taken(self) -> DataFrame:
@@ -95,9 +117,10 @@ def mix_sources(docs: DataFrame, **options) -> DataFrame:
     """Mixes docs to target weights; returns for each row doc_id, size, source_size, target, taken.
 
     The words of a source, documents in a pseudorandom order, fill blocks of fixed length. The output is a row of slots;
-    a pseudorandom permutation deals the sources' numbers of draws to slots, so a shard's counts are a multinomial draw
-    conditioned on the totals, which then hold exactly. A source's draws walk through a permutation of its block
-    indexes, again and again: no block is drawn more than ceil(draws / blocks) times, two at most.
+    each slot draws its source by the targets' shares, so a shard's counts are a multinomial draw. By chance a source
+    then has a few slots too many or too few, about the square root of its number; those are dealt anew, so that totals
+    hold exactly. A source's slots walk through a permutation of its block indexes, again and again: no block is drawn
+    more than ceil(draws / blocks) times, two at most.
 
     Documents without words take no part (taken 0); null is a source like others, the last; null texts are empty; null
     and repeated ids are rows of their own; an empty table gives no rows; other columns play no part. Sources are

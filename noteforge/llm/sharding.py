@@ -8,14 +8,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from noteforge.llm.common import small_table, stored, text_or_empty
+from noteforge.llm.common import small_table, stored, text_or_empty, with_row_keys
 
 KEY_BITS, FIRST_BITS, NEXT_BITS = 63, 12, 6
+#: Ranges of a shard in which its rows are numbered, at most; the driver sees 2 ** NEXT_BITS counts of each.
+MOST_CUTS = 512
 
 
-def shard_key(text, row_id):
-    """63 bits: the CRC of the text, so that equal texts stand together, then a hash of the id, so that they can be split."""
-    return F.shiftleft(F.crc32(F.encode(text, "utf-8")), 31).bitwiseOR(F.xxhash64(row_id).bitwiseAND(F.lit((1 << 31) - 1)))
+def shard_key(text, *row):
+    """63 bits: the CRC of the text, so that equal texts stand together, then a hash of the row's id and place, so that
+    they can be split, repeated rows too."""
+    return F.shiftleft(F.crc32(F.encode(text, "utf-8")), 31).bitwiseOR(F.xxhash64(*row).bitwiseAND(F.lit((1 << 31) - 1)))
 
 
 def find_splitters(slim: DataFrame, n: int, tolerance: float, key: str = "key", size: str = "size") -> list[int]:
@@ -64,21 +67,24 @@ def find_splitters(slim: DataFrame, n: int, tolerance: float, key: str = "key",
     return [max(keys[: i + 1]) for i in range(len(keys))]
 
 
-def histogram_shards(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id", text_col: str = "text", tolerance: float = 0.01, cuts: int = 8) -> DataFrame:
+def histogram_shards(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id", text_col: str = "text", tolerance: float = 0.01, range_rows: int = 100_000) -> DataFrame:
     """Deals docs into n_shards shards of near equal bytes by histogram sort.
 
     Size of a row: UTF-8 bytes of the text plus 16. The rows are ordered by a 63-bit key made of the text's CRC and a
-    hash of the id; a shard is a range of keys, so equal texts are neighbours and are cut only where a hot group is
-    larger than a shard. Bytes of shards differ by the tolerance or by one row. The key ranges are `cuts` times finer
-    than the shards: rows move once, by fine range, and are numbered there from the counts in front of the range.
+    hash of the id and the row's place; a shard is a range of keys, so equal texts are neighbours and only a group on a
+    shard's border is cut. Bytes of shards differ by the tolerance or by one row. The key ranges are several times finer
+    than the shards, by the number of rows, so that a range holds about `range_rows` up to MOST_CUTS ranges a shard: rows
+    move once, by fine range, and are numbered there from the counts in front of the range.
 
     Returns id, size, text_crc32, key, shard, slot (gapless from 0 within a shard). Null texts count as empty; null ids
-    are one id like others; repeated rows (id and text) have one key and stay together; an empty table gives no rows;
+    are one id like others; repeated rows (id and text) are rows of their own; an empty table gives no rows;
     other columns, whatever their names, play no part. Many long texts only change the sums.
     """
     spark = docs.sparkSession
+    docs, keys = with_row_keys(docs)
     text, row_id = text_or_empty(docs[text_col]), docs[id_col]
-    slim = stored(docs.select(row_id.alias("doc_id"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(F.encode(text, "utf-8")).alias("text_crc32"), shard_key(text, row_id).alias("key")), "shards")
+    slim = stored(docs.select(row_id.alias("doc_id"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(F.encode(text, "utf-8")).alias("text_crc32"), shard_key(text, row_id, *[docs[k] for k in keys]).alias("key")), "shards")
+    cuts = min(MOST_CUTS, max(8, -(-slim.count() // (n_shards * range_rows))))
     splitters = find_splitters(slim, n_shards * cuts, tolerance)
     shift = KEY_BITS - FIRST_BITS
     by_cell: dict[int, list[int]] = {}

@@ -528,3 +528,24 @@ def test_files_are_in_order_with_indexes_and_dictionaries(spark, prose):
             assert columns[0].statistics.min > last
             last = columns[0].statistics.max
     assert token_ids.read_token_ids(spark, out, ("doc_id", "n_tokens")).where("doc_id = 5").count() == 1
+
+
+def test_surplus_slots_go_to_sources_that_lack_some(spark):
+    wanted, drawn = [5, 0, 7, 2, 6], [8, 2, 3, 2, 5]
+    slots = spark.createDataFrame([(i, j) for i, n in enumerate(drawn) for j in range(n)], "s int, j long")
+    got = [(r["s"], r["j"]) for r in mixing.repaired(slots, wanted).collect()]
+    assert sorted(got) == [(i, j) for i, n in enumerate(wanted) for j in range(n)]
+    kept = {(i, j) for i, n in enumerate(drawn) for j in range(min(n, wanted[i]))}
+    assert kept <= set(got)
+
+
+def test_rows_keep_their_keys_when_files_are_cut_otherwise(spark, tmp_path):
+    spark.range(20_000).withColumn("text", F.repeat(F.lit("ab "), 60)).repartition(7).write.parquet(str(tmp_path / "d"))
+    read = lambda: common.with_row_keys(spark.read.parquet(str(tmp_path / "d")))
+    seen = []
+    for size in ("16k", "64m", "3k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        docs, keys = read()
+        seen.append({(r[0], r[1]): r[2] for r in docs.select(*keys, "id").collect()})
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert seen[0] == seen[1] == seen[2] and len(seen[0]) == 20_000
