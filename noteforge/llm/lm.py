@@ -147,31 +147,45 @@ class Gru:
                 grad["wb"][c[edges]] += np.add.reduceat(s, edges, axis=0)
                 dh[at] += (self.p["w"][c] @ s[:, :, None])[:, :, 0]
             return logp, dh
-        order = np.argsort(classes, kind="stable")
-        edges = np.searchsorted(classes[order], np.arange(CLASSES + 1))
-        hs, words = h[order], tokens[order] // CLASSES
-        more, dhs = np.zeros(len(order), logp.dtype), None if grad is None else np.zeros_like(hs)
-        for c in range(CLASSES):
-            at = slice(edges[c], edges[c + 1])
-            hc, word = hs[at], words[at]
-            if len(hc):
-                s, k = hc @ self.p["w"][c], np.arange(len(hc))
-                s += self.p["wb"][c]
-                chosen = s[k, word]
-                np.exp(s, out=s)
-                total = s @ ONES[:PER_CLASS]
-                more[at] = chosen - np.log(total)
-                if grad is not None:
-                    s *= (-1 / total)[:, None]
-                    s[k, word] += 1
-                    grad["w"][c] += hc.T @ s
-                    grad["wb"][c] += s.sum(0)
-                    dhs[at] = s @ self.p["w"][c].T
+        order = np.argsort(classes, kind="stable")[: np.count_nonzero(classes < CLASSES)]
+        more, dhs = self.of_words(h[order], classes[order], tokens[order] // CLASSES, grad)
         logp[order] += more
         if grad is not None:
             dh[order] += dhs
         return logp, dh
 
+    def of_words(self, h: np.ndarray, classes: np.ndarray, words: np.ndarray, grad: dict[str, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray | None]:
+        """Log probabilities of words within their classes, for tokens in the order of classes, and with grad the
+        gradients as outputs gives them. Only the products go class by class; biases are a last row of the weights."""
+        n, table = len(h), np.concatenate((self.p["w"], self.p["wb"][:, None]), 1)
+        hs = np.concatenate((h, np.ones((n, 1), np.float32)), 1)
+        logp, dh = np.empty(n, np.float32), None if grad is None else np.empty_like(h)
+        summed = None if grad is None else np.zeros_like(table)
+        for at in range(0, n, AT_ONCE):
+            part = slice(at, at + AT_ONCE)
+            own, hp = classes[part], hs[part]
+            edges = np.flatnonzero(np.diff(own, prepend=-1))
+            spans = [(c, slice(i, j)) for c, i, j in zip(own[edges].tolist(), edges.tolist(), [*edges[1:].tolist(), len(own)], strict=True)]
+            s = np.empty((len(own), PER_CLASS), np.float32)
+            for c, k in spans:
+                np.matmul(hp[k], table[c], out=s[k])
+            places = np.arange(0, s.size, PER_CLASS) + words[part]
+            chosen = s.ravel()[places]
+            np.exp(s, out=s)
+            total = s @ ONES[:PER_CLASS]
+            logp[part] = chosen - np.log(total)
+            if grad is not None:
+                s *= (-1 / total)[:, None]
+                s.ravel()[places] += 1
+                dp = dh[part]
+                for c, k in spans:
+                    summed[c] += hp[k].T @ s[k]
+                    np.matmul(s[k], self.p["w"][c].T, out=dp[k])
+        if grad is not None:
+            grad["w"] += summed[:, :HIDDEN]
+            grad["wb"] += summed[:, HIDDEN]
+        return logp, dh
+
     def learn(self, h: np.ndarray, tokens: np.ndarray, starts: np.ndarray, valid: np.ndarray, full: int = 0) -> np.ndarray:
         """One step of truncated backpropagation through a window; returns the state behind it. The gradient is the mean
         over the window's tokens, or with full its sum over that many, so that a window of few lanes weighs less."""
