@@ -272,6 +272,15 @@ def token_ids(head: dict[bytes, int], words: list[bytes]) -> tuple[np.ndarray, n
     return ranks, tokens
 
 
+def packed(tokens: np.ndarray) -> bytes:
+    """Tokens as stored: VOCABULARY and what lies below fit into two bytes each."""
+    return tokens.astype("<u2").tobytes()
+
+
+def unpacked(tokens: bytes) -> np.ndarray:
+    return np.frombuffer(tokens, "<u2").astype(np.int32)
+
+
 def word_counts(texts: DataFrame) -> DataFrame:
     """(word, count) over all texts; each worker adds up before words are shuffled."""
     small_batches(texts.sparkSession)
@@ -298,37 +307,41 @@ def frequent(counts: DataFrame, most: int) -> pa.Table:
     return counts.where(F.col("count") >= least).toArrow().sort_by([("count", "descending"), ("word", "ascending")])
 
 
-def learn_texts(model: Gru, texts: Iterator[str], head: dict[bytes, int]) -> int:
-    """Trains the model on every word and end of the texts; returns their number."""
+def learn_tokens(model: Gru, lists: Iterator[np.ndarray]) -> int:
+    """Trains the model on every token of the documents; returns their number."""
     n, held, gathered = 0, [], 0
-    for t in texts:
-        held.append(token_ids(head, words_of(t))[1])
-        gathered += len(held[-1])
+    for x in lists:
+        held.append(x)
+        gathered += len(x)
         if gathered >= GATHER:
             n += walk(model, held)
             held, gathered = [], 0
     return n + (walk(model, held) if held else 0)
 
 
-def trained(texts: DataFrame, model: Gru, head, rounds: int) -> Gru:
+def learn_texts(model: Gru, texts: Iterator[str], head: dict[bytes, int]) -> int:
+    """learn_tokens on every word and end of the texts."""
+    return learn_tokens(model, (token_ids(head, words_of(t))[1] for t in texts))
+
+
+def trained(docs: DataFrame, model: Gru, rounds: int) -> Gru:
     """Each task trains a copy on whole documents of its partition, those that h deals to the round; the copies' mean,
-    weighted by words, is summed up by a shuffle and starts the next round. After the last, every word has been learned
-    once. texts: text, h (a hash of the id)."""
-    small_batches(texts.sparkSession)
+    weighted by tokens, is summed up by a shuffle and starts the next round. After the last, every token has been learned
+    once. docs: tokens (see packed), h (a hash of the id)."""
     for turn in range(rounds):
         start = model.flat()
 
         def learn(batches: Iterator[pd.DataFrame], start=start) -> Iterator[pd.DataFrame]:
             keep_memory()
             own = Gru(start)
-            n = learn_texts(own, (t for pdf in batches for t in pdf["text"]), head.value[0])
+            n = learn_tokens(own, (unpacked(x) for pdf in batches for x in pdf["tokens"]))
             if n:
                 yield pd.DataFrame({"piece": range(PIECES), "n": [n] * PIECES, "p": np.array_split(own.flat() * n, PIECES)})
 
         def add(pdf: pd.DataFrame) -> pd.DataFrame:
             return pd.DataFrame({"piece": pdf["piece"][:1], "p": [np.sum(pdf["p"].tolist(), axis=0, dtype=float) / pdf["n"].sum()]})
 
-        got = texts.where(F.col("h") % rounds == turn).select("text").mapInPandas(learn, "piece int, n long, p array<float>")
+        got = docs.where(F.col("h") % rounds == turn).select("tokens").mapInPandas(learn, "piece int, n long, p array<float>")
         got = got.groupBy("piece").applyInPandas(add, "piece int, p array<double>").toArrow().sort_by("piece")
         if got.num_rows:
             model = Gru(got["p"].combine_chunks().values.to_numpy())
@@ -374,45 +387,51 @@ def lm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_co
     rare_n, rare_kinds = total - times.sum(), max(0, kinds - len(times))
     rare_log = float(np.log10(rare_n + rare_kinds + 1))
     ranked = top["word"].to_pylist()
+    # Every text is encoded once; training and scoring read its tokens, two bytes each.
     head = spark.sparkContext.broadcast((dict(zip(ranked, range(len(ranked)), strict=True)), np.log10(top["count"].to_numpy() + 1.0)))
     end_log = float(np.log10(ends + 1))
-    model = trained(train.select("text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)).alias("h")), Gru.fresh(times, rare_n), head, rounds)
-    weights = spark.sparkContext.broadcast(model.flat())
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keep_memory()
-        own, (ranks_of, logs) = Gru(weights.value), head.value
-        rows, lists, gathered = [], [], 0
-
-        def out() -> pd.DataFrame:
-            logp = score_lists(own, lists) / LOG10
-            return pd.DataFrame([(*r, s + x) for r, s, x in zip([r[:-1] for r in rows], logp, [r[-1] for r in rows], strict=True)], columns=["rid", "doc_id", "held_out", "n_tokens", "head_log", "tail", "score"])
 
+    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ranks_of, logs = head.value
         for pdf in batches:
-            for rid, i, held_row, t in zip(pdf["rid"], pdf["doc_id"], pdf["held_out"], pdf["text"], strict=True):
+            rows = []
+            for t in pdf["text"]:
                 words = words_of(t)
                 ranks, tokens = token_ids(ranks_of, words)
-                inside = logs[ranks[ranks >= 0]]
                 tail = [words[j] for j in np.flatnonzero(ranks < 0)]
                 rare = logs[ranks[ranks >= VOCABULARY - 1]]
-                rows.append((rid, i, held_row, len(tokens), float(inside.sum()) + end_log, tail, float(rare.sum()) - rare_log * (len(rare) + len(tail))))
-                lists.append(tokens)
-                gathered += len(tokens)
+                rows.append((packed(tokens), len(tokens), float(logs[ranks[ranks >= 0]].sum()) + end_log, tail, float(rare.sum()) - rare_log * (len(rare) + len(tail))))
+            made = pd.DataFrame(rows, columns=["tokens", "n_tokens", "head_log", "tail", "rare"])
+            yield pd.concat([pdf[["rid", "doc_id", "held_out", "h"]].reset_index(drop=True), made], axis=1)
+
+    dealt = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
+    numbered = texts.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("string"), "held_out", dealt.alias("h"), "text")
+    encoded = numbered.mapInPandas(encode, "rid long, doc_id string, held_out boolean, h long, tokens binary, n_tokens long, head_log double, tail array<binary>, rare double")
+    encoded = stored(encoded.withColumn("doc_id", F.col("doc_id").cast("long")), "encoded")
+    model = trained(encoded.where("not held_out").select("tokens", "h"), Gru.fresh(times, rare_n), rounds)
+    weights = spark.sparkContext.broadcast(model.flat())
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keep_memory()
+        own, rids, lists, gathered = Gru(weights.value), [], [], 0
+        for pdf in batches:
+            rids.extend(pdf["rid"])
+            lists.extend(map(unpacked, pdf["tokens"]))
+            gathered += int(pdf["n_tokens"].sum())
             if gathered >= GATHER:
-                yield out()
-                rows, lists, gathered = [], [], 0
-        if rows:
-            yield out()
-
-    numbered = texts.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("string"), "held_out", "text")
-    scored = numbered.mapInPandas(score, "rid long, doc_id string, held_out boolean, n_tokens long, head_log double, tail array<binary>, score double")
-    scored = stored(scored.withColumn("doc_id", F.col("doc_id").cast("long")), "scored")
+                yield pd.DataFrame({"rid": rids, "logp": score_lists(own, lists) / LOG10})
+                rids, lists, gathered = [], [], 0
+        if lists:
+            yield pd.DataFrame({"rid": rids, "logp": score_lists(own, lists) / LOG10})
+
+    logps = encoded.select("rid", "tokens", "n_tokens").mapInPandas(score, "rid long, logp double")
+    scored = encoded.drop("tokens", "h")
     tail = scored.select("rid", F.explode("tail").alias("word")).join(counts, "word", "left")
     tail = tail.groupBy("rid").agg(F.sum(F.log10(F.coalesce("count", F.lit(0)) + 1)).alias("tail_log"), F.count_if(F.col("count").isNull()).alias("unknown"))
-    done = scored.drop("tail").join(tail, "rid", "left")
+    done = scored.drop("tail").join(logps, "rid").join(tail, "rid", "left")
     tail_log, unknown = F.coalesce("tail_log", F.lit(0.0)), F.coalesce("unknown", F.lit(0)) + (0 if ends else 1)
     base = F.col("head_log") + tail_log - F.col("n_tokens") * F.log10(F.lit(float(total + kinds + 1)))
-    return done.select("doc_id", "held_out", "n_tokens", (F.col("n_tokens") - unknown).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("score") + tail_log).alias("score"))
+    return done.select("doc_id", "held_out", "n_tokens", (F.col("n_tokens") - unknown).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("logp") + F.col("rare") + tail_log).alias("score"))
 
 
 def op8_gru(spark, sf_dir: str) -> DataFrame:
