@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from noteforge import vocab
 from noteforge.functions import arrow, text
-from noteforge.operators import curation, dedup, media, references, reports, stats
+from noteforge.operators import curation, dedup, media, providers, references, reports, stats
 from noteforge.plans import plan
 from noteforge.sources.tables import ATTACHMENTS_SQL, BACKUP_SQL, NAMES_SQL, NOTES_SQL, PATHS_SQL, REPORT_SQL, attachments, backup, names, notes, paths, report, table
 from noteforge.streaming import increments
@@ -517,10 +517,12 @@ def lang_tag_upsert(spark, sf):
 
 
 ARCHIVE = "WITH " + NOTES_SQL + ", plain AS (SELECT path, name, content, lower(left(content, 2000)) AS low FROM notes WHERE NOT starts_with(content, '---' || chr(10))) "
+ARCHIVE_LANG = "CASE WHEN len(regexp_extract_all(low, '[áéíóúñü]')) >= 3 OR " + " + ".join(f"contains(' ' || low || ' ', ' {w} ')::integer" for w in vocab.ARCHIVE_SPANISH_WORDS) + " >= 5 OR regexp_matches(low, '[¿¡]') THEN 'lang/es' ELSE 'lang/en' END"
+ARCHIVE_USE = "greatest(0.3, least(0.9, 0.5::double + CASE WHEN length(content) > 5000 THEN 0.15 WHEN length(content) < 500 THEN -0.15 ELSE 0 END::double))"
 ARCHIVE_TOPICS = "list_sort(list_distinct(list_filter([" + ", ".join("CASE WHEN " + " OR ".join(f"contains(low, '{w}')" for w in words) + f" THEN '{t}' END" for t, words in vocab.ARCHIVE_TOPICS.items()) + "], lambda x: x IS NOT NULL)))"
 
 
-@query(ARCHIVE + "SELECT path, CASE WHEN len(regexp_extract_all(low, '[áéíóúñü]')) >= 3 OR " + " + ".join(f"contains(' ' || low || ' ', ' {w} ')::integer" for w in vocab.ARCHIVE_SPANISH_WORDS) + " >= 5 OR regexp_matches(low, '[¿¡]') THEN 'lang/es' ELSE 'lang/en' END AS lang FROM plain")
+@query(ARCHIVE + "SELECT path, " + ARCHIVE_LANG + " AS lang FROM plain")
 def archive_language(spark, sf):
     return curation.archive_rows(notes(spark, sf), "2024-01-01").select("path", "lang")
 
@@ -530,7 +532,7 @@ def archive_type_topics(spark, sf):
     return curation.archive_rows(notes(spark, sf), "2024-01-01").select("path", "kind", "topics")
 
 
-@query(ARCHIVE + "SELECT path, round(greatest(0.3, least(0.9, 0.5::double + CASE WHEN length(content) > 5000 THEN 0.15 WHEN length(content) < 500 THEN -0.15 ELSE 0 END::double)), 6) AS usefulness FROM plain")
+@query(ARCHIVE + "SELECT path, round(" + ARCHIVE_USE + ", 6) AS usefulness FROM plain")
 def archive_usefulness(spark, sf):
     return curation.archive_rows(notes(spark, sf), "2024-01-01").select("path", "usefulness")
 
@@ -545,7 +547,7 @@ def archive_frontmatter(spark, sf):
     return curation.archive_rows(notes(spark, sf), "2024-01-01").select("path", F.md5("new_content").alias("content_md5"))
 
 
-@query()
+@query(ARCHIVE + "SELECT lang, count(*) AS notes, round(avg(u), 6) AS avg_usefulness FROM (SELECT " + ARCHIVE_LANG + " AS lang, " + ARCHIVE_USE + " AS u FROM plain) GROUP BY lang")
 def archive_totals(spark, sf):
     return curation.archive_totals(notes(spark, sf))
 
@@ -584,6 +586,11 @@ def paths_wiki_only(spark, sf):
     return curation.path_rows(notes(spark, sf), "/vault", "only").select("path", "resolved")
 
 
+@query(LINKS + ", f AS (SELECT path, min(i) AS i, link FROM (SELECT path, generate_subscripts(a, 1) AS i, trim(split_part(unnest(a), '|', 1)) AS link FROM (SELECT path, regexp_extract_all(content, '\\[\\[([^\\]]+)\\]\\]', 1) AS a FROM notes)) WHERE link <> '' GROUP BY path, link) SELECT path, '/vault/' || link AS resolved FROM f QUALIFY row_number() OVER (PARTITION BY path ORDER BY i) <= 1")
+def paths_limited(spark, sf):
+    return curation.path_rows(notes(spark, sf), "/vault", "only", limit=1).select("path", "resolved")
+
+
 @query()
 def basename_match(spark, sf):
     n = notes(spark, sf)
@@ -592,6 +599,33 @@ def basename_match(spark, sf):
     return curation.matched_paths(curation.path_rows(n, "/vault").select("path", "resolved").unionByName(found), known)
 
 
+@query("WITH " + PATHS_SQL + " SELECT doc_id, rel_path FROM paths ORDER BY rel_path, doc_id LIMIT 100")
+def sorted_scan(spark, sf):
+    return stats.sorted_scan(paths(spark, sf).select("doc_id", "rel_path"), "rel_path", "doc_id", limit=100)
+
+
+@query("WITH " + PATHS_SQL + " SELECT doc_id, rel_path, 'agent' AS kind FROM paths WHERE regexp_matches(rel_path, '^\\.claude/agents/[^/]*\\.md$')")
+def agent_files(spark, sf):
+    return curation.agent_files(paths(spark, sf).select("doc_id", "rel_path"))
+
+
+@query("WITH " + NOTES_SQL + """, c AS (SELECT path, regexp_replace(content, '^#\\s+[^\\n]+\\n', '') AS c FROM notes), e AS (SELECT *, position(chr(10) IN substr(c, 3000)) AS p FROM c)
+SELECT path, md5(CASE WHEN p > 0 THEN left(c, 3000 + p - 2) || chr(10) || chr(10) || '[... conversation continues ...]' ELSE c END) AS preview_md5 FROM e""")
+def note_previews(spark, sf):
+    return notes(spark, sf).select("path", F.md5(text.preview(F.col("content"))).alias("preview_md5"))
+
+
+@query("SELECT doc_id, 'Doc ' || doc_id AS title FROM documents")
+def shown_titles(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", text.shown_title(F.concat(F.lit("Title: Doc "), F.col("doc_id").cast("string"))).alias("title"))
+
+
+@query("SELECT event_id, strftime(ts, '%Y%m%d_%H%M%S') AS run, strftime(ts, '%Y-%m-%d') AS day FROM events")
+def time_stamps(spark, sf):
+    run, day = text.stamps(F.col("ts"))
+    return table(spark, sf, "events").select("event_id", run.alias("run"), day.alias("day"))
+
+
 def chapters(spark, sf) -> DataFrame:
     docs = table(spark, sf, "documents")
     body = F.concat(F.lit('---\ntitle: "Chapter '), F.col("doc_id").cast("string"), F.lit('"\n---\n## Chapter Overview\n\n'), F.col("text"), F.lit("\n\n## Key Arguments\n\n- **first** a\n- **second** b\n\n## Key Concepts\n\n### one\n\n### two\n"), F.when(F.col("doc_id") % 3 == 0, "![[x diagram.png]]\n").otherwise(""))
@@ -703,6 +737,18 @@ def image_formats(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.element_at(exts, (F.col("doc_id") % 11 + 1).cast("int")).alias("ext")).withColumn("format", media.target_format(F.col("ext")))
 
 
+@query("""SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 50.0::double ELSE doc_id % 101 END AS quality_score, CASE WHEN doc_id % 7 = 0 THEN 'review' WHEN doc_id % 3 = 0 THEN 'archive' ELSE 'keep' END AS suggested_action,
+ CASE WHEN doc_id % 7 = 0 THEN 'Error parsing LLM response' ELSE 'r' END AS reasoning, doc_id % 7 <> 0 AND doc_id % 3 = 0 AS has_framework, doc_id % 7 = 0 OR doc_id % 2 = 0 AS is_valuable,
+ CASE WHEN doc_id % 7 = 0 THEN '' ELSE 'a,t' || doc_id % 5 END AS primary_topics, CASE WHEN doc_id % 7 <> 0 AND doc_id % 3 = 0 THEN 'steps' END AS framework_description, '' AS key_questions FROM documents""")
+def analysis_fields(spark, sf):
+    """All fields of a model's replies; every seventh holds no JSON."""
+    i = F.col("doc_id")
+    more = F.when(i % 3 == 0, ', "suggested_action": "archive", "has_framework": true, "framework_description": "steps"').otherwise("")
+    fields = F.concat(F.lit('{"quality_score": "'), (i % 101).cast("string"), F.lit('", "is_valuable": '), (i % 2 == 0).cast("string"), F.lit(', "primary_topics": ["a", "t'), (i % 5).cast("string"), F.lit('"], "reasoning": "r"'), more, F.lit("}"))
+    replies = table(spark, sf, "documents").select("doc_id", F.when(i % 7 == 0, "none").otherwise(F.concat(F.lit("Sure:\n```json\n"), fields, F.lit("\n```"))).alias("reply"))
+    return replies.select("doc_id", *providers.analysis_of()).withColumns({c: F.array_join(c, ",") for c in ("primary_topics", "key_questions")})
+
+
 @query()
 def json_repair(spark, sf):
     """Replies of a model around events' JSON, and the fields read from them as text, then cast."""
@@ -774,6 +820,12 @@ def gray_detection(spark, sf):
     return media.is_gray(p, ["l_returnflag"])
 
 
+@query("SELECT l_partkey, CASE WHEN count(*) > 100 THEN bool_or(l_quantity < 5 AND l_orderkey % 100 = 0) ELSE bool_or(l_quantity < 5) END AS transparent FROM lineitem GROUP BY 1")
+def transparency(spark, sf):
+    px = table(spark, sf, "lineitem").select("l_partkey", "l_orderkey", F.when(F.col("l_quantity") < 5, 0).otherwise(255).alias("alpha"))
+    return media.transparent(px, ["l_partkey"], "l_orderkey", "alpha")
+
+
 @query("SELECT count(*) AS files, round(sum(n_chars) / 1048576.0::double, 9) AS megabytes, round(2 * sum(n_chars) / 1048576.0::double, 9) AS eta_seconds FROM documents")
 def transcription_totals(spark, sf):
     return media.transcription_totals(table(spark, sf, "documents").select(F.col("n_chars").alias("size")))

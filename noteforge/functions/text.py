@@ -324,6 +324,23 @@ def title(text: Column, default: Column) -> Column:
     return F.coalesce(F.nullif(strip(F.regexp_extract(text, r"(?md)^#\s+(.+)$", 1)), F.lit("")), default)
 
 
+def shown_title(title: Column) -> Column:
+    return F.replace(title, F.lit("Title: "), F.lit(""))
+
+
+def stamps(at: Column) -> tuple[Column, Column]:
+    """A time as runs and as notes write it: 20240131_235959, 2024-01-31."""
+    return F.date_format(at, "yyyyMMdd_HHmmss"), F.date_format(at, "yyyy-MM-dd")
+
+
+def preview(text: Column, budget: int = 3000) -> Column:
+    """The text behind a title at its very start, up to the end of the line that the budget's last character stands in; a
+    mark below it if lines follow."""
+    rest = F.regexp_replace(text, r"(?d)\A#\s+.+\n", "")
+    end = F.locate("\n", rest, budget)
+    return F.when(end > 0, F.concat(F.left(rest, end - 1), F.lit("\n\n[... conversation continues ...]"))).otherwise(rest)
+
+
 def is_hidden(path: Column, policy: str = "shared") -> Column:
     """Whether a vault-relative path is left out. shared: any part with a leading dot; inverted: those but .trash and
     .obsidian; fallback: those two alone; strict: as shared, without opt-ins; none: nothing."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from noteforge import vocab
 from noteforge.functions import arrow, text
@@ -142,19 +143,29 @@ def agent_rows(files: DataFrame, skills: DataFrame) -> DataFrame:
     return out.select("path", F.col("fm.name").alias("name"), (F.size("errors") == 0).alias("valid"), "errors", warnings.alias("warnings"))
 
 
+def agent_files(files: DataFrame) -> DataFrame:
+    """files (rel_path) that are agents or skills, with kind: Markdown right in .claude/agents or .claude/skills, and the
+    SKILL.md of each folder of .claude/skills."""
+    p = F.col("rel_path")
+    kind = F.when(p.rlike(r"^\.claude/agents/[^/]*\.md$"), "agent").when(p.rlike(r"^\.claude/skills/([^/]*\.md|[^/]+/SKILL\.md)$"), "skill")
+    return files.withColumn("kind", kind).where("kind is not null")
+
+
 def validation_totals(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("files"), F.count_if("valid").alias("valid"), F.sum(F.size("errors")).alias("errors"), F.sum(F.size("warnings")).alias("warnings"), F.max(F.when(F.col("valid"), 0).otherwise(1)).alias("exit_code"))
 
 
-def path_rows(notes: DataFrame, base: str, wiki: str = "all") -> DataFrame:
-    """(path, ordinal, found, resolved) of paths in notes, the first of equal resolved ones. wiki: all kinds of paths;
+def path_rows(notes: DataFrame, base: str, wiki: str = "all", limit: int = 0) -> DataFrame:
+    """(path, ordinal, found, resolved) of paths in notes, the first of equal resolved ones; with a limit, the first so
+    many of each note. wiki: all kinds of paths;
     only: those of wiki links; prefer: those of wiki links in notes that have any. Distinct paths are resolved once."""
     links = text.wiki_links(F.col("content"))
     every = text.extracted_paths(F.col("content"))
     chosen = {"all": every, "only": links, "prefer": F.when(F.size(links) > 0, links).otherwise(every)}[wiki]
     found = notes.select("path", F.posexplode(chosen).alias("ordinal", "found"))
     found = found.withColumn("resolved", text.resolved_path(F.col("found"), base))
-    return found.groupBy("path", "resolved").agg(F.min(F.struct("ordinal", "found")).alias("f")).select("path", "f.*", "resolved")
+    out = found.groupBy("path", "resolved").agg(F.min(F.struct("ordinal", "found")).alias("f")).select("path", "f.*", "resolved")
+    return out.withColumn("_rank", F.row_number().over(W.partitionBy("path").orderBy("ordinal"))).where(F.col("_rank") <= limit).drop("_rank") if limit > 0 else out
 
 
 def matched_paths(found: DataFrame, files: DataFrame) -> DataFrame:

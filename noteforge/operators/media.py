@@ -55,6 +55,14 @@ def is_gray(pixels: DataFrame, keys: list[str]) -> DataFrame:
     return pixels.groupBy(*keys).agg(F.round(F.sum(spread) / (3 * F.count("*")), 9).alias("variance")).withColumn("is_gray", F.col("variance") < 30)
 
 
+def transparent(pixels: DataFrame, keys: list[str], at: str, alpha: str, step: int = 100) -> DataFrame:
+    """Whether an image has a pixel that is not opaque: among every step-th (at, from 0) of images of more pixels than
+    that, among all of others."""
+    clear = F.col(alpha) < 255
+    by = pixels.groupBy(*keys).agg(F.count("*").alias("n"), F.bool_or(clear).alias("any"), F.bool_or(clear & (F.col(at) % step == 0)).alias("some"))
+    return by.select(*keys, F.when(F.col("n") > step, F.col("some")).otherwise(F.col("any")).alias("transparent"))
+
+
 #: What an image is written as, by its extension.
 FORMATS = {"jpg": "JPEG", "jpeg": "JPEG", "png": "PNG", "webp": "WEBP", "bmp": "JPEG", "tiff": "JPEG", "tif": "JPEG", "heic": "JPEG", "heif": "JPEG", "gif": "GIF"}
 

@@ -36,15 +36,21 @@ def with_provider(rows: DataFrame, column: str, provider: Callable[[list], list[
 
 
 def analysis_of(reply: str = "reply") -> list:
-    """Fields of a reply's JSON object as text, then cast; defaults as a conservative reading has them."""
+    """The eight fields of a reply's JSON object, read as text, then cast. A missing field has its default; a reply without
+    a JSON object is to be reviewed, at 50. The text "false" counts as false, and a null as missing."""
     from noteforge.functions import arrow
 
     json = arrow.json_object_span(F.col(reply))
     get = lambda k: F.get_json_object(json, f"$.{k}")
-    truthy = lambda c: ~F.coalesce(F.lower(c).isin("", "0", "null"), F.lit(True)) & (c != "false")
+    truthy = lambda k, other: F.coalesce(~get(k).isin("", "0", "0.0", "[]", "{}", "false"), F.lit(other)).alias(k)
+    strings = lambda k: F.coalesce(F.from_json(get(k), "array<string>"), F.array().cast("array<string>")).alias(k)
     return [
         F.coalesce(get("quality_score").try_cast("double"), F.lit(50.0)).alias("quality_score"),
         F.when(json.isNull(), "review").otherwise(F.coalesce(get("suggested_action"), F.lit("keep"))).alias("suggested_action"),
         F.when(json.isNull(), "Error parsing LLM response").otherwise(F.coalesce(get("reasoning"), F.lit(""))).alias("reasoning"),
-        F.coalesce(truthy(get("has_framework")), F.lit(False)).alias("has_framework"),
+        truthy("has_framework", False),
+        truthy("is_valuable", True),
+        strings("primary_topics"),
+        get("framework_description").alias("framework_description"),
+        strings("key_questions"),
     ]

@@ -146,12 +146,20 @@ def conversation_summary(rollup: DataFrame) -> DataFrame:
     return rollup.agg(F.count("*").alias("conversations"), F.count_if(F.col("user_messages") <= 2).alias("single_turn"), F.count_if(F.col("user_messages") > 2).alias("multi_turn"), *cols)
 
 
-def nearest_rank(values: DataFrame, column: str, percents: tuple[int, ...] = (50, 75, 80, 90, 95, 99)) -> DataFrame:
-    """For each p the value at 0-based rank floor(n p / 100) of the sorted column. The column is counted by value first,
-    so the window runs over distinct values, not rows."""
+def nearest_rank(values: DataFrame, column: str, percents: tuple[int, ...] = (50, 75, 80, 90, 95, 99), pieces: int = 4096) -> DataFrame:
+    """For each p the value at 0-based rank floor(n p / 100) of the sorted column, nulls first. The column is counted by
+    value, the range of values is cut into `pieces` of equal width, and ranks are summed inside each piece and shifted by
+    the counts of the pieces before it: one task sees the pieces, none all distinct values."""
     counts = values.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
-    up = W.orderBy("value").rowsBetween(W.unboundedPreceding, 0)
-    ranked = counts.withColumn("upto", F.sum("n").over(up)).withColumn("total", F.sum("n").over(W.partitionBy()))
+    ends = counts.agg(F.min("value").cast("double").alias("low"), F.max("value").cast("double").alias("high"))
+    share = F.try_divide(F.col("value").cast("double") - F.col("low"), F.col("high") - F.col("low"))
+    piece = F.when(F.col("value").isNull(), -1).otherwise(F.floor(F.coalesce(share, F.lit(0.0)) * pieces).cast("int"))
+    cut = counts.crossJoin(F.broadcast(ends)).select("value", "n", piece.alias("piece"))
+    before = W.orderBy("piece").rowsBetween(W.unboundedPreceding, -1)
+    starts = cut.groupBy("piece").agg(F.sum("n").alias("held"))
+    starts = starts.select("piece", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("start"), F.sum("held").over(W.partitionBy()).alias("total"))
+    up = W.partitionBy("piece").orderBy("value").rowsBetween(W.unboundedPreceding, 0)
+    ranked = cut.join(F.broadcast(starts), "piece").withColumn("upto", F.col("start") + F.sum("n").over(up))
     each = ranked.withColumn("percent", F.explode(F.lit(list(percents))))
     at = F.expr("(total * percent) div 100")
     return each.where((at < F.col("upto")) & (at >= F.col("upto") - F.col("n"))).select("percent", "value")
@@ -217,3 +225,9 @@ def merged_document(notes: DataFrame, group: str, title: str, body: str, order:
     rule = "\n" + "=" * 80 + "\n"
     parts = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.concat(F.col(title), F.lit("\n"), F.col(body)).alias("t"))))
     return notes.groupBy(group).agg(F.count("*").alias("notes"), F.array_join(F.transform(parts, lambda x: x["t"]), rule).alias("merged"))
+
+
+def sorted_scan(files: DataFrame, *keys: str, limit: int = 0) -> DataFrame:
+    """files in order of keys (by code point), the first `limit` of them; 0 takes all."""
+    ordered = files.orderBy(*keys)
+    return ordered.limit(limit) if limit > 0 else ordered

@@ -20,27 +20,28 @@ def plan(rows: DataFrame, op: str, action: str, src: str, **more: str | Column)
     return rows.select(*[given.get(c, F.lit(None)).cast("string").alias(c) for c in COLUMNS])
 
 
-def free_destinations(rows: DataFrame, src: str, folder: str, taken: DataFrame | None = None, rounds: int = 3) -> DataFrame:
-    """rows with dest_path: their names in one folder, the second and later of equal names as name_1, name_2 ... by
-    path. taken: name, of files that are there already. A generated name that clashes with another is numbered on, for
-    `rounds` rounds; what still clashes gets a hash of its path."""
+def free_destinations(rows: DataFrame, src: str, folder: str, taken: DataFrame | None = None) -> DataFrame:
+    """rows with dest_path: their names in one folder, the second and later of equal names by path as name_1, name_2 ...
+    taken: name, of files that are there already, which the first of a name gives way to as well. Numbers whose name is
+    taken, or is another row's own name, are left out: the j-th row of a name gets the j-th number that is free. Names
+    made for different names never meet, so one pass over each name's rows and taken numbers is exact."""
     name = F.element_at(F.split(src, "/"), -1)
-    stem, ext = F.regexp_replace(name, r"(?<=.)\.[^.]*$", ""), F.regexp_extract(name, r"(?<=.)(\.[^.]*)$", 1)
-    out = rows.withColumns({"_stem": stem, "_ext": ext, "_n": F.row_number().over(W.partitionBy(name).orderBy(src)) - 1})
-    made = lambda: F.concat("_stem", F.when(F.col("_n") > 0, F.concat(F.lit("_"), F.col("_n").cast("string"))).otherwise(""), "_ext")
-    there = taken.select(F.col("name").alias("_made"), F.lit(1).alias("_old")).distinct() if taken is not None else None
-    for _ in range(rounds):
-        out = out.withColumn("_made", made())
-        if there is not None:
-            out = out.join(there, "_made", "left").withColumn("_old", F.coalesce("_old", F.lit(0)))
-        else:
-            out = out.withColumn("_old", F.lit(0))
-        rank = F.row_number().over(W.partitionBy("_made").orderBy((F.col("_n") > 0).cast("int"), src)) - 1 + F.col("_old")
-        out = out.withColumn("_n", F.col("_n") + rank).drop("_made", "_old")
-    out = out.withColumn("_made", made())
-    again = F.row_number().over(W.partitionBy("_made").orderBy(src)) > 1
-    final = F.when(again, F.concat("_stem", F.lit("_"), F.substring(F.md5(src), 1, 8), "_ext")).otherwise(F.col("_made"))
-    return out.withColumn("dest_path", F.concat(F.lit(folder.rstrip("/") + "/"), final)).drop("_stem", "_ext", "_n", "_made")
+    split = lambda c: (F.regexp_replace(c, r"(?<=.)\.[^.]*$", ""), F.regexp_extract(c, r"(?<=.)(\.[^.]*)$", 1))
+    out = rows.withColumn("_name", name).withColumn("_at", F.row_number().over(W.partitionBy("_name").orderBy(src)).cast("long") - 1)
+    known = out.select("_name")
+    if taken is not None:
+        there = taken.select(F.col("name").alias("_name")).distinct()
+        known = known.unionByName(there)
+        out = out.join(there.withColumn("_old", F.lit(1)), "_name", "left").withColumn("_at", F.col("_at") + F.coalesce("_old", F.lit(0))).drop("_old")
+    stem, ext = split(F.col("_name"))
+    number = r"(?s)^(.+)_([1-9][0-9]*)$"
+    used = known.distinct().select(F.concat(F.regexp_extract(stem, number, 1), ext).alias("_name"), F.regexp_extract(stem, number, 2).try_cast("long").alias("_k")).where("_k is not null")
+    used = used.select("_name", (F.col("_k") - F.row_number().over(W.partitionBy("_name").orderBy("_k"))).alias("_at"), F.lit(1).alias("_mark"))
+    both = out.withColumn("_mark", F.lit(0)).unionByName(used, allowMissingColumns=True)
+    passed = F.sum("_mark").over(W.partitionBy("_name").orderBy("_at", "_mark").rowsBetween(W.unboundedPreceding, 0))
+    done = both.withColumn("_passed", passed).where("_mark = 0")
+    made = F.when(F.col("_at") == 0, F.col("_name")).otherwise(F.concat(stem, F.lit("_"), (F.col("_at") + F.col("_passed")).cast("string"), ext))
+    return done.withColumn("dest_path", F.concat(F.lit(folder.rstrip("/") + "/"), made)).drop("_name", "_at", "_mark", "_passed")
 
 
 def trash_plan(rows: DataFrame, op: str, src: str, prefix: str, stamp: str, reason: str, taken: DataFrame | None = None) -> DataFrame:

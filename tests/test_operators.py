@@ -95,9 +95,9 @@ def test_providers(spark):
         return ['x {"quality_score": "85", "suggested_action": "archive", "has_framework": true}' for _ in prompts]
 
     got = providers.with_provider(spark.createDataFrame([("p",)], "prompt string"), "prompt", reply).select(*providers.analysis_of()).first()
-    assert tuple(got) == (85.0, "archive", "", True)
+    assert tuple(got) == (85.0, "archive", "", True, True, [], None, [])
     bad = providers.with_provider(spark.createDataFrame([("boom",)], "prompt string"), "prompt", reply, wait=0.0).select(*providers.analysis_of()).first()
-    assert tuple(bad) == (50.0, "review", "Error parsing LLM response", False)
+    assert tuple(bad) == (50.0, "review", "Error parsing LLM response", False, True, [], None, [])
 
 
 def test_stream_counts_equal_batch(spark, sf):
@@ -160,3 +160,60 @@ def test_upsert_changes_the_first_row_of_a_path(spark):
     old = spark.createDataFrame([(1, "a", "keep", 1.0), (2, "a", "keep", 2.0), (3, "b", "keep", 3.0)], "at int, path string, action string, score double")
     new = spark.createDataFrame([("a", "archive", 9.0)], "path string, action string, score double")
     assert rows(reports.upsert(old, new, "at"), "at", "action", "score") == [(1, "archive", 9.0), (2, "keep", 2.0), (3, "keep", 3.0)]
+
+
+def test_collisions_skip_taken_numbers(spark):
+    paths = [*(f"{i}/a.md" for i in range(6)), "x/a_2.md", "y/a_2.md", "x/a_2_1.md", "x/a_07.md", "p/b", "q/b"]
+    taken = spark.createDataFrame([("a.md",), ("a_1.md",), ("a_5.md",), ("b_1",)], "name string")
+    done = plan.free_destinations(spark.createDataFrame([(p,) for p in paths], "path string"), "path", "t", taken).collect()
+    got = {r["path"]: r["dest_path"] for r in done}
+    assert [got[f"{i}/a.md"] for i in range(6)] == [f"t/a_{n}.md" for n in (3, 4, 6, 7, 8, 9)]
+    assert [got[p] for p in paths[6:]] == ["t/a_2.md", "t/a_2_2.md", "t/a_2_1.md", "t/a_07.md", "t/b", "t/b_2"]
+
+
+def test_transparency_samples_large_images(spark):
+    px = spark.createDataFrame([("big", i, 0 if i == 7 else 255) for i in range(101)] + [("small", i, 0 if i == 7 else 255) for i in range(100)] + [("hit", i, 0 if i == 100 else 255) for i in range(101)], "img string, at int, a int")
+    assert rows(media.transparent(px, ["img"], "at", "a"), "img", "transparent") == [("big", False), ("hit", True), ("small", True)]
+
+
+def test_nearest_rank_of_odd_columns(spark):
+    one = spark.createDataFrame([(7,)] * 5, "v long")
+    assert [r["value"] for r in stats.nearest_rank(one, "v", (0, 50, 99)).collect()] == [7, 7, 7]
+    some = spark.createDataFrame([(None,), (-3,), (10**12,), (0,)], "v long")
+    assert rows(stats.nearest_rank(some, "v", (25, 50, 75)), "percent", "value") == [(25, -3), (50, 0), (75, 10**12)]
+    assert stats.nearest_rank(one.where("v < 0"), "v").count() == 0
+
+
+def test_json_sinks_and_merged_text(spark, tmp_path):
+    from noteforge.sources import reports as sinks
+
+    done = spark.createDataFrame([("a", 1)], "path string, n int")
+    sinks.add_results(done, f"{tmp_path}/r")
+    sinks.add_results(done.withColumn("path", F.lit("b")), f"{tmp_path}/r")
+    todo = spark.createDataFrame([("a",), ("c",)], "path string")
+    assert rows(sinks.pending(todo, spark.read.json(f"{tmp_path}/r")), "path") == [("c",)]
+    sinks.write_stats(done, f"{tmp_path}/s")
+    assert spark.read.json(f"{tmp_path}/s").first()["n"] == 1
+    notes = spark.createDataFrame([(i, "g" if i % 3 else "h", f"T{i}", f"body {i}\nend") for i in range(50)], "i int, g string, t string, b string")
+    sinks.write_merged(notes, "g", "t", "b", "i", f"{tmp_path}/m")
+    for r in stats.merged_document(notes, "g", "t", "b", "i").collect():
+        folder = tmp_path / "m" / f"g={r['g']}"
+        assert "".join((folder / f).read_text() for f in sorted(os.listdir(folder)) if f.startswith("part-")) == r["merged"] + "\n"
+
+
+def test_path_limit_and_preview(spark):
+    from noteforge.functions import text
+
+    notes = spark.createDataFrame([("n", "[[b.png]] [[a.png]] [[b.png]] [[c.png]]")], "path string, content string")
+    assert rows(curation.path_rows(notes, "/v", "only", 2), "resolved") == [("/v/a.png",), ("/v/b.png",)]
+    shown = lambda t, n: spark.createDataFrame([(t,)], "t string").select(text.preview(F.col("t"), n)).first()[0]
+    for t in ("# T\nab\ncd\nef", "ab\ncd", "", "# T\n", "x" * 9 + "\ny"):
+        for n in range(1, 12):
+            body, kept, used = t.removeprefix("# T\n"), [], 0
+            for line in body.split("\n"):
+                if used >= n:
+                    kept.append("\n[... conversation continues ...]")
+                    break
+                kept.append(line)
+                used += len(line) + 1
+            assert shown(t, n) == "\n".join(kept)
