@@ -114,6 +114,22 @@ def running(df: DataFrame, keys: list[str], order: Column, tie: list[str], value
     return out.drop("_o", "_piece", *[f"_k_{c}" for c in at], *[f"_s_{n}" for n in values.values()])
 
 
+def numbered(rows: DataFrame, group: list[str], order: list[str], name: str) -> DataFrame:
+    """rows, stored, with _pos, each row's exact place in its group from 0 in the order of `order` (nulls first), and _n,
+    the group's rows. Rows are dealt by ranges of group and order, sorted in each and numbered by what the ranges hold,
+    so a group may have any share of the rows. A window adds up one row for each range; no row takes part in it."""
+    dealt = rows.repartitionByRange(*group, *order).sortWithinPartitions(*group, *order)
+    dealt = stored(dealt.withColumns({"_range": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), name)
+    ranges = dealt.groupBy(*group, "_range").agg(F.count("*").alias("_held"), F.min("_at").alias("_first"))
+    every = W.partitionBy(*group)
+    before = every.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    ranges = stored(ranges.select(*[F.col(c).alias(f"_g_{c}") for c in group], F.col("_range").alias("_r"), (F.coalesce(F.sum("_held").over(before), F.lit(0)) - F.col("_first")).alias("_shift"), F.sum("_held").over(every).alias("_n")), f"{name}-ranges")
+    ranges = F.broadcast(ranges) if ranges.count() * 128 <= BROADCAST_BYTES else ranges
+    same = [F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in group]
+    out = dealt.join(ranges, [*same, F.col("_range") == F.col("_r")])
+    return out.withColumn("_pos", F.col("_at") + F.col("_shift")).drop("_range", "_at", "_r", "_shift", *[f"_g_{c}" for c in group])
+
+
 def with_row_keys(docs: DataFrame) -> tuple[DataFrame, list[str]]:
     """docs with two long columns that name each row for good, and their names: however often the result is read, and
     whatever executors are left, a row keeps its key. Rows that come straight from Parquet files are named by a hash of
