@@ -1,6 +1,6 @@
 """The corpus operators' queries and their SQL."""
 
-from noteforge.llm import audio, exact_dedup, lm, merkle, mixing, near_dedup, packing, sharding, token_ids, tokens, toxicity
+from noteforge.llm import audio, exact_dedup, lm, merkle, mixing, near_dedup, packing, private, sharding, time_layout, token_ids, tokens, toxicity
 
 QUERIES = {
     "op1_histogram_shards": sharding.op1_histogram_shards,
@@ -14,5 +14,7 @@ QUERIES = {
     "op9_mix_blocks": mixing.op9_mix_blocks,
     "op10_token_ids": token_ids.op10_token_ids,
     "op11_merkle_manifest": merkle.op11_merkle_manifest,
+    "op12_time_partitions": time_layout.op12_time_partitions,
+    "op13_private_spans": private.op13_private_spans,
 }
 SQL = {"op2_exact_bloom": exact_dedup.SQL_OP2, "op3_odd_sketches": near_dedup.SQL_OP3, "op11_merkle_manifest": merkle.SQL_OP11}
