@@ -91,9 +91,9 @@ def plain_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 @lru_cache(1)
-def lookalikes() -> tuple[dict[str, str], re.Pattern]:
-    """ASCII characters by what looks like them, and a pattern of these and of invisible characters."""
-    table = dict(LOOKALIKES)
+def lookalikes() -> dict[str, str]:
+    """ASCII characters by what looks like them; invisible characters are empty."""
+    table = LOOKALIKES | dict.fromkeys(INVISIBLE, "")
     for i in range(0x80, min(sys.maxunicode, 0x1FFFF) + 1):
         c = chr(i)
         plain = unicodedata.normalize("NFKC", c)
@@ -102,7 +102,16 @@ def lookalikes() -> tuple[dict[str, str], re.Pattern]:
             table[c] = str(digit)
         elif len(plain) == 1 and plain.isascii():
             table[c] = plain
-    return table, re.compile("[" + re.escape("".join(table) + INVISIBLE) + "]")
+    return table
+
+
+def plain_characters(text: str) -> list[tuple[int, int, str, str]]:
+    """Pieces for the characters of a text that look like others."""
+    table = lookalikes()
+    there = set(text) & table.keys() if not text.isascii() else ()
+    if not there:
+        return []
+    return [(m.start(), m.end(), table[m[0]], "char") for m in re.finditer("[" + re.escape("".join(sorted(there))) + "]", text)]
 
 
 def patterns() -> dict[str, re.Pattern]:
@@ -123,7 +132,23 @@ def patterns() -> dict[str, re.Pattern]:
     }
 
 
-HINT = re.compile(rf"[\[({{<]\s*(?:{AT}|{DOT}|[@.])\s*[\])}}>]|\s(?:{DOT})\s|\b(?:{'|'.join(map(re.escape, DIGIT_OF))})\b[\s,-]+(?:{'|'.join(map(re.escape, DIGIT_OF))})\b", re.IGNORECASE)
+SIGNS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
+BRACKETS = re.compile(rf"[\[({{<]\s*(?:{AT}|{DOT}|[@.])\s*[\])}}>]")
+DOT_WORD = re.compile(rf"\s(?:{DOT})\s")
+
+
+def hinted(text: str) -> bool:
+    """Whether a text may hold disguises by words: brackets around at or dot, a bare word for a dot, or three digit words
+    in a row, of which the middle one stands between separators and the others may touch a sign."""
+    low = text.lower()
+    if BRACKETS.search(low) or any(w in low for w in DOT.split("|")) and DOT_WORD.search(low):
+        return True
+    words = low.replace(",", " ").replace("-", " ").split()
+    if DIGIT_OF.keys().isdisjoint(words):
+        return False
+    return any(b in DIGIT_OF and a.lstrip(SIGNS) in DIGIT_OF and c.rstrip(SIGNS) in DIGIT_OF for a, b, c in zip(words, words[1:], words[2:], strict=False))
+
+
 PATTERNS = patterns()
 WORD = re.compile(r"[^\W\d_]+|[0-9]+")
 
@@ -181,10 +206,8 @@ def step(before: Rewritten, found: list[tuple[int, int, str, str]]) -> Rewritten
 def rewritten(text: str) -> Rewritten | None:
     """The text in plain form, None where nothing is disguised: first characters, then words for digits, then at and dot."""
     out = Rewritten(text, [])
-    if not text.isascii():
-        table, pattern = lookalikes()
-        out = step(out, [(m.start(), m.end(), table.get(m[0], ""), "char") for m in pattern.finditer(text)])
-    if HINT.search(out.text):
+    out = step(out, plain_characters(text))
+    if hinted(out.text):
         ips = [(m.start(), m.end(), m[0]) for m in PATTERNS["ip"].finditer(out.text)]
         ips = [(a, b, ".".join(spoken(p) for p in re.split(rf"{OPEN}(?:{DOT}|\.){CLOSE}|\s+(?:{DOT})\s+|\.", x, flags=re.IGNORECASE)), "ip") for a, b, x in ips]
         out = step(out, [x for x in ips if out.text[x[0] : x[1]] != x[2]])

@@ -59,6 +59,7 @@ HIDDEN = [
     ("phone", "call {+1 five five five, zero one two, three four five six} today", "+1 5550123456"),
     ("phone", "rufen Sie {plus vier neun drei null eins zwei drei vier fünf sechs} an", "+4930123456"),
     ("phone", "call {＋1 (555) 010‑2030}", "+1 (555) 010-2030"),
+    ("phone", "call {+1 555 (five five five) 0123}", "+1 555 (555) 0123"),
 ]
 
 
