@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from noteforge import vocab
 from noteforge.functions import arrow, text
-from noteforge.operators import curation, dedup, media, providers, references, reports, stats
+from noteforge.operators import curation, dedup, language, media, providers, references, reports, stats
 from noteforge.plans import plan
 from noteforge.sources.tables import ATTACHMENTS_SQL, BACKUP_SQL, NAMES_SQL, NOTES_SQL, PATHS_SQL, REPORT_SQL, attachments, backup, names, notes, paths, report, table
+from noteforge.session import scratch
 from noteforge.streaming import increments
+from noteforge.streaming import report_upsert as upserts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -265,10 +267,16 @@ def orphans(spark, sf):
     return references.orphans(*vault(spark, sf))
 
 
-@query(LINKS + ", s AS (SELECT rel_path, name FROM orphans ORDER BY md5(rel_path), rel_path LIMIT (SELECT greatest(100, count(*) // 20) FROM orphans)), t AS (SELECT string_split(link, '/')[-1] AS name FROM wiki UNION SELECT split_part(string_split(url, '/')[-1], '?', 1) FROM md) SELECT rel_path, name IN (SELECT name FROM t) AS mentioned FROM s")
+#: How a note may hold a name; plain mentions in the text count as well.
+MENTION = "CASE {i} % 5 WHEN 1 THEN {cat}(' see (file ', {i} + 1, '.png)') WHEN 2 THEN {cat}(' in Attachments/file ', {i} + 2, '.png') WHEN 3 THEN {cat}(' at img/file ', {i} + 3, '.png') ELSE ' file 3.png' END"
+
+
+@query(LINKS + ", s AS (SELECT rel_path, name FROM orphans ORDER BY md5(rel_path), rel_path LIMIT (SELECT greatest(100, count(*) // 20) FROM orphans)), c AS (SELECT content || " + MENTION.format(i="doc_id", cat="concat") + """ AS content FROM notes)
+ SELECT rel_path, EXISTS (SELECT 1 FROM c WHERE contains(content, '[[' || name || ']]') OR contains(content, '![[' || name || ']]') OR contains(content, '(' || name || ')') OR contains(content, 'Attachments/' || name) OR contains(content, rel_path)) AS mentioned FROM s""")
 def orphans_verified(spark, sf):
     n, a = vault(spark, sf)
-    return references.verified_sample(n, references.orphans(n, a))
+    mentions = n.withColumn("content", F.concat("content", F.expr(MENTION.format(i="doc_id", cat="concat"))))
+    return references.verified_sample(mentions, references.orphans(n, a))
 
 
 NOTE_LINKS = LINKS + r""", own AS (SELECT path, name FROM (SELECT path, unnest(regexp_extract_all(content, '\[\[([^\]]+)\]\]', 1)) AS rel_path FROM notes) JOIN attachments USING (rel_path)
@@ -346,7 +354,7 @@ def conv_rollup(spark, sf):
     return rollup(spark, sf)
 
 
-@query(ROLLUP + "SELECT count(*) AS conversations, count(*) FILTER (user_messages <= 2) AS single_turn, count(*) FILTER (user_messages > 2) AS multi_turn, " + ", ".join(f"avg({c}) AS avg_{c}, cast(median({c}) AS double) AS median_{c}, min({c}) AS min_{c}, max({c}) AS max_{c}" for c in ("user_messages", "assistant_messages", "user_chars", "assistant_chars", "total_chars")) + " FROM rollup_")
+@query(ROLLUP + "SELECT count(*) AS conversations, count(*) FILTER (user_messages <= 2) AS single_turn, count(*) FILTER (user_messages > 2) AS multi_turn, " + ", ".join(f"avg({c}) AS avg_{c}, cast(median({c}) AS double) AS median_{c}, min({c}) AS min_{c}, max({c}) AS max_{c}" for c in ("user_messages", "assistant_messages", "user_chars", "assistant_chars", "total_chars")) + "".join(f", avg(avg_{r}) FILTER ({r}_messages > 0) AS avg_{r}_length, median(avg_{r}) FILTER ({r}_messages > 0) AS median_{r}_length" for r in ("user", "assistant")) + " FROM rollup_")
 def conv_summary(spark, sf):
     return stats.conversation_summary(rollup(spark, sf))
 
@@ -506,6 +514,58 @@ def lang_decision(spark, sf):
     return table(spark, sf, "documents").select("doc_id", lang.alias("lang"), F.round(conf, 9).alias("confidence"))
 
 
+#: The detector's model in SQL: fitted on the documents outside the held-out fold, whole numbers throughout.
+HELD_OUT = "left(md5(cast(doc_id AS varchar)), 1) < '3'"
+MODEL = f"""WITH t AS (SELECT doc_id, lang, {HELD_OUT} AS held_out, ' ' || trim(regexp_replace(lower(text), '([^\\p{{{{L}}}}]|[\\x{{{{10000}}}}-\\x{{{{10FFFF}}}}])+', ' ', 'g')) || ' ' AS s FROM documents),
+ g AS (SELECT doc_id, lang, held_out, unnest(list_transform(range(1, length(s) - 1), lambda i: substr(s, i, 3))) AS gram FROM t),
+ c AS (SELECT lang, gram, count(*) AS c FROM g WHERE NOT held_out AND lang IS NOT NULL GROUP BY ALL),
+ v AS (SELECT count(DISTINCT gram) AS v FROM c), n AS (SELECT lang, count(*) AS n FROM t WHERE NOT held_out AND s IS NOT NULL AND lang IS NOT NULL GROUP BY lang),
+ l AS (SELECT lang, t + v AS size, floor(ln(1.0::double / (t + v)) * 1e6::double + 0.5) AS unseen, floor(ln(n::double / (SELECT sum(n) FROM n)) * 1e6::double + 0.5) AS prior FROM (SELECT lang, sum(c) AS t FROM c GROUP BY lang) JOIN n USING (lang), v),
+ gain AS (SELECT gram, lang, floor(ln((c + 1)::double / size) * 1e6::double + 0.5) - unseen AS gain FROM c JOIN l USING (lang)),
+ k AS (SELECT doc_id, gram, count(*) AS k FROM g GROUP BY ALL), whole AS (SELECT doc_id, sum(k) AS n FROM k GROUP BY doc_id), hits AS (SELECT doc_id, lang, sum(k * gain) AS hit FROM k JOIN gain USING (gram) GROUP BY ALL),
+ scores AS (SELECT w.doc_id, l.lang, prior + n * unseen + coalesce(hit, 0) AS score FROM whole w, l LEFT JOIN hits h ON h.doc_id = w.doc_id AND h.lang = l.lang),
+ p AS (SELECT doc_id, lang, exp((score - max(score) OVER (PARTITION BY doc_id)) / 1e6::double) AS e FROM scores), q AS (SELECT doc_id, lang, e / sum(e) OVER (PARTITION BY doc_id) AS p FROM p),
+ guess AS (SELECT doc_id, lang AS best, p AS prob FROM q WHERE {{}} QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY p DESC, lang) = 1), best AS (SELECT * FROM guess WHERE prob >= 0.1) """
+
+
+def model(spark, sf) -> language.LanguageModel:
+    docs = table(spark, sf, "documents")
+    return language.fit(docs.where(~F.expr("left(md5(cast(doc_id AS string)), 1) < '3'")))
+
+
+@query(MODEL.format("true") + "SELECT doc_id, held_out, t.lang, best, round(coalesce(prob, 0), 6) AS prob FROM t LEFT JOIN best USING (doc_id)")
+def lang_detector(spark, sf):
+    """Each document's language by a model of character trigrams that has not seen the held-out ones."""
+    docs = table(spark, sf, "documents").select("doc_id", "lang", "text", F.expr("left(md5(cast(doc_id AS string)), 1) < '3'").alias("held_out"))
+    return model(spark, sf).detect(docs, "doc_id", "text").select("doc_id", "held_out", "lang", "best", F.round("prob", 6).alias("prob"))
+
+
+@query(MODEL.format("true") + "SELECT t.lang, count(*) AS documents, count(*) FILTER (best = t.lang) AS recognised, round(100.0::double * count(*) FILTER (best = t.lang) / count(*), 6) AS pct FROM t LEFT JOIN best USING (doc_id) WHERE held_out GROUP BY t.lang")
+def lang_detector_accuracy(spark, sf):
+    """Held-out documents by language, and those that the detector recognises."""
+    right = F.count_if(F.col("best") == F.col("lang"))
+    by = lang_detector(spark, sf).where("held_out").groupBy("lang").agg(F.count("*").alias("documents"), right.alias("recognised"))
+    return by.withColumn("pct", F.round(100.0 * F.col("recognised") / F.col("documents"), 6))
+
+
+@query(MODEL.format("lang IN ('en', 'es')") + ", s AS (SELECT doc_id, length(text) AS n, best, coalesce(prob, 0) AS prob, " + SIGNS + """ FROM documents LEFT JOIN best USING (doc_id)),
+ w AS (SELECT *, prob < 0.7 AND spanish + english > 5 AND spanish > english * 1.5::double AS es_wins, prob < 0.7 AND spanish + english > 5 AND english > spanish * 1.5::double AS en_wins, best = 'es' AND spanish >= english OR best = 'en' AND english >= spanish AS agrees FROM s)
+ SELECT doc_id, CASE WHEN n < 50 OR n IS NULL THEN NULL WHEN es_wins THEN 'es' WHEN en_wins THEN 'en' WHEN prob >= 0.7 OR best IS NULL OR agrees THEN best WHEN spanish > english * 2 THEN 'es' WHEN english > spanish * 2 THEN 'en' ELSE best END AS lang,
+ round(CASE WHEN n < 50 OR n IS NULL THEN 0 WHEN es_wins THEN least(0.9, spanish::double / (spanish + english)) WHEN en_wins THEN least(0.9, english::double / (spanish + english)) WHEN prob >= 0.7 OR best IS NULL THEN prob
+  WHEN agrees THEN greatest(prob, 0.6) WHEN spanish > english * 2 OR english > spanish * 2 THEN 0.6 ELSE prob END::double, 6) AS confidence FROM w""")
+def lang_decision_model(spark, sf):
+    """The language decision with a model behind it, which offers English and Spanish alone."""
+    docs = model(spark, sf).detect(table(spark, sf, "documents"), "doc_id", "text", ["en", "es"])
+    lang, conf = text.language_decision(F.col("text"), F.col("best"), F.col("prob"))
+    return docs.select("doc_id", lang.alias("lang"), F.round(conf, 6).alias("confidence"))
+
+
+@query()
+def lang_funnel_model(spark, sf):
+    """The counters of a run whose detector is the model."""
+    return curation.language_funnel(notes(spark, sf), detector=lambda rows: model(spark, sf).detect(rows, "path", "plain", ["en", "es"]))
+
+
 @query()
 def lang_funnel(spark, sf):
     return curation.language_funnel(notes(spark, sf))
@@ -552,17 +612,27 @@ def archive_totals(spark, sf):
     return curation.archive_totals(notes(spark, sf))
 
 
-@query()
+#: The hashtags that the notes' last line has; those with a slash, in code or in the text of a document are none.
+TAGGED = "WITH " + NOTES_SQL + """, h AS (SELECT path, content, unnest([strpos(content, '#general and #topic/risk plus') - 1, length(content) - length('#off-topic') - 1]) AS start, unnest(['general', 'off-topic']) AS tag FROM notes WHERE content IS NOT NULL) """
+
+
+@query(TAGGED + "SELECT path, cast(start AS integer) AS start, cast(start + length(tag) + 1 AS integer) AS end, tag FROM h")
 def hashtags_found(spark, sf):
     return curation.hashtag_rows(notes(spark, sf))
 
 
-@query()
+@query(TAGGED + "SELECT path, cast(start AS integer) AS start, cast(start + length(tag) + 1 AS integer) AS end, tag FROM h")
+def hashtags_lateral(spark, sf):
+    """The same by the table function."""
+    return notes(spark, sf).lateralJoin(arrow.hashtag_table()(F.col("content").outer())).select("path", "start", "end", "tag")
+
+
+@query(TAGGED + "SELECT tag, count(*) AS uses, count(DISTINCT path) AS notes FROM h GROUP BY tag ORDER BY uses DESC, tag LIMIT 30")
 def hashtags_top30(spark, sf):
     return curation.hashtag_frequency(notes(spark, sf))
 
 
-@query()
+@query("WITH " + NOTES_SQL + " SELECT path, md5(replace(replace(content, '#general and #topic/risk plus', '`#general` and #topic/risk plus'), '#off-topic' || chr(10), '`#off-topic`' || chr(10))) AS content_md5 FROM notes WHERE content IS NOT NULL")
 def hashtags_escaped(spark, sf):
     return curation.escaped_notes(notes(spark, sf)).select("path", F.md5("new_content").alias("content_md5"))
 
@@ -599,6 +669,17 @@ def basename_match(spark, sf):
     return curation.matched_paths(curation.path_rows(n, "/vault").select("path", "resolved").unionByName(found), known)
 
 
+@query("WITH " + ATTACHMENTS_SQL + """, files AS (SELECT '/vault/Attachments/' || rel_path AS abs_path, name FROM attachments), d AS (SELECT doc_id, source, cast(doc_id AS varchar) AS i, cast(doc_id // 10 AS varchar) AS t FROM documents),
+ f AS (SELECT source AS path, unnest(['/vault/Attachments/img/file ' || i || '.png', '/vault/file ' || t || '?.png', '/vault/lost ' || i || '.png', '/vault/x/[!a-e]ile ' || t || '[2-4].p*']) AS resolved FROM d)
+ SELECT DISTINCT path, coalesce(e.abs_path, m.abs_path, resolved) AS resolved FROM (SELECT DISTINCT path, resolved FROM f) LEFT JOIN files e ON e.abs_path = resolved LEFT JOIN files m ON e.abs_path IS NULL AND m.name GLOB string_split(resolved, '/')[-1]""")
+def basename_globs(spark, sf):
+    """Missing paths whose names are patterns, matched with every file of such a name."""
+    docs, i, t = table(spark, sf, "documents"), F.col("doc_id").cast("string"), F.expr("cast(doc_id div 10 as string)")
+    asked = F.array(F.concat(F.lit("/vault/Attachments/img/file "), i, F.lit(".png")), F.concat(F.lit("/vault/file "), t, F.lit("?.png")), F.concat(F.lit("/vault/lost "), i, F.lit(".png")), F.concat(F.lit("/vault/x/[!a-e]ile "), t, F.lit("[2-4].p*")))
+    files = attachments(spark, sf).select(F.concat(F.lit("/vault/Attachments/"), "rel_path").alias("abs_path"))
+    return curation.matched_paths(docs.select(F.col("source").alias("path"), F.explode(asked).alias("resolved")).distinct(), files)
+
+
 @query("WITH " + PATHS_SQL + " SELECT doc_id, rel_path FROM paths ORDER BY rel_path, doc_id LIMIT 100")
 def sorted_scan(spark, sf):
     return stats.sorted_scan(paths(spark, sf).select("doc_id", "rel_path"), "rel_path", "doc_id", limit=100)
@@ -684,18 +765,18 @@ def agents_totals(spark, sf):
 
 
 def recorded(spark, sf) -> DataFrame:
-    docs = table(spark, sf, "documents").where("text is not null")
+    docs = table(spark, sf, "documents")
     head = F.when(F.col("doc_id") % 4 == 0, "\n## Audio Transcript\n").when(F.col("doc_id") % 4 == 1, "\n##  transcript\n").otherwise("")
     return docs.select(F.col("doc_id").cast("string").alias("path"), F.concat(F.lit("n"), head).alias("content"), "text")
 
 
-@query("SELECT cast(doc_id AS varchar) AS path, doc_id % 4 < 2 AS has_transcript FROM documents WHERE text IS NOT NULL")
+@query("SELECT cast(doc_id AS varchar) AS path, doc_id % 4 < 2 AS has_transcript FROM documents")
 def transcripts_there(spark, sf):
     return recorded(spark, sf).select("path", text.has_transcript(F.col("content")).alias("has_transcript"))
 
 
 @query("""SELECT cast(doc_id AS varchar) AS path, cast(len(list_filter(regexp_split_to_array(text, '[\\s\\x0b]+'), lambda x: x <> '')) AS integer) AS words,
- md5('n' || chr(10) || chr(10) || '## Audio Transcript' || chr(10) || chr(10) || '**File:** r.m4a' || chr(10) || chr(10) || text || chr(10)) AS content_md5 FROM documents WHERE text IS NOT NULL AND doc_id % 4 > 1""")
+ md5(concat('n', repeat(chr(10), 2), '---', repeat(chr(10), 2), '## Audio Transcript', repeat(chr(10), 2), '*Transcribed from: r.m4a*', repeat(chr(10), 2), text, repeat(chr(10), 2))) AS content_md5 FROM documents WHERE text IS NOT NULL AND doc_id % 4 > 1""")
 def transcripts_added(spark, sf):
     rows = recorded(spark, sf)
     return curation.with_transcript(rows.select("path", "content"), rows.select("path", F.lit("r.m4a").alias("file"), "text")).select("path", "words", F.md5("new_content").alias("content_md5"))
@@ -711,19 +792,32 @@ def keyword_topics(spark, sf):
     return curation.keyword_tags(docs, TOPICS)
 
 
-@query("SELECT cast(doc_id AS varchar) AS path, md5('---' || chr(10) || 'title: T' || chr(10) || 'analysis:' || chr(10) || '  quality_score: ' || (doc_id % 100) || '.0' || chr(10) || '  action: keep' || chr(10) || '  has_framework: ' || CASE WHEN doc_id % 2 = 0 THEN 'true' ELSE 'false' END || chr(10) || '  analyzed_date: 2024-01-01' || chr(10) || '  analyzed_model: m' || chr(10) || '---' || chr(10) || text) AS content_md5 FROM documents WHERE text IS NOT NULL")
+@query("""SELECT cast(doc_id AS varchar) AS path, md5(array_to_string(list_filter([
+ '---', 'title: T', 'analysis:', '  quality_score: ' || (doc_id % 100) || '.0', '  action: keep', '  topics: [' || CASE doc_id % 3 WHEN 0 THEN 't, ' || lang WHEN 1 THEN lang ELSE '' END || ']',
+ '  has_framework: ' || CASE WHEN doc_id % 2 = 0 THEN 'true' ELSE 'false' END, '  framework_description: ' || CASE WHEN doc_id % 2 = 0 THEN 'steps by ' || source ELSE 'null' END,
+ CASE WHEN doc_id % 5 < 2 THEN '  key_questions:' END, CASE WHEN doc_id % 5 < 2 THEN '    - "Why \\"' || lang || '\\"?"' END, CASE WHEN doc_id % 5 = 0 THEN '    - "And then?"' END,
+ CASE WHEN doc_id % 7 > 0 THEN '  reasoning: |' END, CASE WHEN doc_id % 7 > 0 THEN '    ' || replace(text, chr(10), chr(10) || '    ') END,
+ '  analyzed_date: 2024-01-01', '  analyzed_model: m', '---', coalesce(text, '')], lambda x: x IS NOT NULL), chr(10))) AS content_md5 FROM documents""")
 def analysis_blocks(spark, sf):
-    """Notes with a block of an earlier analysis, which the new one replaces."""
-    docs = table(spark, sf, "documents").where("text is not null").withColumn("path", F.col("doc_id").cast("string"))
-    n = docs.select("path", F.concat(F.lit("---\ntitle: T\n"), F.when(F.col("doc_id") % 3 == 0, "analysis:\n  quality_score: 1\n  action: review\n").otherwise(""), F.lit("---\n"), "text").alias("content"))
-    r = docs.select("path", (F.col("doc_id") % 100).cast("double").alias("score"), F.lit("keep").alias("action"), (F.col("doc_id") % 2 == 0).alias("has_framework"))
+    """Notes with a block of an earlier analysis, which the new one replaces; texts serve as reasons."""
+    docs = table(spark, sf, "documents").withColumn("path", F.col("doc_id").cast("string"))
+    i, lang = F.col("doc_id"), F.col("lang")
+    n = docs.select("path", F.concat(F.lit("---\ntitle: T\n"), F.when(i % 3 == 0, "analysis:\n  quality_score: 1\n  topics: [a]\n  reasoning: |\n    x\n\n    y\n").otherwise(""), F.lit("---\n"), F.coalesce("text", F.lit(""))).alias("content"))
+    questions = F.when(i % 5 == 0, F.array(F.concat(F.lit('Why "'), lang, F.lit('"?')), F.lit("And then?"))).when(i % 5 == 1, F.array(F.concat(F.lit('Why "'), lang, F.lit('"?')))).when(i % 5 == 2, F.array().cast("array<string>"))
+    r = docs.select(
+        "path", (i % 100).cast("double").alias("score"), F.lit("keep").alias("action"), F.when(i % 3 == 0, F.array(F.lit("t"), lang)).when(i % 3 == 1, F.array(lang)).alias("topics"), (i % 2 == 0).alias("has_framework"),
+        F.when(i % 2 == 0, F.concat(F.lit("steps by "), "source")).when(i % 4 == 1, "").alias("framework_description"), questions.alias("key_questions"), F.when(i % 7 > 0, F.col("text")).alias("reasoning"),
+    )
     return curation.analysis_frontmatter(n, r, "2024-01-01", "m").select("path", F.md5("new_content").alias("content_md5"))
 
 
-@query("SELECT l_orderkey AS pdf, round(avg(l_quantity / 50.0::double), 9) AS ssim, avg(l_quantity / 50.0::double) >= 0.92 AS passed FROM lineitem GROUP BY l_orderkey")
+@query("""WITH p AS (SELECT l_orderkey AS pdf, CASE WHEN l_discount < 0.09 THEN l_quantity / 50.0::double END AS ssim, l_tax > 0.07 AND l_quantity < 10 AS failed FROM lineitem),
+ q AS (SELECT pdf, CASE WHEN bool_or(failed) THEN 0 ELSE coalesce(avg(ssim), 1) END::double AS ssim FROM p GROUP BY pdf) SELECT pdf, round(ssim, 9) AS ssim, ssim >= 0.92 AS passed FROM q""")
 def pdf_quality(spark, sf):
-    scores = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("pdf"), (F.col("l_quantity") / 50.0).alias("ssim"))
-    return media.quality(scores).withColumn("ssim", F.round("ssim", 9))
+    """Pages that can't be compared have no score; a check that fails rejects its document."""
+    ssim = F.when(F.col("l_discount") < 0.09, F.col("l_quantity") / 50.0)
+    scores = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("pdf"), ssim.alias("ssim"), ((F.col("l_tax") > 0.07) & (F.col("l_quantity") < 10)).alias("failed"))
+    return media.quality(scores, failed="failed").withColumn("ssim", F.round("ssim", 9))
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 120 ELSE 150 END AS dpi, CASE WHEN doc_id % 2 = 0 THEN 60 ELSE 50 END AS quality, CASE WHEN doc_id % 2 = 0 THEN 1600 ELSE 1024 END AS longest, doc_id % 2 = 0 AS grayscale FROM documents")
@@ -814,10 +908,23 @@ def compression_savings(spark, sf):
     return media.savings(table(spark, sf, "documents").select(F.col("n_chars").alias("original"), F.expr("n_chars * (doc_id % 13) div 10").alias("compressed")))
 
 
-@query("SELECT l_returnflag, round(sum(abs(r - g) + abs(g - b) + abs(r - b)) / (3 * count(*)), 9) AS variance, sum(abs(r - g) + abs(g - b) + abs(r - b)) / (3 * count(*)) < 30 AS is_gray FROM (SELECT l_returnflag, l_quantity AS r, l_linenumber * 10 AS g, l_discount * 1000 AS b FROM lineitem) GROUP BY 1")
+@query("""WITH p AS (SELECT l_returnflag, l_quantity AS r, l_linenumber * 10 AS g, l_discount * 1000 AS b, l_orderkey || ':' || l_linenumber || ':' || l_partkey || ':' || l_suppkey AS px FROM lineitem),
+ s AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY l_returnflag ORDER BY cast('0x' || left(md5(px), 15) AS bigint), px) <= 1000)
+ SELECT l_returnflag, round(sum(abs(r - g) + abs(g - b) + abs(r - b)) / (3 * count(*)), 9) AS variance, sum(abs(r - g) + abs(g - b) + abs(r - b)) / (3 * count(*)) < 30 AS is_gray FROM s GROUP BY 1""")
 def gray_detection(spark, sf):
-    p = table(spark, sf, "lineitem").select("l_returnflag", F.col("l_quantity").alias("r"), (F.col("l_linenumber") * 10).alias("g"), (F.col("l_discount") * 1000).alias("b"))
-    return media.is_gray(p, ["l_returnflag"])
+    at = F.concat_ws(":", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")])
+    p = table(spark, sf, "lineitem").select("l_returnflag", F.col("l_quantity").alias("r"), (F.col("l_linenumber") * 10).alias("g"), (F.col("l_discount") * 1000).alias("b"), at.alias("at"))
+    return media.is_gray(p, ["l_returnflag"], "at")
+
+
+@query("""WITH f AS (SELECT doc_id, n_chars AS size, n_chars * (doc_id % 13) // 10 AS compressed, CASE WHEN doc_id % 17 <> 0 THEN (doc_id % 11) / 10.0::double END AS ssim, doc_id % 19 <> 0 AS tried FROM documents),
+ l AS (SELECT *, tried AND compressed < size AS smaller, coalesce(ssim, 0) >= 0.92 AS good FROM f WHERE size > 1024) SELECT (SELECT count(*) FROM f) AS pdfs_scanned, count(*) AS large_pdfs_found, count(*) FILTER (smaller AND good) AS pdfs_compressed,
+ count(*) FILTER (smaller AND NOT good) AS quality_rejected, count(*) FILTER (NOT (smaller AND good)) AS compression_failed, round(coalesce(sum(size - compressed) FILTER (smaller AND good), 0) / 1048576.0::double, 9) AS space_saved_mb FROM l""")
+def compression_totals(spark, sf):
+    """Counters of a run over documents as PDFs: some have no result, some no quality."""
+    docs, i = table(spark, sf, "documents"), F.col("doc_id")
+    results = docs.where("doc_id % 19 <> 0").select(i.alias("pdf"), F.expr("n_chars * (doc_id % 13) div 10").alias("compressed"), F.when(i % 17 != 0, (i % 11) / 10.0).alias("ssim"))
+    return media.compression_totals(docs.select(i.alias("pdf"), F.col("n_chars").alias("size")), results, 1.0)
 
 
 @query("SELECT l_partkey, CASE WHEN count(*) > 100 THEN bool_or(l_quantity < 5 AND l_orderkey % 100 = 0) ELSE bool_or(l_quantity < 5) END AS transparent FROM lineitem GROUP BY 1")
@@ -837,3 +944,29 @@ def transcription_totals(spark, sf):
 @query("SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS events, round(sum(value), 6) AS total FROM events GROUP BY 1, 2")
 def events_tumbling(spark, sf):
     return increments.tumbling_counts(table(spark, sf, "events"))
+
+
+@query("""WITH e AS (SELECT *, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL '30 minutes', true) AS first FROM events WHERE ts IS NOT NULL),
+ s AS (SELECT *, sum(first::integer) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM e) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL '30 minutes' AS end, count(*) AS events FROM s GROUP BY user_id, s""")
+def events_sessions(spark, sf):
+    return increments.sessions(table(spark, sf, "events"))
+
+
+@query("WITH " + REPORT_SQL + """, d AS (SELECT source || '/' || cast(doc_id AS varchar) || '.md' AS path, doc_id, n_chars, lang FROM documents)
+ SELECT d.path, cast(n_chars % 101 AS double) AS score, 'revised-' || lang AS action, cast(2 AS bigint) AS revision, r.reasoning FROM d LEFT JOIN report r USING (path)""")
+def report_stream(spark, sf):
+    """The report under a stream of analyses: two revisions of every document's, dealt over micro-batches so that the
+    older one often comes later. Documents without a row get one."""
+    rows = report(spark, sf).select("path", "score", "action", F.lit(0).cast("long").alias("revision"), "reasoning")
+    docs = table(spark, sf, "documents")
+    path = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md"))
+    news = docs.select(path.alias("path"), "doc_id", "n_chars", "lang", F.explode(F.array(F.lit(1).cast("long"), F.lit(2).cast("long"))).alias("revision"))
+    score, action = F.when(F.col("revision") == 2, F.col("n_chars") % 101).otherwise(-1).cast("double"), F.concat(F.when(F.col("revision") == 2, "revised-").otherwise("seen-"), "lang")
+    feed, kept, log = (scratch(spark, n) for n in ("feed", "report", "log"))
+    turn = (F.col("doc_id") + F.col("revision")) % 3
+    news.select("path", score.alias("score"), action.alias("action"), "revision", turn.alias("turn")).repartition(3, "turn").drop("turn").write.parquet(feed)
+    upserts.start(rows, kept)
+    stream = spark.readStream.schema("path string, score double, action string, revision long").option("maxFilesPerTrigger", 1).parquet(feed)
+    stream = stream.writeStream.foreachBatch(upserts.upsert_into(kept, "path", "revision")).option("checkpointLocation", log)
+    stream.trigger(availableNow=True).start().awaitTermination()
+    return upserts.current(spark, kept)

@@ -138,6 +138,20 @@ def hashtags(text) -> Column:
     return arrow_function(_hashtags, "array<struct<start:int,end:int,tag:string>>", text)
 
 
+class HashtagTable:
+    """Handler of hashtag_table()."""
+
+    def eval(self, text: str | None):
+        yield from find_hashtags(text or "")
+
+
+def hashtag_table():
+    """A table function for lateral joins: start, end, tag of each hashtag of a text, in order. In SQL, after
+    spark.udtf.register("inline_hashtags", hashtag_table()): SELECT path, h.* FROM notes, LATERAL inline_hashtags(content) h"""
+    ship_package(SparkSession.active())
+    return F.udtf(HashtagTable, returnType="start int, end int, tag string", useArrow=True)
+
+
 def escape_hashtags(text) -> Column:
     """The text with each found hashtag between backticks."""
     return arrow_function(_escape_hashtags, "string", text)

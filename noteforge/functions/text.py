@@ -131,7 +131,7 @@ def yaml_tags(tags: Column) -> Column:
     return F.when(F.size(ordered) == 0, "tags: []").otherwise(F.concat(F.lit("tags:\n  - "), F.array_join(ordered, "\n  - ")))
 
 
-#: Order matters: an address goes first and takes a closing bracket with it; images come when links have gone.
+#: Fixed values. Order matters: an address goes first and takes a closing bracket with it; images come when links have gone.
 CLEANING = [
     (r"(?s)##\s*Curator Summary.*?(?=\n---\s*\n)", ""), (r"(?s)```.*?```", ""), (r"(?s)~~~.*?~~~", ""), (r"`[^`]+`", ""),
     (r"https?://\S+", ""), (r"\[([^\]]*)\]\([^)]+\)", "$1"), (r"\[\[([^\]|]+)\|([^\]]+)\]\]", "$2"), (r"\[\[([^\]]+)\]\]", "$1"),
@@ -310,6 +310,7 @@ def renamed_links(text: Column, old: Column, new: Column) -> Column:
     return F.regexp_replace(wiki, F.concat(F.lit(r"\]\(([^)]*)"), quoted, F.lit(r"\)")), F.concat(F.lit("]($1"), safe, F.lit(")")))
 
 
+#: A message of either side.
 USER = r"(?sd)###\s+User,\s+on\s+([^;]+?);?\s*\n>\s*(.+?)(?=\n###|\n####|\n<details>|\n---|\z)"
 ASSISTANT = r"(?sd)####\s+ChatGPT,\s+on\s+([^;]+?);?\s*\n>>\s*(.+?)(?=\n###|\n####|\n<details>|\n---|\z)"
 

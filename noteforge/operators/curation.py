@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from noteforge import vocab
 from noteforge.functions import arrow, text
+from noteforge.session import ship_package, stored
 
 
 def tag_rows(notes: DataFrame) -> DataFrame:
@@ -41,12 +43,13 @@ def tag_totals(notes: DataFrame) -> DataFrame:
 
 
 def language_rows(notes: DataFrame, least: float = 0.5, add_only: bool = False, detector=None) -> DataFrame:
-    """path, lang, confidence, tag, status, new_content of each note. detector: a function from the plain-text column to
-    columns (language, probability); without, only the words decide. Statuses, the first that holds: no_frontmatter,
-    short, uncertain, correct, add_only_kept, changed, added, unfixable."""
+    """path, lang, confidence, tag, status, new_content of each note. detector: a function that adds best and prob, a
+    language and its probability, to rows with path and plain, as a language.LanguageModel does; without, only the words
+    decide. Statuses, the first that holds: no_frontmatter, short, uncertain, correct, add_only_kept, changed, added,
+    unfixable."""
     rows = notes.select("path", "content", text.frontmatter_block(F.col("content")).alias("front"), text.plain_text(F.col("content")).alias("plain"))
-    best, prob = detector(F.col("plain")) if detector else (F.lit(None).cast("string"), F.lit(0.0))
-    lang, conf = text.language_decision(F.col("plain"), best, prob)
+    rows = detector(rows) if detector else rows.withColumns({"best": F.lit(None).cast("string"), "prob": F.lit(0.0)})
+    lang, conf = text.language_decision(F.col("plain"), F.col("best"), F.col("prob"))
     rows = rows.withColumns({"lang": lang, "confidence": conf, "tag": text.language_tag(F.col("front"))})
     new = text.with_language(F.col("content"), F.col("lang"))
     status = (
@@ -64,13 +67,15 @@ def language_rows(notes: DataFrame, least: float = 0.5, add_only: bool = False,
 
 
 def language_funnel(notes: DataFrame, **options) -> DataFrame:
-    """One row with the counters of a run over notes: what was scanned, skipped, detected, right and fixed."""
+    """One row with the counters of a run over notes: what was scanned, skipped, detected, right and fixed. What is
+    detected and isn't English counts as Spanish."""
     rows = language_rows(notes, **options)
     of = lambda *names: F.count_if(F.col("status").isin(*names))
     seen = ("correct", "add_only_kept", "changed", "added", "unfixable")
-    found = lambda lang: F.count_if(F.col("status").isin(*seen) & (F.col("lang") == lang))
+    english = F.col("lang") == "en"
+    found = lambda which: F.count_if(F.col("status").isin(*seen) & which)
     return rows.agg(
-        F.count("*").alias("notes_scanned"), of("no_frontmatter").alias("skipped_no_frontmatter"), of("short").alias("skipped_short"), of("uncertain").alias("skipped_uncertain"), found("en").alias("detected_en"), found("es").alias("detected_es"),
+        F.count("*").alias("notes_scanned"), of("no_frontmatter").alias("skipped_no_frontmatter"), of("short").alias("skipped_short"), of("uncertain").alias("skipped_uncertain"), found(english).alias("detected_en"), found(~english).alias("detected_es"),
         of("correct", "add_only_kept").alias("correct"), of("added").alias("added"), of("changed").alias("changed"), of("added", "changed").alias("fixed"), F.count_if(F.col("status").isNull()).alias("errors"),
     )
 
@@ -168,12 +173,73 @@ def path_rows(notes: DataFrame, base: str, wiki: str = "all", limit: int = 0) ->
     return out.withColumn("_rank", F.row_number().over(W.partitionBy("path").orderBy("ordinal"))).where(F.col("_rank") <= limit).drop("_rank") if limit > 0 else out
 
 
+#: Literal characters at a pattern's start or end that its block is named by, at most.
+BLOCK = 8
+
+
+def glob_regex(pattern: str) -> str:
+    """A file-name pattern (*, ?, [..], [!..]) as a regular expression for Java, for whole names. A bracket that is not
+    closed stands for itself; ranges whose ends are the wrong way round match nothing."""
+    out, at = [], 0
+    quote = lambda c: c if c.isalnum() or ord(c) > 127 else "\\" + c
+    while at < len(pattern):
+        c = pattern[at]
+        close = pattern.find("]", at + 2 + (pattern[at + 1 : at + 2] == "!")) if c == "[" else -1
+        if close > 0:
+            inner, no = pattern[at + 1 : close], pattern[at + 1] == "!"
+            inner, kept, i = inner[no:], [], 0
+            while i < len(inner):
+                if inner[i + 1 : i + 2] == "-" and i + 2 < len(inner):
+                    kept += [f"{quote(inner[i])}-{quote(inner[i + 2])}"] if inner[i] <= inner[i + 2] else []
+                    i += 3
+                else:
+                    kept.append(quote(inner[i]))
+                    i += 1
+            out.append(f"[{'^' * no}{''.join(kept)}]" if kept else "." if no else "(?!)")
+            at = close + 1
+        else:
+            out.append({"*": ".*", "?": "."}.get(c) or quote(c))
+            at += 1
+    return "(?s)^" + "".join(out) + r"\z"
+
+
+def glob_matches(patterns: DataFrame, names: DataFrame) -> DataFrame:
+    """(pattern, name) of every pattern (column pattern) and name (column name) that match, distinct. A pattern is only
+    compared with the names of its block: those that begin with the literal characters in front of its first sign, or,
+    without any, that end with those behind its last. Patterns with neither are compared with all names; nothing else is."""
+    ship_package(patterns.sparkSession)
+
+    @F.pandas_udf("string")
+    def regex(p: pd.Series) -> pd.Series:
+        return p.map(glob_regex, na_action="ignore")
+
+    sign = r"[*?\[\]]"
+    p = patterns.select("pattern").where("pattern is not null").distinct()
+    first, last = F.regexp_extract("pattern", r"(?s)\A([^*?\[]*)", 1), F.regexp_extract("pattern", rf"(?s)([^*?\[\]]*)\z", 1)
+    kind = F.when(first != "", "start").when(last != "", "end").otherwise("any")
+    block = F.when(kind == "start", F.left(first, F.lit(BLOCK))).when(kind == "end", F.right(last, F.lit(BLOCK))).otherwise("")
+    p = stored(p.where(F.col("pattern").rlike(sign)).select("pattern", regex("pattern").alias("regex"), kind.alias("kind"), block.alias("block")), "globs")
+    kinds = [tuple(r) for r in p.select("kind", F.length("block")).distinct().collect()]  # 2 * BLOCK + 1 at most
+    n = names.select("name").where("name is not null").distinct()
+    cut = {"start": F.left, "end": F.right}
+    keys = [F.struct(F.lit(k).alias("kind"), (cut[k]("name", F.lit(length)) if length else F.lit("")).alias("block")) for k, length in kinds]
+    if not keys:
+        return p.select("pattern", F.lit("").alias("name"))
+    dealt = n.select("name", F.explode(F.array_distinct(F.array(*keys))).alias("k")).select("name", "k.*")
+    return p.join(dealt, ["kind", "block"]).where(F.expr("name rlike regex")).select("pattern", "name").distinct()
+
+
 def matched_paths(found: DataFrame, files: DataFrame) -> DataFrame:
-    """Paths that exist as they are, or every file with their base name, or themselves. files: abs_path."""
+    """Paths that exist as they are, or every file whose name their base name matches as a pattern, or themselves.
+    files: abs_path."""
     there = found.join(files.select(F.col("abs_path").alias("resolved")), "resolved", "left_semi").select("path", "resolved")
     gone = found.join(files.select(F.col("abs_path").alias("resolved")), "resolved", "left_anti").withColumn("base", text.base_name(F.col("resolved")))
-    named = gone.join(files.select(text.base_name(F.col("abs_path")).alias("base"), "abs_path"), "base", "left")
-    return there.unionByName(named.select("path", F.coalesce("abs_path", "resolved").alias("resolved"))).distinct()
+    gone, named = stored(gone.select("path", "resolved", "base"), "gone"), files.select(text.base_name(F.col("abs_path")).alias("name"), "abs_path")
+    globs = glob_matches(gone.select(F.col("base").alias("pattern")), named).select(F.col("pattern").alias("base"), "name")
+    plain = gone.where(~F.col("base").rlike(r"[*?\[\]]")).select("base", F.col("base").alias("name")).distinct()
+    hits = plain.unionByName(globs).join(named, "name").select("base", "abs_path")
+    out = gone.join(hits, "base", "left").select("path", F.coalesce("abs_path", "resolved").alias("resolved"))
+    return there.unionByName(out).distinct()
 
 
 def transcripts(messages: DataFrame) -> DataFrame:
@@ -222,8 +288,23 @@ def chapter_totals(notes: DataFrame) -> DataFrame:
     return notes.agg(F.count("*").alias("chapters"), F.count_if(has).alias("with_diagram"), F.count_if(~has & full).alias("to_make"), F.count_if(~has & ~full).alias("no_content"))
 
 
+def analysis_block(date: str, model: str) -> Column:
+    """The YAML of an analysis, from columns score, action, topics, has_framework, framework_description, key_questions
+    and reasoning. No description is `null`; questions are quoted, reasoning is a block of indented lines; both are left
+    out where there are none."""
+    join = lambda c, by: F.coalesce(F.array_join(c, by), F.lit(""))
+    asked = F.transform("key_questions", lambda q: F.concat(F.lit('\n    - "'), F.replace(q, F.lit('"'), F.lit('\\"')), F.lit('"')))
+    questions = F.when(F.size("key_questions") > 0, F.concat(F.lit("\n  key_questions:"), F.array_join(asked, ""))).otherwise("")
+    reasons = F.when(F.col("reasoning") != "", F.concat(F.lit("\n  reasoning: |\n    "), F.replace("reasoning", F.lit("\n"), F.lit("\n    ")))).otherwise("")
+    described = F.coalesce(F.nullif("framework_description", F.lit("")), F.lit("null"))
+    return F.concat(
+        F.lit("analysis:\n  quality_score: "), F.col("score").cast("string"), F.lit("\n  action: "), "action", F.lit("\n  topics: ["), join("topics", ", "), F.lit("]\n  has_framework: "), F.col("has_framework").cast("string"),
+        F.lit("\n  framework_description: "), described, questions, reasons, F.lit(f"\n  analyzed_date: {date}\n  analyzed_model: {model}"),
+    )
+
+
 def analysis_frontmatter(notes: DataFrame, report: DataFrame, date: str, model: str) -> DataFrame:
-    """Notes with their analysis block replaced by the report's row of the same path."""
+    """Notes with their analysis block replaced by that of the report's row of the same path."""
     front = text.frontmatter_lines(F.col("content"))
     state = F.aggregate(
         front,
@@ -233,17 +314,18 @@ def analysis_frontmatter(notes: DataFrame, report: DataFrame, date: str, model:
             F.when((text.strip(x) == "analysis:") | (s["skip"] & ((x == "") | x.rlike(r"^\s"))), s["kept"]).otherwise(F.array_append(s["kept"], x)).alias("kept"),
         ),
     )
-    block = F.concat(F.lit("analysis:\n  quality_score: "), F.col("score").cast("string"), F.lit("\n  action: "), "action", F.lit("\n  has_framework: "), F.col("has_framework").cast("string"), F.lit(f"\n  analyzed_date: {date}\n  analyzed_model: {model}"))
     rest = F.substring(F.col("content"), F.locate("\n---\n", F.col("content"), 4) + 5, F.length("content"))
     rows = notes.join(report, "path").where(front.isNotNull())
-    return rows.select("path", F.concat(F.lit("---\n"), text.strip(F.array_join(state["kept"], "\n")), F.lit("\n"), block, F.lit("\n---\n"), rest).alias("new_content"))
+    return rows.select("path", F.concat(F.lit("---\n"), text.strip(F.array_join(state["kept"], "\n")), F.lit("\n"), analysis_block(date, model), F.lit("\n---\n"), rest).alias("new_content"))
 
 
 def with_transcript(notes: DataFrame, texts: DataFrame) -> DataFrame:
-    """Notes without a transcript, with that of texts (path, file, text) appended."""
-    rows = notes.join(texts, "path").where(~text.has_transcript(F.col("content")))
+    """Notes without a transcript, with that of texts (path, file, text) behind a rule at their end. A null text is a
+    transcription that failed: its note stays as it is."""
+    rows = notes.join(texts.where("text is not null"), "path").where(~text.has_transcript(F.col("content")))
     words = F.size(F.filter(F.split("text", r"\s+"), lambda w: w != ""))
-    return rows.select("path", words.alias("words"), F.concat("content", F.lit("\n\n## Audio Transcript\n\n**File:** "), "file", F.lit("\n\n"), "text", F.lit("\n")).alias("new_content"))
+    added = F.concat("content", F.lit("\n\n---\n\n## Audio Transcript\n\n*Transcribed from: "), "file", F.lit("*\n\n"), "text", F.lit("\n\n"))
+    return rows.select("path", words.alias("words"), added.alias("new_content"))
 
 
 def keyword_tags(notes: DataFrame, topics: dict[str, list[str]]) -> DataFrame:

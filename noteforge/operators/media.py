@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 C1, C2 = (0.01 * 255) ** 2, (0.03 * 255) ** 2
 
@@ -22,12 +23,27 @@ def sampled_pages(pages: DataFrame) -> DataFrame:
     return pages.where((p == 0) | (p == n - 1) | ((n > 2) & (p == F.floor(n / 2))))
 
 
-def quality(scores: DataFrame, threshold: float = 0.92) -> DataFrame:
-    """Mean similarity of each document's sampled pages and whether it passes; 1 and true without any."""
-    by = scores.groupBy("pdf").agg(F.coalesce(F.avg("ssim"), F.lit(1.0)).alias("ssim"))
+def quality(scores: DataFrame, threshold: float = 0.92, failed: str | None = None) -> DataFrame:
+    """Mean similarity of each document's sampled pages and whether it passes; 1 and true where no page could be
+    compared (null scores). failed: a column that tells that the check itself failed; such a document has 0 and false."""
+    broken = F.bool_or(F.coalesce(F.col(failed), F.lit(False))) if failed else F.lit(False)
+    by = scores.groupBy("pdf").agg(F.when(broken, 0.0).otherwise(F.coalesce(F.avg("ssim"), F.lit(1.0))).alias("ssim"))
     return by.withColumn("passed", F.col("ssim") >= threshold)
 
 
+def compression_totals(files: DataFrame, results: DataFrame, threshold_kb: float, threshold: float = 0.92) -> DataFrame:
+    """One row: documents (pdf, size), those above the threshold, and of these, by results (pdf, compressed, ssim; a pdf
+    once), those compressed, rejected for their quality, and failed, with the megabytes saved. Failed are all that aren't
+    compressed, the rejected among them; a null ssim is a failed check, which rejects."""
+    large = F.col("size") > F.lit(threshold_kb * 1024)
+    rows = files.where(large).join(results, "pdf", "left")
+    smaller = F.coalesce(F.col("compressed") < F.col("size"), F.lit(False))
+    good = F.coalesce(F.col("ssim"), F.lit(0.0)) >= threshold
+    saved = F.coalesce(F.sum(F.when(smaller & good, F.col("size") - F.col("compressed"))), F.lit(0)) / F.lit(1024.0 * 1024.0)
+    one = rows.agg(F.count("*").alias("large_pdfs_found"), F.count_if(smaller & good).alias("pdfs_compressed"), F.count_if(smaller & ~good).alias("quality_rejected"), F.count_if(~(smaller & good)).alias("compression_failed"), F.round(saved, 9).alias("space_saved_mb"))
+    return files.agg(F.count("*").alias("pdfs_scanned")).crossJoin(F.broadcast(one))
+
+
 def scanned(pages: DataFrame) -> DataFrame:
     """Whether documents are scans, by characters and images a page: of all pages up to 20, else of the first and last 10."""
     p, n = F.col("page"), F.col("n_pages")
@@ -49,9 +65,23 @@ def resized(width: Column, height: Column, longest: int = 1440) -> tuple[Column,
     return w, h
 
 
-def is_gray(pixels: DataFrame, keys: list[str]) -> DataFrame:
-    """Mean difference of the channels r, g, b below 30."""
+#: Pixels of an image that its colours are judged by.
+SAMPLED_PIXELS = 1000
+
+
+def sampled_pixels(pixels: DataFrame, keys: list[str], at: str, n: int = SAMPLED_PIXELS) -> DataFrame:
+    """n pixels of each image, or all, by the smallest hashes of `at`, which tells an image's pixels apart: a uniform
+    sample, the same each time. Each task keeps its n smallest of an image before anything is shuffled (Spark's limit
+    inside a window's groups), so a large image moves n pixels for each task."""
+    key = F.conv(F.left(F.md5(F.col(at).cast("string")), F.lit(15)), 16, 10).cast("long")
+    rank = F.row_number().over(W.partitionBy(*keys).orderBy(key, at))
+    return pixels.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank")
+
+
+def is_gray(pixels: DataFrame, keys: list[str], at: str | None = None) -> DataFrame:
+    """Mean difference of the channels r, g, b below 30; of sampled_pixels() if `at` is given."""
     spread = F.abs(F.col("r") - F.col("g")) + F.abs(F.col("g") - F.col("b")) + F.abs(F.col("r") - F.col("b"))
+    pixels = sampled_pixels(pixels, keys, at) if at else pixels
     return pixels.groupBy(*keys).agg(F.round(F.sum(spread) / (3 * F.count("*")), 9).alias("variance")).withColumn("is_gray", F.col("variance") < 30)
 
 

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from noteforge import vocab
+from noteforge.operators import ranks
 
 
 def size_columns(size: Column) -> list[Column]:
-    return [F.count("*").alias("files"), F.sum(size).alias("total_size"), F.avg(size).alias("avg_size"), F.min(size).alias("min_size"), F.max(size).alias("max_size"), F.median(size).alias("median_size")]
+    return [F.count("*").alias("files"), F.sum(size).alias("total_size"), F.avg(size).alias("avg_size"), F.min(size).alias("min_size"), F.max(size).alias("max_size")]
 
 
 def stats_overall(files: DataFrame) -> DataFrame:
@@ -20,8 +21,10 @@ def stats_overall(files: DataFrame) -> DataFrame:
 
 def stats_by_type(files: DataFrame) -> DataFrame:
     """Per type: count, sum, mean, extremes and exact median of sizes, and the share of all bytes in percent. The share's
-    window runs over the types alone."""
+    window runs over the types alone; for the median see ranks."""
     by = files.groupBy("type").agg(*size_columns(F.col("size")))
+    middle = ranks.medians(files, ["type"], "size", "median_size").withColumnRenamed("type", "_type")
+    by = by.join(middle, F.col("type").eqNullSafe(F.col("_type")), "left").drop("_type")
     total = F.sum("total_size").over(W.partitionBy())
     return by.withColumn("share", F.coalesce(F.try_divide(F.lit(100.0) * F.col("total_size"), total), F.lit(0.0)))
 
@@ -141,28 +144,26 @@ def conversation_rollup(messages: DataFrame) -> DataFrame:
 
 
 def conversation_summary(rollup: DataFrame) -> DataFrame:
-    """One row: means, medians and extremes of the corpus, single-turn and multi-turn conversations."""
-    cols = [f(c).alias(f"{n}_{c}") for c in ("user_messages", "assistant_messages", "user_chars", "assistant_chars", "total_chars") for n, f in (("avg", F.avg), ("median", F.median), ("min", F.min), ("max", F.max))]
-    return rollup.agg(F.count("*").alias("conversations"), F.count_if(F.col("user_messages") <= 2).alias("single_turn"), F.count_if(F.col("user_messages") > 2).alias("multi_turn"), *cols)
-
-
-def nearest_rank(values: DataFrame, column: str, percents: tuple[int, ...] = (50, 75, 80, 90, 95, 99), pieces: int = 4096) -> DataFrame:
-    """For each p the value at 0-based rank floor(n p / 100) of the sorted column, nulls first. The column is counted by
-    value, the range of values is cut into `pieces` of equal width, and ranks are summed inside each piece and shifted by
-    the counts of the pieces before it: one task sees the pieces, none all distinct values."""
-    counts = values.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
-    ends = counts.agg(F.min("value").cast("double").alias("low"), F.max("value").cast("double").alias("high"))
-    share = F.try_divide(F.col("value").cast("double") - F.col("low"), F.col("high") - F.col("low"))
-    piece = F.when(F.col("value").isNull(), -1).otherwise(F.floor(F.coalesce(share, F.lit(0.0)) * pieces).cast("int"))
-    cut = counts.crossJoin(F.broadcast(ends)).select("value", "n", piece.alias("piece"))
-    before = W.orderBy("piece").rowsBetween(W.unboundedPreceding, -1)
-    starts = cut.groupBy("piece").agg(F.sum("n").alias("held"))
-    starts = starts.select("piece", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("start"), F.sum("held").over(W.partitionBy()).alias("total"))
-    up = W.partitionBy("piece").orderBy("value").rowsBetween(W.unboundedPreceding, 0)
-    ranked = cut.join(F.broadcast(starts), "piece").withColumn("upto", F.col("start") + F.sum("n").over(up))
-    each = ranked.withColumn("percent", F.explode(F.lit(list(percents))))
-    at = F.expr("(total * percent) div 100")
-    return each.where((at < F.col("upto")) & (at >= F.col("upto") - F.col("n"))).select("percent", "value")
+    """One row: means, medians and extremes of the corpus, single-turn and multi-turn conversations; mean and median of
+    the conversations' mean message lengths, where a role has messages."""
+    of = ("user_messages", "assistant_messages", "user_chars", "assistant_chars", "total_chars")
+    rollup = rollup.withColumns({f"{r}_length": F.when(F.col(f"{r}_messages") > 0, F.col(f"avg_{r}")) for r in ("user", "assistant")})
+    cols = [f(c).alias(f"{n}_{c}") for c in of for n, f in (("avg", F.avg), ("min", F.min), ("max", F.max))] + [F.avg(f"{r}_length").alias(f"avg_{r}_length") for r in ("user", "assistant")]
+    one = rollup.agg(F.count("*").alias("conversations"), F.count_if(F.col("user_messages") <= 2).alias("single_turn"), F.count_if(F.col("user_messages") > 2).alias("multi_turn"), *cols)
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("of"), F.col(c).cast("double").alias("value")) for c in (*of, "user_length", "assistant_length")]))
+    found = ranks.medians(rollup.select(each.alias("e")).select("e.*"), ["of"], "value", "median")
+    row = found.agg(*[F.max(F.when(F.col("of") == c, F.col("median"))).alias(f"median_{c}") for c in (*of, "user_length", "assistant_length")])
+    return one.crossJoin(F.broadcast(row))
+
+
+def nearest_rank(values: DataFrame, column: str, percents: tuple[int, ...] = (50, 75, 80, 90, 95, 99)) -> DataFrame:
+    """For each p the value at 0-based rank floor(n p / 100) of the sorted column, nulls first; see ranks."""
+    n, nulls = values.agg(F.count("*"), F.count_if(F.col(column).isNull())).first()
+    at = {p: n * p // 100 - nulls for p in percents}
+    asked = F.array(*[F.struct(F.lit(p).alias("name"), F.lit(r).cast("long").alias("rank")) for p, r in at.items() if r >= 0] or [F.struct(F.lit(0).alias("name"), F.lit(-1).cast("long").alias("rank"))])
+    found = ranks.at_ranks(values, [], column, lambda _: asked).select(F.col("name").alias("percent"), F.col("value").cast(values.schema[column].dataType).alias("value"))
+    low = [p for p, r in at.items() if r < 0 and n]
+    return found.unionByName(values.sparkSession.createDataFrame([(p, None) for p in low], found.schema)) if low else found
 
 
 LENGTH_BINS = [(0, 1000), (1000, 5000), (5000, 10000), (10000, 20000), (20000, 999999)]

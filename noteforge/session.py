@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Settings that results depend on, or that plans of this library profit from.
 SETTINGS = {
@@ -37,3 +39,32 @@ def ship_package(spark: SparkSession) -> None:
             z.write(p, p.relative_to(root.parent))
     sc.addPyFile(str(target))
     sc._noteforge_shipped = True
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder that spark.checkpoint.dir names, deleted when the driver exits. Where it is unset, a
+    temporary folder in local mode; on a cluster an error, as no other folder is known to be shared."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir is unset: name a folder there that the driver and all executors share")
+        shared = tempfile.mkdtemp(prefix="noteforge-")
+        spark.conf.set("spark.checkpoint.dir", shared)
+    path = f"{shared.rstrip('/')}/noteforge/{name}-{uuid.uuid4().hex}"
+    atexit.register(_forget, spark, path)
+    return path
+
+
+def _forget(spark: SparkSession, path: str) -> None:
+    try:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # the session has ended: its owner clears the folder
+        pass
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written to scratch() as Parquet and read back: computed once, with a short lineage."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
