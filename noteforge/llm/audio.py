@@ -25,14 +25,17 @@ FILTERS = [(kind, low, tall, wide) for kind, low, tall, wide in (
     (0, 0, 12, 4), (0, 0, 6, 8), (0, 6, 6, 8), (0, 3, 6, 4), (1, 0, 4, 8), (1, 4, 4, 8), (1, 8, 4, 8), (1, 0, 12, 8),
     (2, 0, 6, 8), (2, 6, 6, 8), (2, 0, 12, 4), (3, 0, 12, 4), (3, 0, 6, 8), (3, 6, 6, 8), (4, 0, 6, 6), (4, 6, 6, 6),
 )]
-#: Two recordings are aligned if they overlap in LEAST items and in half the shorter one's, and at most this share of the
-#: bits differs there. Of all pairs with a query in 10,000 recordings and all shifts, the true ones lie below 0.05 and
-#: chance begins at 0.15: 21 alignments at 0.2 and 277 at 0.25 for 64 queries against 7 at 0.05 and at 0.1.
-MOST_ERROR, LEAST = 0.1, 16
+#: At most this share of the bits differs in the overlap of an alignment, by the items of the overlap, see most_error().
+#: From the gap that was measured: of all pairs in 10,000 recordings and all shifts, unrelated ones have at least 0.055
+#: over 4 items, 0.087 over 5, 0.099 over 6, 0.119 over 8 to 15, 0.15 over 16 and more; one changed byte gives up to
+#: 0.057, a cut by half a hop up to 0.086, both by queries in two phases.
+MOST_ERROR, MOST_ERROR_SHORT, SURE, LEAST = 0.125, 0.1, 8, 16
 #: Items of the queries that a worker holds at once, and pairs of equal items that it looks at together.
 BLOCK_ITEMS, AT_A_TIME = 4_000_000, 1_000_000
-#: Samples under the widest filter; a shorter recording is heard in the middle of that much silence.
+#: Samples under the widest filter. A recording of fewer than LEAST items is heard with silence on both sides, so long
+#: that each frame still holds a hop of it: its beginning and its end make items too.
 SHORTEST = FRAME + (WIDTH - 1) * HOP
+SHORT, SILENCE = SHORTEST + (LEAST - 1) * HOP, FRAME - HOP
 
 
 def decode_pcm(media: bytes) -> np.ndarray:
@@ -116,29 +119,47 @@ def fingerprint_batch(recordings: list[np.ndarray]) -> list[np.ndarray]:
 
 
 def padded(samples: np.ndarray) -> np.ndarray:
-    """Samples of a recording; a short one, less its mean, in the middle of SHORTEST samples, so that all frames hear it."""
-    if not 0 < len(samples) < SHORTEST:
+    """Samples of a recording; a SHORT one, less its mean, in the middle of SILENCE, of SHORTEST samples at least."""
+    if not 0 < len(samples) < SHORT:
         return samples
-    front = (SHORTEST - len(samples)) // 2
-    return np.pad(samples - samples.mean(), (front, SHORTEST - len(samples) - front))
+    front = max(SILENCE, (SHORTEST - len(samples) + 1) // 2)
+    return np.pad(samples - samples.mean(), front)
 
 
-def fingerprints(media: DataFrame, content: Column, row_id: Column) -> DataFrame:
-    """doc_id, items of each recording, n_items: those that are not padded; null and empty content has no items."""
+def most_error(overlap: np.ndarray) -> np.ndarray:
+    """The share of bits that may differ over so many items: fewer items tell less, one has to be equal."""
+    return np.where(overlap >= LEAST, MOST_ERROR, MOST_ERROR_SHORT * np.minimum(1, overlap / SURE) ** 1.5)
+
+
+def least_overlap(k: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """The items in which recordings of k and m items must overlap: half the shorter one's, and LEAST or three quarters
+    of it. One of less than 4 items is too short to be found in another: that must be as short."""
+    short = np.minimum(k, m)
+    need = np.maximum(-(-short // 2), np.minimum(LEAST, -(-3 * short // 4)))
+    return np.where((short < 4) & (np.maximum(k, m) > short + 1), np.maximum(k, m) + 1, need)
+
+
+def fingerprints(media: DataFrame, content: Column, row_id: Column, query: Column | None = None) -> DataFrame:
+    """doc_id, items of each recording, n_items: those of whole windows, without silence; null and empty content has no
+    items. query: rows that also get `half`, the items that begin half a hop later."""
     small_batches(media.sparkSession)
 
-    @F.pandas_udf("items array<int>, n_items int")
-    def prints(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+    @F.pandas_udf("items array<int>, n_items int, half array<int>")
+    def prints(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for b, asked in batches:
             heard = [decode_pcm(bytes(x) if x is not None else b"") for x in b]
-            items = fingerprint_batch([padded(x) for x in heard])
-            yield pd.DataFrame({"items": items, "n_items": [len(i) if len(x) >= SHORTEST else 0 for i, x in zip(items, heard, strict=True)]})
+            lengths, heard = [len(x) for x in heard], [padded(x) for x in heard]
+            half = iter(fingerprint_batch([x[HOP // 2 :] for x, q in zip(heard, asked, strict=True) if q]))
+            whole = [max(0, (n - SHORTEST) // HOP + 1) for n in lengths]
+            yield pd.DataFrame({"items": fingerprint_batch(heard), "n_items": whole, "half": [next(half) if q else np.empty(0, np.int32) for q in asked]})
 
-    return media.select(row_id.cast("long").alias("doc_id"), prints(content).alias("p")).select("doc_id", "p.items", "p.n_items")
+    asked = F.coalesce(query, F.lit(False)) if query is not None else F.lit(False)
+    return media.select(row_id.cast("long").alias("doc_id"), prints(content, asked).alias("p")).select("doc_id", "p.items", "p.n_items", "p.half")
 
 
 class Queries:
-    """The items of a block of queries, ordered by value, so that equal items of recordings are found by bisection."""
+    """The items of a block of queries, ordered by value, so that equal items of recordings are found by bisection. An id
+    may have several lists of items, of its phases."""
 
     def __init__(self, ids: list[int], items: list[np.ndarray]):
         self.ids, self.lengths = np.array(ids, np.int64), np.array([len(x) for x in items], np.int64)
@@ -162,7 +183,7 @@ class Queries:
             theirs = np.arange(n.sum()) - np.repeat(n.cumsum() - n, n) + np.repeat(low[at:to], n)
             r, q, shift = owner[mine], self.owner[theirs], place[mine] - self.place[theirs]
             k, m = lengths[r], self.lengths[q]
-            enough = np.minimum(k, m + shift) - np.maximum(0, shift) >= np.maximum(LEAST, -(-np.minimum(k, m) // 2))
+            enough = np.minimum(k, m + shift) - np.maximum(0, shift) >= least_overlap(k, m)
             found.append(np.unique(np.stack([r[enough], q[enough], shift[enough]]), axis=1, return_counts=True))
             at = to
         if not found:
@@ -173,7 +194,7 @@ class Queries:
 
     def search(self, recordings: list[np.ndarray]) -> list[tuple]:
         """(recording, query id, shift, overlap, bit error, equal items) of each pair that aligns: its shift of at most
-        MOST_ERROR with the most equal items, then the smallest."""
+        most_error() with the most equal items, then the smallest, then of the least error."""
         lengths = np.array([len(x) for x in recordings], np.int64)
         starts = np.concatenate([[0], lengths.cumsum()])
         flat = np.concatenate([np.empty(0, np.int32), *recordings]).astype(np.int32)
@@ -189,11 +210,12 @@ class Queries:
             x = flat[np.repeat(starts[r[at:to]] + start[at:to], n) + step] ^ self.flat[np.repeat(self.starts[q[at:to]] + start[at:to] - shift[at:to], n) + step]
             wrong[at:to] = np.add.reduceat(np.bitwise_count(x.view(np.uint32)).astype(np.int64), n.cumsum() - n)
             at = to
-        good = np.flatnonzero(wrong <= MOST_ERROR * 32 * overlap)
-        good = good[np.lexsort((shift[good], -votes[good], q[good], r[good]))]
+        good = np.flatnonzero(wrong <= most_error(overlap) * 32 * overlap)
+        of = self.ids[q]
+        good = good[np.lexsort((wrong[good] / overlap[good], shift[good], -votes[good], of[good], r[good]))]
         first = np.ones(len(good), bool)
-        first[1:] = (r[good][1:] != r[good][:-1]) | (q[good][1:] != q[good][:-1])
-        return [(int(r[i]), int(self.ids[q[i]]), int(shift[i]), int(overlap[i]), float(wrong[i] / (32 * overlap[i])), int(votes[i])) for i in good[first]]
+        first[1:] = (r[good][1:] != r[good][:-1]) | (of[good][1:] != of[good][:-1])
+        return [(int(r[i]), int(of[i]), int(shift[i]), int(overlap[i]), float(wrong[i] / (32 * overlap[i])), int(votes[i])) for i in good[first]]
 
 
 def found_by(sounds: DataFrame, asked: DataFrame) -> DataFrame:
@@ -222,27 +244,30 @@ def align(media: DataFrame, content: Column, row_id: Column, every: int = 50) ->
     n_items, fingerprint (a hash of the items), match_id, shift, overlap, bit_error, matches.
 
     Recordings of the same items are one sound, named by its fingerprint; a sound that holds queries is asked once, as
-    its smallest id. An offset histogram counts the equal items of a recording and a query at each shift; every shift
-    with one at least, an overlap of LEAST items and of half the shorter recording's is compared bit by bit. bit_error
-    is the share of bits that differ where both overlap; a shift with at most MOST_ERROR is an alignment, and a pair has
-    the one with the most equal items (then the smallest shift). matches lists every query that aligns, by id, as structs
-    of match_id, shift, overlap and bit_error; the columns of those names hold the match with the most equal items (then
-    the smallest query) or are null. Other queries of a match's sound have its fingerprint and align alike.
-
-    A recording of less than LEAST items is too short to tell by an error rate; it aligns with queries of the same items
-    only. One below SHORTEST samples has one item, of itself in silence; n_items counts the items of whole windows and is
-    0 there. Null and empty media have no items and no match; repeated rows are rows of their own; a null id is no query
-    and aligns like others; an empty table gives no rows; other columns play no part.
+    its smallest id, in two phases: as it is, and from half a hop on, so that no cut lies more than a quarter of a hop
+    beside one of them. An offset histogram counts the equal items of a recording and a query at each shift; every shift
+    with one at least and enough overlap (least_overlap()) is compared bit by bit. bit_error is the share of bits that
+    differ where both overlap; a shift with at most most_error() is an alignment, and a pair has the one with the most
+    equal items (then the smallest shift). matches lists every query that aligns, by id, as structs of match_id, shift,
+    overlap and bit_error; the columns of those names hold the match with the most equal items (then the smallest query)
+    or are null. shift counts whole hops. Other queries of a match's sound have its fingerprint and align alike.
+
+    A short recording is heard in silence, see padded(), and compared like any other; the fewer items overlap, the fewer
+    bits may differ, and where one item is all there is it must be equal. n_items counts the items of whole windows and
+    is 0 below SHORTEST samples. Null and empty media have no items and no match; repeated rows are rows of their own; a
+    null id is no query and aligns like others; an empty table gives no rows; other columns play no part.
     """
-    prints, query = stored(fingerprints(media, content, row_id), "prints"), F.col("doc_id") % every == 0
+    query = F.col("doc_id") % every == 0
+    prints = stored(fingerprints(media, content, row_id, row_id.cast("long") % every == 0), "prints")
     prints = prints.withColumn("fingerprint", F.xxhash64("items", F.lit(7)))
     prints = prints.withColumn("sound", F.struct("fingerprint", F.hash("items").alias("more"), F.size("items").alias("size")))
     some = prints.where("size(items) > 0")
-    sounds = some.groupBy("sound").agg(F.min(F.when(query, F.col("doc_id"))).alias("match_id"), F.first("items").alias("items"), F.count("*").alias("copies"))
-    sounds = stored(sounds.withColumn("id", F.monotonically_increasing_id()), "sounds")
-    asked, long_ = sounds.where("match_id is not null"), F.size("items") >= LEAST
-    short = asked.where(~long_).select("id", "match_id", F.lit(0).alias("shift"), F.size("items").alias("overlap"), F.lit(0.0).alias("bit_error"), F.size("items").cast("long").alias("votes"))
-    found = found_by(sounds.where(long_), asked.where(long_).select("match_id", "items")).unionByName(short)
+    asks = F.min(F.when(query, F.struct("doc_id", "half")))
+    sounds = some.groupBy("sound").agg(asks.alias("asked"), F.first("items").alias("items"), F.count("*").alias("copies"))
+    sounds = stored(sounds.select("sound", "copies", "items", F.col("asked.doc_id").alias("match_id"), F.col("asked.half").alias("half"), F.monotonically_increasing_id().alias("id")), "sounds")
+    asked = sounds.where("match_id is not null")
+    asked = asked.select("match_id", "items").unionByName(asked.select("match_id", F.col("half").alias("items")).where("size(items) > 0"))
+    found = found_by(sounds, asked)
     of = ["match_id", "shift", "overlap", "bit_error"]
     found = found.groupBy("id").agg(F.sort_array(F.collect_list(F.struct(*of))).alias("matches"), F.min(F.struct((-F.col("votes")).alias("rank"), *of)).alias("best"))
     found = found.select("id", *[f"best.{c}" for c in of], "matches")

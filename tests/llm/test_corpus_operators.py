@@ -188,30 +188,34 @@ def test_shifted_recordings_align(spark):
     assert rows[2]["match_id"] is None and rows[3]["n_items"] == rows[4]["n_items"] == 0
 
 
+def heard(media):
+    """The items of recordings in both phases."""
+    samples = [audio.padded(audio.decode_pcm(x)) for x in media.values()]
+    return dict(zip(media, zip(audio.fingerprint_batch(samples), audio.fingerprint_batch([x[audio.HOP // 2 :] for x in samples]), strict=True), strict=True))
+
+
 def aligned(items, every=50):
-    """Brute force: for each recording its matches, over all shifts, with and without the need of an equal item."""
+    """Brute force: for each recording its matches, over all shifts of both phases, with and without the need of an
+    equal item. Of queries of one sound the smallest is asked."""
     first, out = {}, {}
-    for i, x in sorted(items.items()):
+    for i, (x, _) in sorted(items.items()):
         if i % every == 0 and len(x):
             first.setdefault(x.tobytes(), i)
-    for i, x in items.items():
+    for i, (x, _) in items.items():
         strict, loose = [], []
-        for key, q in first.items():
-            y, best, any_ = np.frombuffer(key, np.int32), None, False
-            if min(len(x), len(y)) < audio.LEAST:
-                if len(x) and x.tobytes() == key:
-                    strict.append((q, 0, len(x), 0.0))
-                    loose.append(q)
-                continue
-            for shift in range(1 - len(y), len(x)):
-                lo, hi = max(0, shift), min(len(x), len(y) + shift)
-                if hi - lo < max(audio.LEAST, -(-min(len(x), len(y)) // 2)):
-                    continue
-                wrong = np.bitwise_count((x[lo:hi] ^ y[lo - shift : hi - shift]).view(np.uint32))
-                error, votes = int(wrong.sum()) / (32 * (hi - lo)), int((wrong == 0).sum())
-                any_ |= error <= audio.MOST_ERROR
-                if votes and error <= audio.MOST_ERROR and (best is None or (-votes, shift) < best[:2]):
-                    best = (-votes, shift, hi - lo, error)
+        for q in first.values():
+            best, any_ = None, False
+            for y in items[q] if len(x) else ():
+                for shift in range(1 - len(y), len(x)):
+                    lo, hi = max(0, shift), min(len(x), len(y) + shift)
+                    if hi - lo < audio.least_overlap(np.int64(len(x)), np.int64(len(y))):
+                        continue
+                    wrong = np.bitwise_count((x[lo:hi] ^ y[lo - shift : hi - shift]).view(np.uint32))
+                    error, votes = int(wrong.sum()) / (32 * (hi - lo)), int((wrong == 0).sum())
+                    good = error <= audio.most_error(np.int64(hi - lo))
+                    any_ |= bool(good)
+                    if votes and good and (best is None or (-votes, shift, error) < (*best[:2], best[3])):
+                        best = (-votes, shift, hi - lo, error)
             if best:
                 strict.append((q, *best[1:]))
             if any_:
@@ -227,10 +231,11 @@ def test_every_query_that_aligns_is_listed(spark):
     same = bytes([128]) * 2000
     media = [(0, a + b), (50, b + c), (100, b), (150, a + b), (200, c), (1, b), (2, a + b), (3, c + a), (250, same), (4, same), (5, same[:1500])]
     rows = {r["doc_id"]: r for r in audio.align(spark.createDataFrame(media, "doc_id long, media binary"), F.col("media"), F.col("doc_id")).collect()}
-    want = aligned(dict(zip([i for i, _ in media], audio.fingerprint_batch([audio.decode_pcm(x) for _, x in media]), strict=True)))
+    want = aligned(heard(dict(media)))
     for i, r in rows.items():
         assert [tuple(m) for m in r["matches"]] == want[i][0]
-    assert {0, 50, 100} <= {m["match_id"] for m in rows[1]["matches"]} and rows[200]["match_id"] == 200 and rows[150]["match_id"] == 0
+    assert {0, 50, 100} <= {m["match_id"] for m in rows[1]["matches"]} and rows[150]["match_id"] == 0
+    assert {m["match_id"]: m["bit_error"] for m in rows[200]["matches"]} == {50: 0.0, 200: 0.0} and rows[200]["match_id"] == 50  # c begins half a hop into b + c
     assert rows[0]["fingerprint"] == rows[150]["fingerprint"]
 
 
@@ -245,8 +250,7 @@ def test_texts_align_as_by_brute_force(spark):
         texts[i] = "".join(rng.choice("abc") if rng.random() < 0.0005 else x for x in t) if i % 2 else t
     media = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     rows = {r["doc_id"]: [tuple(m) for m in r["matches"]] for r in audio.align(media, F.encode("text", "utf-8"), F.col("doc_id")).collect()}
-    items = {i: audio.fingerprint_batch([audio.padded(audio.decode_pcm(t.encode()))])[0] for i, t in texts.items()}
-    want = aligned(items)
+    want = aligned(heard({i: t.encode() for i, t in texts.items()}))
     assert rows == {i: w[0] for i, w in want.items()}
     loose, got = sum(len(w[1]) for w in want.values()), sum(map(len, rows.values()))
     assert got >= 0.9 * loose and loose >= 40
@@ -255,10 +259,34 @@ def test_texts_align_as_by_brute_force(spark):
 def test_short_recordings_align(spark):
     media = [(0, b"a short text"), (50, b"another one, not the same"), (1, b"a short text"), (2, b"another one, not the same"), (3, b"x" * 959 + b"y"), (4, b""), (100, b"ab" * 479), (5, b"ab" * 479)]
     rows = {r["doc_id"]: r for r in audio.align(spark.createDataFrame(media, "doc_id long, media binary"), F.col("media"), F.col("doc_id")).collect()}
-    assert [(rows[i]["match_id"], rows[i]["shift"], rows[i]["overlap"], rows[i]["bit_error"]) for i in (0, 1, 50, 2, 100, 5)] == [(q, 0, 1, 0.0) for q in (0, 0, 50, 50, 100, 100)]
+    assert [(rows[i]["match_id"], rows[i]["shift"], rows[i]["overlap"], rows[i]["bit_error"]) for i in (0, 1, 50, 2, 100, 5)] == [(q, 0, n, 0.0) for q, n in ((0, 1), (0, 1), (50, 1), (50, 1), (100, 14), (100, 14))]
     assert rows[4]["match_id"] is None and rows[4]["matches"] == [] and rows[1]["n_items"] == 0 and rows[3]["n_items"] == 1
 
 
+@pytest.mark.parametrize("low, high", [(300, 700), (700, 1200), (1200, 1850), (1850, 6000)])
+def test_plain_edits_are_found(spark, low, high):
+    """Twenty texts of a length as queries among all documents: copies with one changed byte, copies cut at the front by
+    half a hop and by four hops. Nine tenths are found, and hardly an unrelated text."""
+    rng = random.Random(low)
+    docs = [r for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect() if r["text"]]
+    raw = sorted({r["text"].encode() for r in docs if low <= len(r["text"].encode()) < high})
+    rng.shuffle(raw)
+    media, kinds = [(50 * i, b) for i, b in enumerate(raw[:20])], {}
+    for i, b in media[:20]:
+        at = rng.randrange(len(b))
+        edits = {"byte": b[:at] + bytes([(b[at] + 17) % 256]) + b[at + 1 :], "half": b[30:], "cut": b[256:]}
+        for j, (kind, e) in enumerate(edits.items()):
+            kinds[i + j + 1] = kind
+            media.append((i + j + 1, e))
+    media += [(100_001 + 50 * i, b) for i, b in enumerate(raw[20:])]
+    rows = {r["doc_id"]: {m["match_id"] for m in r["matches"]} for r in audio.align(spark.createDataFrame(media, "doc_id long, media binary"), F.col("media"), F.col("doc_id")).collect()}
+    found = Counter(kinds[i] for i in kinds if i - i % 50 in rows[i])
+    assert found["byte"] >= (18 if low < 700 else 19)
+    assert low < 700 or found["half"] >= (14 if low < 1200 else 18)
+    assert low < 1850 or found["cut"] >= 18
+    assert sum(len(rows[i] - {i - i % 50}) > 0 for i in kinds) <= 3
+
+
 def test_wave_files_are_decoded():
     x = (tune([440.0]) * 20000).astype("<i2")
     data = np.repeat(x, 2).tobytes()
