@@ -282,14 +282,21 @@ def safe_name(title: Column) -> Column:
 EXTENSIONS = "png|jpg|jpeg|gif|webp|svg|heic|pdf|bin|txt|md|html|csv|zip|tar|gz|mp4|mov|m4a"
 
 
+#: A line that begins with a slash, without what stands around it; a run of characters that a bare name is made of, with
+#: a dot in it. Both are read in one pass, whatever the text's length.
+BREAKS = r"\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}"
+SLASH_LINE = rf"(?:\A|[{BREAKS}])[\t \x{{A0}}]*+(/[^{BREAKS}]*+)"
+DOTTED = r"[^\s)\]\"'.]*+\.[^\s)\]\"']*+"
+
+
 def extracted_paths(text: Column) -> Column:
     """Paths in a note, first come first: links, bracketed, quoted, at a line's start, absolute, in <>, bare names."""
     clean = lambda xs: F.filter(F.transform(xs, strip), lambda x: x != "")
     wiki = F.transform(all_groups(text, WIKI), lambda x: F.split_part(strip(x), F.lit("|"), F.lit(1)))
-    starts = F.filter(F.transform(lines(text), strip), lambda x: x.startswith("/"))
-    starts = F.transform(starts, lambda x: F.regexp_replace(x, "[,.]+$", ""))
+    starts = F.transform(all_groups(text, SLASH_LINE), lambda x: F.regexp_replace(strip(x), "[,.]+$", ""))
     angle = F.filter(clean(all_groups(text, "<([^>]+)>")), lambda x: x.contains("/") | x.rlike(r"\.[A-Za-z0-9]{2,6}$"))
-    bare = all_groups(text, rf"(?i)\b([^\s)\]\"']+\.(?:{EXTENSIONS}))\b")
+    named = F.filter(all_groups(text, DOTTED, 0), lambda x: x.rlike(rf"(?i)\.(?:{EXTENSIONS})\b"))
+    bare = F.flatten(F.transform(named, lambda x: F.regexp_extract_all(x, F.lit(rf"(?i)\b([^\s)\]\"']+\.(?:{EXTENSIONS}))\b"), F.lit(1))))
     parts = [clean(wiki), clean(all_groups(text, r"\((/[^)]+)\)")), clean(all_groups(text, r"`(/[^`]+)`")), clean(starts), clean(all_groups(text, r"(/Users[^\s)\]]+|/[^\s)\]]+)")), angle, clean(bare)]
     return F.array_distinct(F.concat(*parts))
 
