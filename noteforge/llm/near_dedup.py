@@ -201,16 +201,19 @@ def central_pairs(lists: DataFrame, total: int) -> DataFrame:
     return ordered(join_groups(lists, heads, "token", "members", total).where("id <> o_id"))
 
 
-def open_pairs(lists: DataFrame, total: int) -> DataFrame:
-    """The pairs of different components in a token's list whose places leave a similarity of 0.8 possible. Members
-    outside the list's largest component are compared with all: between two components one side is always such."""
+def open_pairs(lists: DataFrame, total: int, info: DataFrame) -> DataFrame:
+    """The pairs of different components in a token's list whose places leave a similarity of 0.8 possible and whose odd
+    sketches (info: id, sketch) don't rule it out; both is tested inside the join, so that documents which share a
+    passage and little else make no rows. Members outside the list's largest component are compared with all: between
+    two components one side is always such."""
     sizes = lists.groupBy("token", "component").agg(F.count("*").alias("c")).groupBy("token")
     most = sizes.agg(F.max(F.struct("c", F.col("component").alias("main"))).alias("m"), F.sum("c").alias("members"), F.count("*").alias("parts")).where("parts > 1")
-    mixed = stored(join_groups(lists, most.select("token", "m.main", "members"), "token", "members", total).drop("members"), "mixed")
+    mixed = join_groups(lists, most.select("token", "m.main", "members"), "token", "members", total).drop("members")
+    mixed = stored(mixed.join(info.select("id", "sketch"), "id"), "mixed")
     few = mixed.where("component <> main").drop("main")
-    many = mixed.select("token", F.col("id").alias("o_id"), F.col("n").alias("o_n"), F.col("at").alias("o_at"), F.col("component").alias("o_component"))
+    many = mixed.select(*[F.col(c).alias(f"o_{c}") for c in ("token", "id", "n", "at", "component", "sketch")])
     possible = F.expr("9 * least(n - at, o_n - o_at) >= 4 * (n + o_n) and 5 * least(n, o_n) >= 4 * greatest(n, o_n)")
-    return ordered(few.join(many, "token").where((F.col("component") != F.col("o_component")) & possible))
+    return ordered(few.join(many, [F.col("token") == F.col("o_token"), F.col("component") != F.col("o_component"), possible, odd_bits("sketch", "o_sketch") <= MOST_ODD]))
 
 
 def near_links(classes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
@@ -226,7 +229,7 @@ def near_links(classes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     info = classes.join(lists.select("id").distinct(), "id", "left_semi")
     tried = stored(close_pairs(central_pairs(lists, total), info), "pairs")
     parts = components(stored(confirmed(tried, texts, words), "found"))
-    rest = close_pairs(open_pairs(in_components(lists, parts), total), info).join(tried, ["a", "b"], "left_anti")
+    rest = close_pairs(open_pairs(in_components(lists, parts), total, info), info).join(tried, ["a", "b"], "left_anti")
     more = stored(confirmed(rest, texts, words), "found")
     return parts if more.isEmpty() else components(parts.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
 

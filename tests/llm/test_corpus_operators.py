@@ -166,6 +166,35 @@ def test_odd_sketches_estimate_similarity():
         assert odd <= most and abs((a == b).mean() - n / (2 * len(s) - n)) < 0.15
 
 
+def test_shared_passages_make_few_pairs(spark, monkeypatch):
+    """Documents of six passages from a pool of sixty, none linked: twice the documents make no more than about twice
+    the rows, where the pairs that share a passage grow fourfold."""
+    rng = random.Random(9)
+    pool = [" ".join(f"w{rng.randrange(5000)}" for _ in range(40)) for _ in range(60)]
+    made, ordered = [], near_dedup.ordered
+    monkeypatch.setattr(near_dedup, "ordered", lambda pairs: (made.append(pairs.count()), ordered(pairs))[1])
+    texts = list({" ".join(rng.sample(pool, 6)) for _ in range(1000)})
+    for n in (500, 1000):
+        rows = near_dedup.near_groups(corpus(spark, texts[:n])).collect()
+        assert sum(r["kept"] for r in rows) >= n - 5
+    central, open_, central_2, open_2 = made
+    assert open_ <= 500 and open_2 <= 1000 and central_2 <= 3 * central + 100  # without the sketches 94,590 and 550,560 rows
+
+
+def test_pairs_at_the_bound_are_linked(spark):
+    """Pairs of a similarity just above 0.8 and just below: the last words are other ones."""
+    rng = random.Random(10)
+    texts, linked = [], []
+    for i in range(60):
+        words_, below = [f"w{rng.randrange(10**6)}" for _ in range(300)], i % 3 == 0
+        k = 34 if below else 33
+        texts += [" ".join(words_), " ".join(words_[: 300 - k] + [f"x{rng.randrange(10**6)}" for _ in range(k)])]
+        linked.append(100 * (297 - k) >= 80 * (297 + k))
+    assert linked.count(True) == 40
+    rows = {r["doc_id"]: r["component_id"] for r in near_dedup.near_groups(corpus(spark, texts)).collect()}
+    assert [rows[2 * i] == rows[2 * i + 1] for i in range(60)] == linked
+
+
 # --- 4 audio -----------------------------------------------------------------------------------------------------------
 
 
