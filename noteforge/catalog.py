@@ -316,8 +316,9 @@ def audio_embeds(spark, sf):
     return references.audio_embeds(*vault(spark, sf), ["png"])
 
 
-@query()
+@query("WITH " + NOTES_SQL + """ SELECT path, 1 AS renames, md5(replace(content, '![[file ' || doc_id || '.png|', '![[file ' || doc_id || '.jpg|')) AS content_md5 FROM notes WHERE doc_id % 6 = 0""")
 def renamed_references(spark, sf):
+    """Notes whose embed is an attachment; their addresses end with a query, not with a name."""
     n, a = vault(spark, sf)
     return references.renamed(n, a.select(F.col("name").alias("old"), F.regexp_replace("name", r"\.png$", ".jpg").alias("new"))).select("path", "renames", F.md5("new_content").alias("content_md5"))
 
@@ -560,18 +561,43 @@ def lang_decision_model(spark, sf):
     return docs.select("doc_id", lang.alias("lang"), F.round(conf, 6).alias("confidence"))
 
 
+def cleaned(text: str) -> str:
+    """SQL of a note's body without markup; the fixture has no curator's summary."""
+    for pattern, new in (
+        (r"(?s)```.*?```", ""), (r"(?s)~~~.*?~~~", ""), (r"`[^`]+`", ""), (r"https?://\S+", ""), (r"\[([^\]]*)\]\([^)]+\)", r"\1"), (r"\[\[([^\]|]+)\|([^\]]+)\]\]", r"\2"), (r"\[\[([^\]]+)\]\]", r"\1"), (r"<[^>]+>", ""),
+        (r"(?m)^#+\s*", ""), (r"\*\*([^*]+)\*\*", r"\1"), (r"\*([^*]+)\*", r"\1"), (r"__([^_]+)__", r"\1"), (r"_([^_]+)_", r"\1"), (r"!\[\[.*?\]\]", ""), (r"!\[.*?\]\(.*?\)", ""), (r"\s+", " "),
+    ):
+        text = f"regexp_replace({text}, '{pattern}', '{new}', 'g')"
+    return f"trim({text}, ' ')"
+
+
+#: A run over the notes in SQL, where words alone decide.
+LANG_ROWS = (
+    NOTES_SQL + r", n0 AS (SELECT path, n.doc_id, content, d.lang AS own, CASE WHEN n.doc_id % 10 = 9 THEN '' ELSE regexp_extract(content, '(?s)^(---.*?\n---\n)', 1) END AS front FROM notes n JOIN documents d USING (doc_id)),"
+    " n1 AS (SELECT *, " + cleaned("substr(content, length(front) + 1)") + " AS text FROM n0), n2 AS (SELECT *, " + SIGNS + " FROM n1), "
+    """n3 AS (SELECT *, length(text) < 50 AS short, spanish + english > 5 AND spanish > english * 1.5::double AS es_wins, spanish + english > 5 AND english > spanish * 1.5::double AS en_wins, CASE WHEN doc_id % 3 < 2 AND front <> '' AND own IN ('en', 'es') THEN own END AS tag FROM n2),
+ n4 AS (SELECT *, CASE WHEN short THEN NULL WHEN es_wins THEN 'es' WHEN en_wins THEN 'en' END AS lang, CASE WHEN short THEN 0 WHEN es_wins THEN least(0.9, spanish::double / (spanish + english)) WHEN en_wins THEN least(0.9, english::double / (spanish + english)) ELSE 0 END::double AS conf FROM n3),
+ n5 AS (SELECT *, CASE WHEN front = '' THEN 'no_frontmatter' WHEN short THEN 'short' WHEN lang IS NULL OR conf < 0.5 THEN 'uncertain' WHEN tag = lang THEN 'correct' WHEN tag IS NOT NULL THEN 'changed' ELSE 'added' END AS status FROM n4),
+ runs AS (SELECT *, CASE status WHEN 'changed' THEN replace(front, 'lang/' || tag, 'lang/' || lang)
+  WHEN 'added' THEN CASE WHEN doc_id % 3 = 1 THEN front || '  - lang/' || lang || chr(10) ELSE replace(front, ']' || chr(10), ', ' || chr(39) || 'lang/' || lang || chr(39) || ']' || chr(10)) END END || substr(content, length(front) + 1) AS new_content FROM n5) """
+)
+FUNNEL = """SELECT count(*) AS notes_scanned, count(*) FILTER (status = 'no_frontmatter') AS skipped_no_frontmatter, count(*) FILTER (status = 'short') AS skipped_short, count(*) FILTER (status = 'uncertain') AS skipped_uncertain,
+ count(*) FILTER (status IN ('correct', 'changed', 'added') AND lang = 'en') AS detected_en, count(*) FILTER (status IN ('correct', 'changed', 'added') AND lang <> 'en') AS detected_es, count(*) FILTER (status = 'correct') AS correct, count(*) FILTER (status = 'added') AS added,
+ count(*) FILTER (status = 'changed') AS changed, count(*) FILTER (status IN ('added', 'changed')) AS fixed, cast(0 AS bigint) AS errors FROM runs"""
+
+
 @query()
 def lang_funnel_model(spark, sf):
     """The counters of a run whose detector is the model."""
     return curation.language_funnel(notes(spark, sf), detector=lambda rows: model(spark, sf).detect(rows, "path", "plain", ["en", "es"]))
 
 
-@query()
+@query("WITH " + LANG_ROWS + FUNNEL)
 def lang_funnel(spark, sf):
     return curation.language_funnel(notes(spark, sf))
 
 
-@query()
+@query("WITH " + LANG_ROWS + "SELECT path, lang, round(conf, 9) AS confidence, tag, status, md5(new_content) AS content_md5 FROM runs")
 def lang_tag_upsert(spark, sf):
     return curation.language_rows(notes(spark, sf)).select("path", "lang", "confidence", "tag", "status", F.md5("new_content").alias("content_md5"))
 
@@ -602,7 +628,10 @@ def archive_topic_counts(spark, sf):
     return curation.archive_topics_top(notes(spark, sf))
 
 
-@query()
+ARCHIVE_SHOWN = "CASE " + " ".join(f"WHEN u {op} {bound}::double THEN '{shown}'" for op, bound, shown in vocab.SCORE_TEXT) + " ELSE '0.9' END"
+
+
+@query(ARCHIVE + ", s AS (SELECT *, " + ARCHIVE_USE + " AS u, list_sort(list_distinct(list_concat(['type/note', 'status/archived', " + ARCHIVE_LANG + "], " + ARCHIVE_TOPICS + "))) AS tags FROM plain) SELECT path, md5(array_to_string(['---', 'date: \"2024-01-01\"', 'tags:', '  - ' || array_to_string(tags, chr(10) || '  - '), 'usefulness: ' || " + ARCHIVE_SHOWN + ", '---', '', '## My Thoughts', '', '*Add your thoughts here*', '', '## Related Notes', '', '*No related notes identified*', '', '---', '', content], chr(10))) AS content_md5 FROM s")
 def archive_frontmatter(spark, sf):
     return curation.archive_rows(notes(spark, sf), "2024-01-01").select("path", F.md5("new_content").alias("content_md5"))
 
@@ -637,7 +666,8 @@ def hashtags_escaped(spark, sf):
     return curation.escaped_notes(notes(spark, sf)).select("path", F.md5("new_content").alias("content_md5"))
 
 
-@query()
+@query("WITH " + NOTES_SQL + """ SELECT path, CASE WHEN doc_id % 10 <> 9 THEN '"Doc ' || doc_id || '"' END AS title, cast(CASE WHEN doc_id % 10 <> 9 THEN strpos(substr(content, 4), '---') + 5 ELSE 0 END AS integer) AS dash_end,
+ CASE WHEN doc_id % 10 <> 9 THEN 'Doc ' || doc_id END AS quoted_title, 'Note ' || doc_id // 4 AS heading FROM notes""")
 def frontmatter_fields(spark, sf):
     n = notes(spark, sf)
     return n.select("path", F.element_at(text.frontmatter_map(F.col("content")), "title").alias("title"), text.any_dash_end(F.col("content")).cast("int").alias("dash_end"), text.quoted_field(F.col("content"), "title").alias("quoted_title"), text.title(F.col("content"), F.col("name")).alias("heading"))
@@ -735,7 +765,7 @@ def chapter_totals(spark, sf):
     return curation.chapter_totals(book_chapters(spark, sf))
 
 
-@query()
+@query("""SELECT 'c' || doc_id AS path, md5(array_to_string(['---', 'title: "Chapter ' || doc_id || '"', '---', '## Chapter Overview', '', '![[c' || doc_id || '.png]]', '', text, '', '## Key Arguments', '', '- **first** a', '- **second** b', '', '## Key Concepts', '', '### one', '', '### two', CASE WHEN doc_id % 3 = 0 THEN '![[x diagram.png]]' || chr(10) ELSE '' END], chr(10))) AS content_md5 FROM documents WHERE text IS NOT NULL""")
 def insert_embed(spark, sf):
     rows = chapters(spark, sf)
     return rows.select("path", F.md5(text.with_embed(F.col("content"), F.concat(F.lit("![["), text.safe_name(F.col("path")), F.lit(".png]]")))).alias("content_md5"))
@@ -843,7 +873,7 @@ def analysis_fields(spark, sf):
     return replies.select("doc_id", *providers.analysis_of()).withColumns({c: F.array_join(c, ",") for c in ("primary_topics", "key_questions")})
 
 
-@query()
+@query("SELECT event_id, props IS NOT NULL AS parsed, md5(props) AS json_md5 FROM events")
 def json_repair(spark, sf):
     """Replies of a model around events' JSON, and the fields read from them as text, then cast."""
     raw = F.concat(F.lit("Sure:\n```json\n"), "props", F.lit("\n```\n"))
