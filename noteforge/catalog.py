@@ -515,18 +515,32 @@ def lang_decision(spark, sf):
     return table(spark, sf, "documents").select("doc_id", lang.alias("lang"), F.round(conf, 9).alias("confidence"))
 
 
-#: The detector's model in SQL: fitted on the documents outside the held-out fold, whole numbers throughout.
 HELD_OUT = "left(md5(cast(doc_id AS varchar)), 1) < '3'"
-MODEL = f"""WITH t AS (SELECT doc_id, lang, {HELD_OUT} AS held_out, ' ' || trim(regexp_replace(lower(text), '([^\\p{{{{L}}}}]|[\\x{{{{10000}}}}-\\x{{{{10FFFF}}}}])+', ' ', 'g')) || ' ' AS s FROM documents),
- g AS (SELECT doc_id, lang, held_out, unnest(list_transform(range(1, length(s) - 1), lambda i: substr(s, i, 3))) AS gram FROM t),
- c AS (SELECT lang, gram, count(*) AS c FROM g WHERE NOT held_out AND lang IS NOT NULL GROUP BY ALL),
+WORDS_OF = r"' ' || trim(regexp_replace(lower({}), '([^\p{{L}}]|[\x{{10000}}-\x{{10FFFF}}])+', ' ', 'g')) || ' '"
+GRAMS_OF = "unnest(list_transform(range(1, length(s) - 1), lambda i: substr(s, i, 3)))"
+
+
+def model_sql(key: str = "doc_id", asked: str = "(SELECT doc_id, text AS asked FROM documents)", only: str = "true", before: str = "") -> str:
+    """The detector in SQL: fitted on the documents outside the held-out fold, whole numbers throughout, and asked for
+    `asked` (key, asked). Ends with best (key, best, prob); behind t, the documents."""
+    return f"""WITH {before}{", " if before else ""}t AS (SELECT doc_id, lang, {HELD_OUT} AS held_out, {WORDS_OF.format("text")} AS s FROM documents),
+ g AS (SELECT lang, {GRAMS_OF} AS gram FROM t WHERE NOT held_out AND lang IS NOT NULL), c AS (SELECT lang, gram, count(*) AS c FROM g GROUP BY ALL),
  v AS (SELECT count(DISTINCT gram) AS v FROM c), n AS (SELECT lang, count(*) AS n FROM t WHERE NOT held_out AND s IS NOT NULL AND lang IS NOT NULL GROUP BY lang),
  l AS (SELECT lang, t + v AS size, floor(ln(1.0::double / (t + v)) * 1e6::double + 0.5) AS unseen, floor(ln(n::double / (SELECT sum(n) FROM n)) * 1e6::double + 0.5) AS prior FROM (SELECT lang, sum(c) AS t FROM c GROUP BY lang) JOIN n USING (lang), v),
- gain AS (SELECT gram, lang, floor(ln((c + 1)::double / size) * 1e6::double + 0.5) - unseen AS gain FROM c JOIN l USING (lang)),
- k AS (SELECT doc_id, gram, count(*) AS k FROM g GROUP BY ALL), whole AS (SELECT doc_id, sum(k) AS n FROM k GROUP BY doc_id), hits AS (SELECT doc_id, lang, sum(k * gain) AS hit FROM k JOIN gain USING (gram) GROUP BY ALL),
- scores AS (SELECT w.doc_id, l.lang, prior + n * unseen + coalesce(hit, 0) AS score FROM whole w, l LEFT JOIN hits h ON h.doc_id = w.doc_id AND h.lang = l.lang),
- p AS (SELECT doc_id, lang, exp((score - max(score) OVER (PARTITION BY doc_id)) / 1e6::double) AS e FROM scores), q AS (SELECT doc_id, lang, e / sum(e) OVER (PARTITION BY doc_id) AS p FROM p),
- guess AS (SELECT doc_id, lang AS best, p AS prob FROM q WHERE {{}} QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY p DESC, lang) = 1), best AS (SELECT * FROM guess WHERE prob >= 0.1) """
+ gain AS MATERIALIZED (SELECT gram, lang, floor(ln((c + 1)::double / size) * 1e6::double + 0.5) - unseen AS gain FROM c JOIN l USING (lang)),
+ k AS MATERIALIZED (SELECT {key}, gram, count(*) AS k FROM (SELECT {key}, {GRAMS_OF} AS gram FROM (SELECT {key}, {WORDS_OF.format("asked")} AS s FROM {asked})) GROUP BY ALL),
+ whole AS (SELECT {key}, sum(k) AS n FROM k GROUP BY {key}), hits AS (SELECT {key}, lang, sum(k * gain) AS hit FROM k JOIN gain USING (gram) GROUP BY ALL),
+ scores AS (SELECT w.{key}, l.lang, prior + n * unseen + coalesce(hit, 0) AS score FROM whole w, l LEFT JOIN hits h ON h.{key} = w.{key} AND h.lang = l.lang),
+ p AS (SELECT {key}, lang, exp((score - max(score) OVER (PARTITION BY {key})) / 1e6::double) AS e FROM scores), q AS (SELECT {key}, lang, e / sum(e) OVER (PARTITION BY {key}) AS p FROM p),
+ guess AS (SELECT {key}, lang AS best, p AS prob FROM q WHERE {only} QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY p DESC, lang) = 1), best AS MATERIALIZED (SELECT * FROM guess WHERE prob >= 0.1) """
+
+
+#: The decision in SQL, from n3 (text, spanish, english, best, prob).
+DECISION = """w AS (SELECT *, length(text) < 50 OR text IS NULL AS short, prob < 0.7 AND spanish + english > 5 AND spanish > english * 1.5::double AS es_wins, prob < 0.7 AND spanish + english > 5 AND english > spanish * 1.5::double AS en_wins,
+  best = 'es' AND spanish >= english OR best = 'en' AND english >= spanish AS agrees FROM n3),
+ n4 AS MATERIALIZED (SELECT *, CASE WHEN short THEN NULL WHEN es_wins THEN 'es' WHEN en_wins THEN 'en' WHEN prob >= 0.7 OR best IS NULL OR agrees THEN best WHEN spanish > english * 2 THEN 'es' WHEN english > spanish * 2 THEN 'en' ELSE best END AS lang,
+  CASE WHEN short THEN 0 WHEN es_wins THEN least(0.9, spanish::double / (spanish + english)) WHEN en_wins THEN least(0.9, english::double / (spanish + english)) WHEN prob >= 0.7 OR best IS NULL THEN prob
+   WHEN agrees THEN greatest(prob, 0.6) WHEN spanish > english * 2 OR english > spanish * 2 THEN 0.6 ELSE prob END::double AS conf FROM w)"""
 
 
 def model(spark, sf) -> language.LanguageModel:
@@ -534,14 +548,14 @@ def model(spark, sf) -> language.LanguageModel:
     return language.fit(docs.where(~F.expr("left(md5(cast(doc_id AS string)), 1) < '3'")))
 
 
-@query(MODEL.format("true") + "SELECT doc_id, held_out, t.lang, best, round(coalesce(prob, 0), 6) AS prob FROM t LEFT JOIN best USING (doc_id)")
+@query(model_sql() + "SELECT doc_id, held_out, t.lang, best, round(coalesce(prob, 0), 6) AS prob FROM t LEFT JOIN best USING (doc_id)")
 def lang_detector(spark, sf):
     """Each document's language by a model of character trigrams that has not seen the held-out ones."""
     docs = table(spark, sf, "documents").select("doc_id", "lang", "text", F.expr("left(md5(cast(doc_id AS string)), 1) < '3'").alias("held_out"))
     return model(spark, sf).detect(docs, "doc_id", "text").select("doc_id", "held_out", "lang", "best", F.round("prob", 6).alias("prob"))
 
 
-@query(MODEL.format("true") + "SELECT t.lang, count(*) AS documents, count(*) FILTER (best = t.lang) AS recognised, round(100.0::double * count(*) FILTER (best = t.lang) / count(*), 6) AS pct FROM t LEFT JOIN best USING (doc_id) WHERE held_out GROUP BY t.lang")
+@query(model_sql() + "SELECT t.lang, count(*) AS documents, count(*) FILTER (best = t.lang) AS recognised, round(100.0::double * count(*) FILTER (best = t.lang) / count(*), 6) AS pct FROM t LEFT JOIN best USING (doc_id) WHERE held_out GROUP BY t.lang")
 def lang_detector_accuracy(spark, sf):
     """Held-out documents by language, and those that the detector recognises."""
     right = F.count_if(F.col("best") == F.col("lang"))
@@ -549,11 +563,7 @@ def lang_detector_accuracy(spark, sf):
     return by.withColumn("pct", F.round(100.0 * F.col("recognised") / F.col("documents"), 6))
 
 
-@query(MODEL.format("lang IN ('en', 'es')") + ", s AS (SELECT doc_id, length(text) AS n, best, coalesce(prob, 0) AS prob, " + SIGNS + """ FROM documents LEFT JOIN best USING (doc_id)),
- w AS (SELECT *, prob < 0.7 AND spanish + english > 5 AND spanish > english * 1.5::double AS es_wins, prob < 0.7 AND spanish + english > 5 AND english > spanish * 1.5::double AS en_wins, best = 'es' AND spanish >= english OR best = 'en' AND english >= spanish AS agrees FROM s)
- SELECT doc_id, CASE WHEN n < 50 OR n IS NULL THEN NULL WHEN es_wins THEN 'es' WHEN en_wins THEN 'en' WHEN prob >= 0.7 OR best IS NULL OR agrees THEN best WHEN spanish > english * 2 THEN 'es' WHEN english > spanish * 2 THEN 'en' ELSE best END AS lang,
- round(CASE WHEN n < 50 OR n IS NULL THEN 0 WHEN es_wins THEN least(0.9, spanish::double / (spanish + english)) WHEN en_wins THEN least(0.9, english::double / (spanish + english)) WHEN prob >= 0.7 OR best IS NULL THEN prob
-  WHEN agrees THEN greatest(prob, 0.6) WHEN spanish > english * 2 OR english > spanish * 2 THEN 0.6 ELSE prob END::double, 6) AS confidence FROM w""")
+@query(model_sql(only="lang IN ('en', 'es')") + ", n3 AS (SELECT doc_id, text, best, coalesce(prob, 0) AS prob, " + SIGNS + " FROM documents LEFT JOIN best USING (doc_id)), " + DECISION + " SELECT doc_id, lang, round(conf, 6) AS confidence FROM n4")
 def lang_decision_model(spark, sf):
     """The language decision with a model behind it, which offers English and Spanish alone."""
     docs = model(spark, sf).detect(table(spark, sf, "documents"), "doc_id", "text", ["en", "es"])
@@ -571,33 +581,32 @@ def cleaned(text: str) -> str:
     return f"trim({text}, ' ')"
 
 
-#: A run over the notes in SQL, where words alone decide.
-LANG_ROWS = (
+#: Notes with their frontmatter and plain text in SQL, and what a run makes of n3, these with best and prob.
+LANG_NOTES = (
     NOTES_SQL + r", n0 AS (SELECT path, n.doc_id, content, d.lang AS own, CASE WHEN n.doc_id % 10 = 9 THEN '' ELSE regexp_extract(content, '(?s)^(---.*?\n---\n)', 1) END AS front FROM notes n JOIN documents d USING (doc_id)),"
-    " n1 AS (SELECT *, " + cleaned("substr(content, length(front) + 1)") + " AS text FROM n0), n2 AS (SELECT *, " + SIGNS + " FROM n1), "
-    """n3 AS (SELECT *, length(text) < 50 AS short, spanish + english > 5 AND spanish > english * 1.5::double AS es_wins, spanish + english > 5 AND english > spanish * 1.5::double AS en_wins, CASE WHEN doc_id % 3 < 2 AND front <> '' AND own IN ('en', 'es') THEN own END AS tag FROM n2),
- n4 AS (SELECT *, CASE WHEN short THEN NULL WHEN es_wins THEN 'es' WHEN en_wins THEN 'en' END AS lang, CASE WHEN short THEN 0 WHEN es_wins THEN least(0.9, spanish::double / (spanish + english)) WHEN en_wins THEN least(0.9, english::double / (spanish + english)) ELSE 0 END::double AS conf FROM n3),
- n5 AS (SELECT *, CASE WHEN front = '' THEN 'no_frontmatter' WHEN short THEN 'short' WHEN lang IS NULL OR conf < 0.5 THEN 'uncertain' WHEN tag = lang THEN 'correct' WHEN tag IS NOT NULL THEN 'changed' ELSE 'added' END AS status FROM n4),
+    " n1 AS MATERIALIZED (SELECT *, " + cleaned("substr(content, length(front) + 1)") + " AS text FROM n0), n2 AS MATERIALIZED (SELECT *, " + SIGNS + " FROM n1)"
+)
+LANG_STATUS = DECISION + """, tagged AS (SELECT *, CASE WHEN doc_id % 3 < 2 AND front <> '' AND own IN ('en', 'es') THEN own END AS tag FROM n4),
+ n5 AS (SELECT *, CASE WHEN front = '' THEN 'no_frontmatter' WHEN short THEN 'short' WHEN lang IS NULL OR conf < 0.5 THEN 'uncertain' WHEN tag = lang THEN 'correct' WHEN tag IS NOT NULL THEN 'changed' ELSE 'added' END AS status FROM tagged),
  runs AS (SELECT *, CASE status WHEN 'changed' THEN replace(front, 'lang/' || tag, 'lang/' || lang)
   WHEN 'added' THEN CASE WHEN doc_id % 3 = 1 THEN front || '  - lang/' || lang || chr(10) ELSE replace(front, ']' || chr(10), ', ' || chr(39) || 'lang/' || lang || chr(39) || ']' || chr(10)) END END || substr(content, length(front) + 1) AS new_content FROM n5) """
-)
 FUNNEL = """SELECT count(*) AS notes_scanned, count(*) FILTER (status = 'no_frontmatter') AS skipped_no_frontmatter, count(*) FILTER (status = 'short') AS skipped_short, count(*) FILTER (status = 'uncertain') AS skipped_uncertain,
  count(*) FILTER (status IN ('correct', 'changed', 'added') AND lang = 'en') AS detected_en, count(*) FILTER (status IN ('correct', 'changed', 'added') AND lang <> 'en') AS detected_es, count(*) FILTER (status = 'correct') AS correct, count(*) FILTER (status = 'added') AS added,
  count(*) FILTER (status = 'changed') AS changed, count(*) FILTER (status IN ('added', 'changed')) AS fixed, cast(0 AS bigint) AS errors FROM runs"""
 
 
-@query()
+@query(model_sql("path", "(SELECT path, text AS asked FROM n2)", "lang IN ('en', 'es')", LANG_NOTES) + ", n3 AS (SELECT n2.*, best, coalesce(prob, 0) AS prob FROM n2 LEFT JOIN best USING (path)), " + LANG_STATUS + FUNNEL)
 def lang_funnel_model(spark, sf):
     """The counters of a run whose detector is the model."""
     return curation.language_funnel(notes(spark, sf), detector=lambda rows: model(spark, sf).detect(rows, "path", "plain", ["en", "es"]))
 
 
-@query("WITH " + LANG_ROWS + FUNNEL)
+@query("WITH " + LANG_NOTES + ", n3 AS (SELECT *, NULL AS best, 0 AS prob FROM n2), " + LANG_STATUS + FUNNEL)
 def lang_funnel(spark, sf):
     return curation.language_funnel(notes(spark, sf))
 
 
-@query("WITH " + LANG_ROWS + "SELECT path, lang, round(conf, 9) AS confidence, tag, status, md5(new_content) AS content_md5 FROM runs")
+@query("WITH " + LANG_NOTES + ", n3 AS (SELECT *, NULL AS best, 0 AS prob FROM n2), " + LANG_STATUS + "SELECT path, lang, round(conf, 9) AS confidence, tag, status, md5(new_content) AS content_md5 FROM runs")
 def lang_tag_upsert(spark, sf):
     return curation.language_rows(notes(spark, sf)).select("path", "lang", "confidence", "tag", "status", F.md5("new_content").alias("content_md5"))
 
