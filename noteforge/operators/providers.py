@@ -6,7 +6,7 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noteforge.session import ship_package
@@ -37,12 +37,18 @@ def with_provider(rows: DataFrame, column: str, provider: Callable[[list], list[
 
 def analysis_of(reply: str = "reply") -> list:
     """The eight fields of a reply's JSON object, read as text, then cast. A missing field has its default; a reply without
-    a JSON object is to be reviewed, at 50. The text "false" counts as false, and a null as missing."""
+    a JSON object is to be reviewed, at 50. A flag is true by the value's own kind: any text but the empty one is, "false"
+    too; null, 0 and empty lists and objects are false."""
     from noteforge.functions import arrow
 
     json = arrow.json_object_span(F.col(reply))
     get = lambda k: F.get_json_object(json, f"$.{k}")
-    truthy = lambda k, other: F.coalesce(~get(k).isin("", "0", "0.0", "[]", "{}", "false"), F.lit(other)).alias(k)
+
+    def truthy(k: str, other: bool) -> Column:
+        at = F.try_variant_get(F.try_parse_json(json), f"$.{k}", "variant")
+        value = F.when(F.schema_of_variant(at) == "STRING", get(k) != "").otherwise(~get(k).isin("0", "0.0", "-0", "-0.0", "[]", "{}", "false"))
+        return F.when(at.isNull(), other).when(F.is_variant_null(at), False).otherwise(F.coalesce(value, F.lit(other))).alias(k)
+
     strings = lambda k: F.coalesce(F.from_json(get(k), "array<string>"), F.array().cast("array<string>")).alias(k)
     return [
         F.coalesce(get("quality_score").try_cast("double"), F.lit(50.0)).alias("quality_score"),

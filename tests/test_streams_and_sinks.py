@@ -384,3 +384,12 @@ def test_pixel_samples_are_bounded(spark):
     assert {r["img"]: r["count"] for r in sample.groupBy("img").count().collect()} == {"big": 1000, "small": 1000}
     assert "WindowGroupLimit" in sample._jdf.queryExecution().executedPlan().toString()
     assert {r["img"]: r["is_gray"] for r in media.is_gray(px, ["img"], "at").collect()} == {"big": True, "small": True}
+
+
+def test_flags_of_replies_by_kind(spark):
+    from noteforge.operators import providers
+
+    kinds = [('"false"', True), ("false", False), ("true", True), ('""', False), ("null", False), ("0", False), ("0.0", False), ("2", True), ("[]", False), ("[0]", True), ("{}", False), (None, None), ('"0"', True)]
+    rows = [(i, "{" + ("" if v is None else f'"is_valuable": {v}, "has_framework": {v}, ') + '"reasoning": "r"}') for i, (v, _) in enumerate(kinds)]
+    got = spark.createDataFrame(rows, "i int, reply string").select("i", *providers.analysis_of()).orderBy("i").collect()
+    assert [(r["is_valuable"], r["has_framework"]) for r in got] == [(True, False) if w is None else (w, w) for _, w in kinds]
