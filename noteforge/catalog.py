@@ -685,7 +685,15 @@ def frontmatter_fields(spark, sf):
 # --- paths, sections, agents, JSON -------------------------------------------------------------------------------------
 
 
-@query()
+#: The paths of notes in SQL: seven kinds in a row, the first of equal ones, below /vault.
+FOUND_PATHS = "WITH " + NOTES_SQL + r""", lists AS (SELECT path, list_concat(list_concat(list_concat(list_transform(regexp_extract_all(content, '\[\[([^\]]+)\]\]', 1), lambda x: split_part(trim(x), '|', 1)), regexp_extract_all(content, '\((/[^)]+)\)', 1)), list_concat(regexp_extract_all(content, '`(/[^`]+)`', 1),
+  list_transform(regexp_extract_all(content, '(?m)^[ \t]*(/.*)$', 1), lambda x: regexp_replace(trim(x), '[,.]+$', '')))), list_concat(list_concat(regexp_extract_all(content, '(/Users[^\s)\]]+|/[^\s)\]]+)', 1), list_filter(regexp_extract_all(content, '<([^>]+)>', 1), lambda x: contains(x, '/') OR regexp_matches(x, '\.[A-Za-z0-9]{2,6}$'))),
+  regexp_extract_all(content, '(?i)\b([^\s)\]"'']+\.(?:""" + text.EXTENSIONS + r"""))\b', 1))) AS a FROM notes),
+ each AS (SELECT path, trim(unnest(a)) AS found, generate_subscripts(a, 1) AS i FROM lists), firsts AS (SELECT path, found, min(i) AS i FROM each WHERE found <> '' GROUP BY ALL),
+ resolved AS (SELECT path, found, row_number() OVER (PARTITION BY path ORDER BY i) - 1 AS ordinal, '/vault/' || regexp_replace(found, '^/+', '') AS resolved FROM firsts) """
+
+
+@query(FOUND_PATHS + "SELECT path, cast(min(ordinal) AS integer) AS ordinal, arg_min(found, ordinal) AS found, resolved FROM resolved GROUP BY path, resolved")
 def paths_extracted(spark, sf):
     return curation.path_rows(notes(spark, sf), "/vault")
 
@@ -700,7 +708,9 @@ def paths_limited(spark, sf):
     return curation.path_rows(notes(spark, sf), "/vault", "only", limit=1).select("path", "resolved")
 
 
-@query()
+@query(FOUND_PATHS + ", " + ATTACHMENTS_SQL + r""", files AS (SELECT '/vault/Attachments/' || rel_path AS abs_path, name FROM attachments),
+ urls AS (SELECT path, unnest(regexp_extract_all(content, '!?\[([^\]]*)\]\(([^)]+)\)', 2)) AS url FROM notes), f AS (SELECT path, resolved FROM resolved UNION SELECT path, '/vault/' || replace(split_part(url, '?', 1), '../', '') FROM urls)
+ SELECT DISTINCT path, coalesce(e.abs_path, m.abs_path, resolved) AS resolved FROM f LEFT JOIN files e ON e.abs_path = resolved LEFT JOIN files m ON e.abs_path IS NULL AND m.name = string_split(resolved, '/')[-1]""")
 def basename_match(spark, sf):
     n = notes(spark, sf)
     known = attachments(spark, sf).select(F.concat(F.lit("/vault/Attachments/"), "rel_path").alias("abs_path"))

@@ -29,8 +29,10 @@ CONTENTS = "rel_path string, content binary"
 
 def hidden(rel_path: str, policy: str, trash: bool = False, obsidian: bool = False) -> bool:
     """Whether a vault-relative path is left out; see functions.text.is_hidden. shared: opt-ins for .trash and .obsidian;
-    strict: whatever has a part with a leading dot."""
+    strict: whatever has a part with a leading dot. The folder of the plan sink is never a vault's file."""
     parts = rel_path.split("/")
+    if parts[0] == ".noteforge":
+        return True
     own = any(p in (".trash", ".obsidian") for p in parts)
     if policy == "none":
         return False
