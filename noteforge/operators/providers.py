@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 import time
 from collections.abc import Callable, Iterator
 
@@ -12,9 +13,31 @@ from pyspark.sql import functions as F
 from noteforge.session import ship_package
 
 
-def with_provider(rows: DataFrame, column: str, provider: Callable[[list], list[str]], out: str = "reply", retries: int = 2, wait: float = 0.5, partitions: int | None = None) -> DataFrame:
-    """rows with the provider's reply to each value of column, and null where it fails `retries` times again. provider
-    takes a list and returns as many strings; it is pickled to the workers. partitions bounds how many calls run at once."""
+def within(seconds: float, call: Callable[[list], list[str]], values: list) -> list[str]:
+    """call(values), or a TimeoutError after so many seconds; what hangs is left to a thread that ends with its worker."""
+    done: list[tuple] = []
+
+    def run() -> None:
+        try:
+            done.append((call(values), None))
+        except Exception as e:
+            done.append((None, e))
+
+    thread = threading.Thread(target=run, daemon=True)
+    thread.start()
+    thread.join(seconds)
+    if not done:
+        raise TimeoutError(f"no reply in {seconds} s")
+    replies, error = done[0]
+    if error:
+        raise error
+    return replies
+
+
+def with_provider(rows: DataFrame, column: str, provider: Callable[[list], list[str]], out: str = "reply", retries: int = 2, wait: float = 0.5, partitions: int | None = None, seconds: float = 120.0) -> DataFrame:
+    """rows with the provider's reply to each value of column, and null where it fails, or takes more than `seconds` for a
+    batch, `retries` times again. provider takes a list and returns as many strings; it is pickled to the workers.
+    partitions bounds how many calls run at once."""
     ship_package(rows.sparkSession)
 
     @F.pandas_udf("string")
@@ -23,7 +46,7 @@ def with_provider(rows: DataFrame, column: str, provider: Callable[[list], list[
             values = batch.tolist()
             for turn in range(retries + 1):
                 try:
-                    yield pd.Series(provider(values), dtype=object)
+                    yield pd.Series(within(seconds, provider, values), dtype=object)
                     break
                 except Exception:
                     if turn == retries:

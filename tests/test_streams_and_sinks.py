@@ -159,6 +159,19 @@ def test_vault_to_report(spark, tmp_path):
     assert report_rows(spark, path) == want and report_upsert.versions(spark, path)[-1] == 2
 
 
+def test_first_of_content_forgets_with_the_watermark(spark, tmp_path):
+    from noteforge.streaming import increments
+
+    for i, part in enumerate(([("h1", "00:00"), ("h2", "00:10"), ("h1", "00:05")], [("h1", "00:30"), ("h3", "05:00")], [("h1", "05:10"), ("h3", "05:20")])):
+        df = spark.createDataFrame(part, "hash string, at string").select("hash", F.to_timestamp(F.concat(F.lit("2024-01-01 "), "at")).alias("ts"))
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema("hash string, ts timestamp").parquet(str(tmp_path / "in"))
+        increments.first_of_content(stream).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
+    got = sorted((r["hash"], str(r["ts"])[11:16]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert [g for g in got if g[0] != "h1"] == [("h2", "00:10"), ("h3", "05:00")]
+    assert [g[1] for g in got if g[0] == "h1"] in (["00:00", "05:10"], ["00:05", "05:10"])
+
+
 # --- plans by executors ------------------------------------------------------------------------------------------------
 
 
@@ -393,3 +406,16 @@ def test_flags_of_replies_by_kind(spark):
     rows = [(i, "{" + ("" if v is None else f'"is_valuable": {v}, "has_framework": {v}, ') + '"reasoning": "r"}') for i, (v, _) in enumerate(kinds)]
     got = spark.createDataFrame(rows, "i int, reply string").select("i", *providers.analysis_of()).orderBy("i").collect()
     assert [(r["is_valuable"], r["has_framework"]) for r in got] == [(True, False) if w is None else (w, w) for _, w in kinds]
+
+
+def test_providers_that_hang_are_given_up(spark):
+    from noteforge.operators import providers
+
+    def reply(prompts):
+        time.sleep(60 if "slow" in prompts else 0)
+        return [p.upper() for p in prompts]
+
+    rows = spark.createDataFrame([("slow",), ("fast",)], "prompt string").repartitionByRange(2, "prompt")
+    began = time.time()
+    got = sorted(tuple(r) for r in providers.with_provider(rows, "prompt", reply, retries=1, wait=0.0, seconds=0.5).collect())
+    assert got == [("fast", "FAST"), ("slow", None)] and time.time() - began < 40
