@@ -217,3 +217,13 @@ def test_path_limit_and_preview(spark):
                 kept.append(line)
                 used += len(line) + 1
             assert shown(t, n) == "\n".join(kept)
+
+
+def test_gray_detection_counts_every_pixel(spark, tmp_path):
+    from noteforge import catalog
+
+    rows = [(i, i % 7, float(i % 50), "A" if i % 3 else "N", i, i, (i % 11) / 100) for i in range(6000)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_quantity double, l_returnflag string, l_partkey long, l_suppkey long, l_discount double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spread = {flag: [abs(r - 10 * g) + abs(10 * g - 1000 * b) + abs(r - 1000 * b) for _, g, r, f, _, _, b in rows if f == flag] for flag in "AN"}
+    got = {r["l_returnflag"]: r["variance"] for r in catalog.QUERIES["gray_detection"](spark, str(tmp_path)).collect()}
+    assert got == {flag: pytest.approx(sum(x) / (3 * len(x)), abs=1e-6) for flag, x in spread.items()}
