@@ -173,13 +173,14 @@ def path_rows(notes: DataFrame, base: str, wiki: str = "all", limit: int = 0) ->
     return out.withColumn("_rank", F.row_number().over(W.partitionBy("path").orderBy("ordinal"))).where(F.col("_rank") <= limit).drop("_rank") if limit > 0 else out
 
 
-#: Literal characters at a pattern's start or end that its block is named by, at most.
-BLOCK = 8
+#: Literal characters in a row that a pattern's block is named by, at most.
+BLOCK = 32
 
 
-def glob_regex(pattern: str) -> str:
-    """A file-name pattern (*, ?, [..], [!..]) as a regular expression for Java, for whole names. A bracket that is not
-    closed stands for itself; ranges whose ends are the wrong way round match nothing."""
+def glob_tokens(pattern: str) -> list[tuple[str | None, str]]:
+    """The parts of a file-name pattern (*, ?, [..], [!..]): the character that a part stands for, null for signs, and its
+    regular expression for Java. A bracket that is not closed stands for itself; ranges whose ends are the wrong way round
+    match nothing. All parts but * take one character of a name."""
     out, at = [], 0
     quote = lambda c: c if c.isalnum() or ord(c) > 127 else "\\" + c
     while at < len(pattern):
@@ -195,38 +196,61 @@ def glob_regex(pattern: str) -> str:
                 else:
                     kept.append(quote(inner[i]))
                     i += 1
-            out.append(f"[{'^' * no}{''.join(kept)}]" if kept else "." if no else "(?!)")
+            out.append((None, f"[{'^' * no}{''.join(kept)}]" if kept else "." if no else "(?!)"))
             at = close + 1
         else:
-            out.append({"*": ".*", "?": "."}.get(c) or quote(c))
+            out.append((None, {"*": ".*", "?": "."}[c]) if c in "*?" else (c, quote(c)))
             at += 1
-    return "(?s)^" + "".join(out) + r"\z"
+    return out
+
+
+def glob_regex(pattern: str) -> str:
+    """The regular expression of a file-name pattern, for whole names."""
+    return "(?s)^" + "".join(r for _, r in glob_tokens(pattern)) + r"\z"
+
+
+def glob_block(pattern: str) -> tuple[str, int, str, int]:
+    """(side, at, block, whole): the longest literal characters in a row that each match has, and where: `at` characters
+    behind the start, in front of the end, or (side in) anywhere; a known place is worth two characters. whole: the
+    length of all matches of a pattern without a *, else -1."""
+    tokens = glob_tokens(pattern)
+    stars = [i for i, (_, r) in enumerate(tokens) if r == ".*"]
+    runs, i = [("any", 0, "")], 0
+    while i < len(tokens):
+        j = i
+        while j < len(tokens) and tokens[j][0] is not None:
+            j += 1
+        run = "".join(c for c, _ in tokens[i:j])
+        if run and (not stars or j <= stars[0]):
+            runs.append(("start", i, run[:BLOCK]))
+        elif run and i > stars[-1]:
+            runs.append(("end", len(tokens) - j, run[-BLOCK:]))
+        elif run:
+            runs.append(("in", 0, run[:BLOCK]))
+        i = j + 1
+    return *max(runs, key=lambda r: len(r[2]) + 2 * (r[0] in ("start", "end"))), -1 if stars else len(tokens)
 
 
 def glob_matches(patterns: DataFrame, names: DataFrame) -> DataFrame:
     """(pattern, name) of every pattern (column pattern) and name (column name) that match, distinct. A pattern is only
-    compared with the names of its block: those that begin with the literal characters in front of its first sign, or,
-    without any, that end with those behind its last. Patterns with neither are compared with all names; nothing else is."""
+    compared with the names of its glob_block(): those with the same characters at the same place, and of its length if
+    it has one. Patterns without a literal character are compared with all names (of their length); nothing else is."""
     ship_package(patterns.sparkSession)
 
-    @F.pandas_udf("string")
-    def regex(p: pd.Series) -> pd.Series:
-        return p.map(glob_regex, na_action="ignore")
-
-    sign = r"[*?\[\]]"
-    p = patterns.select("pattern").where("pattern is not null").distinct()
-    first, last = F.regexp_extract("pattern", r"(?s)\A([^*?\[]*)", 1), F.regexp_extract("pattern", rf"(?s)([^*?\[\]]*)\z", 1)
-    kind = F.when(first != "", "start").when(last != "", "end").otherwise("any")
-    block = F.when(kind == "start", F.left(first, F.lit(BLOCK))).when(kind == "end", F.right(last, F.lit(BLOCK))).otherwise("")
-    p = stored(p.where(F.col("pattern").rlike(sign)).select("pattern", regex("pattern").alias("regex"), kind.alias("kind"), block.alias("block")), "globs")
-    kinds = [tuple(r) for r in p.select("kind", F.length("block")).distinct().collect()]  # 2 * BLOCK + 1 at most
-    n = names.select("name").where("name is not null").distinct()
-    cut = {"start": F.left, "end": F.right}
-    keys = [F.struct(F.lit(k).alias("kind"), (cut[k]("name", F.lit(length)) if length else F.lit("")).alias("block")) for k, length in kinds]
-    if not keys:
-        return p.select("pattern", F.lit("").alias("name"))
-    dealt = n.select("name", F.explode(F.array_distinct(F.array(*keys))).alias("k")).select("name", "k.*")
-    return p.join(dealt, ["kind", "block"]).where(F.expr("name rlike regex")).select("pattern", "name").distinct()
+    @F.pandas_udf("regex string, side string, at int, block string, whole int")
+    def blocks(p: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([(glob_regex(x), *glob_block(x)) for x in p], columns=["regex", "side", "at", "block", "whole"])
+
+    p = patterns.select("pattern").where("pattern is not null").distinct().where(F.col("pattern").rlike(r"[*?\[\]]"))
+    p = stored(p.select("pattern", blocks("pattern").alias("b")).select("pattern", "b.*"), "globs")
+    kinds = p.select("side", "at", F.length("block").alias("n"), (F.col("whole") >= 0).alias("sized")).distinct()  # of places, not of patterns
+    names = names.select("name").where("name is not null").distinct().withColumn("size", F.length("name"))
+    at, n, size = F.col("at"), F.col("n"), F.col("size")
+    cut = lambda start: F.substring("name", start, n)
+    anywhere = F.array_distinct(F.transform(F.sequence(F.lit(1), size - n + 1), cut))
+    block = F.when(F.col("side") == "in", anywhere).otherwise(F.array(cut(F.when(F.col("side") == "end", size - at - n + 1).otherwise(at + 1))))
+    dealt = names.crossJoin(F.broadcast(kinds)).where(size >= at + n).select("name", "side", "at", F.explode(block).alias("block"), F.when(F.col("sized"), size).otherwise(-1).alias("whole"))
+    return p.join(dealt, ["side", "at", "block", "whole"]).where(F.expr("name rlike regex")).select("pattern", "name").distinct()
 
 
 def matched_paths(found: DataFrame, files: DataFrame) -> DataFrame:

@@ -419,3 +419,13 @@ def test_providers_that_hang_are_given_up(spark):
     began = time.time()
     got = sorted(tuple(r) for r in providers.with_provider(rows, "prompt", reply, retries=1, wait=0.0, seconds=0.5).collect())
     assert got == [("fast", "FAST"), ("slow", None)] and time.time() - began < 40
+
+
+def test_blocks_of_name_patterns(spark):
+    """Signs at both ends leave the characters between them as a block; without any sign's freedom the length is known."""
+    want = {"[!a-e]ile 12[2-4].p*": ("start", 1, "ile 12", -1), "file 12?.png": ("start", 0, "file 12", 12), "*abc*": ("in", 0, "abc", -1), "a*long one*": ("in", 0, "long one", -1), "*.p[mn]gz?": ("end", 4, ".p", -1), "[*": ("start", 0, "[", -1), "??": ("any", 0, "", 2), "*": ("any", 0, "", -1)}
+    assert {p: curation.glob_block(p) for p in want} == want
+    names = [f"file {i}.png" for i in range(300)]
+    patterns = [*want, *(f"[!a-e]ile {i}[2-4].p*" for i in range(30))]
+    got = curation.glob_matches(spark.createDataFrame([(p,) for p in patterns], "pattern string"), spark.createDataFrame([(n,) for n in names], "name string"))
+    assert sorted(map(tuple, got.collect())) == sorted((p, n) for p in set(patterns) for n in names if fnmatch.fnmatchcase(n, p))
