@@ -511,8 +511,8 @@ def lang_indicators(spark, sf):
   CASE WHEN n < 50 OR spanish + english <= 5 THEN NULL WHEN spanish > english * 1.5::double THEN 'es' WHEN english > spanish * 1.5::double THEN 'en' END AS lang,
   CASE WHEN n < 50 OR spanish + english <= 5 THEN 0 WHEN spanish > english * 1.5::double THEN least(0.9, round(spanish::double / (spanish + english), 9)) WHEN english > spanish * 1.5::double THEN least(0.9, round(english::double / (spanish + english), 9)) ELSE 0 END::double AS confidence FROM s""")
 def lang_decision(spark, sf):
-    lang, conf = text.language_decision(F.col("text"), F.lit(None).cast("string"), F.lit(0.0))
-    return table(spark, sf, "documents").select("doc_id", lang.alias("lang"), F.round(conf, 9).alias("confidence"))
+    docs = table(spark, sf, "documents").select("doc_id", "text", F.lit(None).cast("string").alias("best"), F.lit(0.0).alias("prob"))
+    return language.decided(docs, "text").select("doc_id", "lang", F.round("confidence", 9).alias("confidence"))
 
 
 HELD_OUT = "left(md5(cast(doc_id AS varchar)), 1) < '3'"
@@ -566,9 +566,8 @@ def lang_detector_accuracy(spark, sf):
 @query(model_sql(only="lang IN ('en', 'es')") + ", n3 AS (SELECT doc_id, text, best, coalesce(prob, 0) AS prob, " + SIGNS + " FROM documents LEFT JOIN best USING (doc_id)), " + DECISION + " SELECT doc_id, lang, round(conf, 6) AS confidence FROM n4")
 def lang_decision_model(spark, sf):
     """The language decision with a model behind it, which offers English and Spanish alone."""
-    docs = model(spark, sf).detect(table(spark, sf, "documents"), "doc_id", "text", ["en", "es"])
-    lang, conf = text.language_decision(F.col("text"), F.col("best"), F.col("prob"))
-    return docs.select("doc_id", lang.alias("lang"), F.round(conf, 6).alias("confidence"))
+    docs = model(spark, sf).detect(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text", ["en", "es"])
+    return language.decided(docs, "text").select("doc_id", "lang", F.round("confidence", 6).alias("confidence"))
 
 
 def cleaned(text: str) -> str:

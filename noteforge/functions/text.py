@@ -160,9 +160,10 @@ def indicators(text: Column) -> tuple[Column, Column]:
     return spanish, F.size(F.array_intersect(words, F.lit(vocab.ENGLISH_WORDS)))
 
 
-def language_decision(text: Column, best: Column, prob: Column) -> tuple[Column, Column]:
-    """Language and confidence from a model's best guess (null and 0 without a model) and the signs in the text."""
-    es, en = indicators(text)
+def language_decision(text: Column, best: Column, prob: Column, signs: tuple[Column, Column] | None = None) -> tuple[Column, Column]:
+    """Language and confidence from a model's best guess (null and 0 without a model) and the signs in the text. signs:
+    its indicators() as columns, which are read a dozen times here; without, each time counts them anew."""
+    es, en = signs or indicators(text)
     total, unsure = (es + en).cast("double"), prob < 0.7
     es_wins, en_wins = unsure & (total > 5) & (es > en * F.lit(1.5)), unsure & (total > 5) & (en > es * F.lit(1.5))
     tie = unsure & best.isNotNull()

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window as W
 
 from noteforge import vocab
 from noteforge.functions import arrow, text
+from noteforge.operators import language
 from noteforge.session import ship_package, stored
 
 
@@ -49,8 +50,7 @@ def language_rows(notes: DataFrame, least: float = 0.5, add_only: bool = False,
     unfixable."""
     rows = notes.select("path", "content", text.frontmatter_block(F.col("content")).alias("front"), text.plain_text(F.col("content")).alias("plain"))
     rows = detector(rows) if detector else rows.withColumns({"best": F.lit(None).cast("string"), "prob": F.lit(0.0)})
-    lang, conf = text.language_decision(F.col("plain"), F.col("best"), F.col("prob"))
-    rows = rows.withColumns({"lang": lang, "confidence": conf, "tag": text.language_tag(F.col("front"))})
+    rows = language.decided(rows, "plain").withColumn("tag", text.language_tag(F.col("front")))
     new = text.with_language(F.col("content"), F.col("lang"))
     status = (
         F.when(F.col("front") == "", "no_frontmatter")

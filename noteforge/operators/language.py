@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from noteforge.functions import text as texts
 from noteforge.session import stored
 
 #: Log probabilities are whole millionths, so that sums do not depend on their order.
@@ -20,6 +21,14 @@ MOST_BROADCAST = 400_000
 LEAST_PROBABILITY = 0.1
 
 
+def decided(rows: DataFrame, text: str) -> DataFrame:
+    """rows with lang and confidence, from best, prob and the signs in the text. These are columns of their own, so that
+    each text is searched for them once."""
+    es, en = texts.indicators(F.col(text))
+    lang, conf = texts.language_decision(F.col(text), F.col("best"), F.col("prob"), (F.col("_es"), F.col("_en")))
+    return rows.withColumns({"_es": es, "_en": en}).withColumns({"lang": lang, "confidence": conf}).drop("_es", "_en")
+
+
 def trigrams(text: Column) -> Column:
     """Every three characters in a row of the text's words, in lower case with one space around each word. Characters
     beyond the basic plane count as spaces."""
