@@ -429,3 +429,27 @@ def test_blocks_of_name_patterns(spark):
     patterns = [*want, *(f"[!a-e]ile {i}[2-4].p*" for i in range(30))]
     got = curation.glob_matches(spark.createDataFrame([(p,) for p in patterns], "pattern string"), spark.createDataFrame([(n,) for n in names], "name string"))
     assert sorted(map(tuple, got.collect())) == sorted((p, n) for p in set(patterns) for n in names if fnmatch.fnmatchcase(n, p))
+
+
+def test_a_text_is_searched_once_for_signs_and_keeps_its_row(spark, sf):
+    """Signs are counted for a decision once, and trigrams neither make rows of their own nor a join."""
+    from noteforge import catalog
+
+    plan_of = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan_of(catalog.QUERIES["lang_decision"](spark, sf)).count("regexp_extract_all") <= 3  # both word lists, the characters
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    found = plan_of(language.fit(docs).detect(docs, "doc_id", "text"))
+    assert "Generate" not in found and "Join" not in found
+
+
+def test_detector_by_pieces_of_odd_texts(spark, monkeypatch):
+    """Pieces of a batch, texts without letters, surrogates and long runs of signs: scores as by the join."""
+    asked = ["", None, "a", "ab", "\U0001d400bc \U0001d401", "1" * 30_000 + "été", "Ünï \u0130x", "niño y año", "the cat sat"]
+    rows = spark.createDataFrame([(i, t, "xy"[i % 2]) for i, t in enumerate(asked)], "id long, text string, lang string")
+    got = {}
+    for most, piece in ((400_000, 500_000), (400_000, 3), (0, 500_000)):
+        monkeypatch.setattr(language, "MOST_BROADCAST", most)
+        monkeypatch.setattr(language, "PIECE", piece)
+        m = language.fit(rows)
+        got[most, piece] = m.names, m.unseen, m.prior, sorted(map(str, m.grams.collect())), sorted(map(str, m.detect(rows, "id", "text").collect()))
+    assert got[400_000, 500_000] == got[400_000, 3] == got[0, 500_000]
