@@ -862,10 +862,11 @@ def analysis_blocks(spark, sf):
 @query("""WITH p AS (SELECT l_orderkey AS pdf, CASE WHEN l_discount < 0.09 THEN l_quantity / 50.0::double END AS ssim, l_tax > 0.07 AND l_quantity < 10 AS failed FROM lineitem),
  q AS (SELECT pdf, CASE WHEN bool_or(failed) THEN 0 ELSE coalesce(avg(ssim), 1) END::double AS ssim FROM p GROUP BY pdf) SELECT pdf, round(ssim, 9) AS ssim, ssim >= 0.92 AS passed FROM q""")
 def pdf_quality(spark, sf):
-    """Pages that can't be compared have no score; a check that fails rejects its document."""
+    """Pages that can't be compared have no score; a check that fails rejects its document. Pages are in the order of
+    the table's rows, as the SQL adds them."""
     ssim = F.when(F.col("l_discount") < 0.09, F.col("l_quantity") / 50.0)
-    scores = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("pdf"), ssim.alias("ssim"), ((F.col("l_tax") > 0.07) & (F.col("l_quantity") < 10)).alias("failed"))
-    return media.quality(scores, failed="failed").withColumn("ssim", F.round("ssim", 9))
+    scores = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("pdf"), ssim.alias("ssim"), ((F.col("l_tax") > 0.07) & (F.col("l_quantity") < 10)).alias("failed"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    return media.quality(scores, failed="failed", at=["file", "row"]).withColumn("ssim", F.round("ssim", 9))
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 120 ELSE 150 END AS dpi, CASE WHEN doc_id % 2 = 0 THEN 60 ELSE 50 END AS quality, CASE WHEN doc_id % 2 = 0 THEN 1600 ELSE 1024 END AS longest, doc_id % 2 = 0 AS grayscale FROM documents")

@@ -23,11 +23,15 @@ def sampled_pages(pages: DataFrame) -> DataFrame:
     return pages.where((p == 0) | (p == n - 1) | ((n > 2) & (p == F.floor(n / 2))))
 
 
-def quality(scores: DataFrame, threshold: float = 0.92, failed: str | None = None) -> DataFrame:
+def quality(scores: DataFrame, threshold: float = 0.92, failed: str | None = None, at: list[str] | None = None) -> DataFrame:
     """Mean similarity of each document's sampled pages and whether it passes; 1 and true where no page could be
-    compared (null scores). failed: a column that tells that the check itself failed; such a document has 0 and false."""
+    compared (null scores). failed: a column that tells that the check itself failed; such a document has 0 and false.
+    at: columns that order a document's pages, which are few; doubles are then added in that order and not as tasks come
+    by, since a mean next to the threshold may fall to either side."""
     broken = F.bool_or(F.coalesce(F.col(failed), F.lit(False))) if failed else F.lit(False)
-    by = scores.groupBy("pdf").agg(F.when(broken, 0.0).otherwise(F.coalesce(F.avg("ssim"), F.lit(1.0))).alias("ssim"))
+    known = F.filter(F.array_sort(F.collect_list(F.struct(*at, "ssim"))), lambda p: p["ssim"].isNotNull()) if at else None
+    mean = F.avg("ssim") if known is None else F.try_divide(F.aggregate(known, F.lit(0.0), lambda s, p: s + p["ssim"]), F.size(known))
+    by = scores.groupBy("pdf").agg(F.when(broken, 0.0).otherwise(F.coalesce(mean, F.lit(1.0))).alias("ssim"))
     return by.withColumn("passed", F.col("ssim") >= threshold)
 
 

@@ -227,3 +227,21 @@ def test_gray_detection_counts_every_pixel(spark, tmp_path):
     spread = {flag: [abs(r - 10 * g) + abs(10 * g - 1000 * b) + abs(r - 1000 * b) for _, g, r, f, _, _, b in rows if f == flag] for flag in "AN"}
     got = {r["l_returnflag"]: r["variance"] for r in catalog.QUERIES["gray_detection"](spark, str(tmp_path)).collect()}
     assert got == {flag: pytest.approx(sum(x) / (3 * len(x)), abs=1e-6) for flag, x in spread.items()}
+
+
+def test_quality_adds_pages_in_their_order(spark):
+    """Whatever the order of rows and tasks: some means are equal to the threshold, and doubles fall to either side."""
+    import itertools
+
+    lists = {f"{k}-{j}": order for k, xs in enumerate(([50, 39, 49, 46], [45, 47, 46])) for j, order in enumerate(itertools.permutations(xs))}
+    rows = [(pdf, i, x / 50) for pdf, xs in lists.items() for i, x in enumerate(xs)] + [("none", 0, None), ("none", 1, None)]
+    want = {"none": 1.0}
+    for pdf, xs in lists.items():
+        total = 0.0
+        for x in xs:
+            total += x / 50
+        want[pdf] = total / len(xs)
+    assert {x >= 0.92 for x in want.values()} == {True, False}
+    for parts in (1, 7):
+        scores = spark.createDataFrame(rows[::-1], "pdf string, page int, ssim double").repartition(parts, "page")
+        assert {r["pdf"]: (r["ssim"], r["passed"]) for r in media.quality(scores, at=["page"]).collect()} == {pdf: (x, x >= 0.92) for pdf, x in want.items()}
