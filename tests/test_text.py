@@ -168,3 +168,10 @@ def test_long_chapters_are_cut(spark):
     assert (r["title"], r["book"], r["points"], r["headers"]) == ("Chapter Summary", "B", 6, 0)
     assert "\n" + "o" * 400 + "\n" in r["prompt"] and "- p5\n\nMAIN" in r["prompt"] and r["prompt"].endswith("STYLE\n")
     assert r["prompt"].count("- p3") == 2 and r["prompt"].count("- p4") == 1
+
+
+def test_whole_notes_go_to_workers_a_few_at_a_time(spark):
+    df = spark.createDataFrame([("#x y",), (None,)], "c string").select(arrow.escape_hashtags("c").alias("e"), arrow.hashtags("c").alias("h"))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
+    assert [(r["e"], [tuple(h) for h in r["h"]]) for r in df.collect()] == [("`#x` y", [(0, 2, "x")]), (None, [])]
