@@ -256,9 +256,10 @@ def glob_matches(patterns: DataFrame, names: DataFrame) -> DataFrame:
 def matched_paths(found: DataFrame, files: DataFrame) -> DataFrame:
     """Paths that exist as they are, or every file whose name their base name matches as a pattern, or themselves.
     files: abs_path."""
-    there = found.join(files.select(F.col("abs_path").alias("resolved")), "resolved", "left_semi").select("path", "resolved")
-    gone = found.join(files.select(F.col("abs_path").alias("resolved")), "resolved", "left_anti").withColumn("base", text.base_name(F.col("resolved")))
-    gone, named = stored(gone.select("path", "resolved", "base"), "gone"), files.select(text.base_name(F.col("abs_path")).alias("name"), "abs_path")
+    known = files.select(F.col("abs_path").alias("resolved"), F.lit(True).alias("there")).distinct()
+    rows = stored(found.select("path", "resolved").distinct().join(known, "resolved", "left").withColumn("base", text.base_name(F.col("resolved"))), "found-paths")  # found may be read from texts: once
+    there, gone = rows.where("there").select("path", "resolved"), rows.where("there is null").drop("there")
+    named = files.select(text.base_name(F.col("abs_path")).alias("name"), "abs_path")
     globs = glob_matches(gone.select(F.col("base").alias("pattern")), named).select(F.col("pattern").alias("base"), "name")
     plain = gone.where(~F.col("base").rlike(r"[*?\[\]]")).select("base", F.col("base").alias("name")).distinct()
     hits = plain.unionByName(globs).join(named, "name").select("base", "abs_path")

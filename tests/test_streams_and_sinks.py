@@ -453,3 +453,18 @@ def test_detector_by_pieces_of_odd_texts(spark, monkeypatch):
         m = language.fit(rows)
         got[most, piece] = m.names, m.unseen, m.prior, sorted(map(str, m.grams.collect())), sorted(map(str, m.detect(rows, "id", "text").collect()))
     assert got[400_000, 500_000] == got[400_000, 3] == got[0, 500_000]
+
+
+def test_found_paths_are_read_once(spark):
+    """Paths that come from texts are not looked for again for those that exist and those that don't."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def slow(x):
+        seen.add(1)
+        return x
+
+    found = spark.createDataFrame([("n", "/v/a.png"), ("n", "/v/x/b.png"), ("m", "/v/q?.md")], "path string, resolved string").select("path", slow("resolved").alias("resolved"))
+    files = spark.createDataFrame([("/v/a.png",), ("/v/1/b.png",), ("/v/1/b.png",)], "abs_path string")
+    assert sorted(map(tuple, curation.matched_paths(found, files).collect())) == [("m", "/v/q?.md"), ("n", "/v/1/b.png"), ("n", "/v/a.png")]
+    assert seen.value == 3
