@@ -141,7 +141,8 @@ def agent_rows(files: DataFrame, skills: DataFrame) -> DataFrame:
     ]
     hints = [F.when(~none & desc.isNotNull() & ~desc.contains("<example>"), "No example"), F.when(~none & model.isNull(), "No model"), F.when(~none & (text.strip(body) == ""), "Empty body")]
     rows = rows.withColumns({"errors": F.array_compact(F.array(*rules)), "hints": F.array_compact(F.array(*hints))})
-    wanted = rows.where(~none).select("path", F.explode(F.transform(F.split("fm.skills", ","), text.strip)).alias("skill"))
+    # Rows without frontmatter have no skills to explode; a filter on fm would parse each file once more, by a second worker.
+    wanted = rows.select("path", F.explode(F.transform(F.split("fm.skills", ","), text.strip)).alias("skill"))
     missing = wanted.join(skills, "skill", "left_anti").groupBy("path").agg(F.sort_array(F.collect_set(F.concat(F.lit("Missing skill: "), F.col("skill")))).alias("missing"))
     out = rows.join(missing, "path", "left")
     warnings = F.concat("hints", F.coalesce("missing", F.array().cast("array<string>")))

@@ -175,3 +175,13 @@ def test_whole_notes_go_to_workers_a_few_at_a_time(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
     assert [(r["e"], [tuple(h) for h in r["h"]]) for r in df.collect()] == [("`#x` y", [(0, 2, "x")]), (None, [])]
+
+
+def test_agent_files_are_parsed_by_one_worker_a_task(spark):
+    files = [("a", '---\nname: n\ndescription: "<example>"\nmodel: opus\nskills: x, y\n---\nb'), ("a", "---\nskills: z\n---\n"), ("none", "no frontmatter"), ("null", None), (None, "---\nname: m\nskills: q\n---\nb")]
+    got = curation.agent_rows(spark.createDataFrame(files, "path string, content string").repartition(2), spark.createDataFrame([("x",)], "skill string"))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan and plan.count("BatchEvalPython") == 2  # one for the rows and one for their skills, in stages of their own
+    rows = {(r["path"], r["name"]): (r["valid"], r["warnings"]) for r in got.collect()}
+    both = ["Missing skill: y", "Missing skill: z"]
+    assert rows == {("a", "n"): (True, both), ("a", None): (False, ["No model", "Empty body", *both]), ("none", None): (False, []), ("null", None): (False, []), (None, "m"): (False, ["No model"])}
